@@ -159,7 +159,7 @@ def plan(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
     groups = own.filter(F.length("payload") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    copies = groups.filter("n > 1").select("sha1", "first")
+    copies = scratch.stash(groups.filter("n > 1").select("sha1", "first"), "copies")  # so that the join meets plain shuffles, which adaptive execution can split
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return own.join(copies, "sha1", "left").select(
         "page_id", "url", "payload", "sha1", F.when(other, F.col("first")).alias("refers_to"), F.when(other, "revisit").otherwise("response").alias("kind")
