@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple[str, ...] = ()
+MODULES = ("cohorts", "relational", "aggregates", "features")
 
 
 def _modules():
