@@ -2,9 +2,10 @@
 
 Tokens are words (letters only, lower case). Token labels come from labelled documents: a
 feature (a word, or its first characters) marks tokens of toxic documents when documents with it
-are toxic far more often than others, counted over all training rows. A two-tag chain (other,
-toxic) is then fitted by gradient ascent on the labelled tokens, with the log-odds of a token's
-features as its observations, and a logistic layer maps the marginals of a document to a
+are toxic far more often than others, counted over all training rows and, so that copies of a text
+are no evidence, over distinct pairs of neighbouring words. In a two-tag chain (other, toxic) the
+moves are the labelled tokens' smoothed transition frequencies, and the weight of a token's
+log-odds is fitted by gradient ascent; a logistic layer maps the marginals of a document to a
 probability. Scoring runs forward-backward over every whole text. A token without any marked
 feature has one and the same potential, so a stretch of such tokens is one power of a 2 x 2
 matrix: the marginals are exact, and the work per text follows the marked tokens.
