@@ -48,9 +48,15 @@ def header_rows(doc: Column, wanted: dict[str, str]) -> Column:
     return F.transform(rows, lambda r: F.struct(*(pick(r, h).try_cast(t).alias(h.lower()) for h, t in wanted.items())))
 
 
+#: What the Western code page has where Latin-1 has controls; five places are empty.
+CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+WESTERN = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
+
+
 def decoded(content: Column) -> Column:
     """Text of bytes: UTF-8, or else the Western code page."""
-    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "windows-1252"))
+    western = F.translate(F.decode(content, "ISO-8859-1"), CONTROLS, WESTERN)
+    return F.coalesce(F.try_validate_utf8(content.cast("string")), western)
 
 
 def jdbc(spark: SparkSession, url: str, name: str, column: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
