@@ -131,13 +131,15 @@ def repeats(docs: DataFrame, *, window: int = 20) -> DataFrame:
         raise ValueError("window is from 2 to 250 words")
     scratch.ship(spark)
     every = paths(docs, window)
-    often = every.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m")
+    # written out, so that the joins below meet plain shuffles, whose hot partitions adaptive execution can split
+    often = scratch.stash(every.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m"), "often")
+    scratch.sweep(spark)
     found = scratch.stash(every.join(often, "m", "left_semi"), "paths")
     scratch.sweep(spark)
     place = F.struct("doc_id", "at")
     # equal paths have equal lengths, so the content hash fixes the number of windows
     earliest = scratch.stash(found.groupBy("m", "s").agg(F.min(place).alias("o")).select("m", "s", "o.doc_id", "o.at"), "earliest")
-    branching = earliest.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m")
+    branching = scratch.stash(earliest.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m"), "branching")
     straight = earliest.join(branching, "m", "left_anti").select("doc_id", "at")
     forks = earliest.join(branching, "m", "left_semi").groupBy("doc_id").agg(F.collect_list("at").alias("paths"))
     opened = docs.select("doc_id", "text").withColumnRenamed("doc_id", "own").join(forks, F.col("own").eqNullSafe(F.col("doc_id"))).select("doc_id", "text", "paths")
