@@ -103,9 +103,16 @@ def report(spans: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mask: str = "[SECRET]", **how) -> DataFrame:
-    """docs with every span of ``scan`` replaced by a mask; spans that overlap become one. doc_id is unique."""
+def redact(docs: DataFrame, mask: str = "[SECRET]", most_sent: int = 500_000, **how) -> DataFrame:
+    """docs with every span of ``scan`` replaced by a mask; spans that overlap become one. doc_id is unique.
+
+    Up to most_sent spans go to all executors, so that texts stay where they are; more are joined
+    by a shuffle. The rows are the same.
+    """
     found = scan(docs, **how).select(F.col("doc_id").alias("of"), F.array_sort(F.concat("base", "added")).alias("spans")).filter(F.size("spans") > 0)
+    found = scratch.stash(found, "spans")
+    if (found.agg(F.sum(F.size("spans"))).first()[0] or 0) <= most_sent:
+        found = F.broadcast(found)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -128,9 +128,15 @@ def score_text(model: Model, text: str, seen: dict[str, float]) -> tuple[float,
     return float(1 / (1 + np.exp(-np.clip(c + a * top + b * mass, -30, 30)))), spans
 
 
-def train_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, y, fold): labelled documents; fold is crc32 of the doc_id's text modulo 5."""
+def train_rows(docs: DataFrame, labels: DataFrame, most_sent: int = 1_000_000) -> DataFrame:
+    """(text, y, fold): labelled documents; fold is crc32 of the doc_id's text modulo 5.
+
+    Up to most_sent labels (two numbers each) go to all executors, so that texts stay where they
+    are; more are joined by a shuffle. The rows are the same.
+    """
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
+    if own.count() <= most_sent:
+        own = F.broadcast(own)
     return docs.select("doc_id", "text").join(own, "doc_id").withColumn("fold", fold(F.col("doc_id")))
 
 
