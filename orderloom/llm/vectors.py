@@ -196,7 +196,7 @@ class Tree:
         return me
 
 
-def forest_search(k: int, trees: int = 12, leaf: int = 48, probe: float = 0.12, least: int = 600, seed: int = 5) -> Search:
+def forest_search(k: int, trees: int = 12, leaf: int = 48, probe: float = 0.6, least: int = 600, seed: int = 5) -> Search:
     """Largest cosines among the leaves that a shared priority queue reaches first.
 
     All trees' open branches wait in one queue by their margin; leaves are taken until they name
@@ -256,7 +256,7 @@ def cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
-def nearest(table: DataFrame, *, k: int = 5, every: int = 50, block: int = BLOCK, tile: int = TILE, trees: int = 12, probe: float = 0.12) -> DataFrame:
+def nearest(table: DataFrame, *, k: int = 5, every: int = 50, block: int = BLOCK, tile: int = TILE, trees: int = 12, probe: float = 0.6) -> DataFrame:
     """Approximate largest cosines; queries are the rows whose vec_id every divides."""
     rows = valid(table, "embedding").filter("vec_id is not null").filter(F.exists("embedding", lambda x: x != 0)).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
     return search_blocks(rows, rows.filter(F.col("vec_id") % every == 0), forest_search(k, trees, probe=probe), k, "double", block=block, tile=tile)
