@@ -220,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_docs: int = 20_000, most_fea
             for raw in arrays.raw_bytes(batch.column(0)):
                 own = tokens(raw.decode())
                 hits = [(i, x) for i, (_, _, w) in enumerate(own) if (x := observation(w, model.odds, seen))]
-                out.append((len(own), [i for i, _ in hits][:200], [x for _, x in hits][:200]))
+                out.append((len(own), [i for i, _ in hits], [x for _, x in hits]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.float64())), batch.column(1)],
                 ["n", "at", "x", "y"],
