@@ -6,9 +6,11 @@ stretch is one subtraction and one product; ``mix`` then spreads it over all bit
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 BASE2 = U(0xC2B2AE3D27D4EB4F)
 #: Bytes or characters that one vectorised step holds, unless one text alone is longer.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,16 +30,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-@functools.lru_cache(8)
-def _powers(base: int, log2: int) -> np.ndarray:
-    a = np.full(1 << log2, base, U)
-    a[0] = 1
-    return np.multiply.accumulate(a)
+_powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    return _powers(int(base), max(10, int(n).bit_length()))[:n]
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; one array is held for each base."""
+    held = _powers.get(int(base))
+    if held is None or len(held) < n:
+        held = np.full(1 << max(10, (n - 1).bit_length()), base, U)
+        held[0] = 1
+        held = _powers[int(base)] = np.multiply.accumulate(held)
+    return held[:n]
 
 
 def inverse(base: np.uint64) -> np.uint64:
@@ -77,6 +80,23 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(0xA0761D6478BD642F))
 
 
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(work: Work) -> Work:
+    """The same work, after which a worker that waits for its next task gives freed memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every libc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def raw_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null reads as empty."""
     return [x or b"" for x in column.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]

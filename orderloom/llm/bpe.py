@@ -202,7 +202,7 @@ def tokenize(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["key", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(work, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return docs.select(key, text).mapInArrow(arrays.tidy(work), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def digests(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -220,4 +220,4 @@ def digests(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *cols], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(work, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    return docs.select(key, text).mapInArrow(arrays.tidy(work), f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)

@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, path: str, *, capacity: int = 2048, separator: int =
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(arrays.tidy(work), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[int]:
@@ -166,7 +166,7 @@ def pack(items: DataFrame, *, capacity: int = 2048, slack: int = 2, per_task: in
         stuck = had is not None and n > 0.98 * had
         if n == 0 or stuck:
             break
-        made = scratch.stash(bins.repartition(tasks).mapInArrow(work, schema), "pack")
+        made = scratch.stash(bins.repartition(tasks).mapInArrow(arrays.tidy(work), schema), "pack")
         full = made.filter("full")
         done = full if done is None else done.unionByName(full)
         bins, had = made.filter("not full").select("fill", "members"), n

@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, *, words: int = 4) -> DataFrame:
             fps = np.array([fingerprint(t, words=words) for t in arrays.raw_bytes(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(arrays.tidy(work), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 1 << 8, columns: int = 1 << 10) -> list[tuple[int, int]]:

@@ -82,7 +82,7 @@ def paths(docs: DataFrame, window: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(s.view(np.int64)), ids, pa.array(first << 8 | n)], ["m", "s", "doc_id", "at"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"m long, s long, doc_id {kind}, at long")
+    return docs.select("doc_id", "text").mapInArrow(arrays.tidy(work), f"m long, s long, doc_id {kind}, at long")
 
 
 def _edges(docs: DataFrame, window: int) -> DataFrame:
@@ -104,7 +104,7 @@ def _edges(docs: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), ids, pa.array(where)], ["h1", "h2", "doc_id", "at"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "paths").mapInArrow(work, f"h1 long, h2 long, doc_id {kind}, at long")
+    return docs.select("doc_id", "text", "paths").mapInArrow(arrays.tidy(work), f"h1 long, h2 long, doc_id {kind}, at long")
 
 
 def covered(n_words: int, packed: np.ndarray, window: int) -> np.ndarray:
@@ -179,7 +179,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, with_text: bool = False
             yield pa.RecordBatch.from_arrays(cols + [pa.array(text, pa.string())] * with_text, names + ["kept"] * with_text)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(work, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    return joined.mapInArrow(arrays.tidy(work), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 
 def strip_repeats(docs: DataFrame, *, window: int = 20) -> DataFrame:
@@ -209,4 +209,4 @@ def strip_repeats(docs: DataFrame, *, window: int = 20) -> DataFrame:
                 cols[at["n_chars"]] = pa.array(sizes, batch.schema.field(at["n_chars"]).type)
             yield pa.RecordBatch.from_arrays(cols, list(at))
 
-    return joined.mapInArrow(work, docs.schema)
+    return joined.mapInArrow(arrays.tidy(work), docs.schema)

@@ -136,4 +136,4 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, (size, words, total))], ["doc_id", "n_bytes", "n_pretokens", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_bytes long, n_pretokens long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(arrays.tidy(work), f"doc_id {kind}, n_bytes long, n_pretokens long, n_tokens long")

@@ -158,7 +158,7 @@ def _feature_counts(rows: DataFrame, least_docs: int) -> DataFrame:
                 [pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))], ["feature", "toxic", "clean"]
             )
 
-    made = rows.select("text", "y").mapInArrow(work, "feature string, toxic long, clean long")
+    made = rows.select("text", "y").mapInArrow(arrays.tidy(work), "feature string, toxic long, clean long")
     return made.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter(F.col("toxic") >= least_docs)
 
 
@@ -179,7 +179,7 @@ def _context_counts(rows: DataFrame, wanted: frozenset[str]) -> DataFrame:
             cols = list(zip(*found, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], ["feature", "near", "y"])
 
-    made = rows.select("text", "y").mapInArrow(work, "feature string, near string, y int").distinct()
+    made = rows.select("text", "y").mapInArrow(arrays.tidy(work), "feature string, near string, y int").distinct()
     return made.groupBy("feature").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
 
 
@@ -226,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_docs: int = 20_000, most_fea
                 ["n", "at", "x", "y"],
             )
 
-    seen_rows = sample.select("text", "y").mapInArrow(work, "n long, at array<long>, x array<double>, y int").collect()
+    seen_rows = sample.select("text", "y").mapInArrow(arrays.tidy(work), "n long, at array<long>, x array<double>, y int").collect()
     return _fit_chain(model, [(r["n"], np.array(r["at"], np.int64), np.array(r["x"]), r["y"]) for r in seen_rows], rounds)
 
 
@@ -285,7 +285,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             values, spans = [], []
             for raw in arrays.raw_bytes(batch.column(1)):
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 value, own = score_text(model, raw.decode(), seen)
                 values.append(value)
@@ -293,7 +293,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "offsets"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, offsets array<struct<start:int,end:int>>")
+    return docs.select("doc_id", "text").mapInArrow(arrays.tidy(work), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, offsets array<struct<start:int,end:int>>")
 
 
 def keep(docs: DataFrame, model: Model, *, below: float = 0.5) -> DataFrame:
@@ -303,9 +303,9 @@ def keep(docs: DataFrame, model: Model, *, below: float = 0.5) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, float] = {}
         for batch in batches:
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 seen.clear()
             texts = arrays.raw_bytes(batch.column(batch.schema.get_field_index("text")))
             yield batch.filter(pa.array([score_text(model, t.decode(), seen)[0] < below for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(arrays.tidy(work), docs.schema)
