@@ -69,6 +69,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_warc_zstd, op4_exact_topk, op5_bpe, op6_toxicity, op7_simhash, op8_ann_forest, op9_secret_scan, op10_token_counts)}
 
 
+def _secret_matches() -> str:
+    """One row for each text and kind: the least length, whole matches, values, and the lengths of what lies between."""
+    kinds = ((0, secrets.ASSIGN, 2), (1, secrets.ACCESS, 0), (2, secrets.HEX, 0), (3, secrets.LIVE, 0))
+    return " UNION ALL ".join(
+        f"SELECT rid, {k} AS kind, {secrets.LEAST[secrets.KINDS[k]]} AS least, regexp_extract_all(t, '{p}', 0) AS w, regexp_extract_all(t, '{p}', {group}) AS v, "
+        f"list_transform(string_split_regex(t, '{p}'), lambda x: len(x)) AS g FROM d"
+        for k, p, group in ((k, p.replace("'", "''"), group) for k, p, group in kinds)
+    )
+
+
 ORACLE = {
     "op1_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -86,6 +96,21 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c
       FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op9_secret_scan": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, coalesce(doc_id::VARCHAR, '') AS repository FROM documents),
+m AS ({_secret_matches()}),
+u AS (SELECT rid, kind, least, unnest(w) AS w, unnest(v) AS v, unnest(g[1 : len(w)]) AS g, unnest(range(len(w))) AS i FROM m WHERE len(w) > 0),
+s AS (SELECT rid, kind, least, v, sum(g + len(w)) OVER (PARTITION BY rid, kind ORDER BY i) AS stop, len(w) AS n FROM u),
+f AS (SELECT rid, kind, v, (stop - n)::BIGINT AS start, stop::BIGINT AS stop FROM s
+      WHERE len(v) >= least AND (kind < 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')))),
+k AS (SELECT * FROM f WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM f b WHERE b.rid = f.rid AND b.kind < 3 AND b.start <= f.start AND f.stop <= b.stop)),
+h AS (SELECT v, count(DISTINCT owner) <= 1 AND count(DISTINCT (owner, repository)) <= 2 AS live FROM k JOIN d USING (rid) GROUP BY v),
+z AS (SELECT k.*, live, ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || start || ':' || stop AS name FROM k JOIN h USING (v)),
+a AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+             string_agg(name, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(name, ',' ORDER BY start, kind) FILTER (kind < 3 OR live) AS spans,
+             count(*) FILTER (live AND kind < 3) AS n_live, count(*) FILTER (NOT live AND kind < 3) AS n_copied FROM z GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN a USING (rid)""",
 }
 
 
