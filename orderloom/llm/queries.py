@@ -89,6 +89,13 @@ l AS (SELECT doc_id, list(q) AS gone FROM c GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
        sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(len(w)), lambda i: NOT list_contains(gone, i)), lambda i: w[i + 1]) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN l USING (doc_id)""",
+    "op3_warc_zstd": """
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT *, octet_length(b) AS n, ('0x' || sha1(b)) AS h FROM p),
+t AS (SELECT rid, page_id, n, h, array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform(range(4), lambda k:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 3 + 5 * i, 5))::BIGINT >> (15 - 5 * k)) & 31)::INT + 1, 1)), '')), '') AS digest FROM d),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM t)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to FROM m""",
     "op4_exact_topk": """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -399,7 +399,7 @@ def test_chain_marginals_by_enumeration():
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_match_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     want = con.sql(queries.oracle_sql()[name])
     cols = want.columns
