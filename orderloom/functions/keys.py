@@ -95,6 +95,12 @@ def tone(good: Column, bad: Column) -> Column:
     return (good - bad) / (good + bad + 3)
 
 
+def comparison(c: Column | str) -> Column:
+    """The first name of a comparison: no parenthesis, no hedge, nothing behind a slash or an ``and``."""
+    bare = F.regexp_replace(F.regexp_replace(col(c), r"\([^)]*\)", ""), r"(?i)\b(a )?(poor|rich) man's\b", "")
+    return F.trim(F.get(F.split(bare, r"/|\band\b"), F.lit(0)))
+
+
 def escape_html(c: Column | str) -> Column:
     out = col(c)
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -104,4 +110,4 @@ def escape_html(c: Column | str) -> Column:
 
 def signed(c: Column | str) -> Column:
     """``+1.5``, ``-2.0``, a dash for missing."""
-    return F.coalesce(F.format_string("%+.1f", col(c).cast("double")), F.lit("—"))
+    return F.when(col(c).isNotNull(), F.format_string("%+.1f", col(c).cast("double"))).otherwise("—")

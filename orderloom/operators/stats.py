@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.nulls import corr, col, sdiv
@@ -81,3 +81,18 @@ def screen(df: DataFrame, columns: list[str], target: str, by: str) -> DataFrame
     long = df.select(by, target, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))).alias("e")).select(by, target, "e.column", "e.v")
     each = spearman(long, "v", target, ["column", by]).filter(F.col("rho").isNotNull())
     return each.groupBy("column").agg(F.sum("n").alias("n"), sdiv(F.sum(F.col("n") * F.col("rho")), F.sum("n")).alias("rho"))
+
+
+def global_rank(df: DataFrame, x: str, parts: int = 64) -> DataFrame:
+    """(x, rank): average rank of each distinct value over all rows, without one window over the table.
+
+    Values are dealt to ranges by approximate quantiles (at most parts doubles, on the driver); a
+    range's own order and the counts of the ranges below give the exact rank.
+    """
+    bounds = sorted(set(df.approxQuantile(x, [i / parts for i in range(1, parts)], 0.01)))
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(x))) if bounds else F.lit(0)
+    counts = df.filter(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("_n")).withColumn("_r", at)
+    totals = counts.groupBy("_r").agg(F.sum("_n").alias("_t"))  # parts rows at most
+    below = totals.withColumn("_o", F.sum("_t").over(Window.partitionBy(F.lit(1)).orderBy("_r")) - F.col("_t")).select("_r", "_o")
+    own = F.sum("_n").over(Window.partitionBy("_r").orderBy(x))
+    return counts.join(F.broadcast(below), "_r").select(x, (F.col("_o") + own - (F.col("_n") - 1) / 2.0).alias("rank"))
