@@ -81,11 +81,10 @@ class Vocabulary:
                 done.append((np.array(ids, np.int32), np.full(len(ids), w)))
             rest = size[owner] <= HEAP_FROM
             symbols, owner = symbols[rest], owner[rest]
+        rank, at = self.ranks(symbols[:-1], symbols[1:])
+        rank, at = np.append(np.where(owner[1:] == owner[:-1], rank, NONE), NONE), np.append(at, 0)
         while len(symbols):
-            same = owner[1:] == owner[:-1]
-            rank, at = self.ranks(symbols[:-1], symbols[1:])
-            rank = np.append(np.where(same, rank, NONE), NONE)
-            begin = np.flatnonzero(np.append(True, ~same))
+            begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             lowest = np.minimum.reduceat(rank, begin)
             length = np.diff(np.append(begin, len(symbols)))
             lowest = np.repeat(lowest, length)
@@ -97,11 +96,16 @@ class Vocabulary:
             run = np.append(True, pick[1:] != pick[:-1] + 1)  # of one symbol repeated, every other pair
             since = np.arange(len(pick)) - np.flatnonzero(run)[np.cumsum(run) - 1]
             pick = pick[since % 2 == 0]
-            symbols = symbols.copy()
             symbols[pick] = self.made[at[pick]]
             keep = ~over
             keep[pick + 1] = False
-            symbols, owner = symbols[keep], owner[keep]
+            place = np.cumsum(keep)[pick] - 1
+            symbols, owner, rank, at = symbols[keep], owner[keep], rank[keep], at[keep]
+            left = np.concatenate((place, place[place > 0] - 1))  # only pairs beside a merged symbol have new ranks
+            rank[left] = NONE
+            left = left[left + 1 < len(symbols)]
+            left = left[owner[left] == owner[left + 1]]
+            rank[left], at[left] = self.ranks(symbols[left], symbols[left + 1])
         if not done:
             return np.zeros(0, np.int32), np.zeros(len(data), np.int64)
         ids, owner = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
