@@ -89,7 +89,8 @@ def global_rank(df: DataFrame, x: str, parts: int = 64) -> DataFrame:
     Values are dealt to ranges by approximate quantiles (at most parts doubles, on the driver); a
     range's own order and the counts of the ranges below give the exact rank.
     """
-    bounds = sorted(set(df.approxQuantile(x, [i / parts for i in range(1, parts)], 0.01)))
+    cuts = [i / parts for i in range(1, parts)]
+    bounds = sorted(set(df.agg(F.percentile_approx(x, cuts, 1000)).first()[0] or [])) if cuts else []
     at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(x))) if bounds else F.lit(0)
     counts = df.filter(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("_n")).withColumn("_r", at)
     totals = counts.groupBy("_r").agg(F.sum("_n").alias("_t"))  # parts rows at most

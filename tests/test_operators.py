@@ -54,6 +54,22 @@ def test_first_periods_skip_gaps(spark):
     assert pit.first_periods(df, ["e"], "y", "v", 3, through=2003).first()["total"] == 3.0
 
 
+def test_global_rank_is_the_average_rank_of_all_rows(spark):
+    values = [3.0, 1.0, 3.0, None, 2.0, 9.0, 9.0, 9.0, -4.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    want = pd.Series(values).rank()
+    for parts in (1, 3, 64):
+        got = {r["x"]: r["rank"] for r in stats.global_rank(df, "x", parts).collect()}
+        assert got == {v: r for v, r in zip(values, want, strict=True) if v is not None}
+    assert stats.global_rank(df.filter("x > 100"), "x").count() == 0
+
+
+def test_report_texts(spark):
+    df = spark.createDataFrame([(1.25, "a poor man's Ann Lee (raw) / Bo"), (None, "Ann and Bo"), (-2.0, None)], "x double, c string")
+    assert [r[0] for r in df.select(keys.signed("x")).collect()][1:] == ["—", "-2.0"]
+    assert [r[0] for r in df.select(keys.comparison("c")).collect()] == ["Ann Lee", "Ann", None]
+
+
 def test_islands(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate("AABC")], "y int, t string").withColumn("e", F.lit("p"))
     assert [r["island"] for r in windows.islands(df, "t", ["e"], F.col("y")).orderBy("y").collect()] == [0, 0, 1, 2]
