@@ -130,21 +130,21 @@ def pivot_search(k: int, scale: int = 1, pivots: int = 48, seed: int = 11) -> Se
             slack = 1e-6 * (qq + square) + 1.0  # rounding of the bound; scores are integers
             bound = (qq + square - low * low) / 2 + slack
             bound[ids == query_ids[i]] = -np.inf
-            best_s, best_v, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 8 * k
-            pending = None
-            while at < len(x):
-                if pending is None or at + step > len(pending):
-                    pending = np.argpartition(-bound, min(len(x) - 1, 4 * (at + step)))[: 4 * (at + step) + 1]
+            best_s, best_v, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 8 * k
+            rest, pending = np.flatnonzero(bound > -np.inf), np.zeros(0, np.int64)
+            while len(rest) or len(pending):
+                if not len(pending):  # the next best leave rest, so equal bounds are neither met twice nor passed over
+                    o = np.argpartition(-bound[rest], 4 * step) if 4 * step < len(rest) else np.arange(len(rest))
+                    pending, rest = rest[o[: 4 * step]], rest[o[4 * step :]]
                     pending = pending[np.argsort(-bound[pending], kind="stable")]
-                take = pending[at : at + step]
-                take = take[bound[take] > -np.inf]
-                if not len(take) or (len(best_s) == k and bound[take[0]] < best_s[-1]):
+                take, pending = pending[:step], pending[step:]
+                if len(best_s) == k and bound[take[0]] < best_s[-1]:
                     break
                 s = exact(x[take], q[i])
                 s, v = np.concatenate((best_s, s)), np.concatenate((best_v, ids[take]))
                 o = np.lexsort((v, -s))[:k]
                 best_s, best_v = s[o], v[o]
-                at, step = at + step, 2 * step
+                step = 2 * step
             found.append((best_v, best_s))
         return _kept(query_ids, found, np.int64)
 

@@ -267,6 +267,21 @@ def test_top_products(table):
     assert vectors.top_products(table.limit(0)).count() == 0
 
 
+def test_top_products_among_hundreds_of_copies():
+    for seed, n, copies in ((0, 1000, 400), (1, 4000, 700), (2, 4000, 3000)):
+        rng = np.random.default_rng(seed)
+        x = rng.standard_normal((n, 16))
+        x[rng.choice(n, copies, replace=False)] = x[0]
+        ids = rng.permutation(n)
+        q = np.concatenate((x[:1], x[0] + 0.01 * rng.standard_normal((3, 16))))
+        own = np.array([ids[0], -1, -2, -3])
+        a, b, s = vectors.pivot_search(10, 1024)(own, q, ids, x)
+        for i, y in zip(own, q, strict=True):
+            want = (np.floor(x * 1024) @ np.floor(y * 1024)).astype(np.int64)
+            best = [j for j in np.lexsort((ids, -want)) if ids[j] != i][:10]
+            assert (b[a == i].tolist(), s[a == i].tolist()) == (ids[best].tolist(), want[best].tolist())
+
+
 def test_nearest(table):
     rows = {i: np.array(v, float) for i, v in usable(table, False).items()}
     hit = total = 0
