@@ -38,11 +38,15 @@ def json_props_extract(spark, d):
 
 @book.query("SELECT event_id, user_id, event_type FROM events WHERE event_id % 50 = 0")
 def header_rowset_zip(spark, d):
-    """Documents of headers and rows, read by header name."""
-    e = table(spark, d, "events", ["event_id", "user_id", "event_type"]).filter("event_id % 50 = 0")
+    """Documents of headers and rows, read by header name. All events pass through them; the SQL's rows are taken last."""
+    doc = event_documents(table(spark, d, "events", ["event_id", "user_id", "event_type"]))
+    return doc.select(F.inline(readers.header_rows(F.col("doc"), {"EVENT_ID": "bigint", "USER_ID": "bigint", "EVENT_TYPE": "string"}))).filter("event_id % 50 = 0")
+
+
+def event_documents(e):
+    """(g, doc): one document for each stretch of 1,000 event ids, so that none grows with the table."""
     row = F.array(F.col("event_type"), F.col("event_id").cast("string"), F.col("user_id").cast("string"))
-    doc = e.groupBy((F.col("event_id") % 7).alias("g")).agg(F.to_json(F.struct(F.array(F.lit("EVENT_TYPE"), F.lit("EVENT_ID"), F.lit("USER_ID")).alias("headers"), F.collect_list(row).alias("rowSet"))).alias("doc"))
-    return doc.select(F.inline(readers.header_rows(F.col("doc"), {"EVENT_ID": "bigint", "USER_ID": "bigint", "EVENT_TYPE": "string"})))
+    return e.groupBy(F.floor(F.col("event_id") / 1000).alias("g")).agg(F.to_json(F.struct(F.array(F.lit("EVENT_TYPE"), F.lit("EVENT_ID"), F.lit("USER_ID")).alias("headers"), F.collect_list(row).alias("rowSet"))).alias("doc"))
 
 
 @book.query("""SELECT c_custkey, coalesce(a, b, c) AS value, CASE WHEN a IS NOT NULL THEN 'balance' WHEN b IS NOT NULL THEN 'nation' WHEN c IS NOT NULL THEN 'key' END AS source FROM

@@ -44,8 +44,10 @@ def header_rows(doc: Column, wanted: dict[str, str]) -> Column:
     """array<struct> of a document ``{"headers": [..], "rowSet": [[..], ..]}``; columns by header name."""
     headers = F.from_json(F.get_json_object(doc, "$.headers"), "array<string>")
     rows = F.from_json(F.get_json_object(doc, "$.rowSet"), "array<array<string>>")
-    pick = lambda r, h: F.get(r, F.array_position(headers, h).cast("int") - 1)
-    return F.transform(rows, lambda r: F.struct(*(pick(r, h).try_cast(t).alias(h.lower()) for h, t in wanted.items())))
+    pick = lambda p, r, h: F.get(r, F.array_position(p["headers"], h).cast("int") - 1)
+    read = lambda p: F.transform(p["rows"], lambda r: F.struct(*(pick(p, r, h).try_cast(t).alias(h.lower()) for h, t in wanted.items())))
+    # the parts are bound once, or else every cell would parse its whole document again
+    return F.get(F.transform(F.array(F.struct(headers.alias("headers"), rows.alias("rows"))), read), F.lit(0))
 
 
 #: What the Western code page has where Latin-1 has controls; five places are empty.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from orderloom.functions import keys, nulls, numbers
 from orderloom.operators import dedup, guards, labels, models, pit, rules, sampling, stats, windows
+from orderloom.plans import relational
 from orderloom.sources import html, readers, sinks
 from orderloom.streaming import events
 
@@ -216,3 +217,14 @@ def test_entry_and_queries_without_llm(spark, monkeypatch):
     monkeypatch.setattr(e, "_optional", lambda name: None)
     assert e.entry(spark).count() == 7
     assert not any(q.startswith("op") and q[2].isdigit() for q in e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_header_documents_hold_all_events_and_stay_small(spark, monkeypatch, tmp_path):
+    e = spark.range(20_500).select(F.col("id").alias("event_id"), (F.col("id") % 9).alias("user_id"), F.lit("view").alias("event_type"))
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    read, seen = readers.header_rows, []
+    monkeypatch.setattr(readers, "header_rows", lambda doc, wanted: seen.append(doc) or F.array(F.struct((50 * F.size(F.from_json(F.get_json_object(doc, "$.rowSet"), "array<array<string>>"))).cast("long").alias("event_id"))))
+    sizes = [r["event_id"] // 50 for r in relational.header_rowset_zip(spark, str(tmp_path)).collect()]
+    assert seen and sum(sizes) == 20_500 and max(sizes) <= 1000
+    monkeypatch.setattr(readers, "header_rows", read)
+    assert sorted(r["event_id"] for r in relational.header_rowset_zip(spark, str(tmp_path)).collect()) == list(range(0, 20_500, 50))
