@@ -6,11 +6,17 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.operators.guards import ban_columns
 
+#: Training vectors of a tile, and test vectors of a block: what a task and a broadcast hold at once.
+TILE = 1 << 12
+BLOCK = 1 << 14
+
 
 @dataclass(frozen=True)
 class Ridge:
@@ -73,20 +79,95 @@ def causal_scores(df: DataFrame, features: list[str], label: str, cohort: str, l
     return df.withColumn("score", score)
 
 
-def knn(train: DataFrame, test: DataFrame, vector: str, label: str, key: str, k: int = 5) -> DataFrame:
-    """(key, score): mean label of the nearest training vectors, weighted by nearness. train has a few thousand rows, which is checked."""
-    n = train.count()
-    if n > 20_000:
-        raise ValueError("too many training rows for an exact scan; sample them first")
+def knn(train: DataFrame, test: DataFrame, vector: str, label: str, key: str, k: int = 5, *, tile: int = TILE, block: int = BLOCK) -> DataFrame:
+    """(key, score): mean label of the nearest training vectors, weighted by nearness; exact for any number of rows.
+
+    Test vectors travel in blocks of bounded size; for each block one pass over train keeps every
+    tile's k nearest, and a window merges them. Rows with a null key, or a vector that is null,
+    empty or holds nulls, take no part; vectors meet those of their own length only.
+    """
     from pyspark.sql import Window
 
-    gap = F.sqrt(F.aggregate(F.zip_with(f"a.{vector}", f"b.{vector}", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    pairs = test.alias("a").join(F.broadcast(train.alias("b")), F.col(f"a.{key}") != F.col(f"b.{key}")).select(F.col(f"a.{key}").alias(key), F.col(f"b.{key}").alias("_o"), F.col(f"b.{label}").cast("double").alias("_y"), gap.alias("_d"))
+    spark = train.sparkSession
+    given = lambda d: d.filter(F.col(key).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull())).withColumn("_v", F.transform(vector, lambda x: x.cast("double")))
+    train, test = given(train).select(key, "_v", F.col(label).cast("double").alias("_y")), given(test).select(key, "_v")
+    kind = train.schema[key].dataType.simpleString()
+    blocks = max(1, -(-test.count() // block))
+    pairs: DataFrame | None = None
+    for i in range(blocks):
+        own = test.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == i).toArrow().combine_chunks()
+        sent = spark.sparkContext.broadcast(own)
+        part = train.mapInArrow(_nearest(sent, k, tile), f"`{key}` {test.schema[key].dataType.simpleString()}, _o {kind}, _y double, _d double")
+        pairs = part if pairs is None else pairs.unionByName(part)
     near = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_d", "_o"))).filter(F.col("_n") <= k)
     w = 1 / (F.col("_d") + 1e-9)
     return near.groupBy(key).agg((F.sum(w * F.col("_y")) / F.sum(w)).alias("score"))
 
 
+def _nearest(sent, k: int, tile: int):
+    """Batches of (key, vector, label) to each sent vector's k nearest of every tile, with exact distances."""
+
+    def matrices(column):
+        sizes = column.value_lengths().to_numpy()
+        flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+        for d in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == d)
+            yield d, rows, flat[(ends[rows] - d)[:, None] + np.arange(d)]
+
+    def tiles(batches):
+        held, n = [], 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, tile):
+                held.append(batch.slice(lo, tile))
+                n += held[-1].num_rows
+                if n >= tile:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held, n = [], 0
+        if n:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def search(q, own, x, codes):
+        """(rows of q, rows of x, distances); rows of x are in the order of their keys."""
+        xx = (x * x).sum(axis=1)
+        for lo in range(0, len(q), 256):
+            some = q[lo : lo + 256]
+            square = (some * some).sum(axis=1)[:, None] + xx - 2 * some @ x.T
+            square[own[lo : lo + 256, None] == codes] = np.inf
+            # rounding of the expanded square: what may be among the k nearest is measured exactly
+            last = np.partition(square, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+            far = square > (last + 1e-9 * ((some * some).sum(axis=1) + xx.max()))[:, None]
+            for i in range(len(some)):
+                j = np.flatnonzero(~far[i] & (codes != own[lo + i]))
+                gap = x[j] - some[i]
+                d = np.sqrt(np.cumsum(gap * gap, axis=1)[:, -1])
+                o = np.argsort(d, kind="stable")[:k]
+                yield np.full(len(o), lo + i), j[o], d[o]
+
+    def work(batches):
+        asked = sent.value
+        ids = asked.column(0).combine_chunks() if asked.num_rows else None
+        if ids is None:
+            return
+        by_length = {d: (rows, q) for d, rows, q in matrices(asked.column(1).combine_chunks())}
+        values = pc.unique(ids)
+        own = pc.index_in(ids, values).to_numpy(zero_copy_only=False)
+        for held in tiles(batches):
+            held = held.take(pc.sort_indices(held.column(0))).combine_chunks()
+            keys, labels = held.column(0).combine_chunks(), held.column(2).combine_chunks()
+            codes = pc.fill_null(pc.index_in(keys, values), -1).to_numpy(zero_copy_only=False)
+            for d, rows, x in matrices(held.column(1).combine_chunks()):
+                if d not in by_length:
+                    continue
+                mine, q = by_length[d]
+                for lo in range(0, len(q), 1024):  # bounded batches out
+                    found = list(search(q[lo : lo + 1024], own[mine[lo : lo + 1024]], x, codes[rows]))
+                    a, b, s = (np.concatenate([f[c] for f in found]) for c in range(3))
+                    at = pa.array(rows[b])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(mine[lo + a])), keys.take(at), labels.take(at), pa.array(s)], [asked.column_names[0], "_o", "_y", "_d"])
+
+    return work
+
+
 #: Families by name; each takes (train, test, features, label) and returns test with a column ``score``.
 FAMILIES: dict[str, Callable[[DataFrame, DataFrame, list[str], str], DataFrame]] = {}
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -228,3 +229,18 @@ def test_header_documents_hold_all_events_and_stay_small(spark, monkeypatch, tmp
     assert seen and sum(sizes) == 20_500 and max(sizes) <= 1000
     monkeypatch.setattr(readers, "header_rows", read)
     assert sorted(r["event_id"] for r in relational.header_rowset_zip(spark, str(tmp_path)).collect()) == list(range(0, 20_500, 50))
+
+
+def test_knn_scans_any_number_of_training_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((20_600, 4)).round(1)  # many equal vectors and distances
+    rows = [(i, v, i % 3) for i, v in enumerate(x.tolist())] + [(30_000, None, 1), (30_001, [1.0], 1), (30_002, [None] * 4, 1)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, y int").repartition(3)
+    for how in ({}, {"tile": 700, "block": 9}):
+        got = {r["id"]: r["score"] for r in models.knn(df, df.filter("id % 1000 = 0"), "v", "y", "id", **how).collect()}
+        assert set(got) == set(range(0, 20_600, 1000))
+        for i in got:
+            d = np.sqrt(((x - x[i]) ** 2).cumsum(axis=1)[:, -1])
+            near = [j for j in np.argsort(d, kind="stable") if j != i][:5]
+            w = 1 / (d[near] + 1e-9)
+            assert got[i] == pytest.approx(float((w * (np.array(near) % 3)).sum() / w.sum()))
