@@ -10,9 +10,10 @@ probability. Scoring runs forward-backward over every whole text. A token withou
 feature has one and the same potential, so a stretch of such tokens is one power of a 2 x 2
 matrix: the marginals are exact, and the work per text follows the marked tokens.
 
-Labels, language, source and doc_id are never inputs of a score. What executors get is the
-marked features, at most ``most_features``; the fit itself reads at most ``most_docs`` training
-rows (documented bounds); counts cover all training rows.
+Labels, language, source and doc_id are never inputs of a score. What executors get is all
+marked features, however many; while contexts are counted, ``at_once`` of them in each pass. The
+fit itself reads at most ``most_docs`` training rows (a documented bound); counts cover all
+training rows.
 
 Defined cases: null and word-less texts get the score of a text without toxic tokens; rows
 with a null label or doc_id do not train; conflicting repeated labels all count; with no
@@ -183,7 +184,7 @@ def _context_counts(rows: DataFrame, wanted: frozenset[str]) -> DataFrame:
     return made.groupBy("feature").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most_docs: int = 20_000, most_features: int = 5_000, least_docs: int = 3, least_odds: float = 1.5, rounds: int = 300) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, most_docs: int = 20_000, at_once: int = 50_000, least_docs: int = 3, least_odds: float = 1.5, rounds: int = 300) -> Model:
     """Train on labelled documents outside fold 0."""
     spark = docs.sparkSession
     scratch.ship(spark)
@@ -202,10 +203,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_docs: int = 20_000, most_fea
     ratio = 2 * (t * F.log(t / ((t + c) * share_bad)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share_bad)))).otherwise(0.0))
     sure = (t / (t + c) > max(0.6, min(0.95, 3 * share_bad))) & (ratio > 2 * math.log(n_tested) + 4)
     marked = counts.withColumn("odds", odds).filter(sure & (F.col("odds") > least_odds))
-    likely = marked.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "feature").limit(most_features).select("feature").collect()
+    marked = scratch.stash(marked.select("feature"), "marked")
+    passes = max(1, -(-marked.count() // at_once))
     # copies of one text are no further evidence: what counts in the end are distinct pairs of neighbours
-    told = _context_counts(rows, frozenset(r["feature"] for r in likely))
-    ranked = told.withColumn("odds", odds).filter(sure & (F.col("odds") > least_odds) & (t >= least_docs)).collect()
+    ranked = []
+    for i in range(passes):  # every marked feature is told apart from copies; one pass over the rows for each part of them
+        part = marked.filter(F.pmod(F.xxhash64("feature"), F.lit(passes)) == i).collect()
+        told = _context_counts(rows, frozenset(r["feature"] for r in part))
+        ranked += told.withColumn("odds", odds).filter(sure & (F.col("odds") > least_odds) & (t >= least_docs)).collect()
     model = Model({r["feature"]: float(r["odds"]) for r in ranked}, prior=prior)
     if not model.odds:
         return model

@@ -388,6 +388,25 @@ def test_toxicity(labelled):
     assert kept == {i for i, r in got.items() if r["score"] < 0.5}
 
 
+def test_toxicity_terms_are_not_pushed_out_by_copies(spark):
+    rnd = random.Random(6)
+    plain = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
+    rare = sorted({"".join(rnd.choice("hjklmnpqrstvwxyz") for _ in range(8)) for _ in range(2500)})
+    copy = " ".join(rare)
+    rows = []
+    for i in range(500):
+        words = [rnd.choice(plain) for _ in range(30)]
+        if i % 25 == 5:
+            words.insert(rnd.randrange(30), "vile")
+        rows.append((i, copy if i % 5 == 0 and i % 25 != 5 else " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(500)], "doc_id long, toxic int")
+    whole = toxicity.fit(docs, labels)
+    assert set(whole.odds) == {"vile"}
+    assert toxicity.score_text(whole, rows[5][1], {})[0] >= 0.5
+    assert toxicity.fit(docs, labels, at_once=3000).odds == whole.odds
+
+
 def test_toxicity_without_both_classes(labelled):
     docs, labels = labelled
     for some in (labels.limit(0), labels.filter("toxic = 0")):
