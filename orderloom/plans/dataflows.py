@@ -393,7 +393,7 @@ def expected_bin(spark, d):
 g AS (SELECT conv_id, turn, rid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), c AS (SELECT conv_id, turn, rid, term, 1 + ln(count(*)) AS tf FROM g GROUP BY ALL),
 f AS (SELECT term, ln((1 + (SELECT count(*) FROM conversations)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY 1) SELECT conv_id, turn, count(*) AS terms, round(sqrt(sum(tf * idf * tf * idf)), 4) AS norm FROM c JOIN f USING (term) GROUP BY conv_id, turn, rid""")
 def tfidf_norms(spark, d):
-    """Weights of one and two words with damped counts; here each text's length under them."""
+    """Weights of one and two words with damped counts, as M11 starts from; each text's length under them, no model."""
     c = table(spark, d, "conversations", ["conv_id", "turn", "text"]).withColumn("rid", F.monotonically_increasing_id())
     w = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda x: x != "")
     two = F.transform(F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get("w", i), x))
