@@ -114,16 +114,17 @@ def chunks(sizes: list[int], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word (runs of other than ASCII white space), and its text's index."""
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text index, start, end) of each word (runs of other than ASCII white space) of the texts joined by a line end."""
     buf = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     if not len(buf):
-        return np.zeros(0, U), np.zeros(0, np.int64)
+        z = np.zeros(0, np.int64)
+        return np.zeros(0, U), z, z, z
     word = np.concatenate(([False], ~SPACE[buf], [False]))
     edges = np.flatnonzero(word[1:] != word[:-1])
     start, end = edges[0::2], edges[1::2]
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    return Rolling(_BYTE[buf]).of(start, end), np.searchsorted(ends, start, side="right")
+    return Rolling(_BYTE[buf]).of(start, end), np.searchsorted(ends, start, side="right"), start, end
 
 
 # -- pre-tokens of the byte-level vocabulary ------------------------------------------------
@@ -161,8 +162,8 @@ def _char_values() -> np.ndarray:
     return mix(np.arange(1, 0x110001, dtype=U) * U(0xA0761D6478BD642F))
 
 
-def pretokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, str]:
-    """(start, end, hash, text index, joined text) of all pre-tokens of some texts.
+def pretokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, str, np.ndarray]:
+    """(start, end, hash, text index, joined text, its code points) of all pre-tokens of some texts.
 
     The rule: an optional blank and a run of letters, of numbers or of other characters; an
     apostrophe that starts such a run takes a listed ending along; of white space, the last
@@ -174,7 +175,7 @@ def pretokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
     if not n:
         z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, U), z, joined
+        return z, z, np.zeros(0, U), z, joined, cp
     kind = char_classes()[cp]
     first = np.zeros(n + 1, bool)  # first characters of texts
     first[0] = True
@@ -199,7 +200,7 @@ def pretokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     cut[n] = True
     edges = np.flatnonzero(cut)
     start, end = edges[:-1], edges[1:]
-    return start, end, Rolling(_char_values()[cp]).of(start, end), np.searchsorted(ends, start, side="right"), joined
+    return start, end, Rolling(_char_values()[cp]).of(start, end), np.searchsorted(ends, start, side="right"), joined, cp
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -217,14 +218,19 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class PieceCache:
-    """Ids of distinct pre-tokens, held in flat sorted arrays of bounded size."""
+    """Ids of distinct pre-tokens, held in flat arrays of bounded size.
+
+    A hash only finds the place: every occurrence is compared with the held pre-token character
+    by character, and those that differ (texts can be made to collide) are encoded by themselves.
+    """
 
-    def __init__(self, encode, most: int = 1 << 20):
-        self.encode, self.most = encode, most
+    def __init__(self, encode, most: int = 1 << 20, most_chars: int = 1 << 24):
+        self.encode, self.most, self.most_chars = encode, most, most_chars
         self._clear()
 
     def _clear(self) -> None:
         self.keys, self.at, self.n, self.ids = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.chars, self.place, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i = np.searchsorted(self.keys, keys)
@@ -233,28 +239,59 @@ class PieceCache:
         hit[inside] = self.keys[i[inside]] == keys[inside]
         return i, hit
 
+    def _add(self, keys: np.ndarray, start: np.ndarray, end: np.ndarray, cp: np.ndarray, joined: str) -> None:
+        flat, n = self.encode([joined[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)])
+        size = end - start
+        keys = np.concatenate((self.keys, keys))
+        at = np.concatenate((self.at, len(self.ids) + np.cumsum(n) - n))
+        place = np.concatenate((self.place, len(self.chars) + np.cumsum(size) - size))
+        n, size = np.concatenate((self.n, n)), np.concatenate((self.size, size))
+        self.ids = np.concatenate((self.ids, flat))
+        self.chars = np.concatenate((self.chars, cp[ragged(start, end - start)]))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at, self.n, self.place, self.size = (x[order] for x in (keys, at, n, place, size))
+
     def look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
-        start, end, key, text, joined = pretokens(texts)
+        start, end, key, text, joined, cp = pretokens(texts)
         distinct, where, inverse_ = np.unique(key, return_index=True, return_inverse=True)
         _, hit = self._find(distinct)
         if not hit.all():
-            if len(self.keys) > self.most:
+            if len(self.keys) > self.most or len(self.chars) > self.most_chars:
                 self._clear()
                 hit[:] = False
             new = np.flatnonzero(~hit)
-            a, b = start[where[new]].tolist(), end[where[new]].tolist()
-            flat, n = self.encode([joined[i:j] for i, j in zip(a, b, strict=True)])
-            keys = np.concatenate((self.keys, distinct[new]))
-            at = np.concatenate((self.at, len(self.ids) + np.cumsum(n) - n))
-            n = np.concatenate((self.n, n))
-            self.ids = np.concatenate((self.ids, flat))
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.at, self.n = keys[order], at[order], n[order]
+            self._add(distinct[new], start[where[new]], end[where[new]], cp, joined)
         i, _ = self._find(distinct)
-        at, n = self.at[i][inverse_], self.n[i][inverse_]
+        slot = i[inverse_]
+        at, n, ids = self.at[slot], self.n[slot], self.ids
+        odd = self._differ(slot, start, end, cp)
+        if len(odd):
+            words = [joined[a:b] for a, b in zip(start[odd].tolist(), end[odd].tolist(), strict=True)]
+            number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+            flat, m = self.encode(list(number))
+            own = np.fromiter((number[w] for w in words), np.int64, len(words))
+            at[odd], n[odd] = len(ids) + (np.cumsum(m) - m)[own], m[own]
+            ids = np.concatenate((ids, flat))
         counts = np.bincount(text, weights=n, minlength=len(texts)).astype(np.int64)
-        return self.ids[ragged(at, n)], counts
+        return ids[ragged(at, n)], counts
+
+    def _differ(self, slot: np.ndarray, start: np.ndarray, end: np.ndarray, cp: np.ndarray) -> np.ndarray:
+        """Occurrences whose characters are not those of the pre-token held under their hash."""
+        size = end - start
+        short = self.size[slot] != size
+        if not len(slot):
+            return np.zeros(0, np.int64)
+        if short.any():
+            like = np.flatnonzero(~short)
+            mine, theirs = cp[ragged(start[like], size[like])], self.chars[ragged(self.place[slot[like]], size[like])]
+            begin = np.cumsum(size[like]) - size[like]
+            bad = short.copy()
+            if len(like):
+                bad[like] = np.logical_or.reduceat(mine != theirs, begin)
+            return np.flatnonzero(bad)
+        other = cp != self.chars[ragged(self.place[slot], size)]  # pre-tokens cover the texts without gaps
+        return np.flatnonzero(np.logical_or.reduceat(other, start)) if other.any() else np.zeros(0, np.int64)
 
 
 def split_special(texts: list[str], special: str) -> tuple[list[str], np.ndarray, np.ndarray]:

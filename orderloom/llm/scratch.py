@@ -13,7 +13,9 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: dict[str, list[str]] = {}
 _shipped: set[str] = set()
@@ -53,6 +55,38 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with underscores behind it as long as a column of df has it (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(df: DataFrame) -> list[Column]:
+    """The columns of df by their names, whatever characters these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """df with columns named by position: functions over Arrow batches are given columns by name, which names with dots break."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a row id that reading it again does not change: file and row number of a table in files.
+
+    Anything else is written to the shared folder first.
+    """
+    try:
+        return df.withColumn(name, F.struct("_metadata.file_path", "_metadata.row_index"))
+    except AnalysisException:
+        return numbered(stash(df, "rows"), name)
+
+
 def sweep(spark: SparkSession) -> None:
     """Let Spark delete shuffle files that no live DataFrame refers to."""
     gc.collect()

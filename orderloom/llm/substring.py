@@ -6,19 +6,22 @@ share the occurrence of their least inner gram (the minimizer, chosen by content
 and equal windows always lie in paths of equal minimizer. The steps:
 
 1. minimizers that occur once have no repeated edge; a count and a semi join drop their paths;
-2. of equal paths (same minimizer and content hash) the earliest source coordinate stands;
+2. of equal paths (same minimizer and same words) the earliest source coordinate stands;
 3. a minimizer with one distinct path does not branch: the whole path repeats as a unit;
 4. paths of branching minimizers, one for each content, are expanded to edges; of equal edges
-   (128-bit hashes) the earliest coordinate stands;
+   the earliest coordinate stands;
 5. back at each document, source coordinates decide: a window of a repeated path is removed
    unless it stands by step 3 or 4, and the words that removed windows cover go.
 
-Rows that move are paths and coordinates; text moves twice, by document. Hot passages are met
-by partial aggregates and by joins that adaptive execution can split.
+Rolling hashes only choose minimizers, where a collision makes a path branch and costs time.
+What is equal is told by 128-bit BLAKE2b digests of the words themselves, read at the coordinates
+of the path or edge. Rows that move are paths and coordinates; text moves twice, by document.
+Hot passages are met by partial aggregates and by joins that adaptive execution can split.
 
 Defined cases: null texts have no words; texts below the window keep all words; documents
-with a null doc_id count as the smallest id; repeated rows of one doc_id are one document and
-all get its result; no rows give no rows; other columns do not matter.
+with a null doc_id count as the smallest id; rows that repeat a doc_id and its text are one
+document and all get its result; rows that share a doc_id and differ in text are documents of
+their own, in the order of their texts' SHA-256; no rows give no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm import arrays, scratch
@@ -43,8 +46,24 @@ def _inner(window: int) -> tuple[int, int]:
     return gram, window - gram + 1
 
 
+class Words:
+    """Words of some texts in one buffer, set apart by one blank each."""
+
+    def __init__(self, texts: list[bytes]):
+        parts = [b" ".join(t.split()) for t in texts]
+        self.buffer = b"\n".join(parts)
+        self.hashes, self.text, self.start, self.end = arrays.word_hashes(parts)
+
+    def digests(self, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two halves of the digest of each run of words [first, stop)."""
+        buffer, blake = self.buffer, hashlib.blake2b
+        spans = zip(self.start[first].tolist(), self.end[stop - 1].tolist(), strict=True)
+        flat = np.frombuffer(b"".join([blake(buffer[a:b], digest_size=16).digest() for a, b in spans]), np.int64).reshape(-1, 2)
+        return flat[:, 0], flat[:, 1]
+
+
 def _paths(words: np.ndarray, text: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(minimizer, content hash, text, first word, windows) of the paths of some texts' word hashes."""
+    """(minimizer, text, first word of all, first word in the text, windows) of the paths of some texts' word hashes."""
     gram, grams = _inner(window)
     begins = np.searchsorted(text, text)  # index of the first word of each word's text
     most = (1 << POSITIONS) - window
@@ -54,8 +73,7 @@ def _paths(words: np.ndarray, text: np.ndarray, window: int) -> Iterator[tuple[n
         if n <= 0:
             continue
         w, t = words[lo:hi], text[lo:hi]
-        small = arrays.Rolling(w)
-        g = small.grams(gram)
+        g = arrays.Rolling(w).grams(gram)
         bits = np.uint64(POSITIONS)
         least = arrays.sliding_min(g >> bits << bits | np.arange(len(g), dtype=np.uint64), grams)
         at = (least & np.uint64((1 << POSITIONS) - 1)).astype(np.int64)
@@ -66,23 +84,38 @@ def _paths(words: np.ndarray, text: np.ndarray, window: int) -> Iterator[tuple[n
         if not len(first):
             continue
         stop = np.flatnonzero(ok & np.append(new[1:] | ~ok[1:], True)) + 1
-        content = arrays.Rolling(w, arrays.BASE2).of(first, stop + window - 1) ^ (stop - first).astype(np.uint64)
-        yield g[at[first]], content, t[first], first + lo - begins[first + lo], stop - first
+        yield g[at[first]], t[first], first + lo, first + lo - begins[first + lo], stop - first
+
+
+def minimizers(docs: DataFrame, window: int) -> DataFrame:
+    """(m): the minimizer of every path."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = arrays.raw_bytes(batch.column(0))
+            for lo, hi in arrays.chunks([len(t) for t in texts]):
+                words, text, _, _ = arrays.word_hashes(texts[lo:hi])
+                for m, *_ in _paths(words, text, window):
+                    yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64))], ["m"])
+
+    return docs.select("text").mapInArrow(arrays.tidy(work), "m long")
 
 
 def paths(docs: DataFrame, window: int) -> DataFrame:
-    """(m, s, doc_id, at): at holds the first word's index and, in 8 bits, the number of windows."""
+    """(m, s1, s2, doc_id, at): at holds the first word's index and, in 8 bits, the number of windows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = arrays.raw_bytes(batch.column(1))
             for lo, hi in arrays.chunks([len(t) for t in texts]):
-                for m, s, t, first, n in _paths(*arrays.word_hashes(texts[lo:hi]), window):
+                words = Words(texts[lo:hi])
+                for m, t, begin, first, n in _paths(words.hashes, words.text, window):
+                    s1, s2 = words.digests(begin, begin + n + window - 1)
                     ids = batch.column(0).take(pa.array(t + lo))
-                    yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(s.view(np.int64)), ids, pa.array(first << 8 | n)], ["m", "s", "doc_id", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(s1), pa.array(s2), ids, pa.array(first << 8 | n)], ["m", "s1", "s2", "doc_id", "at"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(arrays.tidy(work), f"m long, s long, doc_id {kind}, at long")
+    return docs.select("doc_id", "text").mapInArrow(arrays.tidy(work), f"m long, s1 long, s2 long, doc_id {kind}, at long")
 
 
 def _edges(docs: DataFrame, window: int) -> DataFrame:
@@ -92,14 +125,14 @@ def _edges(docs: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             texts = arrays.raw_bytes(batch.column(1))
             for lo, hi in arrays.chunks([len(t) for t in texts]):
-                words, text = arrays.word_hashes(texts[lo:hi])
+                words = Words(texts[lo:hi])
                 lists = batch.column(2).slice(lo, hi - lo)
                 packed = lists.flatten().to_numpy()
                 owner = np.repeat(np.arange(hi - lo), lists.value_lengths().to_numpy())
                 first, n = packed >> 8, packed & 255
-                at = arrays.ragged(np.searchsorted(text, owner) + first, n)
+                at = arrays.ragged(np.searchsorted(words.text, owner) + first, n)
                 where = arrays.ragged(first, n)
-                h1, h2 = (arrays.Rolling(words, b).of(at, at + window).view(np.int64) for b in (arrays.BASE, arrays.BASE2))
+                h1, h2 = words.digests(at, at + window)
                 ids = batch.column(0).take(pa.array(np.repeat(owner, n) + lo))
                 yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), ids, pa.array(where)], ["h1", "h2", "doc_id", "at"])
 
@@ -124,21 +157,29 @@ def covered(n_words: int, packed: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(edge[:n_words]) > 0
 
 
+def identity(docs: DataFrame) -> Column:
+    """What tells documents apart: doc_id, and where some rows share one, 120 bits of the text's SHA-256 too."""
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return F.col("doc_id")
+    text = F.sha2(F.coalesce("text", F.lit("")), 256)
+    part = lambda at: F.conv(F.substring(text, at, 15), 16, 10).cast("long")
+    return F.struct("doc_id", part(1).alias("t1"), part(16).alias("t2"))
+
+
 def repeats(docs: DataFrame, *, window: int = 20) -> DataFrame:
     """(doc_id, packed): for each document with repeated paths, what goes and what stands."""
     spark = docs.sparkSession
     if not 2 <= window <= 250:
         raise ValueError("window is from 2 to 250 words")
     scratch.ship(spark)
-    every = paths(docs, window)
     # written out, so that the joins below meet plain shuffles, whose hot partitions adaptive execution can split
-    often = scratch.stash(every.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m"), "often")
+    often = scratch.stash(minimizers(docs, window).groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m"), "often")
     scratch.sweep(spark)
-    found = scratch.stash(every.join(often, "m", "left_semi"), "paths")
+    found = scratch.stash(paths(docs, window).join(often, "m", "left_semi"), "paths")
     scratch.sweep(spark)
     place = F.struct("doc_id", "at")
-    # equal paths have equal lengths, so the content hash fixes the number of windows
-    earliest = scratch.stash(found.groupBy("m", "s").agg(F.min(place).alias("o")).select("m", "s", "o.doc_id", "o.at"), "earliest")
+    # equal paths have equal lengths, so the digest fixes the number of windows
+    earliest = scratch.stash(found.groupBy("m", "s1", "s2").agg(F.min(place).alias("o")).select("m", "o.doc_id", "o.at"), "earliest")
     branching = scratch.stash(earliest.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m"), "branching")
     straight = earliest.join(branching, "m", "left_anti").select("doc_id", "at")
     forks = earliest.join(branching, "m", "left_semi").groupBy("doc_id").agg(F.collect_list("at").alias("paths"))
@@ -153,9 +194,9 @@ def repeats(docs: DataFrame, *, window: int = 20) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, *, window: int = 20, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]) of every document."""
-    spans = repeats(docs, window=window).withColumnRenamed("doc_id", "of")
-    own = docs.select("doc_id", "text")
-    joined = own.join(spans, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "packed")
+    own = docs.select(identity(docs).alias("key"), "doc_id", "text")
+    spans = repeats(own.select(F.col("key").alias("doc_id"), "text"), window=window).withColumnRenamed("doc_id", "of")
+    joined = own.join(spans, F.col("key").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "packed")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,10 +226,12 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, with_text: bool = False
 def strip_repeats(docs: DataFrame, *, window: int = 20) -> DataFrame:
     """docs with repeated spans cut from text (the kept words joined by one blank) and n_chars set anew.
 
-    Texts that lose nothing stay byte for byte. doc_id is unique.
+    Texts that lose nothing stay byte for byte, and every row stays a row.
     """
-    spans = repeats(docs, window=window).withColumnRenamed("doc_id", "of")
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("of")), "left").select(*docs.columns, "packed")
+    key, of, packed_ = scratch.unused(docs, "key", "of", "packed")
+    own = docs.withColumn(key, identity(docs))
+    spans = repeats(own.select(F.col(key).alias("doc_id"), "text"), window=window).withColumnsRenamed({"doc_id": of, "packed": packed_})
+    joined = own.join(spans, F.col(key).eqNullSafe(F.col(of)), "left").select(*scratch.named(docs), packed_)
     at = {c: i for i, c in enumerate(docs.columns)}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,4 +252,4 @@ def strip_repeats(docs: DataFrame, *, window: int = 20) -> DataFrame:
                 cols[at["n_chars"]] = pa.array(sizes, batch.schema.field(at["n_chars"]).type)
             yield pa.RecordBatch.from_arrays(cols, list(at))
 
-    return joined.mapInArrow(arrays.tidy(work), docs.schema)
+    return scratch.positional(joined).mapInArrow(arrays.tidy(work), docs.schema)

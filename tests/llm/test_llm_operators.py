@@ -79,7 +79,7 @@ def test_substring_null_and_repeated_ids(spark):
 
 def test_paths_of_long_stretches_are_cut_alike(monkeypatch):
     raw = [" ".join(str(i * i % 97) for i in range(3000)).encode()]
-    words, text = arrays.word_hashes(raw)
+    words, text, _, _ = arrays.word_hashes(raw)
     monkeypatch.setattr(substring, "POSITIONS", 9)
     n = sum(int(k.sum()) for *_, k in substring._paths(words, text, 20))
     assert n == 3000 - 19
