@@ -11,6 +11,7 @@ import ctypes
 import functools
 import unicodedata
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -162,8 +163,8 @@ def _char_values() -> np.ndarray:
     return mix(np.arange(1, 0x110001, dtype=U) * U(0xA0761D6478BD642F))
 
 
-def pretokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, str, np.ndarray]:
-    """(start, end, hash, text index, joined text, its code points) of all pre-tokens of some texts.
+def pretokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash, text index, code points of the joined texts) of all pre-tokens of some texts.
 
     The rule: an optional blank and a run of letters, of numbers or of other characters; an
     apostrophe that starts such a run takes a listed ending along; of white space, the last
@@ -175,7 +176,7 @@ def pretokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
     if not n:
         z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, U), z, joined, cp
+        return z, z, np.zeros(0, U), z, cp
     kind = char_classes()[cp]
     first = np.zeros(n + 1, bool)  # first characters of texts
     first[0] = True
@@ -200,7 +201,43 @@ def pretokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     cut[n] = True
     edges = np.flatnonzero(cut)
     start, end = edges[:-1], edges[1:]
-    return start, end, Rolling(_char_values()[cp]).of(start, end), np.searchsorted(ends, start, side="right"), joined, cp
+    return start, end, Rolling(_char_values()[cp]).of(start, end), np.searchsorted(ends, start, side="right"), cp
+
+
+@functools.lru_cache(1)
+def lower_case() -> np.ndarray:
+    """The lower-case code point of each code point that has a single one, else itself."""
+    out = np.arange(0x110000, dtype=np.uint32)
+    for cp in range(0x110000):
+        if len(low := chr(cp).lower()) == 1:
+            out[cp] = ord(low)
+    return out
+
+
+@dataclass
+class LetterRuns:
+    """Runs of letters of some texts, lower-cased one code point for one, so that offsets are the text's own."""
+
+    cp: np.ndarray  # of the texts as they are, each followed by a line end
+    low: np.ndarray  # the same in lower case
+    start: np.ndarray  # of each run in cp
+    end: np.ndarray
+    key: np.ndarray  # a hash of each run
+    text: np.ndarray  # index of each run's text
+    first: np.ndarray  # where each text starts in cp
+
+
+def letter_runs(texts: list[str]) -> LetterRuns:
+    joined = "\n".join([*texts, ""])
+    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    first = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    first = np.append(0, first)
+    low = lower_case()[cp]
+    letter = np.concatenate(([False], char_classes()[cp] == LETTER, [False]))
+    edges = np.flatnonzero(letter[1:] != letter[:-1])
+    start, end = edges[0::2], edges[1::2]
+    key = Rolling(_char_values()[low]).of(start, end) if len(cp) else np.zeros(0, U)
+    return LetterRuns(cp, low, start, end, key, np.searchsorted(first, start, side="right") - 1, first[:-1])
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -217,14 +254,15 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(step)
 
 
-class PieceCache:
-    """Ids of distinct pre-tokens, held in flat arrays of bounded size.
+class SpanCache:
+    """What ``encode`` says of distinct words, held in flat arrays of bounded size.
 
-    A hash only finds the place: every occurrence is compared with the held pre-token character
-    by character, and those that differ (texts can be made to collide) are encoded by themselves.
+    A hash only finds the place: every occurrence is compared with the held word character by
+    character, and those that differ (texts can be made to collide) are encoded by themselves.
+    encode: of some words, (ids of all in a row, number of ids of each).
     """
 
-    def __init__(self, encode, most: int = 1 << 20, most_chars: int = 1 << 24):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1 << 20, most_chars: int = 1 << 24):
         self.encode, self.most, self.most_chars = encode, most, most_chars
         self._clear()
 
@@ -239,8 +277,8 @@ class PieceCache:
         hit[inside] = self.keys[i[inside]] == keys[inside]
         return i, hit
 
-    def _add(self, keys: np.ndarray, start: np.ndarray, end: np.ndarray, cp: np.ndarray, joined: str) -> None:
-        flat, n = self.encode([joined[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)])
+    def _add(self, keys: np.ndarray, start: np.ndarray, end: np.ndarray, cp: np.ndarray) -> None:
+        flat, n = self.encode(strings(cp, start, end))
         size = end - start
         keys = np.concatenate((self.keys, keys))
         at = np.concatenate((self.at, len(self.ids) + np.cumsum(n) - n))
@@ -251,9 +289,8 @@ class PieceCache:
         order = np.argsort(keys, kind="stable")
         self.keys, self.at, self.n, self.place, self.size = (x[order] for x in (keys, at, n, place, size))
 
-    def look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of ids of each text)."""
-        start, end, key, text, joined, cp = pretokens(texts)
+    def spans(self, start: np.ndarray, end: np.ndarray, key: np.ndarray, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(at, n, ids): the ids of the word cp[start:end] are ids[at : at + n]. key: a hash of each word."""
         distinct, where, inverse_ = np.unique(key, return_index=True, return_inverse=True)
         _, hit = self._find(distinct)
         if not hit.all():
@@ -261,37 +298,47 @@ class PieceCache:
                 self._clear()
                 hit[:] = False
             new = np.flatnonzero(~hit)
-            self._add(distinct[new], start[where[new]], end[where[new]], cp, joined)
+            self._add(distinct[new], start[where[new]], end[where[new]], cp)
         i, _ = self._find(distinct)
         slot = i[inverse_]
         at, n, ids = self.at[slot], self.n[slot], self.ids
-        odd = self._differ(slot, start, end, cp)
+        odd = self._differ(slot, start, end - start, cp)
         if len(odd):
-            words = [joined[a:b] for a, b in zip(start[odd].tolist(), end[odd].tolist(), strict=True)]
+            words = strings(cp, start[odd], end[odd])
             number = {w: k for k, w in enumerate(dict.fromkeys(words))}
             flat, m = self.encode(list(number))
             own = np.fromiter((number[w] for w in words), np.int64, len(words))
             at[odd], n[odd] = len(ids) + (np.cumsum(m) - m)[own], m[own]
             ids = np.concatenate((ids, flat))
+        return at, n, ids
+
+    def _differ(self, slot: np.ndarray, start: np.ndarray, size: np.ndarray, cp: np.ndarray) -> np.ndarray:
+        """Occurrences whose characters are not those of the word held under their hash."""
+        bad = self.size[slot] != size
+        like = np.flatnonzero(~bad)
+        if len(like):
+            other = cp[ragged(start[like], size[like])] != self.chars[ragged(self.place[slot[like]], size[like])]
+            if other.any():
+                bad[like] = np.logical_or.reduceat(other, np.cumsum(size[like]) - size[like])
+        return np.flatnonzero(bad)
+
+
+class PieceCache(SpanCache):
+    """The same for pre-tokens of whole texts."""
+
+    def look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each text)."""
+        start, end, key, text, cp = pretokens(texts)
+        at, n, ids = self.spans(start, end, key, cp)
         counts = np.bincount(text, weights=n, minlength=len(texts)).astype(np.int64)
         return ids[ragged(at, n)], counts
 
-    def _differ(self, slot: np.ndarray, start: np.ndarray, end: np.ndarray, cp: np.ndarray) -> np.ndarray:
-        """Occurrences whose characters are not those of the pre-token held under their hash."""
-        size = end - start
-        short = self.size[slot] != size
-        if not len(slot):
-            return np.zeros(0, np.int64)
-        if short.any():
-            like = np.flatnonzero(~short)
-            mine, theirs = cp[ragged(start[like], size[like])], self.chars[ragged(self.place[slot[like]], size[like])]
-            begin = np.cumsum(size[like]) - size[like]
-            bad = short.copy()
-            if len(like):
-                bad[like] = np.logical_or.reduceat(mine != theirs, begin)
-            return np.flatnonzero(bad)
-        other = cp != self.chars[ragged(self.place[slot], size)]  # pre-tokens cover the texts without gaps
-        return np.flatnonzero(np.logical_or.reduceat(other, start)) if other.any() else np.zeros(0, np.int64)
+
+def strings(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
+    """The words cp[start:end] of code points."""
+    flat = cp[ragged(start, end - start)].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    ends = np.cumsum(end - start)
+    return [flat[a:b] for a, b in zip((ends - (end - start)).tolist(), ends.tolist(), strict=True)]
 
 
 def split_special(texts: list[str], special: str) -> tuple[list[str], np.ndarray, np.ndarray]:

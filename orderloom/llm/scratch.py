@@ -12,6 +12,7 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,41 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _store(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder)
+
+
+def save_file(folder: str, name: str, data: bytes) -> str:
+    """Write a file whole, then give it its name. folder: a path or URI that all executors share."""
+    url = urlparse(folder)
+    hidden = f".{name}.{uuid.uuid4().hex}"
+    if url.scheme in ("", "file"):
+        os.makedirs(url.path, exist_ok=True)
+        with open(f"{url.path}/{hidden}", "wb") as f:
+            f.write(data)
+        os.replace(f"{url.path}/{hidden}", f"{url.path}/{name}")
+    else:
+        store, path = _store(folder)
+        store.create_dir(path, recursive=True)
+        with store.open_output_stream(f"{path}/{hidden}") as f:
+            f.write(data)
+        store.move(f"{path}/{hidden}", f"{path}/{name}")
+    return name
+
+
+def load_file(folder: str, name: str) -> bytes:
+    """A file that ``save_file`` wrote; FileNotFoundError if it is gone."""
+    url = urlparse(folder)
+    if url.scheme in ("", "file"):
+        with open(f"{url.path}/{name}", "rb") as f:
+            return f.read()
+    store, path = _store(folder)
+    with store.open_input_file(f"{path}/{name}") as f:
+        return f.read()
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Each name, with underscores behind it as long as a column of df has it (in any case)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -3,25 +3,26 @@
 Writing: equal payloads (SHA-1) are found by an aggregate; the largest page of each group is a
 response record, the others revisit it. Every task fits a dictionary on a bounded sample of its
 first records, then writes archives of bounded size into the shared folder. An archive is
-written under a temporary name and renamed when it is whole, so a repeated task replaces it.
+written under a temporary name and renamed when it is whole; its name is of that attempt alone,
+and the manifest, which only attempts that succeed write, lists the archives that count.
 
-Reading: archives come as binary files; a task loads the dictionary from the leading skippable
-frame, then decodes frame after frame; a frame must hold exactly one record, with the version
-line, the mandatory headers, and a block of the stated length, or ``WarcError`` is raised.
+Reading: the manifest's archives are dealt to tasks, and files beside them are never read. A task
+loads the dictionary from the leading skippable frame, then decodes frame after frame; a frame
+must hold exactly one record, with the version line, the mandatory headers, and a block of the
+stated length. A breach, a missing archive or another number of records than the manifest's
+raises ``WarcError``.
 
 Defined cases: null payloads are empty, null URLs are written as an empty target; pages with a
-null page_id take part (a null is the smallest id); pages that repeat one page_id and payload
-refer to that id; no rows give no archives and no records; other columns do not matter.
+null page_id take part (a null is the smallest id); of pages that repeat one page_id and payload
+one is the response, and the others refer to that id; no rows give no archives and no records;
+other columns do not matter.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import os
-import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -133,36 +134,16 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
         rest = rest[len(rest) - unused :]
 
 
-def _save(folder: str, name: str, data: bytes) -> str:
-    """Write a file whole, then give it its name. folder: a path or URI that all executors share."""
-    url = urlparse(folder)
-    if url.scheme in ("", "file"):
-        os.makedirs(url.path, exist_ok=True)
-        hidden = f"{url.path}/.{name}.{uuid.uuid4().hex}"
-        with open(hidden, "wb") as f:
-            f.write(data)
-        os.replace(hidden, f"{url.path}/{name}")
-    else:
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(folder)
-        store.create_dir(path, recursive=True)
-        hidden = f"{path}/.{name}.{uuid.uuid4().hex}"
-        with store.open_output_stream(hidden) as f:
-            f.write(data)
-        store.move(hidden, f"{path}/{name}")
-    return name
-
-
 def plan(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, sha1, refers_to, kind) of every page."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    own = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
-    groups = own.filter(F.length("payload") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
+    own = scratch.numbered(pages.select("page_id", "url", "html"), "row")
+    own = own.select("row", "page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
+    groups = own.filter(F.length("payload") >= least_bytes).groupBy("sha1").agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("n"))
     copies = scratch.stash(groups.filter("n > 1").select("sha1", "first"), "copies")  # so that the join meets plain shuffles, which adaptive execution can split
-    other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    other = F.col("first").isNotNull() & (F.col("row") != F.col("first.row"))
     return own.join(copies, "sha1", "left").select(
-        "page_id", "url", "payload", "sha1", F.when(other, F.col("first")).alias("refers_to"), F.when(other, "revisit").otherwise("response").alias("kind")
+        "page_id", "url", "payload", "sha1", F.when(other, F.col("first.page_id")).alias("refers_to"), F.when(other, "revisit").otherwise("response").alias("kind")
     )
 
 
@@ -175,7 +156,8 @@ def write(pages: DataFrame, folder: str, *, least_bytes: int = 0) -> DataFrame:
 
         task, made = TaskContext.get().partitionId(), 0
         for held in _groups(batches):
-            name = _save(f"{folder}/archives", f"part-{task:05d}-{made:05d}.warc.zst", archive(held, train([r[:SAMPLE_BYTES] for r in held[:SAMPLE_RECORDS]])))
+            packed = archive(held, train([r[:SAMPLE_BYTES] for r in held[:SAMPLE_RECORDS]]))
+            name = scratch.save_file(f"{folder}/archives", f"part-{task:05d}-{made:05d}-{scratch.token()}.warc.zst", packed)
             made += 1
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64())], ["archive", "records"])
 
@@ -203,25 +185,35 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     scratch.ship(spark)
     wanted = spark.read.schema("archive string, records long").parquet(f"{folder}/manifest")
     schema = "record_id string, record_type string, payload_bytes long, payload_digest string, refers_to string, archive string"
-    if wanted.isEmpty():
-        return spark.createDataFrame([], schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                rows = []
-                name = batch.column(0)[r].as_py().rpartition("/")[2]
-                for h, block in read_archive(batch.column(1)[r].as_py()):
-                    kind, stated, n = h[b"warc-type"].decode(), h[b"warc-payload-digest"].decode(), int(h[b"x-payload-length"])
-                    if kind == "response" and (n != len(block) or stated != f"sha1:{digest(block)}"):
-                        raise WarcError(f"{name}: a payload differs from its headers")
-                    to = h.get(b"warc-refers-to")
-                    rows.append((h[b"warc-record-id"].decode(), kind, n, stated.removeprefix("sha1:"), to.decode() if to else None, name))
+            for name, n_records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = _rows_of(folder, name)
+                if len(rows) != n_records:
+                    raise WarcError(f"{name}: {len(rows)} records, {n_records} in the manifest")
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, ["record_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "archive"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(f"{folder}/archives").select("path", "content")
-    return files.mapInArrow(work, schema)
+    n = wanted.count()
+    tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, n // 16)))
+    return wanted.repartition(tasks).mapInArrow(work, schema)
+
+
+def _rows_of(folder: str, name: str) -> list[tuple[str, str, int, str, str | None, str]]:
+    """What ``read`` returns of one archive."""
+    try:
+        data = scratch.load_file(f"{folder}/archives", name)
+    except FileNotFoundError as e:
+        raise WarcError(f"{name} is in the manifest and not in the folder") from e
+    rows = []
+    for h, block in read_archive(data):
+        kind, stated, n = h[b"warc-type"].decode(), h[b"warc-payload-digest"].decode(), int(h[b"x-payload-length"])
+        if kind == "response" and (n != len(block) or stated != f"sha1:{digest(block)}"):
+            raise WarcError(f"{name}: a payload differs from its headers")
+        to = h.get(b"warc-refers-to")
+        rows.append((h[b"warc-record-id"].decode(), kind, n, stated.removeprefix("sha1:"), to.decode() if to else None, name))
+    return rows
 
 
 def round_trip(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
