@@ -18,6 +18,8 @@ repository; no rows give no rows; other columns do not matter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,22 +35,53 @@ LEAST = {"assign": 6, "access": 20, "hex": 24, "live": 32}
 LIVE = r"[A-Za-z0-9+/_-]{32,}"
 
 
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _sums(a: Column) -> Column:
+    """Sum of each 64 consecutive numbers of an array that is not empty."""
+    return F.transform(F.sequence(F.lit(0), F.shiftright(F.size(a) - 1, 6)), lambda i: _total(F.slice(a, i * 64 + 1, F.lit(64))))
+
+
 def _found(text: Column, pattern: str, kind: int, group: int = 0, few: str | None = None) -> Column:
-    """array<struct(start, kind, end, value)> of the leftmost non-overlapping matches of a pattern."""
+    """array<struct(start, kind, end, value)> of the leftmost non-overlapping matches of a pattern.
+
+    The i-th match starts behind all gaps and matches before it; sums over blocks of 64 and of 4,096
+    numbers keep the work for a text with many matches near to linear.
+    """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
 
-    def place(parts: Column) -> Column:
-        w, v, g = parts["w"], parts["v"], parts["g"]
-        sizes = F.transform(w, F.length)
-        start = lambda i: total(F.slice(g, F.lit(1), i + 1)) + total(F.slice(sizes, F.lit(1), i))
-        made = F.transform(w, lambda m, i: F.struct(start(i).alias("start"), F.lit(kind).alias("kind"), (start(i) + F.length(m)).alias("end"), F.get(v, i).alias("value")))
-        return F.filter(made, lambda s: F.length(s["value"]) >= LEAST[KINDS[kind]])
+    def steps(x: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.transform(x["w"], F.length))
+        return _with(F.struct(x["w"].alias("w"), x["v"].alias("v"), F.zip_with(x["g"], before, lambda a, b: a + b).alias("c")), blocks)
+
+    def blocks(x: Column) -> Column:
+        return _with(F.struct(x["w"].alias("w"), x["v"].alias("v"), x["c"].alias("c"), _sums(x["c"]).alias("b")), larger)
+
+    def larger(x: Column) -> Column:
+        return _with(F.struct(x["w"].alias("w"), x["v"].alias("v"), x["c"].alias("c"), x["b"].alias("b"), _sums(x["b"]).alias("l")), place)
+
+    def place(x: Column) -> Column:
+        far, near = (lambda i: F.shiftright(i, 12)), (lambda i: F.shiftright(i, 6))
+        start = lambda i: (
+            _total(F.slice(x["l"], F.lit(1), far(i)))
+            + _total(F.slice(x["b"], far(i) * 64 + 1, near(i) - far(i) * 64))
+            + _total(F.slice(x["c"], near(i) * 64 + 1, i - near(i) * 64 + 1))
+        )
+        made = F.transform(x["w"], lambda m, i: F.struct(start(i).alias("start"), F.length(m).alias("n"), F.get(x["v"], i).alias("value")))
+        made = F.filter(made, lambda s: F.length(s["value"]) >= LEAST[KINDS[kind]])
+        return F.transform(made, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), (s["start"] + s["n"]).alias("end"), s["value"].alias("value")))
 
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    return F.when(text.rlike(few or pattern), F.get(F.transform(F.array(F.struct(whole.alias("w"), value.alias("v"), gaps.alias("g"))), place), F.lit(0))).otherwise(none)
+    return F.when(text.rlike(few or pattern), _with(F.struct(whole.alias("w"), value.alias("v"), gaps.alias("g")), steps)).otherwise(none)
 
 
 def _render(spans: Column) -> Column:
@@ -56,11 +89,13 @@ def _render(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, *, text: str = "text", repository: str = "doc_id", owner: str = "source", max_owners: int = 1, max_repositories: int = 2) -> DataFrame:
+def scan(docs: DataFrame, *, text: str = "text", repository: str = "doc_id", owner: str = "source", max_owners: int = 1, max_repositories: int = 2, row: str | None = None) -> DataFrame:
     """(doc_id, base, added, n_live, n_copied): spans of every row of docs, as arrays of (start, kind, end).
 
-    max_owners, max_repositories: a value with more of either counts as copied.
+    max_owners, max_repositories: a value with more of either counts as copied. row: a column of
+    docs that is returned as ``row`` beside them.
     """
+    also = [] if row is None else [F.col(row).alias("row")]
     t = F.coalesce(F.col(text), F.lit(""))
     # a hex run below the least length fails and hides nothing, so only long ones are searched for;
     # likewise a short access match: what it takes up holds no longer one
@@ -73,7 +108,7 @@ def scan(docs: DataFrame, *, text: str = "text", repository: str = "doc_id", own
     more = F.filter(_found(t, LIVE, 3), mixed)
     rows = docs.select(
         F.monotonically_increasing_id().alias("rid"), "doc_id", F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"),
-        F.array_sort(base).alias("base"), more.alias("more"),
+        F.array_sort(base).alias("base"), more.alias("more"), *also,
     )
     inside = lambda s: F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
     rows = scratch.stash(rows.withColumn("more", F.filter("more", lambda s: ~inside(s))), "secrets")
@@ -90,7 +125,7 @@ def scan(docs: DataFrame, *, text: str = "text", repository: str = "doc_id", own
     bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return rows.join(told, "rid", "left").select(
-        "doc_id", bare("base").alias("base"), F.coalesce("added", none).alias("added"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied")
+        "doc_id", bare("base").alias("base"), F.coalesce("added", none).alias("added"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"), *(["row"] if also else [])
     )
 
 
@@ -104,14 +139,16 @@ def report(spans: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", most_sent: int = 500_000, **how) -> DataFrame:
-    """docs with every span of ``scan`` replaced by a mask; spans that overlap become one. doc_id is unique.
+    """docs with every span of ``scan`` replaced by a mask; spans that overlap become one. Every row stays a row.
 
     Up to most_sent spans go to all executors, so that texts stay where they are; more are joined
     by a shuffle. The rows are the same.
     """
-    found = scan(docs, **how).select(F.col("doc_id").alias("of"), F.array_sort(F.concat("base", "added")).alias("spans")).filter(F.size("spans") > 0)
+    row, of, spans = scratch.unused(docs, "row", "of", "spans")
+    docs, columns = scratch.numbered(docs, row), scratch.named(docs)
+    found = scan(docs, row=row, **how).select(F.col("row").alias(of), F.array_sort(F.concat("base", "added")).alias(spans)).filter(F.size(spans) > 0)
     found = scratch.stash(found, "spans")
-    if (found.agg(F.sum(F.size("spans"))).first()[0] or 0) <= most_sent:
+    if (found.agg(F.sum(F.size(spans))).first()[0] or 0) <= most_sent:
         found = F.broadcast(found)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -121,6 +158,6 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", most_sent: int = 500_000, **
             F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
         )
 
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left").withColumn("text", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text")))
-    return joined.select(*docs.columns)
+    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    joined = docs.join(found, F.col(row) == F.col(of), "left").withColumn("text", F.when(F.col(spans).isNotNull(), clean).otherwise(F.col("text")))
+    return joined.select(*columns)
