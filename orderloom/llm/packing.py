@@ -1,10 +1,11 @@
 """Hierarchical residual packing of token sequences.
 
 Every partition packs its pieces best-fit in order of falling length and emits the bins that
-are nearly full. What is left, underfull bins with their members, travels as items to fewer
-partitions, where best-fit runs again, until one partition is left or a round merges nothing
-more. A partition never holds more than about ``per_task`` items, and a bin never more than
-``capacity`` members, so no task grows with the input.
+are nearly full. What is left, underfull bins with their members, travels as items to other
+partitions, where best-fit runs again. Of two bins that are over half full neither takes the
+other, so from then on only bins of up to half move, to ever fewer partitions, until one bin of
+up to half is left: no two sequences could be joined but for that one. A partition holds about
+``per_task`` items at most, and a bin ``capacity`` members, so no task grows with the input.
 
 Defined cases: null texts are empty; an empty text is one separator token; longer documents
 are cut into full pieces behind a first shorter one; equal lengths go by document and piece;
@@ -158,22 +159,20 @@ def pack(items: DataFrame, *, capacity: int = 2048, slack: int = 2, per_task: in
 
     one = F.struct(*(F.col(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), F.lit(0).cast("long").alias("offset"))
     bins = items.select(F.col("length").alias("fill"), F.array(one).alias("members"))
-    done: DataFrame | None = None
-    had: int | None = None
-    while True:
-        n = bins.count()
-        tasks = max(1, -(-n // per_task))
-        stuck = had is not None and n > 0.98 * had
-        if n == 0 or stuck:
-            break
-        made = scratch.stash(bins.repartition(tasks).mapInArrow(arrays.tidy(work), schema), "pack")
-        full = made.filter("full")
-        done = full if done is None else done.unionByName(full)
-        bins, had = made.filter("not full").select("fill", "members"), n
-        if tasks == 1:
-            break
-    rest = bins.select("fill", "members", F.lit(False).alias("full"))
-    done = rest if done is None else done.unionByName(rest)
+    deal = lambda bins, n: scratch.stash(bins.repartition(max(1, -(-n // per_task))).mapInArrow(arrays.tidy(work), schema), "pack")
+    half = F.col("fill") * 2 <= capacity
+    n = bins.count()
+    made = deal(bins, n)
+    done = made
+    if n > per_task:
+        done = made.filter("full")
+        left = made.filter("not full").select("fill", "members")
+        made = deal(left, left.count())  # bins of different partitions meet
+        had = n + 1
+        while 1 < (n := made.filter(half).count()) < had:
+            had, done = n, done.unionByName(made.filter(~half))
+            made = deal(made.filter(half).select("fill", "members"), n)
+        done = done.unionByName(made)
     numbered = done.select(F.monotonically_increasing_id().alias("sequence_id"), "members")  # before members become rows
     return numbered.select("sequence_id", F.inline("members")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
