@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from orderloom.functions import lists
 from orderloom.functions.nulls import col
 
 #: Accented letters and what they read as.
@@ -32,6 +33,12 @@ def place_key(c: Column | str, stop: tuple[str, ...] = ("the", "of", "university
     return F.regexp_replace(F.regexp_replace(words, r"\bstate\b", "st"), "[^a-z]", "")
 
 
+def positions(c: Column | str, part: str) -> Column:
+    """Where a fixed text starts in another, from 0, each occurrence behind the one before."""
+    ends = lists.running_totals(F.transform(F.split(col(c), rf"\Q{part}\E", -1), F.length))
+    return lists.bound(ends, lambda e: F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda at, i: at + len(part) * i))
+
+
 def words(c: Column | str) -> Column:
     return F.filter(F.split(F.trim(col(c)), r"\s+"), lambda w: w != "")
 
@@ -108,6 +115,13 @@ def escape_html(c: Column | str) -> Column:
     return out
 
 
+def fixed(c: Column | str) -> Column:
+    """One decimal, a dash for missing; what rounds to zero has no sign."""
+    x = col(c).cast("double")
+    return F.when(x.isNull(), "—").when(F.abs(x) < 0.05, "0.0").otherwise(F.format_string("%.1f", x))
+
+
 def signed(c: Column | str) -> Column:
-    """``+1.5``, ``-2.0``, a dash for missing."""
-    return F.when(col(c).isNotNull(), F.format_string("%+.1f", col(c).cast("double"))).otherwise("—")
+    """As ``fixed``, with the sign always shown but at zero."""
+    x = col(c).cast("double")
+    return F.when(x.isNull(), "—").when(F.abs(x) < 0.05, "0.0").otherwise(F.format_string("%+.1f", x))

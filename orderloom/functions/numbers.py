@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.functions.nulls import clip, col, sdiv
@@ -22,13 +24,25 @@ def _poly(x: Column, coefficients: tuple[float, ...]) -> Column:
 
 
 def norm_ppf(p: Column | str) -> Column:
-    """Inverse of the normal distribution, to nine digits; NULL outside (0, 1)."""
+    """Inverse of the normal distribution, to nine digits; NULL outside (0, 1). Each use of p repeats it: give a plain column."""
     p = col(p)
     inner = p - 0.5
     square = inner * inner
     centre = inner * _poly(square, CENTRE) / _poly(square, CENTRE_BELOW)
-    tail = lambda q: _poly(F.sqrt(-2 * F.ln(q)), TAIL) / _poly(F.sqrt(-2 * F.ln(q)), TAIL_BELOW)
-    return F.when((p <= 0) | (p >= 1), None).when(p < TAIL_FROM, tail(p)).when(p > 1 - TAIL_FROM, -tail(1 - p)).otherwise(centre)
+    far = F.sqrt(-2 * F.ln(F.least(p, 1 - p)))
+    tail = _poly(far, TAIL) / _poly(far, TAIL_BELOW)
+    return F.when((p <= 0) | (p >= 1), None).when(p < TAIL_FROM, tail).when(p > 1 - TAIL_FROM, -tail).otherwise(centre)
+
+
+def with_ppf(df: DataFrame, p: str, name: str) -> DataFrame:
+    """df with the inverse normal of a column, in steps, so that no expression holds another many times over."""
+    inner = F.col(p) - 0.5
+    df = df.withColumns({"_inner": inner, "_square": inner * inner, "_far": F.sqrt(-2 * F.ln(F.least(F.col(p), 1 - F.col(p))))})
+    centre = F.col("_inner") * _poly(F.col("_square"), CENTRE) / _poly(F.col("_square"), CENTRE_BELOW)
+    tail = _poly(F.col("_far"), TAIL) / _poly(F.col("_far"), TAIL_BELOW)
+    c = F.col(p)
+    out = F.when((c <= 0) | (c >= 1), None).when(c < TAIL_FROM, tail).when(c > 1 - TAIL_FROM, -tail).otherwise(centre)
+    return df.withColumn(name, out).drop("_inner", "_square", "_far")
 
 
 def price_probability(price: Column | str) -> Column:
@@ -47,17 +61,46 @@ def fair(a: Column, b: Column) -> Column:
     return F.when(b.isNull(), a).otherwise(sdiv(a, a + b))
 
 
-def expected_slot(line: Column, over: Column, slots: int = 60, spread: float = 8.0, steps: int = 40) -> Column:
-    """Mean of a discretised normal on 1..slots whose mass above a line is a probability, by bisection."""
-    cdf = lambda z: 1 / (1 + F.exp(-1.702 * z))  # noqa: E731  logistic form of the normal distribution
-    share = lambda m: (cdf((slots + 0.5 - m) / spread) - cdf((line - m) / spread)) / (cdf((slots + 0.5 - m) / spread) - cdf((0.5 - m) / spread))
+SLOTS = 60
+STEPS = 60  # of the bisection
+
+
+def slot_weights(centre: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Normal weights of the slots 1..SLOTS, one row each, scaled to sum 1; a centre far outside does not underflow."""
+    slots = np.arange(1, SLOTS + 1, dtype=float)
+    power = np.square((slots - centre[:, None]) / spread[:, None])
+    w = np.exp(-0.5 * (power - power.min(axis=1, keepdims=True)))
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def slot_means(line: np.ndarray, under: np.ndarray) -> np.ndarray:
+    """Mean slot of a discretised normal of spread 1 + line / 5 that has a share ``under`` of its mass below the line.
+
+    The share is held to 0.02 .. 0.98 and is a half where it is missing; the centre is found by bisection.
+    """
+    share = np.clip(np.where(np.isnan(under), 0.5, under), 0.02, 0.98)
+    spread, below = 1 + 0.2 * line, np.arange(1, SLOTS + 1) < line[:, None]
+    low, high = np.full(len(line), -80.0), np.full(len(line), 140.0)
+    for _ in range(STEPS):
+        middle = (low + high) / 2
+        more = (slot_weights(middle, spread) * below).sum(axis=1) > share  # too much below: the centre moves up
+        low, high = np.where(more, middle, low), np.where(more, high, middle)
+    return slot_weights((low + high) / 2, spread) @ np.arange(1, SLOTS + 1, dtype=float)
+
+
+def expected_slot(df: DataFrame, line: str, under: str, name: str) -> DataFrame:
+    """df with the mean slot for its lines and shares, solved once for each distinct pair; NULL where the line is."""
 
-    def halve(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        return F.struct(F.when(share(mid) < over, mid).otherwise(acc["lo"]).alias("lo"), F.when(share(mid) < over, acc["hi"]).otherwise(mid).alias("hi"))
+    @F.pandas_udf("double")
+    def solve(lines: pd.Series, shares: pd.Series) -> pd.Series:
+        a, b = lines.to_numpy(float), shares.to_numpy(float)
+        parts = [slot_means(a[i : i + 4096], b[i : i + 4096]) for i in range(0, len(a), 4096)]
+        return pd.Series(np.concatenate(parts or [np.zeros(0)]))
 
-    start = F.struct(F.lit(-60.0).alias("lo"), F.lit(120.0).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda acc: clip((acc["lo"] + acc["hi"]) / 2, 1.0, float(slots)))
+    pairs = df.select(F.col(line).cast("double").alias("_line"), F.col(under).cast("double").alias("_under")).filter("_line is not null").distinct()
+    solved = pairs.withColumn(name, solve("_line", "_under"))
+    same = (F.col(line).cast("double") == F.col("_line")) & F.col(under).cast("double").eqNullSafe(F.col("_under"))
+    return df.join(solved, same, "left").drop("_line", "_under")
 
 
 def shrink(x: Column, n: Column, prior: Column | float, k: float) -> Column:

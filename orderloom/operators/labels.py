@@ -28,21 +28,34 @@ def stack_horizons(df: DataFrame, cohort: str, through: int, most: int = 5) -> D
     return df.withColumn("_h", F.explode(F.when(done >= 1, F.sequence(F.lit(1), done)).otherwise(F.array().cast("array<int>"))))
 
 
-def horizon(policy: str, years_known: int, most: int = 5) -> int:
-    """Training horizon that a policy picks when so many years are known."""
-    if policy == "full":
+def horizon(policy: str | None, years_known: int, most: int = 5) -> int | str:
+    """Training horizon that a policy picks for a cohort of which so many years are known; "multi" stands for every completed one."""
+    known = max(1, min(most, years_known))
+    if policy in (None, "full"):
         return most
+    if policy == "multi":
+        return "multi"
     if policy == "match":
-        return max(1, min(most, years_known))
+        return known
+    if policy == "short3":  # one or two years are noise: three are learnt from instead
+        return 3 if known <= 2 else most
     if policy == "match3":
-        return max(3, min(most, years_known))
-    if policy == "short3":
-        return min(3, most)
+        return max(3, known)
     if policy.isdigit():
         return max(1, min(most, int(policy)))
     raise ValueError(f"no horizon policy {policy!r}")
 
 
+def horizon_column(policy: str, years_known: Column, most: int = 5) -> Column:
+    """The same for a column of known years; 0 stands for "multi"."""
+    known = F.greatest(F.lit(1), F.least(F.lit(most), years_known))
+    cases = [(k, horizon(policy, k, most)) for k in range(1, most + 1)]
+    out = F.when(F.lit(False), 0)
+    for k, h in cases:
+        out = out.when(known == k, 0 if h == "multi" else h)
+    return out
+
+
 def weighted_periods(values: Column, weights: list[float], best: int | None = None) -> Column:
     """Weighted sum over an array of period values, in order or over the best few."""
     v = F.filter(values, lambda x: x.isNotNull())

@@ -9,13 +9,19 @@ from orderloom.functions.nulls import corr
 from orderloom.operators.windows import average_rank
 
 
+def number(*keys: Column | str, seed: int = 0) -> Column:
+    """A whole number of 52 bits from MD5 of keys and seed, which any engine can repeat."""
+    text = F.concat_ws("|", *(F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
 def draw(*keys: Column | str, seed: int = 0) -> Column:
     """A number in [0, 1) that depends on keys and seed only."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    return number(*keys, seed=seed) / float(1 << 52)
 
 
 def folds(key: str, k: int, seed: int = 0) -> Column:
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)).cast("int")
+    return F.pmod(number(key, seed=seed), F.lit(k)).cast("int")
 
 
 def bootstrap(df: DataFrame, by: str, key: str, x: str, y: str, replicates: int = 100, seed: int = 0) -> DataFrame:

@@ -119,7 +119,10 @@ def calibration_fit(spark, d):
     return rounded(g.agg(slope.alias("slope"), intercept.alias("intercept")))
 
 
-@book.query()
+@book.query(f"""WITH {SUPPLIER_YEARS}, x0 AS (SELECT supp, year, qty AS y, lines::DOUBLE AS w, (year - 1998)::DOUBLE AS x, 1.0::DOUBLE AS p0 FROM s),
+x1 AS (SELECT *, x - sum(w * x) OVER () / sum(w) OVER () AS p1 FROM x0), x2 AS (SELECT *, (x - sum(w * x * p1 * p1) OVER () / sum(w * p1 * p1) OVER ()) * p1 - sum(w * p1 * p1) OVER () / sum(w) OVER () AS p2 FROM x1),
+x3 AS (SELECT *, (x - sum(w * x * p2 * p2) OVER () / sum(w * p2 * p2) OVER ()) * p2 - sum(w * p2 * p2) OVER () / sum(w * p1 * p1) OVER () * p1 AS p3 FROM x2),
+r AS (SELECT *, y - {" - ".join(f"sum(w * y * p{k}) OVER () / sum(w * p{k} * p{k}) OVER () * p{k}" for k in range(4))} AS r FROM x3) SELECT supp, year, round(r / sqrt(sum(w * r * r) OVER () / sum(w) OVER ()), 4) AS z FROM r""")
 def cubic_curve_residual_z(spark, d):
     """A cubic through suppliers' years by moments, then distances in residual deviations."""
     s = supplier_years(spark, d).withColumn("x", (F.col("year") - 1998).cast("double"))
@@ -268,11 +271,19 @@ def median_price(spark, d):
     return rounded(m.select("o_custkey", "books", numbers.probability_price("m").alias("price")), 4)
 
 
-@book.query()
+_SHARE = "list_sum(list_transform(range(1, 61), lambda k: CASE WHEN {only} THEN {value} * exp(-0.5 * ((k - m) ** 2 - (greatest(1, least(60, m)) - m) ** 2) / (1 + 0.2 * line) ** 2) ELSE 0 END))"
+
+
+@book.query(f"""WITH RECURSIVE p AS (SELECT o_orderkey, o_orderkey % 30 + 1.5::DOUBLE AS line, CASE WHEN a < 0 THEN -a / (-a + 100.0) ELSE 100.0 / (a + 100.0) END AS under FROM {PRICES}),
+b AS (SELECT DISTINCT line, under, greatest(0.02, least(0.98, under)) AS share, -80.0::DOUBLE AS lo, 140.0::DOUBLE AS hi, 0 AS i FROM p
+ UNION ALL SELECT line, under, share, CASE WHEN s > share THEN m ELSE lo END, CASE WHEN s > share THEN hi ELSE m END, i + 1
+ FROM (SELECT *, {_SHARE.format(only="k < line", value="1")} / {_SHARE.format(only="true", value="1")} AS s FROM (SELECT *, (lo + hi) / 2 AS m FROM b WHERE i < 60))),
+e AS (SELECT line, under, {_SHARE.format(only="true", value="k")} / {_SHARE.format(only="true", value="1")} AS slot FROM (SELECT *, (lo + hi) / 2 AS m FROM b WHERE i = 60))
+SELECT o_orderkey, round(slot, 4) AS slot FROM p JOIN e USING (line, under)""")
 def expected_pick(spark, d):
-    """bisection inside an expression."""
-    q = _quotes(spark, d).select("o_orderkey", (F.col("o_orderkey") % 30 + 1.5).alias("line"), numbers.price_probability("a").alias("over"))
-    return rounded(q.select("o_orderkey", numbers.expected_slot(F.col("line"), F.col("over")).alias("slot")), 4)
+    """the mean slot that a line and a price imply."""
+    q = _quotes(spark, d).select("o_orderkey", (F.col("o_orderkey") % 30 + 1.5).cast("double").alias("line"), numbers.price_probability("a").alias("under"))
+    return rounded(numbers.expected_slot(q, "line", "under", "slot").select("o_orderkey", "slot"), 4)
 
 
 @book.query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey DESC) AS k FROM {PRICES}) SELECT o_custkey, count(*) AS books, round(avg(CASE WHEN a < 0 THEN -a / (-a + 100.0) ELSE 100.0 / (a + 100.0) END), 6) AS p FROM r WHERE k = 1 GROUP BY 1")
@@ -296,17 +307,20 @@ def consensus_rank_fill(spark, d):
     return rounded(x.select("c_custkey", row_mean(*(F.coalesce(c, F.lit(61)) for c in "abc")).alias("mean_rank"), sum((F.col(c).isNotNull().cast("int") for c in "abc"), F.lit(0)).alias("boards")))
 
 
-@book.query()
-def srs_iterative(spark, d):
-    """Ratings from margins, by rounds of joins and aggregates; pairs are counted once."""
+def _games(spark, d):
+    """(a, b, m): two suppliers of one order, neighbours by key, and the margin of their sales."""
     l = table(spark, d, "lineitem", ["l_suppkey", "l_orderkey", "l_extendedprice"])  # noqa: E741
-    s = l.groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_extendedprice").alias("v"))
+    s = l.groupBy("l_orderkey", "l_suppkey").agg(F.round(F.sum("l_extendedprice") / 1000, 4).alias("v"))
     nxt = Window.partitionBy("l_orderkey").orderBy("l_suppkey")
-    games = s.select(F.col("l_suppkey").alias("a"), F.lead("l_suppkey").over(nxt).alias("b"), (F.col("v") - F.lead("v").over(nxt)).alias("m")).filter("b is not null")
-    both = games.unionByName(games.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("m")).alias("m")))
-    pairs = both.groupBy("a", "b").agg(F.sum("m").alias("m"), F.count("*").alias("n"))
-    r = pairs.groupBy("a").agg(F.lit(0.0).alias("r"))
-    for _ in range(4):
-        opp = r.select(F.col("a").alias("b"), F.col("r").alias("ro"))
-        r = pairs.join(opp, "b").groupBy("a").agg(sdiv(F.sum(F.col("m") + F.col("n") * F.col("ro")), F.sum("n")).alias("r"))
-    return rounded(r.withColumn("r", F.col("r") - F.avg("r").over(Window.partitionBy(F.lit(1)))), 2)
+    return s.select("l_orderkey", F.col("l_suppkey").alias("a"), F.lead("l_suppkey").over(nxt).alias("b"), (F.col("v") - F.lead("v").over(nxt)).alias("m")).filter("b is not null")
+
+
+GAMES = """s AS (SELECT l_orderkey, l_suppkey, round(sum(l_extendedprice) / 1000, 4) AS v FROM lineitem GROUP BY 1, 2), n AS (SELECT l_orderkey, l_suppkey AS a, lead(l_suppkey) OVER w AS b, v - lead(v) OVER w AS m FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_suppkey)),
+games AS (SELECT * FROM n WHERE b IS NOT NULL), both_ AS (SELECT a, b, m FROM games UNION ALL SELECT b, a, -m FROM games), pairs AS (SELECT a, b, sum(m) AS m, count(*) AS n FROM both_ GROUP BY 1, 2)"""
+
+
+@book.query(f"""WITH RECURSIVE {GAMES}, r AS (SELECT DISTINCT a, 0.0::DOUBLE AS r, 0 AS i FROM pairs UNION ALL SELECT a, r - avg(r) OVER () AS r, i FROM
+(SELECT p.a, sum(p.m + p.n * r.r) / sum(p.n) AS r, max(r.i) + 1 AS i FROM pairs p JOIN r ON r.a = p.b WHERE r.i < 50 GROUP BY p.a)) SELECT a, round(r, 4) AS r FROM r WHERE i = 50""")
+def srs_iterative(spark, d):
+    """Fifty rounds of mean margin plus opponents' ratings, re-centred each round."""
+    return rounded(stats.iterated_ratings(_games(spark, d), "a", "b", "m", rounds=50).select("a", "r"), 4)

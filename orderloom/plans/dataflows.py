@@ -81,20 +81,25 @@ def json_get_and_dump(spark, d):
     return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(F.get_json_object("props", "$.z.y"), F.lit("none")).alias("nested"), F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))).alias("dumped"))
 
 
-@book.query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '—' ELSE printf('%+.1f', floor(c_acctbal)) END AS delta, '&lt;b class=&quot;x&quot;&gt;' || c_name || ' &amp; co&lt;/b&gt;' AS shown FROM customer""")
+@book.query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '—' WHEN 1 THEN '0.0' ELSE printf('%+.1f', floor(c_acctbal)) END AS delta, CASE c_custkey % 5 WHEN 0 THEN '—' WHEN 1 THEN '0.0' ELSE printf('%.1f', floor(c_acctbal)) END AS shown_value, '&lt;b class=&quot;x&quot;&gt;' || c_name || ' &amp; co&lt;/b&gt;' AS shown FROM customer""")
 def report_format(spark, d):
-    """F42, F43."""
-    delta = keys.signed(F.when(F.col("c_custkey") % 5 != 0, F.floor("c_acctbal")))
-    return table(spark, d, "customer", ["c_custkey", "c_acctbal", "c_name"]).select("c_custkey", delta.alias("delta"), keys.escape_html(F.concat(F.lit('<b class="x">'), "c_name", F.lit(" & co</b>"))).alias("shown"))
+    """what rounds to zero has no sign."""
+    x = F.when(F.col("c_custkey") % 5 == 1, F.lit(-0.04)).when(F.col("c_custkey") % 5 > 1, F.floor("c_acctbal").cast("double"))
+    return table(spark, d, "customer", ["c_custkey", "c_acctbal", "c_name"]).select("c_custkey", keys.signed(x).alias("delta"), keys.fixed(x).alias("shown_value"), keys.escape_html(F.concat(F.lit('<b class="x">'), "c_name", F.lit(" & co</b>"))).alias("shown"))
 
 
-@book.query("SELECT doc_id, strpos(t, 'the ')::BIGINT AS at, CASE WHEN strpos(t, 'the ') > 0 THEN regexp_matches(substr(t, greatest(strpos(t, 'the ') - 30, 1)::BIGINT, 130), '[0-9]') END AS number_near FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+@book.query(r"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT rid, t, unnest(list_prepend(0, list_transform(string_split_regex(t, 'the '), lambda x: len(x)))) AS n, unnest(range(len(string_split_regex(t, 'the ')) + 1)) AS i FROM t),
+s AS (SELECT rid, t, i, sum(n) OVER (PARTITION BY rid ORDER BY i) + 4 * (i - 1) AS place, count(*) OVER (PARTITION BY rid) AS m FROM p),
+h AS (SELECT rid, regexp_matches(substr(t, greatest(place - 300, 0)::BIGINT + 1, (place - greatest(place - 300, 0) + 1000)::BIGINT), '[0-9]') AS near FROM s WHERE i > 0 AND i < m - 1),
+g AS (SELECT rid, count(*) AS n, count(*) FILTER (near) AS near FROM h GROUP BY 1) SELECT doc_id, coalesce(n, 0) AS mentions, coalesce(near, 0) AS number_near FROM t LEFT JOIN g USING (rid)""")
 def proximity_check(spark, d):
-    """whether a number stands near a word's first occurrence."""
+    """of all mentions of a word, those with a number from 300 characters before to 1,000 behind their start."""
     t = F.coalesce("text", F.lit(""))
-    at = F.locate("the ", t)
-    near = F.when(at > 0, F.substring(t, F.greatest(at - 30, F.lit(1)), F.lit(130)).rlike("[0-9]"))
-    return rounded(table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", at.alias("at"), near.alias("number_near")))
+    x = table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", t.alias("t"), keys.positions(t, "the ").alias("at"))
+    from_ = lambda at: F.greatest(at - 300, F.lit(0))
+    near = F.filter("at", lambda at: F.substring(F.col("t"), from_(at) + 1, at - from_(at) + 1000).rlike("[0-9]"))
+    return rounded(x.select("doc_id", F.size("at").alias("mentions"), F.size(near).alias("number_near")))
 
 
 @book.query("SELECT event_id, strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS utc FROM events")
@@ -257,7 +262,7 @@ def lineup_impact(spark, d):
 @book.query(r"""WITH l AS (SELECT conv_id, arg_max(text, turn) AS t FROM conversations WHERE turn < 4 AND text IS NOT NULL GROUP BY 1), n AS (SELECT conv_id, len(regexp_extract_all(lower(t), '\b(the|is|on)\b')) AS g, len(list_filter(regexp_split_to_array(trim(t), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS w FROM l)
 SELECT conv_id, g::BIGINT AS hits, w::BIGINT AS n_words, round(1000.0 * g / nullif(w, 0), 6) AS rate FROM n""")
 def dated_text_features(spark, d):
-    """Lexicon counts of the latest revision before a cutoff."""
+    """Lexicon counts of the latest revision before the cutoff, which is the fifth turn: later ones are not known yet."""
     c = table(spark, d, "conversations", ["conv_id", "turn", "text"]).filter("turn < 4 AND text IS NOT NULL")
     n, rate = keys.lexicon_rate("t", ("the", "is", "on"))
     return rounded(c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("t")).select("conv_id", n.alias("hits"), F.size(keys.words("t")).alias("n_words"), rate.alias("rate")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orderloom.functions.nulls import corr
 from orderloom.functions import keys, nulls, numbers
 from orderloom.operators import guards, models, sampling, windows
-from orderloom.plans.base import MEMBERS, SUPPLIER_YEARS, Book, member_values, rounded, supplier_years
+from orderloom.plans.base import MEMBERS, SUPPLIER_YEARS, Book, member_values, rank_sql, rounded, supplier_years
 from orderloom.sources import html
 from orderloom.sources.readers import table
 
@@ -17,9 +17,9 @@ QUERIES, ORACLE = book.queries, book.sql
 GOOD, BAD = ("the", "is", "on"), ("of", "in")
 
 
-@book.query(r"SELECT doc_id, regexp_replace(regexp_replace(translate(lower(substr(text, 1, 80)), 'áàâäãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '\b(jr|sr|ii|iii|iv)\b', '', 'g'), '[^a-z]', '', 'g') AS key FROM documents")
+@book.query(r"SELECT doc_id, regexp_replace(regexp_replace(translate(lower(text), 'áàâäãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '\b(jr|sr|ii|iii|iv)\b', '', 'g'), '[^a-z]', '', 'g') AS key FROM documents")
 def norm_key(spark, d):
-    return table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", keys.norm_key(F.substring("text", 1, 80)).alias("key"))
+    return table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", keys.norm_key("text").alias("key"))
 
 
 @book.query(r"SELECT n_nationkey::BIGINT AS n_nationkey, regexp_replace(regexp_replace(regexp_replace(lower('The University of ' || n_name || ' State'), '\b(the|of|university|college)\b', '', 'g'), '\bstate\b', 'st', 'g'), '[^a-z]', '', 'g') AS key FROM nation")
@@ -73,7 +73,19 @@ def html_title_links(spark, d):
     return rounded(p.select("page_id", html.title(F.col("html")).alias("title"), F.size(html.links(F.col("html"))).alias("n_links")))
 
 
-@book.query()
+def _visible_sql() -> str:
+    t = "coalesce(html, '')"
+    for tag in html.HIDDEN:
+        t = rf"regexp_replace({t}, '<{tag}\b.*?</{tag}\s*>', '', 'gis')"
+    t = rf"regexp_replace(regexp_replace({t}, '<!--.*?-->', '', 'gs'), '</?(?:{'|'.join(html.BLOCKS)})\b[^>]*>', chr(10), 'gi')"
+    t = f"regexp_replace({t}, '<[^>]*>', '', 'g')"
+    for a, b in html.ENTITIES:
+        t = "replace({}, '{}', '{}')".format(t, a, b.replace("'", "''"))
+    t = rf"regexp_replace(regexp_replace({t}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')"
+    return f"WITH t AS (SELECT page_id, CASE WHEN html IS NOT NULL THEN trim({t}, chr(10) || ' ') END AS t FROM pages) SELECT page_id, length(t)::BIGINT AS chars, CASE WHEN t IS NULL THEN -1 ELSE len(string_split(t, chr(10))) END::BIGINT AS lines FROM t"
+
+
+@book.query(_visible_sql())
 def visible_text_len(spark, d):
     """Text as shown, by block."""
     t = html.visible_text(F.col("html"))
@@ -128,7 +140,14 @@ def disjoint_ids(spark, d):
     return guards.shared_keys(o.filter(y == 1995), o.filter(y == 1996), ["o_custkey"]).agg(F.count("*").alias("shared"))
 
 
-@book.query()
+def _collision_sql() -> str:
+    rank = lambda c: f'rank() OVER (PARTITION BY "column" ORDER BY {c}) + (count(*) OVER (PARTITION BY "column", {c}) - 1) / 2.0'
+    return f"""WITH l AS (SELECT 'p_retailprice' AS "column", p_retailprice AS x, p_retailprice * 2 AS y FROM part UNION ALL SELECT 'p_size', p_size::DOUBLE, p_size::DOUBLE FROM part), k AS (SELECT * FROM l WHERE x IS NOT NULL),
+r AS (SELECT *, {rank('x')} AS rx, {rank('y')} AS ry FROM k), g AS (SELECT "column", count(*) AS overlap, corr(rx, ry) AS rho, median(y / nullif(x, 0)) AS m FROM r GROUP BY 1)
+SELECT "column", overlap, round(rho, 6) AS rho, round(m, 6) AS median_ratio, CASE WHEN rho > 0.98 AND m BETWEEN 0.95 AND 1.05 THEN 'merge' WHEN rho > 0.9 THEN 'rescale' ELSE 'keep apart' END AS action FROM g"""
+
+
+@book.query(_collision_sql())
 def collision_audit(spark, d):
     """What two sources say about same-named columns."""
     p = table(spark, d, "part", ["p_partkey", "p_retailprice", "p_size"])
@@ -222,7 +241,23 @@ def _rows(spark, d):
     return member_values(spark, d).join(c, F.col("entity") == F.col("c_custkey")).drop("c_custkey")
 
 
-@book.query()
+def _ridge_sql() -> str:
+    """Moments of earlier cohorts, then a three by three system by Cramer's rule."""
+    x = ("c_acctbal", "c_nationkey::DOUBLE", "1.0::DOUBLE")
+    sums = ", ".join([f"sum({x[i]} * {x[j]}) AS c{i}{j}" for i in range(3) for j in range(i, 3)] + [f"sum({x[i]} * value) AS b{i}" for i in range(3)])
+    past = ", ".join(f"sum({c}) OVER w AS {c}" for c in [*(f"c{i}{j}" for i in range(3) for j in range(i, 3)), "b0", "b1", "b2"])
+    cell = lambda i, j: f"(c{min(i, j)}{max(i, j)}{' + 1' if i == j else ''})"
+
+    def det(replaced: int | None) -> str:
+        at = lambda i, j: f"b{i}" if j == replaced else cell(i, j)
+        return f"({at(0, 0)} * ({at(1, 1)} * {at(2, 2)} - {at(1, 2)} * {at(2, 1)}) - {at(0, 1)} * ({at(1, 0)} * {at(2, 2)} - {at(1, 2)} * {at(2, 0)}) + {at(0, 2)} * ({at(1, 0)} * {at(2, 1)} - {at(1, 1)} * {at(2, 0)}))"
+
+    fit = ", ".join(f"{det(k)} / {det(None)} AS w{k}" for k in range(3))
+    return f"""WITH {MEMBERS}, x AS (SELECT v.*, c_acctbal, c_nationkey FROM v JOIN customer ON entity = c_custkey), g AS (SELECT cohort, {sums} FROM x GROUP BY 1), p AS (SELECT cohort, {past} FROM g WINDOW w AS (ORDER BY cohort ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT cohort, {fit} FROM p) SELECT cohort, entity, round(w0 * c_acctbal + w1 * c_nationkey + w2, 2) AS score FROM x JOIN f USING (cohort)"""
+
+
+@book.query(_ridge_sql())
 def ridge_cohort_fit(spark, d):
     """Each cohort scored by a model of the cohorts before it."""
     return rounded(models.causal_scores(_rows(spark, d), ["c_acctbal", "c_nationkey"], "value", "cohort").select("cohort", "entity", "score"), 2)
@@ -230,9 +265,9 @@ def ridge_cohort_fit(spark, d):
 
 @book.query()
 def gbt_cohort_fit(spark, d):
-    """M3 through the plug-in table."""
+    """M3 through the plug-in table: every cohort behind the training ones."""
     x = _rows(spark, d)
-    return rounded(models.FAMILIES["gbt"](x.filter("cohort <= 1998"), x.filter("cohort = 1999"), ["c_acctbal", "c_nationkey"], "value").select("cohort", "entity", "score"), 2)
+    return rounded(models.FAMILIES["gbt"](x.filter("cohort <= 1998"), x.filter("cohort > 1998"), ["c_acctbal", "c_nationkey"], "value").select("cohort", "entity", "score"), 2)
 
 
 @book.query("""WITH t AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 5 <> 0), p AS (SELECT a.vec_id, b.vec_id AS o, b.label AS y, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN t b ON a.vec_id <> b.vec_id WHERE a.vec_id % 5 = 0),
@@ -243,19 +278,31 @@ def knn_weighted(spark, d):
     return rounded(models.knn(e.filter("vec_id % 5 <> 0"), e.filter("vec_id % 5 = 0"), "embedding", "label", "vec_id"), 5)
 
 
-@book.query()
+def _draw_sql(seed: int, *keys: str) -> str:
+    """``sampling.draw`` as SQL."""
+    return f"('0x' || substr(md5({' || '.join([*(chr(39).join([f'{k} || ', '|', '']) for k in keys), repr(str(seed))])}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+ROWS = f"WITH {MEMBERS}, x AS (SELECT v.*, c_acctbal, c_nationkey FROM v JOIN customer ON entity = c_custkey)"
+
+
+@book.query(f"""{ROWS}, d AS (SELECT x.*, replicate, {_draw_sql(0, 'entity', 'replicate')} AS u FROM x, (SELECT unnest(range(1, 21)) AS replicate)),
+n AS (SELECT *, (u >= 0.36787944)::INT + (u >= 0.73575888)::INT + (u >= 0.91969860)::INT + (u >= 0.98101184)::INT + (u >= 0.99634015)::INT AS n FROM d), k AS (SELECT cohort, replicate, value, c_acctbal, unnest(range(n)) AS k FROM n WHERE n > 0),
+r AS (SELECT cohort, replicate, {rank_sql('c_acctbal', 'replicate, cohort')} AS a, {rank_sql('value', 'replicate, cohort')} AS b FROM k), e AS (SELECT replicate, cohort, corr(a, b) AS rho FROM r GROUP BY 1, 2) SELECT replicate, round(avg(rho), 6) AS mean_rho FROM e GROUP BY 1""")
 def bootstrap_gap(spark, d):
     return rounded(sampling.bootstrap(_rows(spark, d), "cohort", "entity", "c_acctbal", "value", 20))
 
 
-@book.query()
+@book.query(f"""{ROWS}, a AS (SELECT cohort, c_acctbal, row_number() OVER (PARTITION BY cohort ORDER BY entity) AS i FROM x), b AS (SELECT cohort, value, row_number() OVER (PARTITION BY cohort ORDER BY {_draw_sql(0, 'entity')}, entity) AS i FROM x),
+j AS (SELECT cohort, c_acctbal, value FROM a JOIN b USING (cohort, i)), r AS (SELECT cohort, {rank_sql('value', 'cohort')} AS u, {rank_sql('c_acctbal', 'cohort')} AS w FROM j) SELECT cohort, count(*) AS n, round(corr(u, w), 6) AS rho FROM r GROUP BY 1""")
 def permutation_null(spark, d):
     from orderloom.operators.stats import spearman
 
     return rounded(spearman(sampling.permuted(_rows(spark, d), ["cohort"], "entity", "value"), "value", "c_acctbal", ["cohort"]))
 
 
-@book.query()
+@book.query(f"""{ROWS}, m AS (SELECT *, {_draw_sql(1, 'entity')} AS s, coalesce(lead(value) OVER w, value) AS v2, coalesce(lead(c_acctbal) OVER w, c_acctbal) AS b2 FROM x WINDOW w AS (PARTITION BY cohort ORDER BY {_draw_sql(0, 'entity')}, entity))
+SELECT cohort, entity, round(s * value + (1 - s) * v2, 6) AS value, round(s * c_acctbal + (1 - s) * b2, 6) AS c_acctbal FROM m""")
 def mixup_rows(spark, d):
     return rounded(sampling.mixup(_rows(spark, d), ["cohort"], "entity", ["value", "c_acctbal"]).select("cohort", "entity", "value", "c_acctbal"))
 
