@@ -1,23 +1,28 @@
 """Ranking rules over columns of scores, and the small language that names them.
 
 A rule is a name and arguments in brackets, which may be rules themselves:
-``blend(a:0.7,b:0.3)``, ``median(a,b,c)``, ``tilt(blend(a:1,b:1),age,-0.1)``,
-``route(flag,a,b)``, ``max(a,b)``, ``min(a,b)``, ``rank(a)``, ``stack(0.4:a,0.6:b)``.
-A plain name is a column. Rules compile to columns, so a sweep over many is one job.
+``blend(a:0.7,b:0.3)``, ``median(a,b,c)``, ``tilt(a,column,-0.1)``, ``youth(a,age,0.1)``,
+``stack(0.4:a,0.6:b)``, ``consensus(a,board,0.4)``, ``listed(a,board,0.4)``, ``special(a,other,member,0.5)``,
+``upside(a,b,0.5)``, ``floor(a,b,0.5)``, ``route(flag,a,b)``, ``max(a,b)``, ``min(a,b)``, ``rank(a)``.
+A plain name is a column. Rules compile to columns level by level: the ranks that a level needs
+are taken once, whatever the number of rules that use them, so a sweep over many is one job.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.nulls import corr, row_median
-from orderloom.operators.windows import average_rank, pct_rank
+from orderloom.operators.windows import pct_rank, ranked, with_pct_ranks
 
 TOKEN = re.compile(r"\s*([A-Za-z_]\w*|[-+]?\d+(?:\.\d+)?|[(),:])")
+UNLISTED = 61.0  # the place behind a board's end
+DIGITS = 9  # that a rule's score has, so that the order of its sums makes no order of members
 
 
 def blend(parts: list[tuple[Column | str, float]], by: list[str]) -> Column:
@@ -29,7 +34,7 @@ def blend(parts: list[tuple[Column | str, float]], by: list[str]) -> Column:
     return out / total
 
 
-def consensus(x: Column | str, board: str, weight: float, by: list[str], unranked: float = 61.0, skip: bool = False) -> Column:
+def consensus(x: Column | str, board: str, weight: float, by: list[str], unranked: float = UNLISTED, skip: bool = False) -> Column:
     """Blend with an outside board; who it does not list stands behind its end, or keeps the own rank."""
     own, listed = pct_rank(x, by), F.col(board)
     theirs = pct_rank(-F.coalesce(listed, F.lit(unranked)), by)
@@ -43,33 +48,15 @@ def special(x: Column | str, other: str, weight: float, member: Column, by: list
     return F.when(member & F.col(other).isNotNull(), (1 - weight) * own + weight * pct_rank(other, by)).otherwise(own)
 
 
-def median_rank(columns: list[Column | str], by: list[str]) -> Column:
-    return row_median(*(average_rank(c, by, descending=True) for c in columns))
-
-
-def tilt(x: Column | str, column: str, weight: float, by: list[str]) -> Column:
-    """Add a weighted rank of a column whose gaps take the cohort's median."""
-    filled = F.coalesce(F.col(column).cast("double"), F.median(column).over(Window.partitionBy(*by)))
-    return pct_rank(x, by) + weight * pct_rank(filled, by)
-
-
-def stack(parts: list[tuple[float, Column | str]], by: list[str]) -> Column:
-    """Linear stack over percentile ranks; a missing rank counts as the middle."""
-    out = F.lit(0.0)
-    for w, x in parts:
-        out = out + w * F.coalesce(pct_rank(x, by), F.lit(0.5))
-    return out
-
-
-def route(flag: Column, a: Column, b: Column) -> Column:
-    return F.when(flag, a).otherwise(b)
-
-
 @dataclass(frozen=True)
 class Node:
     name: str
     args: tuple[tuple[Node | float, float | Node | None], ...] = ()
 
+    @property
+    def depth(self) -> int:
+        return 1 + max((x.depth for pair in self.args for x in pair if isinstance(x, Node)), default=0) if self.args else 0
+
 
 def parse(text: str) -> Node:
     """The tree of a rule's text."""
@@ -110,72 +97,235 @@ def parse(text: str) -> Node:
     return node
 
 
-def flatten(df: DataFrame, node: Node, by: list[str], names: list[str]) -> tuple[DataFrame, str]:
-    """df with a column for every inner rule, so that no window nests in another; and the rule's column."""
-    if not node.args:
-        return df, node.name
-    args = []
-    for pair in node.args:
-        own = []
-        for x in pair:
-            if isinstance(x, Node):
-                df, x = flatten(df, x, by, names)
-            own.append(x)
-        args.append(tuple(own))
-    first = [a for a, _ in args]
-    if node.name == "blend":
-        made = blend([(a, 1.0 if w is None else w) for a, w in args], by)
-    elif node.name == "stack":
-        made = stack([(w, x) for w, x in args], by)
-    elif node.name == "median":
-        made = -median_rank(first, by)
-    elif node.name == "tilt":
-        made = tilt(first[0], first[1], first[2], by)
-    elif node.name == "rank":
-        made = pct_rank(first[0], by)
-    elif node.name == "route":
-        made = route(F.col(first[0]).cast("boolean"), F.col(first[1]), F.col(first[2]))
-    elif node.name in ("max", "min"):
-        made = (F.greatest if node.name == "max" else F.least)(*map(F.col, first))
-    else:
-        raise ValueError(f"no rule {node.name!r}")
-    name = f"_rule{len(names)}"
-    names.append(name)
-    return df.withColumn(name, made), name
-
-
-def apply(df: DataFrame, rules: dict[str, str], by: list[str]) -> DataFrame:
-    """df with one column for each named rule."""
-    inner: list[str] = []
-    for name, text in rules.items():
-        df, made = flatten(df, parse(text), by, inner)
-        df = df.withColumn(name, F.col(made))
-    return df.drop(*inner)
-
-
-def sweep(df: DataFrame, rules: dict[str, str], by: str, value: str) -> DataFrame:
+#: A compiled rule asks for ranks with these and combines them: percentile rank, rank from the top, column.
+Rank = Callable[[str, str], Column]
+
+
+def _combine(name: str, first: list, second: list, pct: Callable[..., Column], place: Callable[[str], Column]) -> Column:
+    """The column of one rule whose arguments are column names and numbers."""
+    if name == "blend":
+        weights = [1.0 if w is None else w for w in second]
+        out = F.lit(0.0)
+        for a, w in zip(first, weights, strict=True):
+            out = out + pct(a) * w
+        return out / sum(weights)
+    if name == "stack":  # a missing rank counts as the middle
+        out = F.lit(0.0)
+        for w, x in zip(first, second, strict=True):
+            out = out + w * F.coalesce(pct(x), F.lit(0.5))
+        return out
+    if name == "median":
+        return -row_median(*(place(a) for a in first))
+    if name == "rank":
+        return pct(first[0])
+    if name == "tilt":  # a column's gaps take the cohort's median
+        return (1 - abs(first[2])) * pct(first[0]) + first[2] * pct(first[1], "median")
+    if name == "youth":  # gaps take the median of all; the young come first
+        return (1 - first[2]) * pct(first[0]) + first[2] * pct(first[1], "young")
+    if name in ("consensus", "listed"):
+        mixed = (1 - first[2]) * pct(first[0]) + first[2] * pct(first[1], "board")
+        return mixed if name == "consensus" else F.when(F.col(first[1]).isNull(), pct(first[0])).otherwise(mixed)
+    if name == "special":
+        own = pct(first[0])
+        there = F.col(first[2]).cast("boolean") & F.col(first[1]).isNotNull()
+        return F.when(there, (1 - first[3]) * own + first[3] * pct(first[1])).otherwise(own)
+    if name in ("upside", "floor"):
+        return F.col(first[0]) + (first[2] if name == "upside" else -first[2]) * F.col(first[1])
+    if name == "route":
+        return F.when(F.col(first[0]).cast("boolean"), F.col(first[1])).otherwise(F.col(first[2]))
+    if name in ("max", "min"):
+        return (F.greatest if name == "max" else F.least)(*map(F.col, first))
+    raise ValueError(f"no rule {name!r}")
+
+
+def apply(df: DataFrame, rules: dict[str, str], by: list[str], **how) -> DataFrame:
+    """df with one column for each named rule. how: see ``windows.ranked``."""
+    trees = {name: parse(text) for name, text in rules.items()}
+    inner: dict[Node, str] = {}
+
+    def gather(node: Node) -> None:
+        for pair in node.args:
+            for x in pair:
+                if isinstance(x, Node):
+                    gather(x)
+        if node.args:
+            inner.setdefault(node, f"_rule{len(inner)}")
+
+    for tree in trees.values():
+        gather(tree)
+    given = lambda x: x if not isinstance(x, Node) else inner.get(x, x.name)
+    held: dict[tuple[str, str], str] = {}
+    columns = list(df.columns)
+    for depth in range(1, max((n.depth for n in inner), default=0) + 1):
+        need: dict[tuple[str, str], str] = {}
+
+        def ask(column: str, kind: str = "pct", need=need) -> Column:
+            if (column, kind) not in held:
+                need.setdefault((column, kind), f"_rank{len(held) + len(need)}")
+            return F.col(held.get((column, kind)) or need[column, kind])
+
+        made = {}
+        for node, name in inner.items():
+            if node.depth == depth:
+                first, second = ([given(pair[i]) for pair in node.args] for i in (0, 1))
+                made[name] = F.round(_combine(node.name, first, second, ask, lambda c, ask=ask: ask(c, "place")).cast("double"), DIGITS)
+        df = _with_ranks(df, need, by, how)
+        held |= need
+        df = df.withColumns(made)
+    return df.select(*columns, *(F.col(given(tree)).alias(name) for name, tree in trees.items()))
+
+
+def _with_ranks(df: DataFrame, need: dict[tuple[str, str], str], by: list[str], how: dict) -> DataFrame:
+    """df with the ranks that a level asks for, named as asked."""
+    pct, place = {}, {}
+    for (column, kind), name in need.items():
+        c = F.col(column)
+        if kind == "median":
+            c = F.coalesce(c.cast("double"), F.median(c).over(Window.partitionBy(*by)))
+        elif kind == "young":
+            middle = df.agg(F.median(column)).first()[0]
+            c = -F.coalesce(c.cast("double"), F.lit(middle))
+        elif kind == "board":
+            c = -F.coalesce(c.cast("double"), F.lit(UNLISTED))
+        (place if kind == "place" else pct)[name] = -c if kind == "place" else c
+    filled = {f"_of{n}": c for n, c in {**pct, **place}.items()}
+    df = df.withColumns(filled) if filled else df
+    if pct:
+        df = with_pct_ranks(df, by, {n: f"_of{n}" for n in pct}, **how)
+    if place:
+        df = ranked(df, by, {n: f"_of{n}" for n in place}, **how)
+    return df.drop(*filled)
+
+
+def rhos(df: DataFrame, rules: dict[str, str], by: str, value: str, **how) -> DataFrame:
+    """(rule, by, rho): every rule's rank correlation with a value in every cohort.
+
+    Scores are laid out one row for each rule, so that a cohort's many ranks run as many tasks.
+    """
+    scored = ranked(apply(df, rules, [by], **how), [by], {"_v": value}, **how)
+    long = scored.select(by, "_v", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).cast("double").alias("score")) for r in rules))).alias("e")).select(by, "_v", "e.*")
+    return ranked(long, [by, "rule"], {"_s": "score"}, **how).groupBy("rule", by).agg(corr("_s", "_v").alias("rho"))
+
+
+def sweep(df: DataFrame, rules: dict[str, str], by: str, value: str, **how) -> DataFrame:
     """(rule, mean_rho, wins, n): every rule's rank correlation with a value over cohorts, in one job."""
-    scored = apply(df, rules, [by])
-    ranks = scored.select(by, average_rank(value, [by]).alias("_v"), *(average_rank(r, [by]).alias(r) for r in rules))
-    each = ranks.groupBy(by).agg(*(corr(r, "_v").alias(r) for r in rules))
-    long = each.select(by, F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("rho")) for r in rules))).alias("e")).select(by, "e.*")
-    return long.groupBy("rule").agg(F.avg("rho").alias("mean_rho"), F.count_if(F.col("rho") > 0).alias("wins"), F.count("rho").alias("n"))
+    return rhos(df, rules, by, value, **how).groupBy("rule").agg(F.avg("rho").alias("mean_rho"), F.count_if(F.col("rho") > 0).alias("wins"), F.count("rho").alias("n"))
 
 
-def weight_grid(df: DataFrame, a: str, b: str, by: str, value: str, steps: int = 10) -> DataFrame:
+def weight_grid(df: DataFrame, a: str, b: str, by: str, value: str, steps: int = 10, **how) -> DataFrame:
     """(weight, mean_rho) of blends w * a + (1 - w) * b for a grid of weights."""
-    ranks = df.select(by, pct_rank(a, [by]).alias("_a"), pct_rank(b, [by]).alias("_b"), F.col(value).alias("_y"))
+    ranks = with_pct_ranks(df.select(by, F.col(a).alias("_u"), F.col(b).alias("_w"), F.col(value).alias("_y")), [by], {"_a": "_u", "_b": "_w"}, **how)
+    ranks = ranked(ranks, [by], {"_v": "_y"}, **how).select(by, "_a", "_b", "_v")
     grid = ranks.withColumn("weight", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("weight", F.col("weight") / steps)
-    mixed = grid.withColumn("_s", F.round(F.col("weight") * F.col("_a") + (1 - F.col("weight")) * F.col("_b"), 9))
-    both = mixed.select(by, "weight", average_rank("_s", [by, "weight"]).alias("_s"), average_rank("_y", [by, "weight"]).alias("_y"))
-    return both.groupBy(by, "weight").agg(corr("_s", "_y").alias("rho")).groupBy("weight").agg(F.avg("rho").alias("mean_rho"))
+    mixed = grid.withColumn("_m", F.round(F.col("weight") * F.col("_a") + (1 - F.col("weight")) * F.col("_b"), 9))
+    both = ranked(mixed, [by, "weight"], {"_s": "_m"}, **how)
+    return both.groupBy(by, "weight").agg(corr("_s", "_v").alias("rho")).groupBy("weight").agg(F.avg("rho").alias("mean_rho"))
 
 
-def greedy(df: DataFrame, candidates: list[str], by: str, value: str, rounds: int = 5) -> list[str]:
-    """Forward selection with repetition: each round adds the column that helps the blend most. One job a round."""
+def greedy(df: DataFrame, candidates: list[str], by: str, value: str, rounds: int = 12, least_gain: float = 1e-6) -> list[str]:
+    """Forward selection with repetition: each round adds the column that helps the blend most, until none does. One job a round."""
     chosen: list[str] = []
+    last: float | None = None
     for _ in range(rounds):
         rules = {c: "blend(" + ",".join(f"{x}:{[*chosen, c].count(x)}" for x in dict.fromkeys([*chosen, c])) + ")" for c in candidates}
-        got = sweep(df, {f"try_{c}": r for c, r in rules.items()}, by, value).orderBy(F.desc("mean_rho"), "rule").first()
+        got = sweep(df, {f"try_{c}": r for c, r in rules.items()}, by, value).withColumn("mean_rho", F.round("mean_rho", 12)).orderBy(F.desc("mean_rho"), "rule").first()
+        if last is not None and got["mean_rho"] <= last + least_gain:
+            break
         chosen.append(got["rule"].removeprefix("try_"))
+        last = got["mean_rho"]
     return chosen
+
+
+# -- exhaustive sweep ----------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Covers:
+    """Columns that overlays may lean on; None where a table has none."""
+
+    age: str | None = None
+    board: str | None = None
+    other: str | None = None  # a score of a population
+    member: str | None = None  # flag of that population
+    tilts: tuple[str, ...] = ()
+    short: tuple[tuple[str, str, str], ...] = ()  # (config, flag of cohorts with short labels, its twin)
+    bins: tuple[tuple[str, str, str, str], ...] = ()  # (config, expected bin, share of the top bin, share of the bottom bin)
+
+
+def pure_rules(configs: list[str], order: list[str], covers: Covers) -> dict[str, str]:
+    """Rules of predictions alone. order: configs from best to worst, for the blends of the best few."""
+    out = {f"one {c}": f"rank({c})" for c in configs}
+    out |= {f"route {c}": f"route({flag},{twin},{c})" for c, flag, twin in covers.short}
+    if len(configs) > 1:
+        out["blend all"] = f"blend({','.join(configs)})"
+        out["median all"] = f"median({','.join(configs)})"
+        out |= {f"blend {a} {b}": f"blend({a},{b})" for i, a in enumerate(configs) for b in configs[i + 1 :]}
+        for k in range(3, min(len(order), 8) + 1):
+            out[f"blend best {k}"], out[f"median best {k}"] = f"blend({','.join(order[:k])})", f"median({','.join(order[:k])})"
+    for c, expected, top, bottom in covers.bins:
+        for much in (0.5, 1.0, 2.0, 4.0):
+            out[f"upside {c} {much}"], out[f"floor {c} {much}"] = f"upside({expected},{top},{much})", f"floor({expected},{bottom},{much})"
+    return out
+
+
+def overlays(name: str, rule: str, covers: Covers) -> dict[str, str]:
+    """Rules that lean a rule towards what was known beside the predictions."""
+    out = {}
+    if covers.other and covers.member:
+        out |= {f"special {a} on {name}": f"special({rule},{covers.other},{covers.member},{a})" for a in (0.3, 0.5, 0.7, 1.0)}
+    if covers.age:
+        out |= {f"youth {b} on {name}": f"youth({rule},{covers.age},{b})" for b in (0.1, 0.2, 0.3)}
+    for c in covers.tilts:
+        out |= {f"tilt {c} {b} on {name}": f"tilt({rule},{c},{b})" for b in (-0.15, -0.08, 0.08, 0.15)}
+    if covers.board:
+        out |= {f"consensus {w} on {name}": f"consensus({rule},{covers.board},{w})" for w in (0.3, 0.4, 0.5, 0.6, 0.7)}
+        out |= {f"listed {w} on {name}": f"listed({rule},{covers.board},{w})" for w in (0.5, 0.6)}
+    return out
+
+
+@dataclass(frozen=True)
+class Judged:
+    rule: str
+    text: str
+    mean_rho: float
+    gain: float  # over the best single config, mean over cohorts
+    wins: int
+    robust: bool
+
+
+def exhaustive(df: DataFrame, configs: list[str], by: str, value: str, covers: Covers = Covers(), **how) -> list[Judged]:
+    """All rules from best to worst; a few jobs, each over all rules of its stage. What is collected is one number a rule and cohort."""
+    rules: dict[str, str] = {}
+    found: dict[str, dict] = {}
+
+    def judge(more: dict[str, str]) -> None:
+        names = {f"r{len(rules) + i}": n for i, n in enumerate(more)}
+        for r in rhos(df, {k: more[n] for k, n in names.items()}, by, value, **how).collect():
+            if r["rho"] is not None:
+                found.setdefault(names[r["rule"]], {})[r[by]] = r["rho"]
+        rules.update(more)
+
+    mean = lambda n: sum(found[n].values()) / len(found[n]) if found.get(n) else float("-inf")
+    best = lambda names: sorted(names, key=lambda n: (-mean(n), n))
+    judge({f"one {c}": f"rank({c})" for c in configs})
+    order = [n.removeprefix("one ") for n in best([f"one {c}" for c in configs])]
+    pure = pure_rules(configs, order, covers)
+    if len(configs) > 1:
+        chosen = greedy(df, configs, by, value)
+        pure["greedy"] = "blend(" + ",".join(f"{c}:{chosen.count(c)}" for c in dict.fromkeys(chosen)) + ")"
+    judge({n: r for n, r in pure.items() if n not in rules})
+    judge({k: v for n in best(list(rules))[:3] for k, v in overlays(n, rules[n], covers).items()} | ({"board alone": f"consensus({configs[0]},{covers.board},1.0)"} if covers.board else {}))
+    leaning = [n for n in rules if n.startswith(("consensus", "youth"))]
+    if leaning and covers.other and covers.member:
+        top = best(leaning)[0]
+        judge({f"special {a} on {top}": f"special({rules[top]},{covers.other},{covers.member},{a})" for a in (0.3, 0.5)})
+    base = f"one {order[0]}"
+    out = []
+    for n in best(list(rules)):
+        cohorts = sorted(set(found.get(n, {})) & set(found.get(base, {})))
+        gains = [found[n][c] - found[base][c] for c in cohorts]
+        needed = len(cohorts) if len(cohorts) <= 5 else -(-8 * len(cohorts) // 10)
+        gain, wins = (sum(gains) / len(gains) if gains else float("-inf")), sum(g > 0 for g in gains)
+        holds = gain >= 0.01 and wins >= needed and all(g > 0 for g in gains[-2:])
+        out.append(Judged(n, rules[n], mean(n), gain, wins, n == base or holds))
+    return out

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.nulls import corr, col, sdiv
-from orderloom.operators.windows import average_rank
+from orderloom.operators.lineage import cut
+from orderloom.operators.windows import ranked
 
 
 def wmean(x: Column | str, w: Column | str) -> Column:
@@ -43,7 +45,7 @@ def wls(x: Column | str, y: Column | str, w: Column | float = 1.0) -> tuple[Colu
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """(by, n, rho): rank correlation of rows where both are present."""
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, average_rank(x, by).alias("_x"), average_rank(y, by).alias("_y"))
+    rows = ranked(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_u"), F.col(y).alias("_v")), by, {"_x": "_u", "_y": "_v"})
     return rows.groupBy(*by).agg(F.count("*").alias("n"), corr("_x", "_y").alias("rho"))
 
 
@@ -97,3 +99,129 @@ def global_rank(df: DataFrame, x: str, parts: int = 64) -> DataFrame:
     below = totals.withColumn("_o", F.sum("_t").over(Window.partitionBy(F.lit(1)).orderBy("_r")) - F.col("_t")).select("_r", "_o")
     own = F.sum("_n").over(Window.partitionBy("_r").orderBy(x))
     return counts.join(F.broadcast(below), "_r").select(x, (F.col("_o") + own - (F.col("_n") - 1) / 2.0).alias("rank"))
+
+
+def iterated_ratings(games: DataFrame, a: str, b: str, margin: str, rounds: int = 50, every: int = 10) -> DataFrame:
+    """(a, r): a side's mean margin plus its opponents' ratings, over rounds; the mean is zero after each.
+
+    Pairs are counted once, so a round is one join of ratings and one aggregate; the lineage is cut
+    every few rounds.
+    """
+    mine = games.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(margin).alias("m"))
+    both = mine.unionByName(mine.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("m")).alias("m")))
+    pairs = cut(both.groupBy("a", "b").agg(F.sum("m").alias("m"), F.count("*").alias("n")))
+    r = pairs.select("a").distinct().withColumn("r", F.lit(0.0))
+    for i in range(1, rounds + 1):
+        opponent = r.select(F.col("a").alias("b"), "r")
+        r = pairs.join(opponent, "b").groupBy("a").agg((F.sum(F.col("m") + F.col("n") * F.col("r")) / F.sum("n")).alias("r"))
+        if i % every == 0 or i == rounds:
+            # every side has a game, so taking a constant off all ratings takes the same off the next round's: the mean may go when the lineage is cut
+            r = cut(r)
+            r = r.withColumn("r", F.col("r") - F.lit(r.agg(F.avg("r")).first()[0]))
+    return r
+
+
+def wls_fit(df: DataFrame, by: list[str], y: str, xs: list[str], weight: str | None = None) -> DataFrame:
+    """(by, n, coefficients, errors): weighted least squares of each group with an intercept, which comes first.
+
+    Groups are reduced to moments about their means by one aggregate; small systems are solved many
+    at a time in Arrow batches. NULL where a group has no more rows than coefficients, or columns
+    that depend on one another.
+    """
+    p = len(xs)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = df.select(*by, w.alias("_w"), F.col(y).cast("double").alias("_y"), *(F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)))
+    rows = rows.filter(" and ".join(f"{c} is not null" for c in ("_w", "_y", *(f"_x{i}" for i in range(p)))) + " and _w > 0")
+    own = Window.partitionBy(*by)
+    mean = lambda c: F.sum(F.col("_w") * F.col(c)).over(own) / F.sum("_w").over(own)
+    values = [*(f"_x{i}" for i in range(p)), "_y"]
+    rows = rows.withColumns({f"_m{c}": mean(c) for c in values})
+    centred = {c: F.col(c) - F.col(f"_m{c}") for c in values}
+    cells = [F.sum(F.col("_w") * centred[a] * centred[b]) for i, a in enumerate(values) for b in values[i:]]
+    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("_w").alias("_sw"), F.array(*(F.first(f"_m{c}") for c in values)).alias("_mean"), F.array(*cells).alias("_cell"))
+    plain = sums.toDF(*(f"c{i}" for i in range(len(sums.columns))))
+    k = len(by)
+    kinds = ", ".join(f"`{b}` {sums.schema[b].dataType.simpleString()}" for b in by)
+
+    def solve(batches):
+        upper = np.triu_indices(p + 1)
+        for batch in batches:
+            n, sw = batch.column(k).to_numpy(), batch.column(k + 1).to_numpy()
+            means, cell = (np.stack(batch.column(k + j).to_numpy(zero_copy_only=False)) for j in (2, 3))
+            m = np.zeros((len(n), p + 1, p + 1))
+            m[:, upper[0], upper[1]] = cell
+            m = m + np.triu(m, 1).transpose(0, 2, 1)
+            scale = np.sqrt(np.maximum(np.einsum("nii->ni", m)[:, :p], 1e-300))
+            a = m[:, :p, :p] / scale[:, :, None] / scale[:, None, :]  # correlations: their conditioning is that of the columns
+            good = (n > p + 1) & (np.linalg.cond(np.where(np.isfinite(a), a, 0)) < 1e10) if p else n > 1
+            back = np.zeros_like(a)
+            back[good] = np.linalg.inv(a[good])
+            back = back / scale[:, :, None] / scale[:, None, :]
+            slope = np.einsum("nij,nj->ni", back, m[:, :p, p])
+            start = means[:, p] - np.einsum("ni,ni->n", slope, means[:, :p])
+            rest = np.maximum(m[:, p, p] - np.einsum("ni,ni->n", slope, m[:, :p, p]), 0)
+            s2 = rest / np.maximum(n - p - 1, 1)
+            error = np.sqrt(np.maximum(np.einsum("nii->ni", back), 0) * s2[:, None])
+            first = np.sqrt((1 / sw + np.einsum("ni,nij,nj->n", means[:, :p], back, means[:, :p])) * s2)
+            both = [np.column_stack((start, slope)), np.column_stack((first, error))]
+            lists = [pa.array([r.tolist() if g else None for r, g in zip(x, good, strict=True)], pa.list_(pa.float64())) for x in both]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k + 1)), *lists], [*by, "n", "coefficients", "errors"])
+
+    return plain.mapInArrow(solve, f"{kinds}, n long, coefficients array<double>, errors array<double>")
+
+
+def ridge_ratings(games: DataFrame, home: str, away: str, margin: str, neutral: str, ridge: float = 1.0, least_games: int = 10, rounds: int = 200, tolerance: float = 1e-10) -> DataFrame:
+    """(team, r, games): ratings of margin = r_home - r_away + advantage by ridge least squares, with mean 0.
+
+    The normal equations are solved by conjugate gradients: a step multiplies by counts of pairs, a
+    join and an aggregate, whatever the number of teams; the home advantage is one number beside.
+    Teams with fewer games than ``least_games`` are left out at the end.
+    """
+    g = games.filter(F.col(margin).isNotNull()).select(F.col(home).alias("a"), F.col(away).alias("b"), F.col(margin).cast("double").alias("m"), F.when(F.coalesce(F.col(neutral), F.lit(False)), 0.0).otherwise(1.0).alias("h"))
+    both = g.select("a", "b", "m", "h").unionByName(g.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("m")).alias("m"), (-F.col("h")).alias("h")))
+    pairs = cut(both.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("m").alias("m"), F.sum("h").alias("h")))
+    team = cut(pairs.groupBy("a").agg(F.sum("n").alias("games"), F.sum("m").alias("s"), F.sum("h").alias("h")))
+    advantage = g.agg(F.sum(F.col("h") * F.col("m")).alias("s"), F.sum("h").alias("n")).first()
+    # unknowns: a rating for each team (columns r, g, p) and the advantage (numbers); A is symmetric and positive
+    state = team.select("a", "games", "h", F.lit(0.0).alias("r"), F.col("s").alias("g"), F.col("s").alias("p"))
+    r0, g0 = 0.0, advantage["s"] or 0.0
+    p0, weight0 = g0, (advantage["n"] or 0.0) + ridge
+    size = (state.agg(F.sum(F.col("g") * F.col("g"))).first()[0] or 0.0) + g0 * g0
+    start = size
+    for i in range(rounds):
+        if size <= tolerance * tolerance * max(start, 1e-300):
+            break
+        near = pairs.join(state.select(F.col("a").alias("b"), F.col("p").alias("_p")), "b").groupBy("a").agg(F.sum(F.col("n") * F.col("_p")).alias("_np"))
+        state = state.join(near, "a").withColumn("q", (F.col("games") + ridge) * F.col("p") - F.col("_np") + F.col("h") * p0).drop("_np")
+        state = cut(state) if i % 4 == 3 else state
+        got = state.agg(F.sum(F.col("p") * F.col("q")).alias("pq"), F.sum(F.col("h") * F.col("p")).alias("hp")).first()
+        q0 = got["hp"] + weight0 * p0
+        step = size / (got["pq"] + p0 * q0)
+        r0, g0 = r0 + step * p0, g0 - step * q0
+        state = state.withColumns({"r": F.col("r") + step * F.col("p"), "g": F.col("g") - step * F.col("q")}).drop("q")
+        then = state.agg(F.sum(F.col("g") * F.col("g"))).first()[0] + g0 * g0
+        state = state.withColumn("p", F.col("g") + (then / size) * F.col("p"))
+        p0, size = g0 + then / size * p0, then
+    kept = state.filter(F.col("games") >= least_games)
+    middle = kept.agg(F.avg("r")).first()[0] or 0.0
+    return kept.select(F.col("a").alias("team"), (F.col("r") - middle).alias("r"), "games")
+
+
+def by_group(df: DataFrame, by: list[str], work, schema: str) -> DataFrame:
+    """Any function of a group's rows as an Arrow table; each group goes to one task, so give only groups of bounded size.
+
+    What sums, ranks and windows can say should be said with those.
+    """
+    return df.groupBy(*by).applyInArrow(work, schema)
+
+
+def transposed(df: DataFrame, key: str, columns: list[str], values: list) -> DataFrame:
+    """(column, one column for each listed key): a report's rows and columns exchanged."""
+    long = df.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))).alias("e")).select(key, "e.*")
+    return long.groupBy("column").pivot(key, values).agg(F.first("v"))
+
+
+def beside(a: DataFrame, b: DataFrame, order_a: list[Column], order_b: list[Column], by: list[str]) -> DataFrame:
+    """Rows of two tables with the same place in their groups' orders, side by side; a place that only one has is filled with NULL."""
+    place = lambda d, order: d.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return place(a, order_a).join(place(b, order_b), [*by, "_place"], "full").withColumnRenamed("_place", "place")

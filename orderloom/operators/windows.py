@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.nulls import clip, col, sdiv
-from orderloom.functions.numbers import norm_ppf
+from orderloom.functions.numbers import norm_ppf, with_ppf
 
 
 def average_rank(x: Column | str, by: list[str], descending: bool = False) -> Column:
@@ -35,6 +35,63 @@ def gauss_rank(x: Column | str, by: list[str], low: float = 0.01, high: float =
     return norm_ppf(clip((average_rank(x, by) - 0.5) / n, low, high))
 
 
+def _bytes(df: DataFrame) -> int:
+    """Bytes that a plan reads, by the sizes of its tables; a table of unknown size counts as very large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def ranked(df: DataFrame, by: list[str], columns: dict[str, Column | str], *, counts: bool = False, most_bytes: int = 1 << 31, parts: int = 256) -> DataFrame:
+    """df with the average rank of each column within its cohort; counts: and of its present values, as ``{name}_n``.
+
+    Plans that read up to most_bytes are ranked by windows over cohorts. Beyond it a
+    cohort may be larger than a task: its values are dealt to up to parts ranges at approximate
+    quantiles, windows run over ranges, and the rows of the ranges below are added. The ranks are the
+    same: equal values share a range.
+    """
+    if _bytes(df) <= most_bytes:
+        out = {}
+        for name, x in columns.items():
+            out[name] = average_rank(x, by)
+            if counts:
+                out[f"{name}_n"] = F.count(col(x)).over(Window.partitionBy(*by))
+        return df.withColumns(out)
+    for name, x in columns.items():
+        df = _ranked_in_ranges(df, by, name, col(x), counts, parts)
+    return df
+
+
+def _ranked_in_ranges(df: DataFrame, by: list[str], name: str, x: Column, counts: bool, parts: int) -> DataFrame:
+    keys = {f"_k{i}": k for i, k in enumerate(by)}
+    rows = df.withColumn("_x", x.cast("double"))
+    side = lambda d: d.select(*(F.col(k).alias(n) for n, k in keys.items()), *(c for c in d.columns if c not in by))
+    same = [F.col(k).eqNullSafe(F.col(n)) for n, k in keys.items()]
+    cuts = rows.groupBy(*by).agg(F.percentile_approx("_x", [i / parts for i in range(1, parts)], 100 * parts).alias("_cuts"))
+    rows = rows.join(side(cuts), same, "left").drop(*keys).withColumn("_part", F.size(F.filter(F.array_distinct(F.coalesce("_cuts", F.array().cast("array<double>"))), lambda c: c < F.col("_x")))).drop("_cuts")
+    sizes = rows.filter("_x is not null").groupBy(*by, "_part").agg(F.count("*").alias("_size"))
+    up = Window.partitionBy(*by).orderBy("_part")  # a cohort's ranges, of which there are parts at most
+    below = sizes.select(*by, "_part", (F.sum("_size").over(up) - F.col("_size")).alias("_below"), F.sum("_size").over(Window.partitionBy(*by)).alias("_all"))
+    rows = rows.join(side(below).withColumnRenamed("_part", "_p"), [*same, F.col("_part") == F.col("_p")], "left").drop(*keys, "_p")
+    own = average_rank("_x", [*by, "_part"])
+    rows = rows.withColumn(name, own + F.col("_below"))
+    if counts:
+        rows = rows.withColumn(f"{name}_n", F.coalesce("_all", F.lit(0)))
+    return rows.drop("_x", "_part", "_below", "_all")
+
+
+def with_pct_ranks(df: DataFrame, by: list[str], columns: dict[str, Column | str], **how) -> DataFrame:
+    """df with percentile ranks, the average rank over the number of present values; see ``ranked``."""
+    df = ranked(df, by, columns, counts=True, **how)
+    return df.withColumns({n: F.col(n) / F.col(f"{n}_n") for n in columns}).drop(*(f"{n}_n" for n in columns))
+
+
+def with_gauss_rank(df: DataFrame, by: list[str], x: Column | str, name: str, low: float = 0.01, high: float = 0.99, **how) -> DataFrame:
+    """df with the normal quantile of the rank, (rank - 1/2) / n held to low .. high; see ``ranked``."""
+    df = ranked(df, by, {"_g": x}, counts=True, **how)
+    df = df.withColumn("_p", clip((F.col("_g") - 0.5) / F.col("_g_n"), low, high))
+    return with_ppf(df, "_p", name).drop("_g", "_g_n", "_p")
+
+
 def bins(x: Column | str, by: list[str], k: int) -> Column:
     return F.least(F.floor(pct_rank(x, by) * k), F.lit(k - 1)).cast("int")
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.functions.nulls import corr, row_median
 from orderloom.functions.numbers import shrink
-from orderloom.operators import labels, metrics, rules, stats, windows
+from orderloom.operators import labels, metrics, rules, sampling, stats, windows
 from orderloom.operators.pit import best_periods, first_periods
 from orderloom.plans.base import MEMBERS, Book, member_values, pct_sql, rank_sql, rounded
 from orderloom.sources.readers import table
@@ -34,16 +36,18 @@ g AS (SELECT cohort, count(*) AS n, corr(rs, rv) AS rho, corr(rb, rv) AS rho_bas
 SELECT cohort, n, round(rho, 6) AS rho, round(rho_base, 6) AS rho_base, round(CASE WHEN b > t THEN 100 * (o - t) / (b - t) ELSE 0 END, 6) AS captured FROM g""")
 def flagship_order_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Rank correlation of a baseline and a challenger order, and value captured in the top 14."""
-    x = _scored(spark, d)
-    r = x.select("cohort", "entity", "value", windows.average_rank("value", ["cohort"]).alias("rv"), windows.average_rank("c_acctbal", ["cohort"]).alias("rs"), windows.average_rank("entity", ["cohort"], True).alias("rb"), windows.ordinal(["cohort"], F.desc("c_acctbal"), F.col("entity")).alias("ko"), windows.ordinal(["cohort"], F.col("entity")).alias("kt"), windows.ordinal(["cohort"], F.desc("value"), F.col("entity")).alias("kb"))
-    top = lambda k: F.sum(F.when(F.col(k) <= 14, F.col("value")))
-    g = r.groupBy("cohort").agg(F.count("*").alias("n"), corr("rs", "rv").alias("rho"), corr("rb", "rv").alias("rho_base"), top("ko").alias("o"), top("kt").alias("t"), top("kb").alias("b"))
+    x = _scored(spark, d).withColumn("order", -F.col("entity"))
+    r = windows.ranked(x, ["cohort"], {"rv": "value", "rs": "c_acctbal", "rb": "order"})
+    g = r.groupBy("cohort").agg(F.count("*").alias("n"), corr("rs", "rv").alias("rho"), corr("rb", "rv").alias("rho_base"))
+    for name, order in (("o", F.desc("c_acctbal")), ("t", F.desc("order")), ("b", F.desc("value"))):  # limits before the shuffle
+        top = windows.top_k(x, ["cohort"], [order, F.col("entity")], 14).groupBy("cohort").agg(F.sum("value").alias(name))
+        g = g.join(top, "cohort")
     return rounded(g.select("cohort", "n", "rho", "rho_base", F.when(F.col("b") > F.col("t"), 100 * (F.col("o") - F.col("t")) / (F.col("b") - F.col("t"))).otherwise(0.0).alias("captured")))
 
 
 @book.query(f"WITH {MEMBERS} SELECT cohort, entity, round({pct_sql('value', 'cohort')}, 6) AS pct FROM v")
 def pct_rank_avg(spark, d):
-    return rounded(member_values(spark, d).select("cohort", "entity", windows.pct_rank("value", ["cohort"]).alias("pct")))
+    return rounded(windows.with_pct_ranks(member_values(spark, d), ["cohort"], {"pct": "value"}).select("cohort", "entity", "pct"))
 
 
 @book.query(f"WITH {MEMBERS} SELECT cohort, entity, round((value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0), 6) AS z FROM v WINDOW w AS (PARTITION BY cohort)")
@@ -73,7 +77,7 @@ def _ppf_sql(p: str) -> str:
 
 @book.query(f"WITH {MEMBERS}, p AS (SELECT *, greatest(0.01, least(0.99, (({rank_sql('value', 'cohort')}) - 0.5) / count(value) OVER (PARTITION BY cohort)))::DOUBLE AS q FROM v) SELECT cohort, entity, round({_ppf_sql('q')}, 6) AS g FROM p")
 def gauss_rank(spark, d):
-    return rounded(member_values(spark, d).select("cohort", "entity", windows.gauss_rank("value", ["cohort"]).alias("g")))
+    return rounded(windows.with_gauss_rank(member_values(spark, d), ["cohort"], "value", "g").select("cohort", "entity", "g"))
 
 
 @book.query(f"WITH {MEMBERS}, n AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY cohort) AS k FROM v WHERE cohort <= 2000) SELECT entity, round(sum(value), 4) AS total, count(*) AS n FROM n WHERE k <= 3 GROUP BY entity")
@@ -182,11 +186,11 @@ def population_blend(spark, d):
     return rounded(x.select("cohort", "entity", rules.special("c_acctbal", "other", 0.5, F.col("c_nationkey") < 8, ["cohort"]).alias("score")))
 
 
-@book.query(f"{SCORED}, y AS (SELECT *, CASE WHEN entity % 4 <> 0 THEN c_nationkey::DOUBLE END AS age FROM x), z AS (SELECT *, coalesce(age, median(age) OVER (PARTITION BY cohort)) AS filled FROM y) SELECT cohort, entity, round({pct_sql('value', 'cohort')} + (-0.1) * ({pct_sql('filled', 'cohort')}), 6) AS score FROM z")
+@book.query(f"{SCORED}, y AS (SELECT *, CASE WHEN entity % 4 <> 0 THEN c_nationkey::DOUBLE END AS age FROM x), z AS (SELECT *, coalesce(age, median(age) OVER (PARTITION BY cohort)) AS filled, -coalesce(age, median(age) OVER ()) AS young FROM y) SELECT cohort, entity, round(0.9 * ({pct_sql('value', 'cohort')}) - 0.1 * ({pct_sql('filled', 'cohort')}), 6) AS score, round(0.8 * ({pct_sql('value', 'cohort')}) + 0.2 * ({pct_sql('young', 'cohort')}), 6) AS youth FROM z")
 def tilt_median_fill(spark, d):
     x = _scored(spark, d).withColumn("age", F.when(F.col("entity") % 4 != 0, F.col("c_nationkey").cast("double")))
-    x = rules.apply(x, {"score": "tilt(value,age,-0.1)"}, ["cohort"])
-    return rounded(x.select("cohort", "entity", "score"))
+    x = rules.apply(x, {"score": "tilt(value,age,-0.1)", "youth": "youth(value,age,0.2)"}, ["cohort"])
+    return rounded(x.select("cohort", "entity", "score", "youth"))
 
 
 @book.query(f"{SCORED}, r AS (SELECT cohort, entity, {rank_sql('value', 'cohort', True)} AS a, {rank_sql('c_acctbal', 'cohort', True)} AS b, {rank_sql('c_nationkey', 'cohort', True)} AS c FROM x) SELECT cohort, entity, round(list_sort([a, b, c])[2], 6) AS med FROM r")
@@ -215,13 +219,61 @@ def rule_parse_nested(spark, d):
     return rounded(rules.apply(x, {"score": "max(rank(bl),rank(c_acctbal))"}, ["cohort"]).select("cohort", "entity", "score"))
 
 
-RULES = {"own": "rank(c_acctbal)", "cheat": "rank(value)", "half": "blend(value:1,c_acctbal:1)", "mid": "median(value,c_acctbal,c_nationkey)", "tilted": "tilt(c_acctbal,c_nationkey,-0.1)"}
+CONFIGS = ("own", "key", "nation", "mixed")
+COVERS = rules.Covers(age="age", board="board", other="other", member="member", tilts=("games", "age"))
+BASES = ("one own", "blend all", "median all", "blend own key", "blend best 3", "median best 3")
+
+
+def _sweep_table(spark: SparkSession, d: str) -> DataFrame:
+    """Four configs' scores of each member, and what overlays lean on."""
+    e, n = F.col("entity"), F.col("c_nationkey")
+    return _scored(spark, d).select(
+        "cohort", "entity", "value", F.col("c_acctbal").alias("own"), (-e).cast("double").alias("key"), n.cast("double").alias("nation"), sampling.draw("entity", "cohort").alias("mixed"),
+        F.when(e % 4 != 0, n.cast("double")).alias("age"), F.when(e % 3 != 0, e % 60 + 1.0).alias("board"), F.when(n < 8, F.col("c_acctbal")).alias("other"), (n < 8).alias("member"), (e % 17).cast("double").alias("games"),
+    )
+
+
+SWEEP = f"""{SCORED}, t AS (SELECT cohort, entity, value, c_acctbal AS own, (-entity)::DOUBLE AS key, c_nationkey::DOUBLE AS nation, ('0x' || substr(md5(entity || '|' || cohort || '|0'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS mixed,
+ CASE WHEN entity % 4 <> 0 THEN c_nationkey::DOUBLE END AS age, {BOARD} AS board, CASE WHEN c_nationkey < 8 THEN c_acctbal END AS other, c_nationkey < 8 AS member, (entity % 17)::DOUBLE AS games FROM x)"""
+
 
+def _sweep_rules() -> dict[str, str]:
+    pure = rules.pure_rules(list(CONFIGS), list(CONFIGS), COVERS)
+    return pure | {k: v for n in BASES for k, v in rules.overlays(n, pure[n], COVERS).items()}
 
-@book.query()
+
+def _sweep_sql() -> str:
+    """The same rules: ranks of configs and covers, then ranks of the bases, then one row for each rule."""
+    of = lambda names, end="": " + ".join(f"{n}{end}" for n in names)
+    score = {f"one {c}": f"{c}_p" for c in CONFIGS} | {"blend all": f"({of(CONFIGS, '_p')}) / 4", "median all": f"-list_median([{', '.join(f'{c}_d' for c in CONFIGS)}])"}
+    score |= {f"blend {a} {b}": f"({a}_p + {b}_p) / 2" for i, a in enumerate(CONFIGS) for b in CONFIGS[i + 1 :]}
+    for k in (3, 4):
+        score |= {f"blend best {k}": f"({of(CONFIGS[:k], '_p')}) / {k}", f"median best {k}": f"-list_median([{', '.join(f'{c}_d' for c in CONFIGS[:k])}])"}
+    for i, n in enumerate(BASES):
+        own = f"b{i}_p"
+        score |= {f"special {a} on {n}": f"CASE WHEN member AND other IS NOT NULL THEN (1 - {a}) * {own} + {a} * other_p ELSE {own} END" for a in (0.3, 0.5, 0.7, 1.0)}
+        score |= {f"youth {b} on {n}": f"(1 - {b}) * {own} + {b} * young_p" for b in (0.1, 0.2, 0.3)}
+        score |= {f"tilt {c} {b} on {n}": f"(1 - {abs(b)}) * {own} + ({b}) * {c}_m" for c in COVERS.tilts for b in (-0.15, -0.08, 0.08, 0.15)}
+        score |= {f"consensus {w} on {n}": f"(1 - {w}) * {own} + {w} * board_p" for w in (0.3, 0.4, 0.5, 0.6, 0.7)}
+        score |= {f"listed {w} on {n}": f"CASE WHEN board IS NULL THEN {own} ELSE (1 - {w}) * {own} + {w} * board_p END" for w in (0.5, 0.6)}
+    wide = lambda x: f"round(({x})::DOUBLE, 9)"
+    bases = ", ".join(f"{wide(score[n])} AS b{i}" for i, n in enumerate(BASES))
+    long = ", ".join(f"struct_pack(rule := '{n}', s := {wide(x)})" for n, x in score.items())
+    return f"""{SWEEP}, f AS (SELECT *, coalesce(age, median(age) OVER (PARTITION BY cohort)) AS age_f, games AS games_f, -coalesce(age, median(age) OVER ()) AS young, -coalesce(board, 61.0) AS board_f FROM t),
+p AS (SELECT *, {rank_sql("value", "cohort")} AS rv, {", ".join(f"{pct_sql(c, 'cohort')} AS {c}_p, {rank_sql(c, 'cohort', True)} AS {c}_d" for c in CONFIGS)}, {pct_sql("other", "cohort")} AS other_p,
+ {pct_sql("young", "cohort")} AS young_p, {pct_sql("age_f", "cohort")} AS age_m, {pct_sql("games_f", "cohort")} AS games_m, {pct_sql("board_f", "cohort")} AS board_p FROM f),
+b AS (SELECT *, {bases} FROM p), q AS (SELECT *, {", ".join(f"{pct_sql(f'b{i}', 'cohort')} AS b{i}_p" for i in range(len(BASES)))} FROM b),
+l AS (SELECT cohort, rv, unnest([{long}]) AS e FROM q), s AS (SELECT cohort, rv, e.rule AS rule, e.s AS s FROM l), r AS (SELECT cohort, rule, rv, {rank_sql("s", "cohort, rule")} AS rs FROM s),
+c AS (SELECT rule, cohort, corr(rs, rv) AS rho FROM r GROUP BY 1, 2) SELECT rule, round(avg(rho), 6) AS mean_rho, count(*) FILTER (rho > 0) AS wins, count(rho) AS n FROM c GROUP BY 1"""
+
+
+@book.query(_sweep_sql())
 def rule_sweep(spark, d):
-    """All rules in one job."""
-    return rounded(rules.sweep(_scored(spark, d), RULES, "cohort", "value"))
+    """Q15: some 150 rules, their ranks by range or window, in one job."""
+    made = _sweep_rules()
+    names = {f"r{i}": n for i, n in enumerate(made)}
+    got = rules.sweep(_sweep_table(spark, d), {k: made[n] for k, n in names.items()}, "cohort", "value")
+    return rounded(got.replace(names, subset=["rule"]))
 
 
 @book.query(f"""{SCORED}, p AS (SELECT cohort, value, {pct_sql('c_acctbal', 'cohort')} AS a, {pct_sql('entity', 'cohort')} AS b FROM x), g AS (SELECT *, w / 10.0::DOUBLE AS weight FROM p, (SELECT unnest(range(0, 11)) AS w)),
@@ -232,9 +284,26 @@ def weight_grid_best(spark, d):
     return g.select(F.round("weight", 6).alias("weight"), F.round("mean_rho", 5).alias("mean_rho"))
 
 
-@book.query()
+_GREEDY = ("c_acctbal", "c_nationkey", "entity")
+
+
+def _greedy_sql() -> str:
+    """Every sequence of up to three picks with its mean correlation, then the path that greed takes."""
+    ids = {c: f"p{i}" for i, c in enumerate(_GREEDY)}
+    every = [s for k in (1, 2, 3) for s in itertools.product(_GREEDY, repeat=k)]
+    blend = lambda s: f"round(({' + '.join(['0.0::DOUBLE', *(f'{ids[c]} * {s.count(c)}' for c in dict.fromkeys(s))])}) / {len(s)}, 9)"
+    long = ", ".join(f"struct_pack(k := {len(s)}, a := '{s[0]}', b := {repr(s[1]) if len(s) > 1 else 'NULL::VARCHAR'}, c := {repr(s[2]) if len(s) > 2 else 'NULL::VARCHAR'}, s := {blend(s)})" for s in every)
+    best = lambda k, picked, where: f"(SELECT {picked} AS f, rho FROM m WHERE k = {k}{where} ORDER BY rho DESC, f LIMIT 1)"
+    return f"""{SCORED}, p AS (SELECT cohort, {rank_sql("value", "cohort")} AS rv, {", ".join(f"{pct_sql(c, 'cohort')} AS {i}" for c, i in ids.items())} FROM x), l AS (SELECT cohort, rv, unnest([{long}]) AS e FROM p),
+s AS (SELECT cohort, rv, e.k AS k, e.a AS a, e.b AS b, e.c AS c, e.s AS s FROM l), r AS (SELECT *, {rank_sql("s", "cohort, k, a, b, c")} AS rs FROM s), h AS (SELECT k, a, b, c, cohort, corr(rs, rv) AS rho FROM r GROUP BY ALL),
+m AS (SELECT k, a, b, c, round(avg(rho), 12) AS rho FROM h GROUP BY ALL), s1 AS {best(1, "a", "")}, s2 AS {best(2, "b", " AND a = (SELECT f FROM s1)")}, s3 AS {best(3, "c", " AND a = (SELECT f FROM s1) AND b = (SELECT f FROM s2)")}
+SELECT 1::BIGINT AS step, f AS feature FROM s1 UNION ALL SELECT 2, s2.f FROM s1, s2 WHERE s2.rho > s1.rho + 1e-6 UNION ALL SELECT 3, s3.f FROM s1, s2, s3 WHERE s2.rho > s1.rho + 1e-6 AND s3.rho > s2.rho + 1e-6"""
+
+
+@book.query(_greedy_sql())
 def greedy_blend(spark, d):
-    chosen = rules.greedy(_scored(spark, d), ["c_acctbal", "c_nationkey", "entity"], "cohort", "value", rounds=3)
+    """Q12: greedy forward selection, which ends when no column helps."""
+    chosen = rules.greedy(_scored(spark, d), list(_GREEDY), "cohort", "value", rounds=3)
     return spark.createDataFrame([(i + 1, c) for i, c in enumerate(chosen)], "step long, feature string")
 
 
