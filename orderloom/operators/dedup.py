@@ -31,3 +31,17 @@ def merge_records(df: DataFrame, keys: list[str], order: Column, columns: list[s
 def fill_union(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of a, and those of b whose key a lacks."""
     return a.unionByName(b.join(a.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
+
+
+def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", validate: str = "m:1") -> DataFrame:
+    """A join that fails while it runs if a side that must be unique is not. validate: "m:1", "1:m" or "1:1"."""
+    if validate not in ("m:1", "1:m", "1:1"):
+        raise ValueError(f"no validation {validate!r}")
+
+    def unique(df: DataFrame, side: str) -> DataFrame:
+        again = F.row_number().over(Window.partitionBy(*on).orderBy(F.lit(1))) > 1
+        stop = F.raise_error(F.lit(f"the {side} side repeats a key")).cast("boolean")
+        return df.withColumn("_again", again).filter(F.when(F.col("_again"), stop).otherwise(True)).drop("_again")
+
+    a, b = validate.split(":")
+    return (unique(left, "left") if a == "1" else left).join(unique(right, "right") if b == "1" else right, on, how)

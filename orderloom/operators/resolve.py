@@ -38,3 +38,113 @@ def majority(df: DataFrame, key: str, value: str, least: int, least_share: float
     w = Window.partitionBy(key)
     ranked = n.withColumn("share", F.col("n") / F.sum("n").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("n"), value)))
     return ranked.filter((F.col("_r") == 1) & (F.col("n") >= least) & (F.col("share") >= least_share)).drop("_r")
+
+
+# -- matching of persons -------------------------------------------------------------------
+
+
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Share of matching blocks of two texts, 2 * matches / total length, as ``difflib`` finds them.
+
+    No expression of the engine finds these blocks: pairs go to Python in Arrow batches, so give
+    only pairs that a block key has let through.
+    """
+    import difflib
+
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        known: dict[tuple[str, str], float] = {}
+        out = []
+        for pair in zip(x, y, strict=True):
+            if None in pair:
+                out.append(None)
+                continue
+            if pair not in known:
+                known[pair] = difflib.SequenceMatcher(None, *pair).ratio()
+            out.append(known[pair])
+        return pd.Series(out, dtype="float64")
+
+    return ratio(a, b)
+
+
+def best_scored(left: DataFrame, right: DataFrame, on: list[Column], left_id: str, right_id: str, score: Column, tie: list[Column]) -> DataFrame:
+    """(left_id, right_id, score): of a row's candidates the one with the highest score; name the sides l and r."""
+    pairs = left.alias("l").join(right.alias("r"), on).select(left_id, right_id, score.alias("score"), *(t.alias(f"_t{i}") for i, t in enumerate(tie)))
+    best = F.max(F.struct("score", *(f"_t{i}" for i in range(len(tie))), right_id)).alias("b")  # a partial aggregate, no sort
+    return pairs.groupBy(left_id).agg(best).select(left_id, f"b.{right_id}", "b.score")
+
+
+def by_variants(left: DataFrame, right: DataFrame, left_id: str, right_id: str, variants: tuple[Column, Column], born: tuple[Column, Column], last: tuple[Column, Column], days: int = 366) -> DataFrame:
+    """(left_id, right_id, how): persons that share any spelling of a name and whose birth dates, where both are known, lie within some days.
+
+    Who finds none that way is matched by last name and the very birth date. A person may match several rows.
+    """
+    l = left.select(left_id, F.explode(F.array_distinct(variants[0])).alias("_k"), born[0].alias("_a"))  # noqa: E741
+    r = right.select(right_id, F.explode(F.array_distinct(variants[1])).alias("_k"), born[1].alias("_b"))
+    near = F.col("_b").isNull() | F.col("_a").isNull() | (F.abs(F.datediff("_a", "_b")) <= days)
+    named = l.join(r, "_k").filter(near).select(left_id, right_id).distinct().withColumn("how", F.lit("name"))
+    rest = left.join(named.select(left_id).distinct(), left_id, "left_anti").select(left_id, last[0].alias("_k"), born[0].alias("_d"))
+    dated = rest.join(right.select(right_id, last[1].alias("_k"), born[1].alias("_d")), ["_k", "_d"]).select(left_id, right_id).distinct()
+    return named.unionByName(dated.withColumn("how", F.lit("last name and date")))
+
+
+def name_ladder(left: DataFrame, right: DataFrame, left_id: str, right_id: str, exact: tuple[Column, Column], other: tuple[Column, Column], alias: Column, surname: tuple[Column, Column], first: tuple[Column, Column]) -> DataFrame:
+    """(left_id, right_id, method): each left name by the first of these that finds one right key.
+
+    Exact key, other transliteration, alias (a left column that holds an exact right key), then the
+    surname if only one bears it, or if only one of those that do has the first name, or else the
+    first initial. Right keys are unique; several left rows may find the same one.
+    """
+    r = right.select(right_id, exact[1].alias("_e"), other[1].alias("_o"), surname[1].alias("_s"), first[1].alias("_f"))
+    l = left.select(left_id, exact[0].alias("_x"), other[0].alias("_y"), alias.alias("_z"), surname[0].alias("_u"), first[0].alias("_v"))  # noqa: E741
+
+    def rung(a: str, b: str, rank: int) -> DataFrame:
+        return l.join(r, F.col(a) == F.col(b)).select(left_id, right_id, F.lit(rank).alias("_rank"))
+
+    same = l.join(r, F.col("_u") == F.col("_s")).select(left_id, right_id, (F.col("_v") == F.col("_f")).alias("_whole"), (F.substring("_v", 1, 1) == F.substring("_f", 1, 1)).alias("_initial"))
+    w = Window.partitionBy(left_id)
+    told = same.withColumns({"_n": F.count("*").over(w), "_w": F.count_if("_whole").over(w), "_i": F.count_if("_initial").over(w)})
+    stays = (F.col("_n") == 1) | ((F.col("_w") == 1) & F.col("_whole")) | ((F.col("_w") == 0) & (F.col("_i") == 1) & F.col("_initial"))
+    fourth = told.filter(stays).select(left_id, right_id, F.lit(4).alias("_rank"))
+    every = rung("_x", "_e", 1).unionByName(rung("_y", "_o", 2)).unionByName(rung("_z", "_e", 3)).unionByName(fourth)
+    best = every.groupBy(left_id).agg(F.min(F.struct("_rank", right_id)).alias("b"))
+    method = F.element_at(F.array(*map(F.lit, ("exact", "transliterated", "alias", "surname"))), F.col("b._rank"))
+    return best.select(left_id, F.col(f"b.{right_id}").alias(right_id), method.alias("method"))
+
+
+def candidates(keys: DataFrame, key: str, sources: list[DataFrame], item: str) -> DataFrame:
+    """(key, item, place): items of a key in the order of the sources that name them, each item once.
+
+    sources: (key, item) tables, the first one first; within a source items go by name.
+    """
+    every = None
+    for i, s in enumerate(sources):
+        own = s.select(key, item, F.lit(i).alias("_p"))
+        every = own if every is None else every.unionByName(own)
+    first = every.groupBy(key, item).agg(F.min("_p").alias("_p")).join(keys.select(key).distinct(), key, "left_semi")
+    return first.select(key, item, F.row_number().over(Window.partitionBy(key).orderBy("_p", item)).alias("place"))
+
+
+def cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str, full: tuple[Column, Column], short: tuple[Column, Column], team: tuple[Column, Column], least: float = 0.8, margin: float = 0.08) -> DataFrame:
+    """(left_id, right_id, method, confidence): five rungs, each over what those before left unmatched, unique pairs only.
+
+    Name and team, short name and team, name, short name, and the most alike name of the team.
+    """
+    two = lambda k: (F.struct(k[0], team[0]), F.struct(k[1], team[1]))
+    known = lambda c, k: F.when(k.isNotNull(), c)
+    inside = lambda k: (known(two(k)[0], team[0]), known(two(k)[1], team[1]))
+    out = ladder(left, right, left_id, right_id, [("exact_team", 1.0, *inside(full)), ("short_team", 0.95, *inside(short)), ("exact_season", 0.9, *full), ("short_season", 0.85, *short)])
+    l, r = left.join(out, left_id, "left_anti"), right.join(out, right_id, "left_anti")  # noqa: E741
+    near = fuzzy_in_block(l, r, left_id, right_id, team, full, least, margin)
+    near = unambiguous(near.select(left_id, right_id), left_id, right_id)
+    return out.unionByName(near.withColumns({"method": F.lit("fuzzy_team"), "confidence": F.lit(0.7)}))
+
+
+def voted(pairs: DataFrame, key: str, value: str, by: str, least: int, least_all: int, least_share: float = 0.5) -> DataFrame:
+    """(by, key, value): the value most rows of a key have in its period, or, where that is too few, in all periods."""
+    own = majority(pairs.withColumn("_k", F.struct(by, key)), "_k", value, least, least_share).select(F.col(f"_k.{by}").alias(by), F.col(f"_k.{key}").alias(key), F.col(value).alias("_own"))
+    all_ = majority(pairs, key, value, least_all, least_share).select(key, F.col(value).alias("_all"))
+    every = pairs.select(by, key).distinct().join(own, [by, key], "left").join(all_, key, "left")
+    return every.select(by, key, F.coalesce("_own", "_all").alias(value)).filter(F.col(value).isNotNull())
