@@ -75,3 +75,35 @@ def collisions(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> Data
     agg = long.withColumns({"rx": w("x"), "ry": w("y")}).groupBy("column").agg(F.count("*").alias("overlap"), corr("rx", "ry").alias("rho"), F.median(F.try_divide("y", "x")).alias("median_ratio"))
     same = (F.col("rho") > 0.98) & F.col("median_ratio").between(0.95, 1.05)
     return agg.withColumn("action", F.when(same, "merge").when(F.col("rho") > 0.9, "rescale").otherwise("keep apart"))
+
+
+def blind(df: DataFrame, key: str, inputs: list[str]) -> tuple[DataFrame, list[str]]:
+    """(the key and the declared inputs that are there, names of the outcome columns that were stripped)."""
+    kept = [c for c in inputs if c in df.columns and c != key]
+    ban_columns(kept)
+    return df.select(key, *kept), [c for c in df.columns if c.startswith("y_")]
+
+
+def blind_score(predictions: DataFrame, answers: DataFrame, key: str, score: str, outcome: str, baseline: str, least: int = 10) -> DataFrame:
+    """(n, ic, baseline_ic) and nothing of any row; too few matches raise while it runs."""
+    from orderloom.operators.windows import ranked
+
+    rows = answers.select(key, F.col(outcome).cast("double").alias("_y"), (-F.col(baseline).cast("double")).alias("_b")).join(predictions.select(key, F.col(score).cast("double").alias("_s")), key).filter("_s is not null and _b is not null")
+    rows = ranked(rows.withColumn("_all", F.lit(1)), ["_all"], {"ry": F.coalesce("_y", F.lit(0.0)), "rs": "_s", "rb": "_b"})
+    out = rows.agg(F.count("*").alias("n"), corr("rs", "ry").alias("ic"), corr("rb", "ry").alias("baseline_ic"))
+    few = F.raise_error(F.lit("too few predictions were matched")).cast("bigint")
+    return out.withColumn("n", F.when(F.col("n") < least, few).otherwise(F.col("n")))
+
+
+def train_priors(df: DataFrame, train, columns: list[str]) -> dict[str, float]:
+    """Means of the training rows alone, for use as priors."""
+    got = df.filter(train).agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in columns)).first()
+    return {c: got[c] if got[c] is not None else 0.0 for c in columns}
+
+
+def tripwire(folder: str, forbidden: tuple[str, ...], allowed: tuple[str, ...] = ()) -> list[tuple[str, str]]:
+    """(file, text) of source files, other than the allowed ones, that name what they must not."""
+    from pathlib import Path
+
+    files = [p for p in sorted(Path(folder).rglob("*.py")) if p.name not in allowed]
+    return [(p.name, word) for p in files for word in forbidden if word in p.read_text(encoding="utf-8")]

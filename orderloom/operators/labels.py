@@ -70,3 +70,15 @@ def tiers(value: Column | str, cuts: list[tuple[float, str]], rest: str) -> Colu
     for least, name in cuts:
         out = out.when(v >= least, name)
     return out.otherwise(rest)
+
+
+def known_by_step(df: DataFrame, entity: str, period: str, value: str, done: Column, steps: list[int]) -> DataFrame:
+    """(step, outcomes, total, new): what each step of an expanding context knows: labels of entities whose horizon is done by then.
+
+    done: the period in which an entity's label is complete. Entities are counted once, at that period, and
+    steps add them up; nothing of a later period enters.
+    """
+    own = df.groupBy(entity, done.alias("_done")).agg(F.sum(F.when(F.col(period) <= done, F.col(value))).alias("_v"))
+    each = own.groupBy("_done").agg(F.count("*").alias("_n"), F.sum("_v").alias("_s"))
+    known = each.withColumn("step", F.explode(F.array(*map(F.lit, steps)))).filter("_done <= step")
+    return known.groupBy("step").agg(F.sum("_n").alias("outcomes"), F.sum("_s").alias("total"), F.sum(F.when(F.col("_done") == F.col("step"), F.col("_n")).otherwise(0)).alias("new"))

@@ -215,3 +215,145 @@ def _trees():
 
 _mllib("gbt", _gbt)
 _mllib("forest", _trees)
+
+
+# -- compositions of families ---------------------------------------------------------------
+
+
+def hurdle(train: DataFrame, test: DataFrame, features: list[str], played: str, label: str, by: list[str], of: str = "ridge") -> DataFrame:
+    """test with ``score``: the chance of a positive outcome (held to 0..1) times the percentile rank of a family's score."""
+    from orderloom.operators.windows import with_pct_ranks
+
+    chance = fit_ridge(train.withColumn("_played", F.col(played).cast("double")), features, "_played").column()
+    scored = with_pct_ranks(FAMILIES[of](train, test, features, label), by, {"_pct": "score"})
+    return scored.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), chance)) * F.col("_pct")).drop("_pct")
+
+
+def residual(train: DataFrame, test: DataFrame, features: list[str], label: str, key: str, by: list[str], first: str = "ridge", second: str = "ridge", folds: int = 3, seed: int = 3) -> DataFrame:
+    """test with ``score``: a first family's percentile rank plus what a second family says of the rank it missed.
+
+    What the second learns from are ranks of out-of-fold scores, so that the first has not seen them.
+    """
+    from orderloom.operators import sampling
+    from orderloom.operators.windows import with_pct_ranks
+
+    parts, rows = None, train.withColumn("_fold", sampling.folds(key, folds, seed))
+    for i in range(folds):
+        own = FAMILIES[first](rows.filter(F.col("_fold") != i), rows.filter(F.col("_fold") == i), features, label)
+        parts = own if parts is None else parts.unionByName(own)
+    missed = with_pct_ranks(parts.withColumn("_all", F.lit(1)), ["_all"], {"_y": label, "_s": "score"}).withColumn("_miss", F.col("_y") - F.col("_s"))
+    base = with_pct_ranks(FAMILIES[first](train, test, features, label), by, {"_base": "score"}).drop("score")
+    return FAMILIES[second](missed, base, features, "_miss").withColumn("score", F.col("_base") + F.col("score")).drop("_base")
+
+
+def period_sum(train: DataFrame, test: DataFrame, features: list[str], periods: list[tuple[str, float]], by: list[str], key: list[str], of: str = "ridge") -> DataFrame:
+    """test with ``score``: weighted percentile ranks of a model for each period's label."""
+    from orderloom.operators.windows import with_pct_ranks
+
+    out = test.withColumn("score", F.lit(0.0))
+    for label, weight in periods:
+        own = with_pct_ranks(FAMILIES[of](train, test, features, label), by, {"_pct": "score"}).select(*key, (weight * F.col("_pct")).alias("_part"))
+        out = out.join(own, key).withColumn("score", F.col("score") + F.col("_part")).drop("_part")
+    return out
+
+
+def bagged(train: DataFrame, test: DataFrame, features: list[str], label: str, key: str, by: list[str], members: list[str], bags: int = 3, share: float = 0.8, seed: int = 0) -> DataFrame:
+    """test with ``score``: mean percentile rank over seeded subsets of the training rows. members: columns that tell a test row."""
+    from orderloom.operators import sampling
+    from orderloom.operators.windows import with_pct_ranks
+
+    parts = None
+    for i in range(bags):
+        some = train.filter(sampling.draw(key, seed=seed + i) < share)
+        own = with_pct_ranks(FAMILIES["ridge"](some, test, features, label), by, {"_pct": "score"}).select(*members, "_pct")
+        parts = own if parts is None else parts.unionByName(own)
+    return test.join(parts.groupBy(*members).agg(F.avg("_pct").alias("score")), members)
+
+
+def pairwise(train: DataFrame, test: DataFrame, features: list[str], label: str, by: str, key: str, near: int = 5, penalty: float = 1.0, seed: int = 0) -> DataFrame:
+    """test with ``score``: a linear ranker that learns from pairs of one cohort which of the two is better.
+
+    Each row meets the next few rows of a random order of its cohort, so pairs grow with the rows and
+    not with their square; the differences of features are fitted to the sign of the labels' difference.
+    """
+    from pyspark.sql import Window
+
+    from orderloom.operators import sampling
+
+    ban_columns(features, names=(label,))
+    known = train.filter(F.col(label).isNotNull())
+    scale = known.agg(*(F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(features)), *(F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(features))).first()
+    means, sds = [scale[f"m{i}"] or 0.0 for i in range(len(features))], [scale[f"s{i}"] or 1.0 for i in range(len(features))]
+    z = [(F.coalesce(F.col(c).cast("double"), F.lit(m)) - m) / s for c, m, s in zip(features, means, sds, strict=True)]
+    rows = known.select(by, key, F.col(label).cast("double").alias("_y"), F.array(*z).alias("_z"))
+    order = Window.partitionBy(by).orderBy(sampling.draw(key, seed=seed), key)
+    ahead = rows.withColumn("_next", F.array(*(F.lead(F.struct("_y", "_z"), i).over(order) for i in range(1, near + 1))))
+    pairs = ahead.withColumn("_o", F.explode("_next")).filter("_o is not null").select(F.signum(F.col("_y") - F.col("_o._y")).alias("y"), F.zip_with("_z", "_o._z", lambda a, b: a - b).alias("d"))
+    k = len(features)
+    d = lambda i: F.get("d", F.lit(i))
+    s = pairs.agg(*(F.sum(d(i) * d(j)).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)), *(F.sum(d(i) * F.col("y")).alias(f"b{i}") for i in range(k))).first()
+    a = np.array([[s[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+    weights = np.linalg.solve(a + penalty * np.eye(k), np.array([s[f"b{i}"] or 0.0 for i in range(k)])).tolist()
+    return test.withColumn("score", sum((w * c for w, c in zip(weights, z, strict=True)), F.lit(0.0)))
+
+
+def fit_stack(df: DataFrame, ranks: list[str], target: str, alphas: list[float]) -> tuple[dict[str, float], float]:
+    """(weight of each rank column, penalty): ridge whose penalty has the least squared error when each row is left out.
+
+    Moments give the fit for every penalty; one more pass adds up every row's error over 1 - its leverage,
+    for all penalties at once, in Arrow batches.
+    """
+    import pandas as pd
+
+    k = len(ranks)
+    rows = df.filter(F.col(target).isNotNull()).select(F.col(target).cast("double").alias("y"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(ranks)))
+    first = rows.agg(F.count("*").alias("n"), F.avg("y").alias("y"), *(F.avg(f"x{i}").alias(f"m{i}") for i in range(k))).first()
+    n, mean_y, means = first["n"], first["y"], np.array([first[f"m{i}"] for i in range(k)])
+    x = [F.col(f"x{i}") - float(means[i]) for i in range(k)]
+    y = F.col("y") - mean_y
+    s = rows.agg(*(F.sum(x[i] * x[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)), *(F.sum(x[i] * y).alias(f"b{i}") for i in range(k))).first()
+    a = np.array([[s[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    b = np.array([s[f"b{i}"] for i in range(k)])
+    inverses = [np.linalg.inv(a + alpha * np.eye(k)) for alpha in alphas]
+    weights = [inverse @ b for inverse in inverses]
+
+    def errors(batches):
+        total = np.zeros(len(alphas))
+        for batch in batches:
+            v = np.column_stack([batch.column(i).to_numpy() for i in range(k + 1)])
+            z, t = v[:, 1:] - means, v[:, 0] - mean_y
+            for j, (inverse, w) in enumerate(zip(inverses, weights, strict=True)):
+                leverage = np.einsum("ni,ij,nj->n", z, inverse, z) + 1 / n
+                total[j] += (((t - z @ w) / (1 - leverage)) ** 2).sum()
+        yield pa.RecordBatch.from_pandas(pd.DataFrame({"j": np.arange(len(alphas)), "e": total}))
+
+    got = {r["j"]: r["e"] for r in rows.mapInArrow(errors, "j long, e double").groupBy("j").agg(F.sum("e").alias("e")).collect()}
+    best = min(range(len(alphas)), key=lambda j: (round(got[j], 9), j))
+    return dict(zip(ranks, weights[best].tolist(), strict=True)), alphas[best]
+
+
+def text_ridge(train: DataFrame, test: DataFrame, text: str, label: str, terms: int = 1 << 12, penalty: float = 1.0) -> DataFrame:
+    """test with ``score``: ridge over TF-IDF of one and two words with damped counts, hashed to a fixed number of terms."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer
+    from pyspark.ml.regression import LinearRegression
+
+    clean = lambda d: d.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    steps = [
+        RegexTokenizer(inputCol="_t", outputCol="_w", pattern="[^\\p{L}]+"), NGram(n=2, inputCol="_w", outputCol="_w2"), SQLTransformer(statement="SELECT *, concat(_w, _w2) AS _terms FROM __THIS__"),
+        HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=terms), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_x"), LinearRegression(featuresCol="_x", labelCol=label, predictionCol="score", regParam=penalty, elasticNetParam=0.0, solver="l-bfgs", maxIter=50),
+    ]
+    model = Pipeline(stages=steps).fit(clean(train.filter(F.col(label).isNotNull())))
+    return model.transform(clean(test)).select(*test.columns, "score")
+
+
+def causal_text_scores(df: DataFrame, text: str, label: str, cohort: str, cohorts: list[int], lag: int = 1, **how) -> DataFrame:
+    """Rows of the listed cohorts with scores of a text model of the cohorts before; a cohort without any stays out. Vocabulary and weights see no later text."""
+    out = None
+    for now in cohorts:
+        train = df.filter(F.col(cohort) <= now - lag)
+        if train.filter(F.col(label).isNotNull()).isEmpty():
+            continue
+        own = text_ridge(train, df.filter(F.col(cohort) == now), text, label, **how)
+        out = own if out is None else out.unionByName(own)
+    return out

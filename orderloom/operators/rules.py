@@ -212,6 +212,28 @@ def sweep(df: DataFrame, rules: dict[str, str], by: str, value: str, **how) -> D
     return rhos(df, rules, by, value, **how).groupBy("rule").agg(F.avg("rho").alias("mean_rho"), F.count_if(F.col("rho") > 0).alias("wins"), F.count("rho").alias("n"))
 
 
+def wide(predictions: DataFrame, by: str, key: str, configs: list[str], bins: int) -> DataFrame:
+    """(by, key, one score for each config, and for configs with bins ``{config}_top``, ``_low`` and ``_bin``).
+
+    predictions: by, key, config, member, score and p0 .. p(bins - 1). The score is that of member -1, the
+    whole config; shares are those of the config's first member that has any, and its expected bin is the
+    sum of bin numbers times shares. Rows of one config, member and key must not repeat.
+    """
+    shares = [f"p{i}" for i in range(bins)]
+    has = sum((F.col(p).isNotNull().cast("int") for p in shares), F.lit(0)) > 0
+    some = (F.col("member") >= 0) & has
+    expected = sum((F.coalesce(F.col(p), F.lit(0.0)) * i for i, p in enumerate(shares)), F.lit(0.0))
+    top = F.coalesce(*(F.col(p) for p in reversed(shares)))
+    low = F.coalesce(*(F.col(p) for p in shares))
+    out = []
+    for c in configs:
+        own = F.col("config") == c
+        first = F.min(F.when(own & some, F.struct("member", top.alias("t"), low.alias("l"), expected.alias("e"))))
+        out += [F.max(F.when(own & (F.col("member") == -1), F.col("score"))).alias(c), first.alias(f"_{c}")]
+    rows = predictions.groupBy(by, key).agg(*out)
+    return rows.select(by, key, *configs, *(x for c in configs for x in (F.col(f"_{c}.t").alias(f"{c}_top"), F.col(f"_{c}.l").alias(f"{c}_low"), F.col(f"_{c}.e").alias(f"{c}_bin"))))
+
+
 def weight_grid(df: DataFrame, a: str, b: str, by: str, value: str, steps: int = 10, **how) -> DataFrame:
     """(weight, mean_rho) of blends w * a + (1 - w) * b for a grid of weights."""
     ranks = with_pct_ranks(df.select(by, F.col(a).alias("_u"), F.col(b).alias("_w"), F.col(value).alias("_y")), [by], {"_a": "_u", "_b": "_w"}, **how)

@@ -55,3 +55,52 @@ def mixup(df: DataFrame, by: list[str], key: str, columns: list[str], seed: int
 
 def jitter(df: DataFrame, key: str, columns: list[str], scale: float, seed: int = 0) -> DataFrame:
     return df.withColumns({c: F.col(c) + scale * (draw(key, F.lit(c), seed=seed) - 0.5) for c in columns})
+
+
+def normal(*keys: Column | str, seed: int = 0) -> Column:
+    """A draw from the normal distribution that depends on keys and seed only."""
+    u, v = draw(*keys, seed=seed), draw(*keys, seed=seed + 1_000_003)
+    return F.sqrt(-2 * F.ln(1 - u)) * F.cos(6.283185307179586 * v)
+
+
+def _share(key: str, seed: int) -> Column:
+    """A weight around a half: the median of three uniform draws, which is the beta distribution of 2 and 2."""
+    three = F.array_sort(F.array(*(draw(key, seed=seed + i) for i in range(3))))
+    return F.get(three, F.lit(1))
+
+
+def class_mixup(df: DataFrame, by: list[str], key: str, columns: list[str], label: str, reach: int = 25, seed: int = 0) -> DataFrame:
+    """Each row mixed with one whose label's rank within the cohort is at most ``reach`` away."""
+    w = Window.partitionBy(*by).orderBy(label, key)
+    rows = df.withColumns({"_r": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(*by)), "_s": _share(key, seed)})
+    step = F.floor(draw(key, seed=seed + 7) * (2 * reach + 1)) - reach
+    rows = rows.withColumn("_to", F.greatest(F.lit(1), F.least(F.col("_n"), F.col("_r") + step)))
+    other = rows.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_r").alias("_to"), F.struct(*columns, label).alias("_o"))
+    joined = rows.join(other, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] + [rows["_to"] == other["_to"]]).drop(other["_to"])
+    mixed = {c: F.col("_s") * F.col(c) + (1 - F.col("_s")) * F.col(f"_o.{c}") for c in [*columns, label]}
+    return joined.withColumns(mixed).select(*df.columns)
+
+
+def smote(df: DataFrame, by: list[str], key: str, columns: list[str], label: str, tries: int = 8, seed: int = 0) -> DataFrame:
+    """Each row moved a random share of the way towards the nearest of ``tries`` random rows of its cohort.
+
+    Distances are over features in the cohort's deviations, a missing one counting as the mean. The
+    tries are the next rows of a random order, so work grows with the rows and not with their square.
+    """
+    cohort = Window.partitionBy(*by)
+    z = {f"_z{i}": F.coalesce((F.col(c) - F.avg(c).over(cohort)) / F.coalesce(F.nullif(F.stddev_pop(c).over(cohort), F.lit(0.0)), F.lit(1.0)), F.lit(0.0)) for i, c in enumerate(columns)}
+    rows = df.withColumns(z)
+    order = Window.partitionBy(*by).orderBy(draw(key, seed=seed), key)
+    row = F.struct(F.array(*z).alias("z"), F.struct(*columns, label).alias("v"))
+    rows = rows.withColumn("_some", F.filter(F.array(*(F.lead(row, i).over(order) for i in range(1, tries + 1))), lambda x: x.isNotNull()))
+    far = lambda x: F.aggregate(F.zip_with(x["z"], F.array(*z), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    near = F.array_min(F.transform("_some", lambda x, i: F.struct(far(x).alias("d"), i.alias("i"), x["v"].alias("v"))))
+    rows = rows.withColumns({"_near": near, "_s": draw(key, seed=seed + 1)})
+    moved = {c: F.col(c) + F.coalesce(F.col("_s") * (F.col(f"_near.v.{c}") - F.col(c)), F.lit(0.0)) for c in [*columns, label]}
+    return rows.withColumns(moved).select(*df.columns)
+
+
+def label_noise(df: DataFrame, by: list[str], key: str, label: str, strength: float = 0.1, seed: int = 0) -> DataFrame:
+    """Labels with normal noise of a share of the cohort's deviation; features stay."""
+    sd = F.coalesce(F.stddev_pop(label).over(Window.partitionBy(*by)), F.lit(0.0))
+    return df.withColumn(label, F.col(label) + strength * sd * normal(key, seed=seed))

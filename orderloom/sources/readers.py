@@ -17,9 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     return df.withColumns({c: nn(c) for c in doubles}) if doubles else df
 
 
-def csv(spark: SparkSession, path: str | list[str], schema: str, header: bool = True, encoding: str = "UTF-8") -> DataFrame:
-    """Headered or positional CSV, plain or gzipped."""
-    return spark.read.schema(schema).option("encoding", encoding).csv(path, header=header)
+def csv(spark: SparkSession, path: str | list[str], schema: str, header: bool = True, encoding: str = "UTF-8", columns: list[str] | None = None, index: bool = False) -> DataFrame:
+    """Headered or positional CSV, plain or gzipped, with or without a byte order mark.
+
+    columns: only these are parsed. index: the first column is a row number without a name, which goes.
+    """
+    schema = f"`_index` string, {schema}" if index else schema
+    df = spark.read.schema(schema).option("encoding", encoding).csv(path, header=header)
+    df = df.drop("_index") if index else df
+    return df.select(*columns) if columns else df
 
 
 def csv_cells(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -64,3 +70,31 @@ def decoded(content: Column) -> Column:
 def jdbc(spark: SparkSession, url: str, name: str, column: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
     """A database table in ranges of one column."""
     return spark.read.options(**options).jdbc(url, name, column=column, lowerBound=low, upperBound=high, numPartitions=parts)
+
+
+def before_cutoff(listing: DataFrame, ts: str, cutoff: Column, status: str = "status", back: str | None = None) -> DataFrame:
+    """Captures that answered and were taken before a cutoff, and not longer ago than ``back`` (an interval)."""
+    df = listing.filter((F.col(status) == 200) & (F.col(ts) < cutoff))
+    return df if back is None else df.filter(F.col(ts) >= cutoff - F.expr(f"interval {back}"))
+
+
+def numeric(df: DataFrame, prefix: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Number columns whose name starts so, and the kept ones."""
+    kinds = (T.NumericType,)
+    return df.select(*(f.name for f in df.schema if f.name in keep or (f.name.startswith(prefix) and isinstance(f.dataType, kinds))))
+
+
+def feature_files(spark: SparkSession, paths: list[str], keys: list[str], least: float, prefix: str = "") -> DataFrame:
+    """Feature tables joined on their keys: numbers only, one row a key, columns present in at least a share of rows and not constant.
+
+    Coverage is counted by one aggregate over each table.
+    """
+    out: DataFrame | None = None
+    for path in paths:
+        df = numeric(spark.read.parquet(path), prefix, tuple(keys)).dropDuplicates(keys)
+        names = [c for c in df.columns if c not in keys]
+        seen = df.agg(F.count(F.lit(1)).alias("_n"), *(F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in names)).first()
+        kept = [c for c in names if seen["_n"] and seen[c]["n"] >= least * seen["_n"] and seen[c]["lo"] != seen[c]["hi"]]
+        df = df.select(*keys, *kept)
+        out = df if out is None else out.join(df, keys, "full")
+    return out
