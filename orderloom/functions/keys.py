@@ -18,6 +18,20 @@ def strip_accents(c: Column | str) -> Column:
     return F.translate(F.lower(col(c)), ACCENTED, PLAIN)
 
 
+#: Letters that have no decomposition, and how they are written without them.
+TRANSLITERATED = {"ı": "i", "İ": "I", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ß": "ss", "ø": "o", "Ø": "O", "æ": "ae", "Æ": "Ae"}
+
+
+def transliterated(c: Column | str) -> Column:
+    """Letters without a decomposition written in plain ones."""
+    one = {a: b for a, b in TRANSLITERATED.items() if len(b) == 1}
+    out = F.translate(col(c), "".join(one), "".join(one.values()))
+    for a, b in TRANSLITERATED.items():
+        if len(b) > 1:
+            out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
 def norm_key(c: Column | str) -> Column:
     """Letters of a name, lower case, without accents and generational suffixes."""
     return F.regexp_replace(F.regexp_replace(strip_accents(c), SUFFIXES, ""), "[^a-z]", "")
@@ -125,3 +139,42 @@ def signed(c: Column | str) -> Column:
     """As ``fixed``, with the sign always shown but at zero."""
     x = col(c).cast("double")
     return F.when(x.isNull(), "—").when(F.abs(x) < 0.05, "0.0").otherwise(F.format_string("%+.1f", x))
+
+
+def ordinal_text(c: Column | str) -> Column:
+    """``1st``, ``2nd``, ``11th``; a dash for missing."""
+    n = col(c).cast("long")
+    last, teens = F.abs(n) % 10, (F.abs(n) % 100).between(11, 13)
+    end = F.when(teens, "th").when(last == 1, "st").when(last == 2, "nd").when(last == 3, "rd").otherwise("th")
+    return F.when(n.isNull(), "—").otherwise(F.concat(n.cast("string"), end))
+
+
+def percent_text(c: Column | str) -> Column:
+    """A share as a whole percentage; a dash for missing."""
+    return F.when(col(c).isNull(), "—").otherwise(F.concat(F.format_string("%.0f", F.floor(col(c) * 100 + 0.5).cast("double")), F.lit("%")))
+
+
+def whole_text(c: Column | str) -> Column:
+    """A count with thousands set apart; a dash for missing."""
+    return F.when(col(c).isNull(), "—").otherwise(F.format_number(col(c).cast("long"), 0))
+
+
+def first_in_range(c: Column | str, patterns: tuple[str, ...], low: float, high: float) -> Column:
+    """Number of the first pattern (two groups: feet and inches, or one group) that gives a plausible one."""
+    found = []
+    for p in patterns:
+        one, two = (F.regexp_extract(col(c), p, i).try_cast("double") for i in (1, 2)) if p.count("(") - p.count("(?:") > 1 else (None, F.regexp_extract(col(c), p, 1).try_cast("double"))
+        value = two if one is None else one * 12 + two
+        found.append(F.when(value.between(low, high), value))
+    return F.coalesce(*found)
+
+
+def date_of(year: Column | str, month_day: Column | str) -> Column:
+    """A date from a year and ``MM-DD``; NULL where there is none such."""
+    return F.try_to_date(F.concat_ws("-", col(year).cast("string"), col(month_day)), "yyyy-MM-dd")
+
+
+def birth_year(age: Column | str, on: Column | str) -> Column:
+    """The likelier year of birth of who has a whole age on a day: before the middle of the year, the earlier one."""
+    y = F.year(col(on)) - col(age)
+    return F.when(F.month(col(on)) < 7, y - 1).otherwise(y)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -107,3 +108,46 @@ def tripwire(folder: str, forbidden: tuple[str, ...], allowed: tuple[str, ...] =
 
     files = [p for p in sorted(Path(folder).rglob("*.py")) if p.name not in allowed]
     return [(p.name, word) for p in files for word in forbidden if word in p.read_text(encoding="utf-8")]
+
+
+def file_hashes(spark, folder: str, pattern: str = "*") -> DataFrame:
+    """(file, bytes, sha256) of all files below a folder; no file is read on the driver."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def changed_files(locked: DataFrame, now: DataFrame) -> DataFrame:
+    """(file, change): files that were added, removed or altered since their hashes were locked."""
+    a, b = locked.select("file", F.col("sha256").alias("_a")), now.select("file", F.col("sha256").alias("_b"))
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("_a") != F.col("_b"), "altered")
+    return a.join(b, "file", "full").select("file", change.alias("change")).filter("change is not null")
+
+
+def append_to_ledger(df: DataFrame, path: str, order: list[str], columns: list[str]) -> None:
+    """Add rows to a JSON ledger whose hashes chain on from its last line; a ledger is short and its order is total."""
+    spark = df.sparkSession
+    try:
+        last = spark.read.json(path).orderBy(F.desc("seq")).select("seq", "line_hash").first()
+    except Exception as e:  # the first time there is no ledger
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        last = None
+    start, genesis = (last["seq"] + 1, last["line_hash"]) if last else (0, "0" * 64)
+    w = Window.partitionBy(F.lit(1)).orderBy(*order)
+    numbered = df.withColumn("seq", F.row_number().over(w) - 1 + start)
+    out, prev = [], genesis
+    for r in numbered.orderBy("seq").toLocalIterator():  # each hash holds the one before, so the chain is sequential by nature
+        text = "|".join([prev, str(r["seq"]), *("" if r[c] is None else str(r[c]) for c in columns)])
+        prev_hash, prev = prev, hashlib.sha256(text.encode()).hexdigest()
+        out.append({**{c: r[c] for c in columns}, "seq": r["seq"], "prev_hash": prev_hash, "line_hash": prev})
+    if out:
+        kinds = {c: df.schema[c].dataType.simpleString() for c in columns}
+        spark.createDataFrame(out, ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "seq long, prev_hash string, line_hash string"])).coalesce(1).write.mode("append").json(path)
+
+
+def broken_ledger(ledger: DataFrame, columns: list[str], genesis: str = "0" * 64) -> DataFrame:
+    """(seq): lines that do not follow from their content and the line before; edits and removals show."""
+    w = Window.partitionBy(F.lit(1)).orderBy("seq")  # a ledger is short
+    before = F.coalesce(F.lag("line_hash").over(w), F.lit(genesis))
+    own = F.sha2(F.concat_ws("|", "prev_hash", "seq", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
+    return ledger.withColumns({"_before": before, "_own": own}).filter((F.col("_before") != F.col("prev_hash")) | (F.col("_own") != F.col("line_hash"))).select("seq")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.operators.windows import gauss_rank, ordinal, pct_rank, zscore
@@ -82,3 +82,19 @@ def known_by_step(df: DataFrame, entity: str, period: str, value: str, done: Col
     each = own.groupBy("_done").agg(F.count("*").alias("_n"), F.sum("_v").alias("_s"))
     known = each.withColumn("step", F.explode(F.array(*map(F.lit, steps)))).filter("_done <= step")
     return known.groupBy("step").agg(F.sum("_n").alias("outcomes"), F.sum("_s").alias("total"), F.sum(F.when(F.col("_done") == F.col("step"), F.col("_n")).otherwise(0)).alias("new"))
+
+
+def fold_target(value: Column | str, by: list[str], how: str) -> Column:
+    """Target of a fold: missing counts as none and values are held to 0..40; log, sqrt, rank, or log in its cohort's deviations."""
+    x = F.greatest(F.lit(0.0), F.least(F.lit(40.0), F.coalesce((F.col(value) if isinstance(value, str) else value).cast("double"), F.lit(0.0))))
+    if how == "log":
+        return F.log1p(x)
+    if how == "sqrt":
+        return F.sqrt(x)
+    if how == "rank":
+        return pct_rank(x, by)
+    if how == "zclass":
+        w = Window.partitionBy(*by)
+        sd = F.coalesce(F.nullif(F.stddev_pop(F.log1p(x)).over(w), F.lit(0.0)), F.lit(1.0))
+        return (F.log1p(x) - F.avg(F.log1p(x)).over(w)) / sd
+    raise ValueError(f"no fold target {how!r}")

@@ -357,3 +357,21 @@ def causal_text_scores(df: DataFrame, text: str, label: str, cohort: str, cohort
         own = text_ridge(train, df.filter(F.col(cohort) == now), text, label, **how)
         out = own if out is None else out.unionByName(own)
     return out
+
+
+def bin_shares(train: DataFrame, test: DataFrame, features: list[str], bins: str, n: int) -> DataFrame:
+    """test with ``p0`` .. shares of outcome bins by a multinomial classifier, and ``expected``, the sum of bin numbers times shares."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    ban_columns(features, names=(bins,))
+    own = [f"_f{i}" for i in range(len(features))]
+    cast = lambda d: d.withColumns({f: F.col(c).cast("double") for f, c in zip(own, features, strict=True)})
+    steps = [Imputer(inputCols=own, outputCols=[f"{c}i" for c in own]), VectorAssembler(inputCols=[f"{c}i" for c in own], outputCol="_v"), StandardScaler(inputCol="_v", outputCol="_s", withMean=True), LogisticRegression(featuresCol="_s", labelCol=bins, probabilityCol="_p", family="multinomial", regParam=0.01)]
+    model = Pipeline(stages=steps).fit(cast(train.filter(F.col(bins).isNotNull())))
+    out = model.transform(cast(test)).withColumn("_a", vector_to_array("_p"))
+    shares = {f"p{i}": F.coalesce(F.get("_a", F.lit(i)), F.lit(0.0)) for i in range(n)}
+    out = out.withColumns(shares).withColumn("expected", sum((F.col(f"p{i}") * i for i in range(n)), F.lit(0.0)))
+    return out.select(*test.columns, *shares, "expected")

@@ -52,3 +52,13 @@ def previous(df: DataFrame, by: list[str], period: str, columns: list[str], gap:
     """df with the columns of exactly gap periods before, prefixed ``prev_``."""
     old = df.select(*by, (F.col(period) + gap).alias(period), *(F.col(c).alias(f"prev_{c}") for c in columns))
     return df.join(old, [*by, period], "left")
+
+
+def as_of_any(left: DataFrame, rights: list[tuple[str, DataFrame, str]], key: str, at: str, ts: str, tie: str, value: str) -> DataFrame:
+    """left with ``value`` and ``source`` of the first source that has a row at or before its time and within that source's tolerance."""
+    names = []
+    for name, right, tolerance in rights:
+        left = as_of(left, right.select(key, ts, tie, value), key, at, ts, tolerance, tie).drop(f"r_{ts}", f"r_{tie}").withColumnRenamed(f"r_{value}", f"_v_{name}")
+        names.append(name)
+    source = F.coalesce(*(F.when(F.col(f"_v_{n}").isNotNull(), F.lit(n)) for n in names))
+    return left.withColumns({value: F.coalesce(*(F.col(f"_v_{n}") for n in names)), "source": source}).drop(*(f"_v_{n}" for n in names))

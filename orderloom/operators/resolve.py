@@ -148,3 +148,32 @@ def voted(pairs: DataFrame, key: str, value: str, by: str, least: int, least_all
     all_ = majority(pairs, key, value, least_all, least_share).select(key, F.col(value).alias("_all"))
     every = pairs.select(by, key).distinct().join(own, [by, key], "left").join(all_, key, "left")
     return every.select(by, key, F.coalesce("_own", "_all").alias(value)).filter(F.col(value).isNotNull())
+
+
+def by_prefix(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: int = 5, long: int = 9, block: int = 3) -> DataFrame:
+    """(left_key, right_key): distinct keys of which one starts with the other, if that has ``least`` letters, or that share their first ``long`` ones.
+
+    Pairs are formed inside a block of the first letters only.
+    """
+    l = left.select(left_key).distinct().withColumn("_b", F.substring(left_key, 1, block))  # noqa: E741
+    r = right.select(right_key).distinct().withColumn("_b", F.substring(right_key, 1, block))
+    a, b = F.col(left_key), F.col(right_key)
+    starts = (F.length(b) >= least) & a.startswith(b) | (F.length(a) >= least) & b.startswith(a)
+    same = (F.length(a) >= long) & (F.substring(a, 1, long) == F.substring(b, 1, long))
+    return l.join(r, "_b").filter(starts | same).select(left_key, right_key)
+
+
+def preferring(df: DataFrame, keys: list[str], agrees: Column, weight: Column, tie: list[Column]) -> DataFrame:
+    """One row of each key: one that agrees before one that does not, then the weightier one."""
+    from orderloom.operators.dedup import best_by
+
+    return best_by(df, keys, [F.desc(agrees.cast("int")), F.desc_nulls_last(weight), *tie])
+
+
+def by_id_or_name(left: DataFrame, right: DataFrame, left_id: str, right_id: str, key: str, left_name: str, right_name: str) -> DataFrame:
+    """(left_id, key, how): by an id, else by a name that only one right row bears; "ambiguous" where several do, "none" where none does."""
+    ids = right.select(F.col(right_id).alias(left_id), F.col(key).alias("_by_id"))
+    names = right.groupBy(F.col(right_name).alias(left_name)).agg(F.count("*").alias("_n"), F.min(key).alias("_by_name"))
+    j = left.select(left_id, left_name).join(ids, left_id, "left").join(names, left_name, "left")
+    how = F.when(F.col("_by_id").isNotNull(), "id").when(F.col("_n") == 1, "name").when(F.col("_n") > 1, "ambiguous").otherwise("none")
+    return j.select(left_id, F.when(how == "id", F.col("_by_id")).when(how == "name", F.col("_by_name")).alias(key), how.alias("how"))

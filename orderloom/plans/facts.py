@@ -29,7 +29,7 @@ def _box(spark, d):
     teams = l.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("one"), F.max("l_suppkey").alias("two"))
     rows = l.join(teams, "l_orderkey").selectExpr(
         "year(l_shipdate) AS season", "l_orderkey AS game_id", "l_orderkey * 10 + l_linenumber AS athlete_id", "l_suppkey AS team_id", "CASE WHEN l_suppkey = one THEN two ELSE one END AS opp_team_id",
-        "CASE WHEN l_suppkey = one THEN 'home' ELSE 'away' END AS side", "l_partkey % 11 = 0 AS dnp", "l_suppkey + 60 AS team_score", "CASE WHEN l_suppkey = one THEN two ELSE one END + 60 AS opp_score", *(f"{e} AS {c}" for c, e in BOX.items()),
+        "CASE WHEN l_suppkey = one THEN 'home' ELSE 'away' END AS side", "l_partkey % 11 = 0 AS dnp", "l_partkey % 40 AS who", "l_suppkey + 60 AS team_score", "CASE WHEN l_suppkey = one THEN two ELSE one END + 60 AS opp_score", *(f"{e} AS {c}" for c, e in BOX.items()),
     )
     team_box = l.filter("l_suppkey % 4 <> 0").groupBy(F.col("l_orderkey").alias("game_id"), F.col("l_suppkey").alias("team_id")).agg(*(F.sum(F.expr(BOX[c])).alias(c) for c in ("fga", "oreb", "tov", "fta")))
     o = table(spark, d, "orders", ["o_orderkey"])
