@@ -22,7 +22,7 @@ from orderloom.operators.windows import pct_rank, ranked, with_pct_ranks
 
 TOKEN = re.compile(r"\s*([A-Za-z_]\w*|[-+]?\d+(?:\.\d+)?|[(),:])")
 UNLISTED = 61.0  # the place behind a board's end
-DIGITS = 9  # that a rule's score has, so that the order of its sums makes no order of members
+DIGITS = 9  # to which scores are compared, so that the order of their sums makes no order of members
 
 
 def blend(parts: list[tuple[Column | str, float]], by: list[str]) -> Column:
@@ -168,7 +168,7 @@ def apply(df: DataFrame, rules: dict[str, str], by: list[str], **how) -> DataFra
         for node, name in inner.items():
             if node.depth == depth:
                 first, second = ([given(pair[i]) for pair in node.args] for i in (0, 1))
-                made[name] = F.round(_combine(node.name, first, second, ask, lambda c, ask=ask: ask(c, "place")).cast("double"), DIGITS)
+                made[name] = _combine(node.name, first, second, ask, lambda c, ask=ask: ask(c, "place"))
         df = _with_ranks(df, need, by, how)
         held |= need
         df = df.withColumns(made)
@@ -188,7 +188,7 @@ def _with_ranks(df: DataFrame, need: dict[tuple[str, str], str], by: list[str],
         elif kind == "board":
             c = -F.coalesce(c.cast("double"), F.lit(UNLISTED))
         (place if kind == "place" else pct)[name] = -c if kind == "place" else c
-    filled = {f"_of{n}": c for n, c in {**pct, **place}.items()}
+    filled = {f"_of{n}": F.round(c.cast("double"), DIGITS) for n, c in {**pct, **place}.items()}
     df = df.withColumns(filled) if filled else df
     if pct:
         df = with_pct_ranks(df, by, {n: f"_of{n}" for n in pct}, **how)
@@ -203,7 +203,7 @@ def rhos(df: DataFrame, rules: dict[str, str], by: str, value: str, **how) -> Da
     Scores are laid out one row for each rule, so that a cohort's many ranks run as many tasks.
     """
     scored = ranked(apply(df, rules, [by], **how), [by], {"_v": value}, **how)
-    long = scored.select(by, "_v", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).cast("double").alias("score")) for r in rules))).alias("e")).select(by, "_v", "e.*")
+    long = scored.select(by, "_v", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.round(F.col(r).cast("double"), DIGITS).alias("score")) for r in rules))).alias("e")).select(by, "_v", "e.*")
     return ranked(long, [by, "rule"], {"_s": "score"}, **how).groupBy("rule", by).agg(corr("_s", "_v").alias("rho"))
 
 

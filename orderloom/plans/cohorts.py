@@ -186,7 +186,7 @@ def population_blend(spark, d):
     return rounded(x.select("cohort", "entity", rules.special("c_acctbal", "other", 0.5, F.col("c_nationkey") < 8, ["cohort"]).alias("score")))
 
 
-@book.query(f"{SCORED}, y AS (SELECT *, CASE WHEN entity % 4 <> 0 THEN c_nationkey::DOUBLE END AS age FROM x), z AS (SELECT *, coalesce(age, median(age) OVER (PARTITION BY cohort)) AS filled, -coalesce(age, median(age) OVER ()) AS young FROM y) SELECT cohort, entity, round(0.9 * ({pct_sql('value', 'cohort')}) - 0.1 * ({pct_sql('filled', 'cohort')}), 6) AS score, round(0.8 * ({pct_sql('value', 'cohort')}) + 0.2 * ({pct_sql('young', 'cohort')}), 6) AS youth FROM z")
+@book.query(f"{SCORED}, y AS (SELECT *, CASE WHEN entity % 4 <> 0 THEN c_nationkey::DOUBLE END AS age FROM x), z AS (SELECT *, coalesce(age, median(age) OVER (PARTITION BY cohort)) AS filled, -coalesce(age, median(age) OVER ()) AS young FROM y) SELECT cohort, entity, round(0.9 * ({pct_sql('value', 'cohort')}) - 0.1 * ({pct_sql('filled', 'cohort')}), 6) + 0.0 AS score, round(0.8 * ({pct_sql('value', 'cohort')}) + 0.2 * ({pct_sql('young', 'cohort')}), 6) + 0.0 AS youth FROM z")
 def tilt_median_fill(spark, d):
     x = _scored(spark, d).withColumn("age", F.when(F.col("entity") % 4 != 0, F.col("c_nationkey").cast("double")))
     x = rules.apply(x, {"score": "tilt(value,age,-0.1)", "youth": "youth(value,age,0.2)"}, ["cohort"])

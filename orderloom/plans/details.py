@@ -19,12 +19,12 @@ QUERIES, ORACLE = book.queries, book.sql
 
 # -- contexts ------------------------------------------------------------------------------
 
-YEARS = f"{SUPPLIER_YEARS}, y AS (SELECT s.*, s_nationkey AS team, s_nationkey % 5 AS conf, CASE WHEN supp % 4 <> 0 THEN round(qty / lines - 25, 6) END AS level, round(revenue / qty, 6) AS load FROM s JOIN supplier ON supp = s_suppkey)"
+YEARS = f"{SUPPLIER_YEARS}, y AS (SELECT s.*, s_nationkey AS team, s_nationkey % 5 AS conf, CASE WHEN supp % 4 <> 0 THEN qty / lines - 25 END AS level, revenue / qty AS load FROM s JOIN supplier ON supp = s_suppkey)"
 
 
 def _team_years(spark, d):
     s = supplier_years(spark, d).join(table(spark, d, "supplier", ["s_suppkey", "s_nationkey"]), F.col("supp") == F.col("s_suppkey"))
-    return s.select("supp", "year", "qty", "revenue", "lines", F.col("s_nationkey").alias("team"), (F.col("s_nationkey") % 5).alias("conf"), F.when(F.col("supp") % 4 != 0, F.round(F.col("qty") / F.col("lines") - 25, 6)).alias("level"), F.round(F.col("revenue") / F.col("qty"), 6).alias("load"))
+    return s.select("supp", "year", "qty", "revenue", "lines", F.col("s_nationkey").alias("team"), (F.col("s_nationkey") % 5).alias("conf"), F.when(F.col("supp") % 4 != 0, F.col("qty") / F.col("lines") - 25).alias("level"), (F.col("revenue") / F.col("qty")).alias("load"))
 
 
 def _others(c: str) -> str:
@@ -35,8 +35,8 @@ def _others(c: str) -> str:
 @book.query(f"""WITH {YEARS}, p AS (SELECT *, lines * greatest(coalesce(level, 0), 0) AS pos, row_number() OVER (PARTITION BY team, year ORDER BY level DESC NULLS LAST, supp) AS k FROM y),
 t AS (SELECT *, {', '.join(f'max(level) FILTER (k = {n}) OVER w AS l{n}' for n in (1, 2, 3))}, {_others('level')} AS ml, {_others('load')} AS mo, pos / nullif(sum(pos) OVER w, 0) AS share, sum(pos * pos) OVER w / nullif(sum(pos) OVER w * sum(pos) OVER w, 0) AS conc,
  5 * sum(pos) OVER w / nullif(sum(lines) OVER w, 0) AS total, count(*) OVER w AS n, qty / nullif(sum(qty) OVER w, 0) AS qs FROM p WINDOW w AS (PARTITION BY team, year))
-SELECT supp, year, round(ml, 5) AS t_mates_level, round(mo, 4) AS t_mates_load, round(CASE WHEN k = 1 THEN l2 ELSE l1 END, 5) AS t_mates_best, round(CASE WHEN k = 1 THEN l2 + l3 WHEN k = 2 THEN l1 + l3 ELSE l1 + l2 END / 2, 5) AS t_mates_top2,
-round(share, 5) AS t_level_share, round(conc, 5) AS t_talent_conc, round(total, 5) AS t_team_sum, n AS t_team_n, round(qs, 5) AS t_qty_share FROM t""")
+SELECT supp, year, round(ml, 5) + 0.0 AS t_mates_level, round(mo, 4) + 0.0 AS t_mates_load, round(CASE WHEN k = 1 THEN l2 ELSE l1 END, 5) + 0.0 AS t_mates_best, round(CASE WHEN k = 1 THEN l2 + l3 WHEN k = 2 THEN l1 + l3 ELSE l1 + l2 END / 2, 5) + 0.0 AS t_mates_top2,
+round(share, 5) + 0.0 AS t_level_share, round(conc, 5) + 0.0 AS t_talent_conc, round(total, 5) + 0.0 AS t_team_sum, n AS t_team_n, round(qs, 5) + 0.0 AS t_qty_share FROM t""")
 def team_context(spark, d):
     """The others of a team, the best of them, shares and concentration."""
     x = context.team_mates(_team_years(spark, d), ["team", "year"], "supp", "lines", "level", "load", {"qty": "qty"})
@@ -284,7 +284,7 @@ def bridge_columns(spark, d):
     return rounded(x.withColumn("source", nulls.gate("source", F.col("x").isNotNull())), 4)
 
 
-@book.query("""WITH q AS (SELECT o_custkey AS who, o_clerk_ AS book, d, CASE WHEN k % 3 = 0 THEN -100.0 - k % 150 ELSE 100.0 + k % 200 END::DOUBLE AS price, k % 30 + 0.5 AS line, k FROM (SELECT o_custkey, o_orderkey % 4 AS o_clerk_, o_orderdate AS d, o_orderkey AS k FROM orders)),
+@book.query("""WITH q AS (SELECT o_custkey AS who, o_clerk_ AS book, d, CASE WHEN k % 3 = 0 THEN -100.0 - k % 150 ELSE 100.0 + k % 200 END::DOUBLE AS price, (k % 30 + 0.5)::DOUBLE AS line, k FROM (SELECT o_custkey, o_orderkey % 4 AS o_clerk_, o_orderdate AS d, o_orderkey AS k FROM orders)),
 l AS (SELECT *, row_number() OVER (PARTITION BY who, book ORDER BY d DESC, k DESC) AS r FROM q), p AS (SELECT who, line, CASE WHEN price < 0 THEN -price / (-price + 100) ELSE 100 / (price + 100) END AS p FROM l WHERE r = 1) SELECT who, count(*) AS odds_books, round(median(line), 4) AS odds_line, round(median(p), 6) AS odds_p, round(max(line) - min(line), 4) AS odds_spread FROM p GROUP BY 1""")
 def market_odds(spark, d):
     """The last price of each book, and the middle of books in probabilities."""

@@ -50,7 +50,7 @@ k AS (SELECT *, CASE WHEN played THEN gs / minutes * 36 END AS gs36 FROM j), l A
 SELECT athlete_id, game_id, CASE WHEN game_id % 3 = 0 THEN 0 WHEN home THEN 1 ELSE -1 END::BIGINT AS home, round(tm_poss, 4) AS tm_poss, round(CASE WHEN fga + 0.44 * fta > 0 THEN pts / (2 * (fga + 0.44 * fta)) END, 6) AS ts,
  round(CASE WHEN fga > 0 THEN (fgm + 0.5 * tpm) / fga END, 6) AS efg, round(CASE WHEN tm_load > 0 THEN load / tm_load END, 6) AS poss_share, round(CASE WHEN played AND tm_load > 0 THEN 100 * load * (tm_min / 5) / (minutes * tm_load) END, 4) AS usg,
  round(CASE WHEN played AND minutes / (tm_min / 5) * tm_fgm - fgm > 0 THEN 100 * ast / (minutes / (tm_min / 5) * tm_fgm - fgm) END, 4) AS ast_pct, round(CASE WHEN load > 0 THEN 100 * tov / load END, 4) AS tov_pct,
- round(gs36, 4) AS gs36, round(gs36 - level, 4) AS gbpm, (team_id - opp_team_id)::DOUBLE AS margin FROM k JOIN l USING (season)""")
+ round(gs36, 4) + 0.0 AS gs36, round(gs36 - level, 4) + 0.0 AS gbpm, (team_id - opp_team_id)::DOUBLE AS margin FROM k JOIN l USING (season)""")
 def player_game(spark, d):
     """The fact table of players and games."""
     x = facts.player_game(*_box(spark, d))
@@ -62,7 +62,7 @@ _RATES = {"qty_36": "36.0 * qty / lines", "rev_36": "36.0 * revenue / lines / 10
 
 @book.query(f"""WITH {SUPPLIER_YEARS}, r AS (SELECT supp, year, s_nationkey AS league, lines, (supp % 12 + 14)::DOUBLE AS age, {', '.join(f'{e} AS {c}' for c, e in _RATES.items())} FROM s JOIN supplier ON supp = s_suppkey WHERE lines >= 5),
 z AS (SELECT *, {', '.join(f'({c} - avg({c}) OVER w) / nullif(stddev_samp({c}) OVER w, 0) AS iz_{c}' for c in _RATES)}, (rank() OVER (PARTITION BY league, year ORDER BY qty_36) + (count(*) OVER (PARTITION BY league, year, qty_36) - 1) / 2.0) / count(*) OVER w AS pct, count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY league, year))
-SELECT supp, year, {', '.join(f'round(iz_{c}, 6) AS iz_{c}, round(iz_{c} * greatest(22 - age, 0), 6) AS iz_young_x_{c}' for c in _RATES)}, round(pct, 6) AS iz_pct, n AS iz_n FROM z""")
+SELECT supp, year, {', '.join(f'round(iz_{c}, 6) AS iz_{c}, round(iz_{c} * greatest(22 - age, 0), 6) + 0.0 AS iz_young_x_{c}' for c in _RATES)}, round(pct, 6) AS iz_pct, n AS iz_n FROM z""")
 def league_season_scores(spark, d):
     """Rates against the league and season, and times the years under twenty-two."""
     s = supplier_years(spark, d).filter("lines >= 5").join(table(spark, d, "supplier", ["s_suppkey", "s_nationkey"]), F.col("supp") == F.col("s_suppkey")).withColumnRenamed("s_nationkey", "league")
@@ -240,7 +240,7 @@ def second_league_translation(spark, d):
 
 
 @book.query("""WITH l AS (SELECT l_suppkey, year(l_shipdate)::BIGINT AS season, l_orderkey, sum(l_extendedprice) AS v, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, season ORDER BY v DESC, l_orderkey) AS best, row_number() OVER (PARTITION BY l_suppkey, season ORDER BY l_orderkey DESC) AS late FROM l)
-SELECT l_suppkey, season, count(*) AS games, round(avg(v), 3) AS mean, round(avg(v) FILTER (best <= 5), 3) AS top5, round(avg(v) FILTER (best > 5), 3) AS rest, round(avg(v) FILTER (late <= 5) - avg(v) FILTER (late > 5), 3) AS form, round(sum(v) / nullif(sum(q), 0), 4) AS per_unit FROM r GROUP BY 1, 2""")
+SELECT l_suppkey, season, count(*) AS games, round(avg(v), 2) AS mean, round(avg(v) FILTER (best <= 5), 2) AS top5, round(avg(v) FILTER (best > 5), 2) AS rest, round(avg(v) FILTER (late <= 5) - avg(v) FILTER (late > 5), 2) AS form, round(sum(v) / nullif(sum(q), 0), 4) AS per_unit FROM r GROUP BY 1, 2""")
 def season_box(spark, d):
     """A season's totals with the best games, the last ones and the rest side by side."""
     l = table(spark, d, "lineitem", ["l_suppkey", "l_shipdate", "l_orderkey", "l_extendedprice", "l_quantity"])  # noqa: E741
@@ -249,7 +249,7 @@ def season_box(spark, d):
     r = g.withColumns({"best": windows.ordinal(by, F.desc("v"), F.col("l_orderkey")), "late": windows.ordinal(by, F.desc("l_orderkey"))})
     mean = lambda c: F.avg(F.when(c, F.col("v")))
     out = r.groupBy(*by).agg(F.count("*").alias("games"), F.avg("v").alias("mean"), mean(F.col("best") <= 5).alias("top5"), mean(F.col("best") > 5).alias("rest"), (mean(F.col("late") <= 5) - mean(F.col("late") > 5)).alias("form"), F.round(stats.ratio("v", "q"), 4).alias("per_unit"))
-    return rounded(out.withColumns({c: F.round(c, 3) for c in ("mean", "top5", "rest", "form")}), 4)
+    return rounded(out.withColumns({c: F.round(c, 2) for c in ("mean", "top5", "rest", "form")}), 4)
 
 
 @book.query("""WITH k AS (SELECT c_custkey AS key, 1 AS k_listed FROM customer WHERE c_acctbal > 5000), s AS (SELECT DISTINCT o_custkey AS key, 1 AS s_listed FROM orders WHERE o_totalprice > 200000) SELECT c_custkey AS key, coalesce(k_listed, 0)::BIGINT AS k_listed, coalesce(s_listed, 0)::BIGINT AS s_listed FROM customer LEFT JOIN k ON k.key = c_custkey LEFT JOIN s ON s.key = c_custkey""")
