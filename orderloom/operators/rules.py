@@ -97,10 +97,6 @@ def parse(text: str) -> Node:
     return node
 
 
-#: A compiled rule asks for ranks with these and combines them: percentile rank, rank from the top, column.
-Rank = Callable[[str, str], Column]
-
-
 def _combine(name: str, first: list, second: list, pct: Callable[..., Column], place: Callable[[str], Column]) -> Column:
     """The column of one rule whose arguments are column names and numbers."""
     if name == "blend":
@@ -159,16 +155,24 @@ def apply(df: DataFrame, rules: dict[str, str], by: list[str], **how) -> DataFra
     for depth in range(1, max((n.depth for n in inner), default=0) + 1):
         need: dict[tuple[str, str], str] = {}
 
-        def ask(column: str, kind: str = "pct", need=need) -> Column:
+        def rank(column: str, kind: str, need=need) -> str:
             if (column, kind) not in held:
                 need.setdefault((column, kind), f"_rank{len(held) + len(need)}")
-            return F.col(held.get((column, kind)) or need[column, kind])
+            return held.get((column, kind)) or need[column, kind]
+
+        def pct(column: str, kind: str = "plain", rank=rank) -> Column:
+            name = rank(column, kind)
+            return F.col(name) / F.col(f"{name}_n")
+
+        def place(column: str, rank=rank) -> Column:  # from the top
+            name = rank(column, "plain")
+            return F.col(f"{name}_n") + 1 - F.col(name)
 
         made = {}
         for node, name in inner.items():
             if node.depth == depth:
                 first, second = ([given(pair[i]) for pair in node.args] for i in (0, 1))
-                made[name] = _combine(node.name, first, second, ask, lambda c, ask=ask: ask(c, "place"))
+                made[name] = _combine(node.name, first, second, pct, place)
         df = _with_ranks(df, need, by, how)
         held |= need
         df = df.withColumns(made)
@@ -176,25 +180,20 @@ def apply(df: DataFrame, rules: dict[str, str], by: list[str], **how) -> DataFra
 
 
 def _with_ranks(df: DataFrame, need: dict[tuple[str, str], str], by: list[str], how: dict) -> DataFrame:
-    """df with the ranks that a level asks for, named as asked."""
-    pct, place = {}, {}
+    """df with the ranks that a level asks for and the numbers of ranked values, named as asked."""
+    filled = {}
     for (column, kind), name in need.items():
-        c = F.col(column)
+        c = F.col(column).cast("double")
         if kind == "median":
-            c = F.coalesce(c.cast("double"), F.median(c).over(Window.partitionBy(*by)))
+            c = F.coalesce(c, F.median(column).over(Window.partitionBy(*by)))
         elif kind == "young":
-            middle = df.agg(F.median(column)).first()[0]
-            c = -F.coalesce(c.cast("double"), F.lit(middle))
+            c = -F.coalesce(c, F.lit(df.agg(F.median(column)).first()[0]))
         elif kind == "board":
-            c = -F.coalesce(c.cast("double"), F.lit(UNLISTED))
-        (place if kind == "place" else pct)[name] = -c if kind == "place" else c
-    filled = {f"_of{n}": F.round(c.cast("double"), DIGITS) for n, c in {**pct, **place}.items()}
-    df = df.withColumns(filled) if filled else df
-    if pct:
-        df = with_pct_ranks(df, by, {n: f"_of{n}" for n in pct}, **how)
-    if place:
-        df = ranked(df, by, {n: f"_of{n}" for n in place}, **how)
-    return df.drop(*filled)
+            c = -F.coalesce(c, F.lit(UNLISTED))
+        filled[f"_of{name}"] = F.round(c, DIGITS)
+    if not need:
+        return df
+    return ranked(df.withColumns(filled), by, {n: f"_of{n}" for n in need.values()}, counts=True, **how).drop(*filled)
 
 
 def rhos(df: DataFrame, rules: dict[str, str], by: str, value: str, **how) -> DataFrame:
@@ -203,8 +202,11 @@ def rhos(df: DataFrame, rules: dict[str, str], by: str, value: str, **how) -> Da
     Scores are laid out one row for each rule, so that a cohort's many ranks run as many tasks.
     """
     scored = ranked(apply(df, rules, [by], **how), [by], {"_v": value}, **how)
-    long = scored.select(by, "_v", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.round(F.col(r).cast("double"), DIGITS).alias("score")) for r in rules))).alias("e")).select(by, "_v", "e.*")
-    return ranked(long, [by, "rule"], {"_s": "score"}, **how).groupBy("rule", by).agg(corr("_s", "_v").alias("rho"))
+    scores = F.array(*(F.round(F.col(r).cast("double"), DIGITS) for r in rules))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a few cohorts are a few tasks, and rows are about to multiply
+    long = scored.select(by, "_v", scores.alias("_scores")).repartition(parts).select(by, "_v", F.posexplode("_scores").alias("_rule", "score"))
+    told = ranked(long, [by, "_rule"], {"_s": "score"}, **how).groupBy("_rule", by).agg(corr("_s", "_v").alias("rho"))
+    return told.select(F.element_at(F.array(*map(F.lit, rules)), F.col("_rule") + 1).alias("rule"), by, "rho")
 
 
 def sweep(df: DataFrame, rules: dict[str, str], by: str, value: str, **how) -> DataFrame:

@@ -13,8 +13,9 @@ def average_rank(x: Column | str, by: list[str], descending: bool = False) -> Co
     """Rank from 1 with ties at their mean; NULL stays NULL and takes no rank."""
     x = col(x)
     order = F.desc_nulls_last(x) if descending else F.asc_nulls_last(x)
-    first = F.rank().over(Window.partitionBy(*by).orderBy(order))
-    same = F.count("*").over(Window.partitionBy(*by, x))
+    ordered = Window.partitionBy(*by).orderBy(order)
+    first = F.rank().over(ordered)
+    same = F.count("*").over(ordered.rangeBetween(Window.currentRow, Window.currentRow))  # equal values, in the same sort
     return F.when(x.isNotNull(), first + (same - 1) / 2.0)
 
 
