@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,10 +52,6 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     No expression of the engine finds these blocks: pairs go to Python in Arrow batches, so give
     only pairs that a block key has let through.
     """
-    import difflib
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         known: dict[tuple[str, str], float] = {}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orderloom.functions.nulls import clip, col, sdiv
 from orderloom.functions.numbers import norm_ppf, with_ppf
+from orderloom.operators.lineage import cut
 
 
 def average_rank(x: Column | str, by: list[str], descending: bool = False) -> Column:
@@ -37,20 +38,21 @@ def gauss_rank(x: Column | str, by: list[str], low: float = 0.01, high: float =
 
 
 def _bytes(df: DataFrame) -> int:
-    """Bytes that a plan reads, by the sizes of its tables; a table of unknown size counts as very large."""
+    """Bytes that a plan reads, by the sizes of its tables; one of unknown size, made of rows at hand, counts as none."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 62)
 
 
 def ranked(df: DataFrame, by: list[str], columns: dict[str, Column | str], *, counts: bool = False, most_bytes: int = 1 << 31, parts: int = 256) -> DataFrame:
     """df with the average rank of each column within its cohort; counts: and of its present values, as ``{name}_n``.
 
-    Plans that read up to most_bytes are ranked by windows over cohorts. Beyond it a
+    Plans that read up to most_bytes (0: none) are ranked by windows over cohorts. Beyond it a
     cohort may be larger than a task: its values are dealt to up to parts ranges at approximate
     quantiles, windows run over ranges, and the rows of the ranges below are added. The ranks are the
     same: equal values share a range.
     """
-    if _bytes(df) <= most_bytes:
+    if most_bytes and _bytes(df) <= most_bytes:
         out = {}
         for name, x in columns.items():
             out[name] = average_rank(x, by)
@@ -62,22 +64,30 @@ def ranked(df: DataFrame, by: list[str], columns: dict[str, Column | str], *, co
     return df
 
 
+#: Bytes of a table that goes to all tasks.
+MOST_SENT = 64 << 20
+
+
 def _ranked_in_ranges(df: DataFrame, by: list[str], name: str, x: Column, counts: bool, parts: int) -> DataFrame:
-    keys = {f"_k{i}": k for i, k in enumerate(by)}
-    rows = df.withColumn("_x", x.cast("double"))
+    keys = {f"__k{i}": k for i, k in enumerate(by)}
+    rows = df.withColumn("__x", x.cast("double"))
     side = lambda d: d.select(*(F.col(k).alias(n) for n, k in keys.items()), *(c for c in d.columns if c not in by))
     same = [F.col(k).eqNullSafe(F.col(n)) for n, k in keys.items()]
-    cuts = rows.groupBy(*by).agg(F.percentile_approx("_x", [i / parts for i in range(1, parts)], 100 * parts).alias("_cuts"))
-    rows = rows.join(side(cuts), same, "left").drop(*keys).withColumn("_part", F.size(F.filter(F.array_distinct(F.coalesce("_cuts", F.array().cast("array<double>"))), lambda c: c < F.col("_x")))).drop("_cuts")
-    sizes = rows.filter("_x is not null").groupBy(*by, "_part").agg(F.count("*").alias("_size"))
-    up = Window.partitionBy(*by).orderBy("_part")  # a cohort's ranges, of which there are parts at most
-    below = sizes.select(*by, "_part", (F.sum("_size").over(up) - F.col("_size")).alias("_below"), F.sum("_size").over(Window.partitionBy(*by)).alias("_all"))
-    rows = rows.join(side(below).withColumnRenamed("_part", "_p"), [*same, F.col("_part") == F.col("_p")], "left").drop(*keys, "_p")
-    own = average_rank("_x", [*by, "_part"])
-    rows = rows.withColumn(name, own + F.col("_below"))
+    # both tables beside the rows are small (a row for each cohort, or range of one) and go to all tasks: a join on the cohort would put a hot one into one task
+    cuts = cut(rows.groupBy(*by).agg(F.percentile_approx("__x", [i / parts for i in range(1, parts)], 100 * parts).alias("__cuts")))
+    few = cuts.count() * parts * 8 <= MOST_SENT
+    sent = lambda d: F.broadcast(side(d)) if few else side(d)
+    rows = rows.join(sent(cuts), same, "left").drop(*keys).withColumn("__part", F.size(F.filter(F.array_distinct(F.coalesce("__cuts", F.array().cast("array<double>"))), lambda c: c < F.col("__x")))).drop("__cuts")
+    sizes = rows.filter("__x is not null").groupBy(*by, "__part").agg(F.count("*").alias("__size"))
+    up = Window.partitionBy(*by).orderBy("__part")  # a cohort's ranges, of which there are parts at most
+    below = sizes.select(*by, "__part", (F.sum("__size").over(up) - F.col("__size")).alias("__below"), F.sum("__size").over(Window.partitionBy(*by)).alias("__all"))
+    below = cut(below.withColumnRenamed("__part", "__p"))
+    rows = rows.join(sent(below), [*same, F.col("__part") == F.col("__p")], "left").drop(*keys, "__p").repartition(*by, "__part")
+    own = average_rank("__x", [*by, "__part"])
+    rows = rows.withColumn(name, own + F.col("__below"))
     if counts:
-        rows = rows.withColumn(f"{name}_n", F.coalesce("_all", F.lit(0)))
-    return rows.drop("_x", "_part", "_below", "_all")
+        rows = rows.withColumn(f"{name}_n", F.coalesce("__all", F.lit(0)))
+    return rows.drop("__x", "__part", "__below", "__all")
 
 
 def with_pct_ranks(df: DataFrame, by: list[str], columns: dict[str, Column | str], **how) -> DataFrame:
