@@ -1,16 +1,21 @@
 """Shared scratch tables, their release, and shipping of this package to executors.
 
 Scratch tables go to the folder named by ``spark.checkpoint.dir``; a local temporary folder
-is used only where that setting is absent and the master is local (tests, laptops).
+is used only where that setting is absent and the master is local (laptops). Lazy results read
+them, so they stay while the program runs and go when it ends; what is made inside ``owned`` goes
+when the same owner begins again, and nothing else goes with it.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -18,7 +23,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: dict[str, list[str]] = {}
+_made: dict[tuple[str, str], list[str]] = {}  # by application and owner
+_owner = [""]
 _shipped: set[str] = set()
 _local: list[str] = []
 
@@ -41,9 +47,13 @@ def token() -> str:
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, remembered for ``release``."""
+    """A new path in the shared folder, remembered so that it can be deleted."""
     path = f"{shared_dir(spark)}/{name}-{token()}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    key = spark.sparkContext.applicationId, _owner[-1]
+    if key not in _made:
+        _made[key] = []
+        atexit.register(_release, spark, key)
+    _made[key].append(path)
     return path
 
 
@@ -135,11 +145,24 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every scratch table made so far; call it only when their readers are done."""
-    for path in _made.pop(spark.sparkContext.applicationId, []):
-        drop(spark, path)
+def _release(spark: SparkSession, key: tuple[str, str]) -> None:
+    try:
+        for path in _made.pop(key, []):
+            drop(spark, path)
+    except Exception:  # noqa: BLE001  the session may have ended before the program: its folder is not ours to reach any more
+        return
+
+
+@contextlib.contextmanager
+def owned(spark: SparkSession, owner: str) -> Iterator[None]:
+    """Scratch tables made inside belong to owner; those that it made before are deleted now, so their readers must be done."""
+    _release(spark, (spark.sparkContext.applicationId, owner))
     sweep(spark)
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
 
 
 def ship(spark: SparkSession) -> None:
