@@ -2,7 +2,7 @@
 
 Each stage function takes (spark, docs, sf_dir); docs is a table that is already written. Stages
 return the columns of documents, but for the last, which returns one row per packed piece.
-Scratch tables of the stage before are deleted when the next one begins.
+Scratch tables of the stage before are deleted when the next one begins; those of other work stay.
 """
 
 from __future__ import annotations
@@ -16,33 +16,33 @@ from orderloom.llm.queries import vocabulary_path
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5; the scorer learns from the labelled ones outside fold 0."""
-    scratch.release(spark)
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.keep(docs, model, below=0.5)
+    with scratch.owned(spark, "pipeline"):
+        model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+        return toxicity.keep(docs, model, below=0.5)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, that of the least doc_id, of each component of SimHash links."""
-    scratch.release(spark)
-    return simhash.one_each(docs, words=4, radius=4)
+    with scratch.owned(spark, "pipeline"):
+        return simhash.one_each(docs, words=4, radius=4)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of windows that start earlier elsewhere; other texts stay as they are."""
-    scratch.release(spark)
-    return substring.strip_repeats(docs, window=20)
+    with scratch.owned(spark, "pipeline"):
+        return substring.strip_repeats(docs, window=20)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with secrets masked."""
-    scratch.release(spark)
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    with scratch.owned(spark, "pipeline"):
+        return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens at most."""
-    scratch.release(spark)
-    return packing.pack_documents(docs, vocabulary_path(), capacity=2048)
+    with scratch.owned(spark, "pipeline"):
+        return packing.pack_documents(docs, vocabulary_path(), capacity=2048)
 
 
 STAGES = [
