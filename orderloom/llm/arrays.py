@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -115,6 +116,13 @@ def chunks(sizes: list[int], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
+def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(lo, hi, UTF-8 bytes of the texts lo .. hi) of a column; a chunk's texts alone are taken out of it at once."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for lo, hi in chunks(sizes, limit):
+        yield lo, hi, raw_bytes(column.slice(lo, hi - lo))
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text index, start, end) of each word (runs of other than ASCII white space) of the texts joined by a line end."""
     buf = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
@@ -262,7 +270,7 @@ class SpanCache:
     encode: of some words, (ids of all in a row, number of ids of each).
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1 << 20, most_chars: int = 1 << 24):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1 << 18, most_chars: int = 1 << 22):
         self.encode, self.most, self.most_chars = encode, most, most_chars
         self._clear()
 

@@ -199,9 +199,8 @@ def tokenize(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "te
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.decode() for x in arrays.raw_bytes(batch.column(1))]
-            for lo, hi in arrays.chunks([len(t) for t in texts]):
-                ids, counts = encode(path, texts[lo:hi])
+            for lo, hi, raw in arrays.text_chunks(batch.column(1)):
+                ids, counts = encode(path, [x.decode() for x in raw])
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["key", "ids"])
 
@@ -216,9 +215,8 @@ def digests(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "tex
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
-            texts = [x.decode() for x in arrays.raw_bytes(batch.column(1))]
-            for lo, hi in arrays.chunks([len(t) for t in texts]):
-                ids, counts = encode(path, texts[lo:hi])
+            for lo, hi, raw in arrays.text_chunks(batch.column(1)):
+                ids, counts = encode(path, [x.decode() for x in raw])
                 back = [hashlib.sha256(x).hexdigest() for x in v.decode(ids, counts)]
                 cols = [pa.array(counts, pa.int64()), pa.array(id_digests(ids, counts, len(v.lengths))), pa.array(back)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *cols], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -55,9 +55,8 @@ def pieces(docs: DataFrame, path: str, *, capacity: int = 2048, separator: int =
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         cache, special, special_id = _pieces_of(path)
         for batch in batches:
-            texts = [x.decode() for x in arrays.raw_bytes(batch.column(1))]
-            for lo, hi in arrays.chunks([len(t) for t in texts]):
-                ids, counts = arrays.encode_texts(cache, texts[lo:hi], special, special_id)
+            for lo, _, texts in arrays.text_chunks(batch.column(1)):
+                ids, counts = arrays.encode_texts(cache, [x.decode() for x in texts], special, special_id)
                 raw = np.insert(ids, np.cumsum(counts), separator).astype("<u4").tobytes()
                 rows: list[tuple[int, int, int, int, int]] = []
                 at = 0

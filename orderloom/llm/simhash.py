@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, *, words: int = 4, also: tuple[str, ...] = ())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, words=words) for t in arrays.raw_bytes(batch.column(0))], np.uint64)
+            fps = np.array([fingerprint(t, words=words) for _, _, raw in arrays.text_chunks(batch.column(0)) for t in raw], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps.view(np.int64))], [*kept, "fp"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)

@@ -32,6 +32,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,9 +93,8 @@ def minimizers(docs: DataFrame, window: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = arrays.raw_bytes(batch.column(0))
-            for lo, hi in arrays.chunks([len(t) for t in texts]):
-                words, text, _, _ = arrays.word_hashes(texts[lo:hi])
+            for _, _, texts in arrays.text_chunks(batch.column(0)):
+                words, text, _, _ = arrays.word_hashes(texts)
                 for m, *_ in _paths(words, text, window):
                     yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64))], ["m"])
 
@@ -106,9 +106,8 @@ def paths(docs: DataFrame, window: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = arrays.raw_bytes(batch.column(1))
-            for lo, hi in arrays.chunks([len(t) for t in texts]):
-                words = Words(texts[lo:hi])
+            for lo, _, texts in arrays.text_chunks(batch.column(1)):
+                words = Words(texts)
                 for m, t, begin, first, n in _paths(words.hashes, words.text, window):
                     s1, s2 = words.digests(begin, begin + n + window - 1)
                     ids = batch.column(0).take(pa.array(t + lo))
@@ -123,9 +122,8 @@ def _edges(docs: DataFrame, window: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = arrays.raw_bytes(batch.column(1))
-            for lo, hi in arrays.chunks([len(t) for t in texts]):
-                words = Words(texts[lo:hi])
+            for lo, hi, texts in arrays.text_chunks(batch.column(1)):
+                words = Words(texts)
                 lists = batch.column(2).slice(lo, hi - lo)
                 packed = lists.flatten().to_numpy()
                 owner = np.repeat(np.arange(hi - lo), lists.value_lengths().to_numpy())
@@ -202,7 +200,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, with_text: bool = False
         for batch in batches:
             n_words, n_removed, digest, text = [], [], [], []
             none = batch.column(2).is_null().to_pylist()
-            for i, raw in enumerate(arrays.raw_bytes(batch.column(1))):
+            for i, raw in enumerate(t for _, _, texts in arrays.text_chunks(batch.column(1)) for t in texts):
                 words = raw.split()
                 n, removed = len(words), 0
                 if not none[i]:
@@ -236,20 +234,21 @@ def strip_repeats(docs: DataFrame, *, window: int = 20) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = batch.column(len(at))
-            texts = batch.column(at["text"]).to_pylist()
-            sizes = batch.column(at["n_chars"]).to_pylist() if "n_chars" in at else None
+            packed, column = batch.column(len(at)), batch.column(at["text"])
+            changed: dict[int, str] = {}
             for i in np.flatnonzero(packed.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                words = (texts[i] or "").encode().split()
+                words = (column[i].as_py() or "").encode().split()
                 gone = covered(len(words), packed[i].values.to_numpy(), window)
                 if gone.any():
-                    texts[i] = b" ".join(compress(words, (~gone).tolist())).decode()
-                    if sizes:
-                        sizes[i] = len(texts[i])
+                    changed[i] = b" ".join(compress(words, (~gone).tolist())).decode()
             cols = [batch.column(i) for i in range(len(at))]
-            cols[at["text"]] = pa.array(texts, batch.schema.field(at["text"]).type)
-            if sizes:
-                cols[at["n_chars"]] = pa.array(sizes, batch.schema.field(at["n_chars"]).type)
+            if changed:  # texts that stay are not taken out of their column
+                mask = np.zeros(batch.num_rows, bool)
+                mask[list(changed)] = True
+                replace = lambda c, values: pc.replace_with_mask(c, pa.array(mask), pa.array(values, c.type))  # noqa: E731, B023
+                cols[at["text"]] = replace(column, list(changed.values()))
+                if "n_chars" in at:
+                    cols[at["n_chars"]] = replace(batch.column(at["n_chars"]), [len(t) for t in changed.values()])
             yield pa.RecordBatch.from_arrays(cols, list(at))
 
     return scratch.positional(joined).mapInArrow(arrays.tidy(work), docs.schema)

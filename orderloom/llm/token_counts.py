@@ -170,13 +170,11 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(path)
         for batch in batches:
-            raw = arrays.raw_bytes(batch.column(1))
-            texts = [x.decode() for x in raw]
-            for lo, hi in arrays.chunks([len(t) for t in texts]):
-                n, words = cache.look_up(texts[lo:hi])
+            for lo, hi, raw in arrays.text_chunks(batch.column(1)):
+                n, words = cache.look_up([x.decode() for x in raw])
                 owner = np.repeat(np.arange(hi - lo), words)
                 total = np.bincount(owner, weights=n, minlength=hi - lo).astype(np.int64)
-                size = np.fromiter(map(len, raw[lo:hi]), np.int64, hi - lo)
+                size = np.fromiter(map(len, raw), np.int64, hi - lo)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, (size, words, total))], ["doc_id", "n_bytes", "n_pretokens", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -348,15 +348,15 @@ class _Numbers:
         return np.array(flat, np.int32), np.array(n, np.int64)
 
 
-def _feature_counts(rows: DataFrame, least_docs: int, most_held: int = 1 << 20) -> DataFrame:
+def _feature_counts(rows: DataFrame, least_docs: int, most_held: int = 1 << 18) -> DataFrame:
     """(feature, toxic, clean): in how many training texts of each label a feature occurs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, counts = _Numbers(), np.zeros((2, 0), np.int64)
         for batch in batches:
-            texts, y = [x.decode() for x in arrays.raw_bytes(batch.column(0))], batch.column(1).to_numpy()
-            for lo, hi in arrays.chunks([len(t) for t in texts]):
-                r = arrays.letter_runs(texts[lo:hi])
+            y = batch.column(1).to_numpy()
+            for lo, hi, raw in arrays.text_chunks(batch.column(0)):
+                r = arrays.letter_runs([x.decode() for x in raw])
                 at, n, ids = numbers.cache.spans(r.start, r.end, r.key, r.low)
                 pairs = np.unique(np.repeat(r.text, n) << 32 | ids[arrays.ragged(at, n)])
                 label = y[lo:hi][pairs >> 32]
@@ -385,9 +385,9 @@ def _context_counts(rows: DataFrame, wanted: frozenset[str]) -> DataFrame:
         numbers = _Numbers(wanted)
         for batch in batches:
             found: set[tuple[int, bytes, int]] = set()
-            texts, y = [x.decode() for x in arrays.raw_bytes(batch.column(0))], batch.column(1).to_pylist()
-            for lo, hi in arrays.chunks([len(t) for t in texts]):
-                r = arrays.letter_runs(texts[lo:hi])
+            y = batch.column(1).to_pylist()
+            for lo, _, raw in arrays.text_chunks(batch.column(0)):
+                r = arrays.letter_runs([x.decode() for x in raw])
                 at, n, ids = numbers.cache.spans(r.start, r.end, r.key, r.low)
                 hit = np.flatnonzero(n)
                 sides = []
@@ -444,9 +444,8 @@ def _sample(rows: DataFrame, model: Model, n_rows: int, most_docs: int, most_mar
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marker = Marker(model.odds)
         for batch in batches:
-            texts = [x.decode() for x in arrays.raw_bytes(batch.column(0))]
-            for lo, hi in arrays.chunks([len(t) for t in texts]):
-                m = marker.marks(texts[lo:hi])
+            for lo, hi, raw in arrays.text_chunks(batch.column(0)):
+                m = marker.marks([x.decode() for x in raw])
                 ends = pa.array(np.append(0, np.cumsum(m.count)), pa.int32())
                 wide = pa.array(np.append(0, np.cumsum(m.count) * OBSERVED), pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, pa.array(m.at)), pa.ListArray.from_arrays(wide, pa.array(m.seen.ravel()))]
@@ -493,9 +492,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marker, kind = Marker(model.odds), pa.struct([("start", pa.int32()), ("end", pa.int32())])
         for batch in batches:
-            texts = [x.decode() for x in arrays.raw_bytes(batch.column(1))]
-            for lo, hi in arrays.chunks([len(t) for t in texts]):
-                values, marks, p = score_texts(model, marker, texts[lo:hi])
+            for lo, hi, raw in arrays.text_chunks(batch.column(1)):
+                values, marks, p = score_texts(model, marker, [x.decode() for x in raw])
                 toxic = p >= 0.5
                 owner = np.repeat(np.arange(hi - lo), marks.count)[toxic]
                 ends = np.append(0, np.cumsum(np.bincount(owner, minlength=hi - lo)))
@@ -515,8 +513,7 @@ def keep(docs: DataFrame, model: Model, *, below: float = 0.5) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marker = Marker(model.odds)
         for batch in batches:
-            texts = [x.decode() for x in arrays.raw_bytes(batch.column(at))]
-            stay = [score_texts(model, marker, texts[lo:hi])[0] < below for lo, hi in arrays.chunks([len(t) for t in texts])]
+            stay = [score_texts(model, marker, [x.decode() for x in raw])[0] < below for _, _, raw in arrays.text_chunks(batch.column(at))]
             kept = batch.filter(pa.array(np.concatenate([*stay, np.zeros(0, bool)])))
             yield pa.RecordBatch.from_arrays(kept.columns, names)
 
