@@ -270,7 +270,7 @@ class SpanCache:
     encode: of some words, (ids of all in a row, number of ids of each).
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1 << 18, most_chars: int = 1 << 22):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1 << 19, most_chars: int = 1 << 23):
         self.encode, self.most, self.most_chars = encode, most, most_chars
         self._clear()
 
