@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.functions.nulls import clip, col, sdiv
+from orderloom.functions.nulls import col, sdiv
+from orderloom.operators.lineage import ship
 
 #: Coefficients of the rational approximation of the inverse normal distribution.
 CENTRE = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751867269, -30.66479806614716, 2.506628277459239)
@@ -97,6 +98,7 @@ def expected_slot(df: DataFrame, line: str, under: str, name: str) -> DataFrame:
         parts = [slot_means(a[i : i + 4096], b[i : i + 4096]) for i in range(0, len(a), 4096)]
         return pd.Series(np.concatenate(parts or [np.zeros(0)]))
 
+    ship(df.sparkSession)
     pairs = df.select(F.col(line).cast("double").alias("_line"), F.col(under).cast("double").alias("_under")).filter("_line is not null").distinct()
     solved = pairs.withColumn(name, solve("_line", "_under"))
     same = (F.col(line).cast("double") == F.col("_line")) & F.col(under).cast("double").eqNullSafe(F.col("_under"))

@@ -1,9 +1,11 @@
-"""The shared folder, and lineage cuts for loops whose plans would grow without end."""
+"""The shared folder, lineage cuts for loops whose plans would grow without end, and shipping of this package."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,20 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, so that Python workers need no shared path; once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    out = Path(tempfile.mkdtemp(prefix="orderloom-package-")) / "orderloom_package.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, f"{top.name}/{p.relative_to(top)}")
+    sc.addPyFile(str(out))
+    _shipped.add(sc.applicationId)

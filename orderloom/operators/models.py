@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.operators.guards import ban_columns
+from orderloom.operators.lineage import ship
 
 #: Training vectors of a tile, and test vectors of a block: what a task and a broadcast hold at once.
 TILE = 1 << 12
@@ -89,6 +90,7 @@ def knn(train: DataFrame, test: DataFrame, vector: str, label: str, key: str, k:
     from pyspark.sql import Window
 
     spark = train.sparkSession
+    ship(spark)
     given = lambda d: d.filter(F.col(key).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull())).withColumn("_v", F.transform(vector, lambda x: x.cast("double")))
     train, test = given(train).select(key, "_v", F.col(label).cast("double").alias("_y")), given(test).select(key, "_v")
     kind = train.schema[key].dataType.simpleString()
@@ -305,6 +307,7 @@ def fit_stack(df: DataFrame, ranks: list[str], target: str, alphas: list[float])
     """
     import pandas as pd
 
+    ship(df.sparkSession)
     k = len(ranks)
     rows = df.filter(F.col(target).isNotNull()).select(F.col(target).cast("double").alias("y"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(ranks)))
     first = rows.agg(F.count("*").alias("n"), F.avg("y").alias("y"), *(F.avg(f"x{i}").alias(f"m{i}") for i in range(k))).first()

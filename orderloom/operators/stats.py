@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.nulls import corr, col, sdiv
-from orderloom.operators.lineage import cut
+from orderloom.operators.lineage import cut, ship
 from orderloom.operators.windows import ranked
 
 
@@ -128,6 +128,7 @@ def wls_fit(df: DataFrame, by: list[str], y: str, xs: list[str], weight: str | N
     at a time in Arrow batches. NULL where a group has no more rows than coefficients, or columns
     that depend on one another.
     """
+    ship(df.sparkSession)
     p = len(xs)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.select(*by, w.alias("_w"), F.col(y).cast("double").alias("_y"), *(F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)))
@@ -212,6 +213,7 @@ def by_group(df: DataFrame, by: list[str], work, schema: str) -> DataFrame:
 
     What sums, ranks and windows can say should be said with those.
     """
+    ship(df.sparkSession)
     return df.groupBy(*by).applyInArrow(work, schema)
 
 

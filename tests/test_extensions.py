@@ -283,3 +283,38 @@ def test_database_round_trip(spark):
     made = sinks.ddl(df, "facts", ["id"], (("name",), ("name", "v")), readers="anon")
     assert made[0] == 'create table if not exists "facts" ("id" bigint not null, "v" double precision, "name" text, primary key ("id"))'
     assert made[1:3] == ['create index if not exists "facts_name" on "facts" ("name")', 'create index if not exists "facts_name_v" on "facts" ("name", "v")'] and "row level security" in made[3] and made[4].endswith("to anon using (true)")
+
+
+def test_fetching_is_idempotent(spark, tmp_path):
+    import http.server
+    import threading
+    from collections import Counter
+
+    from orderloom.sources.fetch import fetch
+
+    asked = Counter()
+
+    class Site(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            asked[self.path] += 1
+            status = {"/none": 404, "/broken": 500}.get(self.path, 503 if self.path == "/late" and asked["/late"] < 2 else 200)
+            self.send_response(status)
+            self.end_headers()
+            if status == 200:
+                self.wfile.write(b"page " + self.path.encode())
+
+        def log_message(self, *args):
+            return
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    urls = spark.createDataFrame([(f"{base}{p}",) for p in ("/a", "/b", "/a", "/none", "/broken", "/late")] + [(None,)], "u string")
+    try:
+        first, second = ({r["url"].removeprefix(base): r["state"] for r in fetch(urls, "u", str(tmp_path / "pages"), pause=0.01).collect()} for _ in range(2))
+    finally:
+        server.shutdown()
+    assert first == {"/a": "fetched", "/b": "fetched", "/none": "missing", "/broken": "failed", "/late": "fetched"}
+    assert second == {"/a": "cached", "/b": "cached", "/none": "missing", "/broken": "failed", "/late": "cached"}
+    assert asked == {"/a": 1, "/b": 1, "/none": 1, "/broken": 6, "/late": 2}
+    assert sorted(p.read_bytes() for p in (tmp_path / "pages").glob("*.page")) == [b"page /a", b"page /b", b"page /late"]
