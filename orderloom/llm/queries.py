@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import bpe, packing, secrets, simhash, substring, token_counts, toxicity, vectors, warc
+from orderloom.llm import bpe, layout, packing, secrets, simhash, substring, token_counts, toxicity, vectors, warc
 
 
 def vocabulary_path() -> str:
@@ -65,8 +65,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_clustered_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.report(_table(spark, sf_dir, "documents"), file_rows=2000, bits=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_warc_zstd, op4_exact_topk, op5_bpe, op6_toxicity, op7_simhash, op8_ann_forest, op9_secret_scan, op10_token_counts)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_warc_zstd, op4_exact_topk, op5_bpe, op6_toxicity, op7_simhash, op8_ann_forest, op9_secret_scan, op10_token_counts, op11_clustered_layout)}
 
 
 def _secret_matches() -> str:
@@ -79,6 +83,14 @@ def _secret_matches() -> str:
     )
 
 
+def _crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an ASCII text, bit by bit."""
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce(list_concat([4294967295], list_transform(string_split({text}, ''), lambda k: ord(k)::BIGINT)), lambda c, b: {byte}), 4294967295)"
+
+
+_Z = " + ".join(f"((({c} >> {b}) & 1) << {4 * b + k})" for b in (2, 1, 0) for k, c in enumerate(("c1", "c2", "c3", "c4")))
+
 ORACLE = {
     "op1_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -120,6 +132,21 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN a USING (rid)""",
 }
 
+ORACLE["op11_clustered_layout"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, lang, coalesce(octet_length(encode(text)), -1) AS length, {_crc32("doc_id::VARCHAR")} % 365 AS date FROM documents),
+c AS (SELECT rid, doc_id, {", ".join(f"(8 * (rank() OVER (ORDER BY {c} NULLS FIRST) - 1)) // count(*) OVER () AS c{k}" for k, c in enumerate(("source", "lang", "length", "date"), 1))} FROM d),
+z AS (SELECT *, {_Z} AS z FROM c),
+p AS (SELECT *, row_number() OVER (ORDER BY z, doc_id NULLS FIRST, rid) - 1 AS position FROM z),
+f AS (SELECT *, position // 2000 AS file FROM p),
+b AS (SELECT file, {", ".join(f"min(c{k}) AS l{k}, max(c{k}) AS h{k}" for k in (1, 2, 3, 4))} FROM f GROUP BY file),
+q AS (SELECT DISTINCT z, c1, c2, c3, c4 FROM f),
+t AS (SELECT q.z, count(*) AS files_touched FROM q JOIN b ON c1 BETWEEN l1 AND h1 AND c2 BETWEEN l2 AND h2 AND c3 BETWEEN l3 - 1 AND h3 + 1 AND c4 BETWEEN l4 - 1 AND h4 + 1 GROUP BY q.z),
+h AS (SELECT DISTINCT file, c1, c2, c3, c4 FROM f),
+m AS (SELECT q.z, count(DISTINCT h.file) AS files_matching FROM q JOIN h ON h.c1 = q.c1 AND h.c2 = q.c2 AND abs(h.c3 - q.c3) <= 1 AND abs(h.c4 - q.c4) <= 1 GROUP BY q.z)
+SELECT doc_id, z::BIGINT AS z, position::BIGINT AS position, file::BIGINT AS file, files_touched::BIGINT AS files_touched, files_matching::BIGINT AS files_matching,
+       concat_ws(',', l1, h1, l2, h2, l3, h3, l4, h4) AS file_bounds
+FROM f JOIN b USING (file) JOIN t USING (z) JOIN m USING (z)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
