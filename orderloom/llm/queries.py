@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import bpe, layout, packing, secrets, simhash, substring, token_counts, toxicity, vectors, warc
+from orderloom.llm import bpe, layout, packing, periodic, secrets, simhash, substring, token_counts, toxicity, vectors, warc
 
 
 def vocabulary_path() -> str:
@@ -69,8 +69,12 @@ def op11_clustered_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.report(_table(spark, sf_dir, "documents"), file_rows=2000, bits=3)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(_table(spark, sf_dir, "documents"), least=24, times=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_warc_zstd, op4_exact_topk, op5_bpe, op6_toxicity, op7_simhash, op8_ann_forest, op9_secret_scan, op10_token_counts, op11_clustered_layout)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_warc_zstd, op4_exact_topk, op5_bpe, op6_toxicity, op7_simhash, op8_ann_forest, op9_secret_scan, op10_token_counts, op11_clustered_layout, op12_periodic_runs)}
 
 
 def _secret_matches() -> str:
@@ -147,6 +151,25 @@ SELECT doc_id, z::BIGINT AS z, position::BIGINT AS position, file::BIGINT AS fil
        concat_ws(',', l1, h1, l2, h2, l3, h3, l4, h4) AS file_bounds
 FROM f JOIN b USING (file) JOIN t USING (z) JOIN m USING (z)"""
 
+ORACLE["op12_periodic_runs"] = rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc32("doc_id::VARCHAR")} AS h FROM documents),
+g AS (SELECT rid, doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS made, h // 10 AS g FROM t),
+p AS (SELECT *, CASE WHEN made THEN g % n ELSE 0 END AS a FROM g),
+o AS (SELECT *, CASE WHEN made THEN 1 + (n - a) // (3 + g % 8) ELSE n END AS p FROM p),
+x AS (SELECT rid, n, i, w[1 + CASE WHEN i < a OR NOT coalesce(made, false) THEN i ELSE a + (i - a) % p END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM o)),
+e AS (SELECT l.rid, l.i, r.i - l.i AS q FROM x l JOIN x r ON l.rid = r.rid AND l.word = r.word AND r.i > l.i AND r.i - l.i <= l.n // 3),
+k AS (SELECT *, count(*) OVER (PARTITION BY rid, q) AS m FROM e),
+s AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM k WHERE m >= greatest(24 - q, 2 * q)),
+c AS (SELECT rid, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY rid, q, island HAVING count(*) >= greatest(24 - q, 2 * q)),
+r AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.rid = c.rid AND b.q < c.q AND b.start <= c.start AND b.start + b.length >= c.start + c.length)),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length / q DESC, start, q) = 1),
+l AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS told FROM r GROUP BY rid),
+z AS (SELECT DISTINCT rid, unnest(range(start + q, start + length)) AS i FROM r),
+y AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN z USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, q::BIGINT AS period, ((1000 * length) // q)::BIGINT AS exponent_milli,
+       sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN b USING (rid) LEFT JOIN l USING (rid) LEFT JOIN y USING (rid)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
