@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import bpe, layout, packing, periodic, secrets, simhash, substring, token_counts, toxicity, vectors, warc
+from orderloom.llm import bpe, language, layout, packing, periodic, secrets, simhash, substring, token_counts, toxicity, vectors, warc
 
 
 def vocabulary_path() -> str:
@@ -73,8 +73,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(_table(spark, sf_dir, "documents"), least=24, times=3)
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    told = language.predict(docs, language.fit(docs))
+    return told.select("doc_id", (language.fold(F.col("doc_id")) == language.HELD_OUT).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_warc_zstd, op4_exact_topk, op5_bpe, op6_toxicity, op7_simhash, op8_ann_forest, op9_secret_scan, op10_token_counts, op11_clustered_layout, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_warc_zstd, op4_exact_topk, op5_bpe, op6_toxicity, op7_simhash, op8_ann_forest, op9_secret_scan, op10_token_counts, op11_clustered_layout, op12_periodic_runs, op13_language_id)}
 
 
 def _secret_matches() -> str:
