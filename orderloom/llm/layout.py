@@ -12,8 +12,8 @@ over the ``(2 ** bits + 1) ** 4`` sums give the number for every cell. Files tha
 the query are counted from distinct pairs of file and cell, of which, rows being in order, there
 are at most as many as files and cells together.
 
-What reaches the driver: a count for each range (as many as ``spark.sql.shuffle.partitions``), the
-first values, and the corner sums; what is broadcast are the counts by range and the two numbers
+What reaches the driver: a count and a sample of a hundred or so short keys for each range (of which
+there are as many as ``spark.sql.shuffle.partitions``), the first values, and the corner sums; what is broadcast are the counts by range and the two numbers
 of each of the ``16 ** bits`` cells. None of them grows with the rows.
 
 Defined cases: a null source or lang is a value, the least; a null text has length -1; a null
@@ -101,8 +101,9 @@ def place(docs: DataFrame, *, file_rows: int = 2000, bits: int = 3) -> DataFrame
     rows = scratch.stash(values(docs), "values")
     firsts = _first_values(rows, 1 << bits)
     cells = rows.select("doc_id", "row", *(_coordinate(c, f).alias(f"{c}_at") for c, f in zip(DIMENSIONS, firsts, strict=True))).withColumn("z", interleaved(bits, names))
-    order = [F.asc("z"), F.asc_nulls_first("doc_id"), F.asc("row")]
-    ordered = scratch.stash(cells.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ordered")
+    cells = cells.withColumn("tie", F.xxhash64("row"))  # a short key, as the ranges' sample goes to the driver; it parts rows of one doc_id
+    order = [F.asc("z"), F.asc_nulls_first("doc_id"), F.asc("tie")]
+    ordered = scratch.stash(cells.repartitionByRange(*order).sortWithinPartitions(*order, "row").withColumn("at", F.monotonically_increasing_id()), "ordered")
     known = F.broadcast(spark.createDataFrame(_before(ordered, amount=F.lit(1)), "part long, before long"))
     placed = ordered.withColumn("part", F.shiftright("at", 33)).join(known, "part")
     placed = placed.withColumn("position", F.col("before") + F.col("at").bitwiseAND(F.lit(_LOW)))
