@@ -48,9 +48,10 @@ def ranked(df: DataFrame, by: list[str], columns: dict[str, Column | str], *, co
     """df with the average rank of each column within its cohort; counts: and of its present values, as ``{name}_n``.
 
     Plans that read up to most_bytes (0: none) are ranked by windows over cohorts. Beyond it a
-    cohort may be larger than a task: its values are dealt to up to parts ranges at approximate
-    quantiles, windows run over ranges, and the rows of the ranges below are added. The ranks are the
-    same: equal values share a range.
+    cohort may be larger than a task: its values are dealt to up to parts ranges, cut at values of a
+    sample, windows run over ranges, and the rows of the ranges below are added. Values keep their
+    type and its order throughout, whatever can be ordered, and equal ones share a range, so the
+    ranks are the same.
     """
     if most_bytes and _bytes(df) <= most_bytes:
         out = {}
@@ -64,29 +65,37 @@ def ranked(df: DataFrame, by: list[str], columns: dict[str, Column | str], *, co
     return df
 
 
-#: Bytes of a table that goes to all tasks.
+#: Bytes of a table that goes to all tasks, and rows of the sample that ranges are cut at.
 MOST_SENT = 64 << 20
+SAMPLED = 200_000
 
 
 def _ranked_in_ranges(df: DataFrame, by: list[str], name: str, x: Column, counts: bool, parts: int) -> DataFrame:
     keys = {f"__k{i}": k for i, k in enumerate(by)}
-    rows = df.withColumn("__x", x.cast("double"))
+    rows = df.withColumn("__x", x)
     side = lambda d: d.select(*(F.col(k).alias(n) for n, k in keys.items()), *(c for c in d.columns if c not in by))
     same = [F.col(k).eqNullSafe(F.col(n)) for n, k in keys.items()]
     # both tables beside the rows are small (a row for each cohort, or range of one) and go to all tasks: a join on the cohort would put a hot one into one task
-    cuts = cut(rows.groupBy(*by).agg(F.percentile_approx("__x", [i / parts for i in range(1, parts)], 100 * parts).alias("__cuts")))
-    few = cuts.count() * parts * 8 <= MOST_SENT
-    sent = lambda d: F.broadcast(side(d)) if few else side(d)
-    rows = rows.join(sent(cuts), same, "left").drop(*keys).withColumn("__part", F.size(F.filter(F.array_distinct(F.coalesce("__cuts", F.array().cast("array<double>"))), lambda c: c < F.col("__x")))).drop("__cuts")
+    known = rows.filter("__x is not null").select(*by, "__x")
+    sample = known.sample(min(1.0, SAMPLED / max(1, known.count())), seed=7)
+    held = sample.groupBy(*by).agg(F.array_sort(F.collect_list("__x")).alias("__s"))  # of SAMPLED values or so in all
+    at = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.element_at("__s", (F.size("__s") * i / parts).cast("int") + 1))
+    cuts = cut(held.select(*by, F.array_distinct(at).alias("__cuts")))
+    sent_bytes = cuts.agg(F.sum(F.octet_length(F.to_json(F.struct("__cuts"))) + 64)).first()[0] or 0
+    sent = lambda d: F.broadcast(side(d)) if sent_bytes <= MOST_SENT else side(d)
+    rows = rows.join(sent(cuts), same, "left").drop(*keys).withColumn("__part", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__x"))), F.lit(0))).drop("__cuts")
     sizes = rows.filter("__x is not null").groupBy(*by, "__part").agg(F.count("*").alias("__size"))
     up = Window.partitionBy(*by).orderBy("__part")  # a cohort's ranges, of which there are parts at most
     below = sizes.select(*by, "__part", (F.sum("__size").over(up) - F.col("__size")).alias("__below"), F.sum("__size").over(Window.partitionBy(*by)).alias("__all"))
     below = cut(below.withColumnRenamed("__part", "__p"))
-    rows = rows.join(sent(below), [*same, F.col("__part") == F.col("__p")], "left").drop(*keys, "__p").repartition(*by, "__part")
-    own = average_rank("__x", [*by, "__part"])
-    rows = rows.withColumn(name, own + F.col("__below"))
+    rows = rows.join(sent(below), [*same, F.col("__part") == F.col("__p")], "left").drop(*keys, "__p")
     if counts:
-        rows = rows.withColumn(f"{name}_n", F.coalesce("__all", F.lit(0)))
+        # a row without a value is in part 0, which may hold no value: the count goes by the cohort alone
+        rows = rows.join(sent(below.groupBy(*by).agg(F.max("__all").alias("__n"))), same, "left").drop(*keys)
+    rows = rows.repartition(*by, "__part")
+    rows = rows.withColumn(name, average_rank("__x", [*by, "__part"]) + F.col("__below"))
+    if counts:
+        rows = rows.withColumn(f"{name}_n", F.coalesce("__n", F.lit(0))).drop("__n")
     return rows.drop("__x", "__part", "__below", "__all")
 
 
@@ -103,6 +112,24 @@ def with_gauss_rank(df: DataFrame, by: list[str], x: Column | str, name: str, lo
     return with_ppf(df, "_p", name).drop("_g", "_g_n", "_p")
 
 
+def with_bins(df: DataFrame, by: list[str], x: Column | str, k: int, name: str, **how) -> DataFrame:
+    """df with min(floor(percentile rank * k), k - 1); see ``ranked``."""
+    df = with_pct_ranks(df, by, {name: x}, **how)
+    return df.withColumn(name, F.least(F.floor(F.col(name) * k), F.lit(k - 1)).cast("int"))
+
+
+def with_zscores(df: DataFrame, by: list[str], columns: dict[str, Column | str], guard: bool = False) -> DataFrame:
+    """df with distances from the cohort's means in sample deviations, from one aggregate for all columns; the cohorts' table is joined back, so a hot cohort stays spread where that table is small enough to be sent."""
+    keys = {f"__k{i}": k for i, k in enumerate(by)}
+    known = df.groupBy(*(F.col(k).alias(n) for n, k in keys.items())).agg(*(f(col(x)).alias(f"__{m}{i}") for i, x in enumerate(columns.values()) for m, f in (("m", F.avg), ("s", F.stddev_samp))))
+    out = df.join(known, [F.col(k).eqNullSafe(F.col(n)) for n, k in keys.items()], "left")
+    made = {}
+    for i, (name, x) in enumerate(columns.items()):
+        sd = F.nullif(F.col(f"__s{i}"), F.lit(0.0))
+        made[name] = sdiv(col(x) - F.col(f"__m{i}"), F.coalesce(sd, F.lit(1.0)) if guard else sd)
+    return out.withColumns(made).drop(*keys, *(f"__{m}{i}" for i in range(len(columns)) for m in "ms"))
+
+
 def bins(x: Column | str, by: list[str], k: int) -> Column:
     return F.least(F.floor(pct_rank(x, by) * k), F.lit(k - 1)).cast("int")
 

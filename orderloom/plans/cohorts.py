@@ -52,17 +52,17 @@ def pct_rank_avg(spark, d):
 
 @book.query(f"WITH {MEMBERS} SELECT cohort, entity, round((value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0), 6) AS z FROM v WINDOW w AS (PARTITION BY cohort)")
 def class_zscore(spark, d):
-    return rounded(member_values(spark, d).select("cohort", "entity", windows.zscore("value", ["cohort"]).alias("z")))
+    return rounded(windows.with_zscores(member_values(spark, d), ["cohort"], {"z": "value"}).select("cohort", "entity", "z"))
 
 
 @book.query("""SELECT s_suppkey, s_nationkey::BIGINT AS s_nationkey, round((s_acctbal - avg(s_acctbal) OVER w) / coalesce(nullif(stddev_samp(s_acctbal) OVER w, 0), 1), 6) AS z FROM supplier WINDOW w AS (PARTITION BY s_nationkey)""")
 def league_zscore(spark, d):
-    return rounded(table(spark, d, "supplier").select("s_suppkey", "s_nationkey", windows.zscore("s_acctbal", ["s_nationkey"], guard=True).alias("z")))
+    return rounded(windows.with_zscores(table(spark, d, "supplier"), ["s_nationkey"], {"z": "s_acctbal"}, guard=True).select("s_suppkey", "s_nationkey", "z"))
 
 
 @book.query(f"WITH {MEMBERS}, p AS (SELECT *, {pct_sql('value', 'cohort')} AS pct FROM v) SELECT cohort, entity, least(floor(pct * 5), 4)::BIGINT AS bin FROM p")
 def quantile_bins(spark, d):
-    return rounded(member_values(spark, d).select("cohort", "entity", windows.bins("value", ["cohort"], 5).alias("bin")))
+    return rounded(windows.with_bins(member_values(spark, d), ["cohort"], "value", 5, "bin").select("cohort", "entity", "bin"))
 
 
 def _ppf_sql(p: str) -> str:
@@ -159,7 +159,7 @@ l AS (SELECT *, row_number() OVER (ORDER BY cohort DESC) AS k FROM e)
 SELECT round(avg(gain), 6) AS mean_gain, count(*) FILTER (gain > 0) AS wins, count(*) AS n, avg(gain) >= 0.0 AND count(*) FILTER (gain > 0) >= 4 AND min(gain) FILTER (k <= 2) >= 0 AS passed FROM l""")
 def fold_gate(spark, d):
     x = _scored(spark, d)
-    r = x.select("cohort", windows.average_rank("value", ["cohort"]).alias("rv"), windows.average_rank("c_acctbal", ["cohort"]).alias("rs"), windows.average_rank("entity", ["cohort"], True).alias("rb"))
+    r = windows.ranked(x, ["cohort"], {"rv": "value", "rs": "c_acctbal", "rb": -F.col("entity")})
     e = r.groupBy("cohort").agg((corr("rs", "rv") - corr("rb", "rv")).alias("gain"))
     return rounded(metrics.fold_gate(e, "gain", "cohort", 0.0, 4))
 
@@ -171,7 +171,7 @@ def spearman_by_cohort(spark, d):
 
 @book.query(f"{SCORED}, p AS (SELECT cohort, entity, {pct_sql('value', 'cohort')} AS a, {pct_sql('c_acctbal', 'cohort')} AS b FROM x) SELECT cohort, entity, round((0.7 * a + 0.3 * b) / 1.0, 6) AS score FROM p")
 def blend_ranks(spark, d):
-    return rounded(_scored(spark, d).select("cohort", "entity", rules.blend([("value", 0.7), ("c_acctbal", 0.3)], ["cohort"]).alias("score")))
+    return rounded(windows.with_pct_ranks(_scored(spark, d), ["cohort"], {"a": "value", "b": "c_acctbal"}).select("cohort", "entity", (0.7 * F.col("a") + 0.3 * F.col("b")).alias("score")))
 
 
 @book.query(f"{SCORED}, y AS (SELECT *, {BOARD} AS board, -coalesce({BOARD}, 61.0) AS nb FROM x), p AS (SELECT cohort, entity, board, {pct_sql('c_acctbal', 'cohort')} AS a, {pct_sql('nb', 'cohort')} AS b FROM y) SELECT cohort, entity, round(0.6 * a + 0.4 * b, 6) AS filled, round(CASE WHEN board IS NULL THEN a ELSE 0.6 * a + 0.4 * b END, 6) AS skipped FROM p")
@@ -196,7 +196,7 @@ def tilt_median_fill(spark, d):
 @book.query(f"{SCORED}, r AS (SELECT cohort, entity, {rank_sql('value', 'cohort', True)} AS a, {rank_sql('c_acctbal', 'cohort', True)} AS b, {rank_sql('c_nationkey', 'cohort', True)} AS c FROM x) SELECT cohort, entity, round(list_sort([a, b, c])[2], 6) AS med FROM r")
 def median_rank(spark, d):
     x = _scored(spark, d)
-    r = x.select("cohort", "entity", *(windows.average_rank(c, ["cohort"], True).alias(n) for c, n in (("value", "a"), ("c_acctbal", "b"), ("c_nationkey", "c"))))
+    r = windows.ranked(x, ["cohort"], {n: -F.col(c) for c, n in (("value", "a"), ("c_acctbal", "b"), ("c_nationkey", "c"))})
     return rounded(r.select("cohort", "entity", row_median("a", "b", "c").alias("med")))
 
 

@@ -330,7 +330,7 @@ e AS (SELECT cohort, corr(a, b) AS ours, corr(a, c) AS base FROM r GROUP BY 1) S
 def evidence_summary(spark, d):
     """Means, wins and the error of the gain over cohorts."""
     x = member_values(spark, d).join(table(spark, d, "customer", ["c_custkey", "c_acctbal"]), F.col("entity") == F.col("c_custkey"))
-    r = x.select("cohort", windows.average_rank("value", ["cohort"]).alias("a"), windows.average_rank("c_acctbal", ["cohort"]).alias("b"), windows.average_rank("entity", ["cohort"], True).alias("c"))
+    r = windows.ranked(x, ["cohort"], {"a": "value", "b": "c_acctbal", "c": -F.col("entity")})
     e = r.groupBy("cohort").agg(nulls.corr("a", "b").alias("ours"), nulls.corr("a", "c").alias("base"))
     return rounded(e.agg(F.avg("ours").alias("ours"), F.avg("base").alias("base"), F.count_if(F.col("ours") > F.col("base")).alias("wins"), F.count("*").alias("n"), (F.stddev_samp(F.col("ours") - F.col("base")) / F.sqrt(F.count("*"))).alias("se")))
 
@@ -361,7 +361,7 @@ def upside_floor(spark, d):
     c = table(spark, d, "customer", ["c_custkey", "c_nationkey"])
     e = member_values(spark, d).join(c, F.col("entity") == F.col("c_custkey")).groupBy("c_nationkey", "entity").agg(F.avg("value").alias("m"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("s"))
     x = e.select("c_nationkey", "entity", F.round(F.col("m") + 0.5 * F.col("s"), 4).alias("up"), F.round(F.col("m") - 0.5 * F.col("s"), 4).alias("down"))
-    return rounded(x.select("entity", windows.pct_rank("up", ["c_nationkey"]).alias("upside"), windows.pct_rank("down", ["c_nationkey"]).alias("floor")))
+    return rounded(windows.with_pct_ranks(x, ["c_nationkey"], {"upside": "up", "floor": "down"}).select("entity", "upside", "floor"))
 
 
 @book.query(f"""WITH {MEMBERS}, x AS (SELECT v.*, c_acctbal, (entity % 11)::DOUBLE AS cover FROM v JOIN customer ON entity = c_custkey), p AS (SELECT cohort, entity, cover, median(cover) OVER (PARTITION BY cohort) AS mid, {pct_sql('value', 'cohort')} AS a, {pct_sql('c_acctbal', 'cohort')} AS b FROM x)

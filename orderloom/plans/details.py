@@ -216,7 +216,7 @@ def id_then_name(spark, d):
 @book.query()
 def bin_classifier(spark, d):
     """M7: shares of outcome bins by a classifier, and the bin that they expect."""
-    x = _rows(spark, d).withColumn("bin", windows.bins("value", ["cohort"], 3).cast("double"))
+    x = windows.with_bins(_rows(spark, d), ["cohort"], "value", 3, "bin").withColumn("bin", F.col("bin").cast("double"))
     return rounded(models.bin_shares(x.filter("cohort <= 1998"), x.filter("cohort > 1998"), ["c_acctbal", "c_nationkey"], "bin", 3).select("cohort", "entity", "p0", "p1", "p2", "expected"), 4)
 
 

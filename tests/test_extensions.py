@@ -39,6 +39,30 @@ def test_ranks_in_ranges_are_those_of_windows(spark):
     assert key(a) == key(b)
 
 
+@pytest.mark.parametrize("kind", ["long", "decimal(38,2)", "string", "timestamp", "binary", "boolean"])
+def test_ranks_in_ranges_keep_the_type(spark, kind):
+    rng = random.Random(6)
+    big = 1 << 53
+    rows = [("hot" if i % 4 else None, rng.choice([None, big, big + 1, big + 2, big + 3, rng.randint(0, 10**6), -5]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, n long, i long").repartition(6)
+    text = F.concat(F.when(F.col("n") % 2 == 0, "é").otherwise("z"), F.col("n").cast("string"))
+    made = {"string": text, "binary": text.cast("binary"), "timestamp": F.timestamp_micros(F.col("n")), "boolean": F.col("n") % 2 == 0}.get(kind, F.col("n").cast(kind))
+    df = df.withColumn("v", made)
+    a, b = (windows.ranked(df, ["g"], {"r": "v"}, counts=True, most_bytes=m, parts=16) for m in (0, 1 << 62))
+    key = lambda d: sorted((r["i"], r["r"], r["r_n"]) for r in d.collect())
+    assert a.schema["v"].dataType == b.schema["v"].dataType and key(a) == key(b)
+
+
+def test_zscores_and_bins_are_those_of_windows(spark):
+    df = hot(spark).withColumn("g", F.nullif("g", F.lit("c1")))
+    a = windows.with_bins(windows.with_zscores(df, ["g"], {"z": "v", "s": -F.col("v")}, guard=True), ["g"], "v", 5, "b", most_bytes=0)
+    b = df.withColumns({"z": windows.zscore("v", ["g"], True), "s": windows.zscore(-F.col("v"), ["g"], True), "b": windows.bins("v", ["g"], 5)})
+    got, want = ({r["i"]: (r["z"], r["s"], r["b"]) for r in x.collect()} for x in (a, b))
+    assert got.keys() == want.keys()
+    for i, (z, s, k) in want.items():
+        assert got[i][2] == k and (z is None) == (got[i][0] is None) and (z is None or abs(got[i][0] - z) + abs(got[i][1] - s) < 1e-9)
+
+
 def test_a_hot_cohort_is_many_tasks(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "32")
