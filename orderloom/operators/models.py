@@ -378,3 +378,40 @@ def bin_shares(train: DataFrame, test: DataFrame, features: list[str], bins: str
     shares = {f"p{i}": F.coalesce(F.get("_a", F.lit(i)), F.lit(0.0)) for i in range(n)}
     out = out.withColumns(shares).withColumn("expected", sum((F.col(f"p{i}") * i for i in range(n)), F.lit(0.0)))
     return out.select(*test.columns, *shares, "expected")
+
+
+def expected_changes(
+    df: DataFrame, key: str, period: str, features: list[str], targets: dict[str, str], later: dict[str, str], surprise_of: str, periods: list[int], *, least_rows: int = 1, **how
+) -> DataFrame:
+    """Rows of the listed periods with the change that each target is expected to make.
+
+    targets: new column to measure, over one period; later: the same over two. For each period a
+    boosted model is fitted on the changes that had ended by then; periods with fewer than
+    least_rows of them get NULL. ``surprise`` is the last change of one measure less what was expected of it from
+    the row before. how: goes to the boosted fits.
+    """
+    from orderloom.operators import boosting
+
+    def known(gap: int) -> DataFrame:
+        after = df.select(F.col(key).alias("_k"), (F.col(period) - gap).alias("_p"), *(F.col(c).alias(f"_n_{c}") for c in {*targets.values(), *later.values()}))
+        return df.join(after, (F.col(key) == F.col("_k")) & (F.col(period) == F.col("_p"))).drop("_k", "_p")
+
+    def fits(gap: int, measure: str) -> dict:
+        pairs = known(gap).withColumn("_change", F.col(f"_n_{measure}") - F.col(measure))
+        n = {r[period]: r["n"] for r in pairs.groupBy(period).agg(F.count("*").alias("n")).collect()}
+        enough = [p for p in periods if sum(c for q, c in n.items() if q + gap <= p) >= least_rows]
+        return boosting.causal_fits(pairs, features, "_change", period, enough, lag=gap, **how) if enough else {}
+
+    out = df.filter(F.col(period).isin(periods))
+    first: dict = {}
+    for name, measure, gap in [*((n, m, 1) for n, m in targets.items()), *((n, m, 2) for n, m in later.items())]:
+        own = fits(gap, measure)
+        if gap == 1 and measure == surprise_of:
+            first = own
+        out = boosting.scored(out, own, period, name) if own else out.withColumn(name, F.lit(None).cast("double"))
+    before = df.select(F.col(key).alias("_k"), (F.col(period) + 1).alias("_p"), F.col(surprise_of).alias("_was"), *(F.col(c).alias(f"_b{i}") for i, c in enumerate(features)))
+    if not first:
+        return out.withColumn("surprise", F.lit(None).cast("double"))
+    then = before.toDF("_k", "_p", "_was", *features).join(out.select(F.col(key).alias("_k"), F.col(period).alias("_p")).distinct(), ["_k", "_p"], "left_semi")
+    then = boosting.scored(then, first, "_p", "_expected").select("_k", "_p", "_was", "_expected")
+    return out.join(then, (F.col(key) == F.col("_k")) & (F.col(period) == F.col("_p")), "left").withColumn("surprise", F.col(surprise_of) - F.col("_was") - F.col("_expected")).drop("_k", "_p", "_was", "_expected")
