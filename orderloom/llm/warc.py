@@ -36,6 +36,8 @@ VERSION = b"WARC/1.1\r\n"
 MANDATORY = (b"warc-type", b"warc-record-id", b"warc-date", b"content-length")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Bytes of an archive that a frame's decompressor is given first.
+FIRST_FED = 1 << 12
 ARCHIVE_BYTES = 6 << 20  # compressed
 SAMPLE_RECORDS = 200
 SAMPLE_BYTES = 64 << 10  # of each sampled record
@@ -118,20 +120,23 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
     if stored[:4] == b"\x28\xb5\x2f\xfd":  # the format allows a compressed dictionary
         stored = z.ZstdDecompressor().decompress(stored)
     unpacker = z.ZstdDecompressor(dict_data=z.ZstdCompressionDict(stored) if stored else None)
-    rest = memoryview(data)[at:]
-    while len(rest):
-        one = unpacker.decompressobj()
-        try:
-            content = one.decompress(rest)
-        except z.ZstdError as e:
-            raise WarcError(f"bad frame: {e}") from e
-        if not one.eof:
-            raise WarcError("the last frame is cut short")
-        yield parse(content)
-        unused = len(one.unused_data)
-        if unused == len(rest):
+    whole = memoryview(data)
+    while at < len(whole):
+        one, begin, size, parts = unpacker.decompressobj(), at, FIRST_FED, []
+        while not one.eof:
+            if at == len(whole):
+                raise WarcError("the last frame is cut short")
+            fed = whole[at : at + size]  # what is fed beyond the frame's end is copied back, so it grows with the frame only
+            try:
+                parts.append(one.decompress(fed))
+            except z.ZstdError as e:
+                raise WarcError(f"bad frame: {e}") from e
+            at += len(fed)
+            size *= 2
+        at -= len(one.unused_data)
+        if at == begin:
             raise WarcError("an empty frame")
-        rest = rest[len(rest) - unused :]
+        yield parse(b"".join(parts))
 
 
 def plan(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
