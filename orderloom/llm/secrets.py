@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.llm import scratch
@@ -138,6 +138,32 @@ def report(spans: DataFrame) -> DataFrame:
     )
 
 
+def _islands(spans: DataFrame, of: str) -> DataFrame:
+    """(of, start, end): spans of each text, those that overlap as one."""
+    by = Window.partitionBy(of).orderBy("start", "end")
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    number = F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return spans.withColumn("reach", reach).withColumn("island", number).groupBy(of, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+#: Characters of a block that a text is cut into, as finding a place in a text starts at its beginning.
+BLOCK = 1 << 12
+
+
+def _masked(blocks: Column, islands: Column, mask: str) -> Column:
+    """A text, in blocks, with each of its sorted islands replaced by a mask."""
+
+    def piece(a: Column, b: Column | None) -> Column:
+        first = F.floor(a / BLOCK).cast("int")
+        n = F.size(blocks) - first if b is None else F.floor((b - 1) / BLOCK).cast("int") - first + 1
+        text = F.array_join(F.slice(blocks, first + 1, F.greatest(n, F.lit(0))), "")
+        inside = F.substring(text, a % BLOCK + 1, F.lit(2**31 - 1) if b is None else b - a)
+        return inside if b is None else F.when(b > a, inside).otherwise("")
+
+    before = lambda s, i: piece(F.when(i == 0, 0).otherwise(F.get(islands, i - 1)["end"]), s["start"])
+    return F.array_join(F.concat(F.transform(islands, before), F.array(piece(F.element_at(islands, -1)["end"], None))), mask)
+
+
 def redact(docs: DataFrame, mask: str = "[SECRET]", most_sent: int = 500_000, **how) -> DataFrame:
     """docs with every span of ``scan`` replaced by a mask; spans that overlap become one. Every row stays a row.
 
@@ -146,18 +172,11 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", most_sent: int = 500_000, **
     """
     row, of, spans = scratch.unused(docs, "row", "of", "spans")
     docs, columns = scratch.numbered(docs, row), scratch.named(docs)
-    found = scan(docs, row=row, **how).select(F.col("row").alias(of), F.array_sort(F.concat("base", "added")).alias(spans)).filter(F.size(spans) > 0)
-    found = scratch.stash(found, "spans")
+    each = scan(docs, row=row, **how).select(F.col("row").alias(of), F.inline(F.concat("base", "added"))).drop("kind")
+    found = scratch.stash(_islands(each, of).groupBy(of).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans)), "spans")
     if (found.agg(F.sum(F.size(spans))).first()[0] or 0) <= most_sent:
         found = F.broadcast(found)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        part = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], part, F.lit(mask)).alias("out"))).otherwise(
-            F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        )
-
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    # bound by lambdas, so that a text is cut into blocks once, whatever the number of its spans
+    clean = F.transform(F.array(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), 0)), lambda blocks: _masked(blocks, F.col(spans), mask))[0]
     joined = docs.join(found, F.col(row) == F.col(of), "left").withColumn("text", F.when(F.col(spans).isNotNull(), clean).otherwise(F.col("text")))
     return joined.select(*columns)
