@@ -26,14 +26,16 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return made.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
-    """(node, root) of every node that has a link; root is the least node reachable. edges: a, b."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node that has a link; root is the least node reachable. edges: a, b.
+
+    Rounds go on until one changes nothing, which takes a number that grows with the logarithm of the nodes.
+    """
     edges = scratch.stash(edges.filter("a <> b").select("a", "b").distinct(), "links")
     state = None
-    for _ in range(rounds):
+    while True:
         edges = scratch.stash(_stars(_stars(edges, True), False), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         state = tuple(now)
-    raise RuntimeError("components did not settle")
