@@ -44,8 +44,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
     return scored.select(
-        "doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offsets").alias("n_offsets")
-    )
+        "doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offsets").alias("n_offsets"),
+        F.array_join(F.transform("offsets", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("offsets"),
+    )
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ a probability.
 
 Labels, language, source and doc_id are never inputs of a score. What executors get is all
 marked features, however many; while contexts are counted, ``at_once`` of them in each pass. The
-fit itself reads a sample of at most about ``most_docs`` training rows and ``most_marks`` marked
+fit itself reads a sample of at most ``most_docs`` training rows and ``most_marks`` marked
 tokens (documented bounds); counts cover all training rows.
 
 Defined cases: null and word-less texts get the score of a text without toxic tokens; rows
@@ -35,7 +35,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.llm import arrays, scratch
@@ -439,7 +439,7 @@ def fit(
 
 
 def _sample(rows: DataFrame, model: Model, n_rows: int, most_docs: int, most_marks: int) -> tuple[Marks, np.ndarray]:
-    """(marked tokens, label of each text) of a sample of the training rows, chosen by doc_id."""
+    """(marked tokens, label of each text) of a sample of the training rows, chosen by doc_id and text; never more than most_docs rows and most_marks tokens."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marker = Marker(model.odds)
@@ -451,13 +451,13 @@ def _sample(rows: DataFrame, model: Model, n_rows: int, most_docs: int, most_mar
                 lists = [pa.ListArray.from_arrays(ends, pa.array(m.at)), pa.ListArray.from_arrays(wide, pa.array(m.seen.ravel()))]
                 yield pa.RecordBatch.from_arrays([pa.array(m.size), *lists, batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo)], ["size", "at", "seen", "y", "draw"])
 
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31))
     some = rows.withColumn("draw", draw).filter(F.col("draw") < int(min(1.0, most_docs / n_rows) * (1 << 31)))
     drawn = scratch.stash(some.select("text", "y", "draw").mapInArrow(arrays.tidy(work), "size long, at array<long>, seen array<double>, y int, draw long"), "drawn")
-    total = drawn.agg(F.sum(F.size("at"))).first()[0] or 0
-    if total > most_marks:
-        drawn = drawn.filter(F.col("draw") < int(min(1.0, most_docs / n_rows) * (most_marks / total) * (1 << 31)))
-    got = drawn.select("size", "at", "seen", "y").toArrow()
+    # repeated rows share their draw, so the bounds are held here: rows by draw, then as many as have at most most_marks tokens
+    kept = drawn.orderBy("draw", "y", "size").limit(most_docs)
+    so_far = F.sum(F.size("at")).over(Window.orderBy("draw", "y", "size").rowsBetween(Window.unboundedPreceding, 0))  # of most_docs rows at most
+    got = kept.withColumn("so_far", so_far).filter(F.col("so_far") <= most_marks).select("size", "at", "seen", "y").toArrow()
     flat = lambda c: got[c].combine_chunks().flatten().to_numpy()
     count = got["at"].combine_chunks().value_lengths().to_numpy().astype(np.int64) if got.num_rows else np.zeros(0, np.int64)
     at, none = flat("at"), np.zeros(0, np.int64)
