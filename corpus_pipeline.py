@@ -63,7 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     held: list[str] = []
     for name, stage in STAGES:
         made = stage(spark, docs, sf_dir)
-        path = f"{scratch.shared_dir(spark)}/pipeline-{scratch.token()}-{name}"
+        path = scratch.fresh(spark, f"pipeline-{name}")
         made.write.parquet(path)
         docs = spark.read.schema(made.schema).parquet(path)
         for old in held:
