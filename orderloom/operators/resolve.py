@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orderloom.functions.keys import similarity
 from orderloom.operators.dedup import unambiguous
+from orderloom.operators.lineage import cut
 
 
 def ladder(left: DataFrame, right: DataFrame, left_id: str, right_id: str, steps: list[tuple[str, float, Column, Column]]) -> DataFrame:
@@ -21,7 +22,7 @@ def ladder(left: DataFrame, right: DataFrame, left_id: str, right_id: str, steps
             l, r = l.join(out, left_id, "left_anti"), r.join(out, right_id, "left_anti")  # noqa: E741
         pairs = l.join(r, "_k").select(left_id, right_id).distinct()
         found = unambiguous(pairs, left_id, right_id).withColumns({"method": F.lit(name), "confidence": F.lit(confidence)})
-        out = found if out is None else out.unionByName(found)
+        out = cut(found if out is None else out.unionByName(found))  # later steps read it twice each
     return out
 
 
@@ -126,17 +127,20 @@ def candidates(keys: DataFrame, key: str, sources: list[DataFrame], item: str) -
     return first.select(key, item, F.row_number().over(Window.partitionBy(key).orderBy("_p", item)).alias("place"))
 
 
-def cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str, full: tuple[Column, Column], short: tuple[Column, Column], team: tuple[Column, Column], least: float = 0.8, margin: float = 0.08) -> DataFrame:
+def cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str, full: tuple[Column, Column], short: tuple[Column, Column], team: tuple[Column, Column], least: float = 0.85, margin: float = 0.08) -> DataFrame:
     """(left_id, right_id, method, confidence): five rungs, each over what those before left unmatched, unique pairs only.
 
-    Name and team, short name and team, name, short name, and the most alike name of the team.
+    Name and team, short name and team, name, short name, and, for each right row, the left row of
+    its team whose name is most alike by matching blocks, if it reaches ``least`` and leads by ``margin``.
     """
+    from orderloom.operators.similar import clear_best
+
     two = lambda k: (F.struct(k[0], team[0]), F.struct(k[1], team[1]))
     known = lambda c, k: F.when(k.isNotNull(), c)
     inside = lambda k: (known(two(k)[0], team[0]), known(two(k)[1], team[1]))
     out = ladder(left, right, left_id, right_id, [("exact_team", 1.0, *inside(full)), ("short_team", 0.95, *inside(short)), ("exact_season", 0.9, *full), ("short_season", 0.85, *short)])
     l, r = left.join(out, left_id, "left_anti"), right.join(out, right_id, "left_anti")  # noqa: E741
-    near = fuzzy_in_block(l, r, left_id, right_id, team, full, least, margin)
+    near = clear_best(r, l, right_id, left_id, team[::-1], full[::-1], least, margin)
     near = unambiguous(near.select(left_id, right_id), left_id, right_id)
     return out.unionByName(near.withColumns({"method": F.lit("fuzzy_team"), "confidence": F.lit(0.7)}))
 

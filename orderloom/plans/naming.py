@@ -46,6 +46,22 @@ def _ends(x: str) -> str:
     return _key(f"(string_split({x}, ' ')[1] || ' ' || string_split({x}, ' ')[-1])")
 
 
+def blocks_sql(pairs: str, name: str) -> list[str]:
+    """CTEs from pairs (i, j, x, y) to ``name`` (i, j, score): the ratio of matching blocks, the longest common run first, then both sides of it."""
+    return [
+        f"{name}q AS (SELECT * FROM {pairs} WHERE length(x) > 0 AND length(y) > 0)",
+        f"{name}c AS (SELECT i, j, x, y, a, b FROM (SELECT *, unnest(range(1, length(y) + 1)) AS b FROM (SELECT *, unnest(range(1, length(x) + 1)) AS a FROM {name}q)) WHERE substr(x, a, 1) = substr(y, b, 1))",
+        # length of the common run that starts at (a, b): an island on the diagonal
+        f"{name}r AS (SELECT i, j, a, b, max(a) OVER (PARTITION BY i, j, a - b, k) - a + 1 AS n FROM (SELECT *, a - row_number() OVER (PARTITION BY i, j, a - b ORDER BY a) AS k FROM {name}c))",
+        f"""{name}t AS (SELECT i, j, 1 AS a0, length(x) + 1 AS a1, 1 AS b0, length(y) + 1 AS b1 FROM {name}q UNION ALL
+          SELECT i, j, CASE s WHEN 0 THEN a0 ELSE -m.a + m.n END, CASE s WHEN 0 THEN -m.a ELSE a1 END, CASE s WHEN 0 THEN b0 ELSE -m.b + m.n END, CASE s WHEN 0 THEN -m.b ELSE b1 END
+          FROM (SELECT i, j, a0, a1, b0, b1, max({{'n': least(n, a1 - a, b1 - b), 'a': -a, 'b': -b}}) AS m FROM {name}t JOIN {name}r USING (i, j) WHERE a >= a0 AND a < a1 AND b >= b0 AND b < b1 GROUP BY ALL), (SELECT unnest([0, 1]) AS s)
+          WHERE m.n > 0)""",
+        f"{name}m AS (SELECT i, j, sum(n) AS n FROM (SELECT i, j, a0, a1, b0, b1, max(least(n, a1 - a, b1 - b)) AS n FROM {name}t JOIN {name}r USING (i, j) WHERE a >= a0 AND a < a1 AND b >= b0 AND b < b1 GROUP BY ALL) GROUP BY 1, 2)",
+        f"{name} AS (SELECT i, j, CASE WHEN length(x) + length(y) = 0 THEN 1.0 ELSE 2.0 * coalesce(n, 0) / (length(x) + length(y)) END AS score FROM {pairs} LEFT JOIN {name}m USING (i, j))",
+    ]
+
+
 def _cascade_sql() -> str:
     rungs = [("exact_team", 1.0, "k", "k", True), ("short_team", 0.95, "s", "s", True), ("exact_season", 0.9, "k", "k", False), ("short_season", 0.85, "s", "s", False)]
     out, union = [f"l0 AS (SELECT aid, team, {_key('name')} AS k, {_ends('name')} AS s FROM a)", f"r0 AS (SELECT pid, team_ AS team, {_key('page')} AS k, {_ends('page')} AS s FROM b)"], []
@@ -55,11 +71,11 @@ def _cascade_sql() -> str:
         out.append(f"l{i + 1} AS (SELECT * FROM l{i} WHERE aid NOT IN (SELECT aid FROM m{i}))")
         out.append(f"r{i + 1} AS (SELECT * FROM r{i} WHERE pid NOT IN (SELECT pid FROM m{i}))")
         union.append(f"SELECT aid, pid, '{name}' AS method, {confidence}::DOUBLE AS confidence FROM m{i}")
-    out.append("f AS (SELECT aid, pid, 1 - levenshtein(l.k, r.k) / greatest(length(l.k), length(r.k), 1) AS score FROM l4 l JOIN r4 r USING (team))")
-    out.append("g AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS nx FROM f WINDOW w AS (PARTITION BY aid ORDER BY score DESC, pid))")
-    out.append("h AS (SELECT aid, pid FROM g WHERE n = 1 AND score >= 0.8 AND score - coalesce(nx, 0) >= 0.08)")
+    out += ["fp AS (SELECT pid AS i, aid AS j, r.k AS x, l.k AS y FROM l4 l JOIN r4 r USING (team))", *blocks_sql("fp", "f")]
+    out.append("g AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS nx FROM f WINDOW w AS (PARTITION BY i ORDER BY score DESC, j))")
+    out.append("h AS (SELECT j AS aid, i AS pid FROM g WHERE n = 1 AND score >= 0.85 AND (nx IS NULL OR score - nx >= 0.08))")
     out.append("m4 AS (SELECT aid, pid FROM (SELECT *, count(*) OVER (PARTITION BY aid) AS n, count(*) OVER (PARTITION BY pid) AS m FROM h) WHERE n = 1 AND m = 1)")
-    return f"WITH {PEOPLE}, {', '.join(out)} {' UNION ALL '.join([*union, 'SELECT aid, pid, ' + repr('fuzzy_team') + ', 0.7::DOUBLE FROM m4'])}"
+    return f"WITH RECURSIVE {PEOPLE}, {', '.join(out)} {' UNION ALL '.join([*union, 'SELECT aid, pid, ' + repr('fuzzy_team') + ', 0.7::DOUBLE FROM m4'])}"
 
 
 @book.query(_cascade_sql())
@@ -128,3 +144,25 @@ def checked_join(spark, d):
     c = table(spark, d, "customer", ["c_custkey", "c_mktsegment"])
     o = table(spark, d, "orders", ["o_orderkey", "o_custkey"]).withColumnRenamed("o_custkey", "c_custkey")
     return dedup.checked_join(o, c, ["c_custkey"], "left", "m:1").select("o_orderkey", "c_mktsegment")
+
+
+_SPELLED = f"""l AS (SELECT k AS i, team, {_key("first || ' ' || last")} AS x FROM p), r AS (SELECT pid AS j, team_ AS team, {_key("page")} AS y FROM b WHERE team_ IS NOT NULL), q AS (SELECT i, j, x, y FROM l JOIN r USING (team))"""
+
+
+@book.query(f"WITH RECURSIVE {PEOPLE}, {_SPELLED}, {', '.join(blocks_sql('q', 'f'))} SELECT i AS aid, j AS pid, round(score, 6)::DOUBLE AS score FROM f WHERE score >= 0.8 - 1e-9")
+def similar_names(spark, d):
+    """All pairs of a team whose names' matching blocks reach four fifths, by a filtered join."""
+    from orderloom.operators.similar import similarity_join
+
+    a, b = _people(spark, d)
+    return rounded(similarity_join(a, b, "aid", "pid", (F.col("team"), F.col("team_")), (keys.norm_key(F.concat_ws(" ", "first", "last")), keys.norm_key("page")), 0.8))
+
+
+@book.query(f"""WITH RECURSIVE {PEOPLE}, {_SPELLED}, {', '.join(blocks_sql('q', 'f'))}, g AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS nx FROM f WINDOW w AS (PARTITION BY i ORDER BY score DESC, j))
+SELECT i AS aid, j AS pid, round(score, 6)::DOUBLE AS score FROM g WHERE n = 1 AND score >= 0.85 AND (nx IS NULL OR score - nx >= 0.08)""")
+def clear_best_name(spark, d):
+    """The most similar name of a team, with a lead over the second."""
+    from orderloom.operators.similar import clear_best
+
+    a, b = _people(spark, d)
+    return rounded(clear_best(a, b, "aid", "pid", (F.col("team"), F.col("team_")), (keys.norm_key(F.concat_ws(" ", "first", "last")), keys.norm_key("page")), 0.85, 0.08))
