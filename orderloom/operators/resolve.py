@@ -153,17 +153,23 @@ def voted(pairs: DataFrame, key: str, value: str, by: str, least: int, least_all
     return every.select(by, key, F.coalesce("_own", "_all").alias(value)).filter(F.col(value).isNotNull())
 
 
-def by_prefix(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: int = 5, long: int = 9, block: int = 3) -> DataFrame:
-    """(left_key, right_key): distinct keys of which one starts with the other, if that has ``least`` letters, or that share their first ``long`` ones.
+def prefix_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: int) -> DataFrame:
+    """(left_key, right_key): keys of the left of at least ``least`` letters that the right one starts with.
 
-    Pairs are formed inside a block of the first letters only.
+    A right key stands once for each of its beginnings and meets a left key that is one: rows meet
+    only where they match, whatever the number of keys that share their first letters.
     """
-    l = left.select(left_key).distinct().withColumn("_b", F.substring(left_key, 1, block))  # noqa: E741
-    r = right.select(right_key).distinct().withColumn("_b", F.substring(right_key, 1, block))
-    a, b = F.col(left_key), F.col(right_key)
-    starts = (F.length(b) >= least) & a.startswith(b) | (F.length(a) >= least) & b.startswith(a)
-    same = (F.length(a) >= long) & (F.substring(a, 1, long) == F.substring(b, 1, long))
-    return l.join(r, "_b").filter(starts | same).select(left_key, right_key)
+    n = F.length(right_key)
+    heads = F.when(n >= least, F.transform(F.sequence(F.lit(least), F.greatest(n, F.lit(least))), lambda i: F.substring(F.col(right_key), F.lit(1), i)))
+    return left.select(left_key).distinct().join(right.select(right_key).distinct().withColumn("_h", F.explode(heads)), F.col(left_key) == F.col("_h")).select(left_key, right_key)
+
+
+def by_prefix(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: int = 5, long: int = 9) -> DataFrame:
+    """(left_key, right_key): distinct keys of which one starts with the other, if that has ``least`` letters, or that share their first ``long`` ones."""
+    head = lambda d, k: d.select(k).distinct().filter(F.length(k) >= long).withColumn("_h", F.substring(k, 1, long))
+    same = head(left, left_key).join(head(right, right_key), "_h").select(left_key, right_key)
+    ahead, behind = prefix_pairs(left, right, left_key, right_key, least), prefix_pairs(right, left, right_key, left_key, least)
+    return ahead.unionByName(behind).unionByName(same).distinct()
 
 
 def preferring(df: DataFrame, keys: list[str], agrees: Column, weight: Column, tie: list[Column]) -> DataFrame:

@@ -260,6 +260,29 @@ def greedy(df: DataFrame, candidates: list[str], by: str, value: str, rounds: in
     return chosen
 
 
+def blend_fitness(df: DataFrame, by: str, value: str, spread: float = 0.1, **how) -> Callable[[list[dict[str, float]]], list[float]]:
+    """A function of some sets of weights: the mean correlation of each blend over cohorts less a share of its deviation, all from one job."""
+
+    def fitness(drawn: list[dict[str, float]]) -> list[float]:
+        blends = {f"w{i}": "blend(" + ",".join(f"{c}:{v:.6f}" for c, v in w.items() if v > 0) + ")" for i, w in enumerate(drawn)}
+        got = rhos(df, blends, by, value, **how).groupBy("rule").agg(F.avg("rho").alias("m"), F.stddev_pop("rho").alias("s")).collect()
+        judged = {r["rule"]: r["m"] - spread * r["s"] for r in got if r["m"] is not None}
+        return [judged.get(f"w{i}", float("-inf")) for i in range(len(drawn))]
+
+    return fitness
+
+
+def tuned_blend(df: DataFrame, configs: list[str], by: str, value: str, trials: int, seed: int = 0, **how) -> str | None:
+    """The blend that a Parzen search finds on all cohorts but the latest two, which stay for confirmation; None with fewer than four cohorts or two configs."""
+    from orderloom.operators.specs import parzen_weights
+
+    cohorts = sorted(r[by] for r in df.select(by).distinct().collect())
+    if len(configs) < 2 or len(cohorts) < 4:
+        return None
+    weights, _ = parzen_weights(blend_fitness(df.filter(F.col(by) < cohorts[-2]), by, value, **how), configs, trials, seed)
+    return "blend(" + ",".join(f"{c}:{w:.6f}" for c, w in weights.items() if w > 0) + ")"
+
+
 # -- exhaustive sweep ----------------------------------------------------------------------
 
 
@@ -317,8 +340,11 @@ class Judged:
     robust: bool
 
 
-def exhaustive(df: DataFrame, configs: list[str], by: str, value: str, covers: Covers = Covers(), **how) -> list[Judged]:
-    """All rules from best to worst; a few jobs, each over all rules of its stage. What is collected is one number a rule and cohort."""
+def exhaustive(df: DataFrame, configs: list[str], by: str, value: str, covers: Covers = Covers(), *, trials: int = 0, **how) -> list[Judged]:
+    """All rules from best to worst; a few jobs, each over all rules of its stage. What is collected is one number a rule and cohort.
+
+    trials: of the search for the rule "tuned", which is left out with none.
+    """
     rules: dict[str, str] = {}
     found: dict[str, dict] = {}
 
@@ -337,6 +363,8 @@ def exhaustive(df: DataFrame, configs: list[str], by: str, value: str, covers: C
     if len(configs) > 1:
         chosen = greedy(df, configs, by, value)
         pure["greedy"] = "blend(" + ",".join(f"{c}:{chosen.count(c)}" for c in dict.fromkeys(chosen)) + ")"
+    if trials and (tuned := tuned_blend(df, configs, by, value, trials, **how)):
+        pure["tuned"] = tuned
     judge({n: r for n, r in pure.items() if n not in rules})
     judge({k: v for n in best(list(rules))[:3] for k, v in overlays(n, rules[n], covers).items()} | ({"board alone": f"consensus({configs[0]},{covers.board},1.0)"} if covers.board else {}))
     leaning = [n for n in rules if n.startswith(("consensus", "youth"))]

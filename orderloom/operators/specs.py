@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import random
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field, fields
@@ -249,3 +250,66 @@ def search_weights(fitness, names: Sequence[str], trials: int, seed: int, rounds
                 drawn.append({n: round(w / total, 6) for n, w in raw.items()})
         tried += zip(drawn, fitness(drawn), strict=True)
     return max(tried, key=lambda t: t[1])
+
+
+def _parzen(points: list[float]) -> list[tuple[float, float]]:
+    """(centre, width) of the bumps of a density on 0 .. 1: one at each point, as wide as the farther of its neighbours is away, and one over all."""
+    own = sorted(points)
+    out = [(0.5, 1.0)]
+    least = 1.0 / min(100, len(own) + 2)
+    for i, p in enumerate(own):
+        sides = (p - (own[i - 1] if i else 0.0), (own[i + 1] if i + 1 < len(own) else 1.0) - p)
+        out.append((p, min(1.0, max(least, *sides))))
+    return out
+
+
+def _density(bumps: list[tuple[float, float]], x: float) -> float:
+    """Log of the mean of normal bumps, each cut to 0 .. 1."""
+    phi = lambda z: 0.5 * (1 + math.erf(z / math.sqrt(2)))
+    total = sum(math.exp(-0.5 * ((x - c) / s) ** 2) / (s * math.sqrt(2 * math.pi) * (phi((1 - c) / s) - phi(-c / s))) for c, s in bumps)
+    return math.log(total / len(bumps) + 1e-300)
+
+
+def parzen_weights(fitness, names: Sequence[str], trials: int, seed: int, *, start: int = 16, batch: int = 16, draws: int = 24, share: float = 0.1, most_good: int = 25, even: float = 0.0) -> tuple[dict[str, float], float]:
+    """(weights that sum to one, fitness) by a Parzen-estimator search over raw weights in 0 .. 1.
+
+    After ``start`` random draws each round parts what was tried into the best ``share`` (at most
+    most_good) and the rest, and fits a density to either, weight by weight. Of ``draws`` values
+    from the first the one is taken that is likeliest against the second. A round asks for ``batch``
+    sets of weights at once, so that one job judges them all; while they wait, those asked for
+    count among the rest, so that a batch spreads. even: weights below it become 0.
+    """
+    rng = random.Random(seed)
+    tried: list[tuple[dict[str, float], dict[str, float], float]] = []
+
+    def normal(raw: dict[str, float]) -> dict[str, float]:
+        kept = {n: (w if w >= even else 0.0) for n, w in raw.items()}
+        total = sum(kept.values())
+        return {n: round(w / total, 6) for n, w in kept.items()} if total > 0 else {n: round(1 / len(kept), 6) for n in kept}
+
+    while len(tried) < trials:
+        asked: list[dict[str, float]] = []
+        want = min(trials - len(tried), start if not tried else batch)
+        order = sorted(tried, key=lambda t: -t[2])
+        good_n = min(most_good, max(1, math.ceil(share * len(order)))) if order else 0
+        good, rest = [t[0] for t in order[:good_n]], [t[0] for t in order[good_n:]]
+        while len(asked) < want:
+            if not tried:
+                asked.append({n: rng.random() for n in names})
+                continue
+            raw = {}
+            for n in names:
+                l, g = _parzen([w[n] for w in good]), _parzen([w[n] for w in [*rest, *asked]])  # noqa: E741
+                best = (-math.inf, 0.0)
+                for _ in range(draws):
+                    c, s = rng.choice(l)
+                    x = rng.gauss(c, s)
+                    while not 0 <= x <= 1:
+                        x = rng.gauss(c, s)
+                    best = max(best, (_density(l, x) - _density(g, x), x))
+                raw[n] = best[1]
+            asked.append(raw)
+        made = [normal(r) for r in asked]
+        tried += zip(asked, made, fitness(made), strict=True)
+    best = max(tried, key=lambda t: t[2])
+    return best[1], best[2]

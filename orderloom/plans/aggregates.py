@@ -324,3 +324,11 @@ games AS (SELECT * FROM n WHERE b IS NOT NULL), both_ AS (SELECT a, b, m FROM ga
 def srs_iterative(spark, d):
     """Fifty rounds of mean margin plus opponents' ratings, re-centred each round."""
     return rounded(stats.iterated_ratings(_games(spark, d), "a", "b", "m", rounds=50).select("a", "r"), 4)
+
+
+@book.query("""SELECT vendor_id, count(amount) AS n, round(median(amount), 4)::DOUBLE AS q0, round(quantile_cont(amount::DOUBLE, 0.1), 4)::DOUBLE AS q1, round(quantile_cont(amount::DOUBLE, 0.95), 4)::DOUBLE AS q2 FROM sale_lines GROUP BY 1""")
+def quantiles_of_hot_groups(spark, d):
+    """Exact quantiles of each vendor's lines, of whom one may have a third of all rows, by brackets in place of whole groups."""
+    from orderloom.operators.selection import quantiles
+
+    return rounded(quantiles(table(spark, d, "sale_lines", ["vendor_id", "amount"]), ["vendor_id"], "amount", [0.5, 0.1, 0.95]), 4)

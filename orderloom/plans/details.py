@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orderloom.functions import keys, nulls
-from orderloom.operators import context, facts, guards, labels, models, pit, resolve, specs, windows
+from orderloom.operators import context, facts, guards, labels, ledgers, models, pit, resolve, specs, windows
 from orderloom.operators.lineage import landing
 from orderloom.plans.base import MEMBERS, SUPPLIER_YEARS, Book, member_values, pct_sql, rounded, supplier_years
 from orderloom.plans.facts import BOX, _box
@@ -297,3 +297,29 @@ def market_odds(spark, d):
     return rounded(last.groupBy("who").agg(F.count("*").alias("odds_books"), F.round(F.median("line"), 4).alias("odds_line"), F.median("p").alias("odds_p"), F.round(F.max("line") - F.min("line"), 4).alias("odds_spread")))
 
 
+@book.query("""WITH o AS (SELECT o_orderkey % 2 AS addition, o_orderkey AS k, o_orderpriority AS name FROM orders), a AS (SELECT *, row_number() OVER (PARTITION BY addition ORDER BY k) - 1 AS place FROM o),
+l AS (SELECT addition, place // 500 AS segment, place, sha256('{"at":' || place || ',"k":' || k || ',"name":' || coalesce('"' || name || '"', 'null') || '}') AS h FROM a)
+SELECT addition::BIGINT AS addition, segment::BIGINT AS segment, count(*) AS n, list_reduce(list(h ORDER BY place), lambda x, y: sha256(x || y), '') AS head FROM l GROUP BY 1, 2""")
+def segmented_ledger(spark, d):
+    """G8, R-1: two additions to a ledger in segments; the heads that verify it."""
+    path = landing(spark, "ledger")
+    o = table(spark, d, "orders", ["o_orderkey", "o_orderpriority"]).toDF("k", "name")
+    for i in (0, 1):
+        ledgers.append(o.filter(F.col("k") % 2 == i), path, ["k"], ["k", "name"], segment=500)
+    return ledgers.read(spark, path, "heads").select("addition", "segment", "n", "head")
+
+
+@book.query("""WITH o AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders)
+SELECT 'edited' AS change, 'line' AS fault, place // 500 AS segment, place FROM o WHERE k % 1000 = 7 UNION ALL SELECT DISTINCT 'edited', 'segment', place // 500, NULL FROM o WHERE k % 1000 = 7
+UNION ALL SELECT DISTINCT 'removed', 'segment', place // 500, NULL FROM o WHERE k % 1300 = 11""")
+def ledger_faults(spark, d):
+    """Every edited and removed line of a ledger, found segment by segment."""
+    path = landing(spark, "ledger")
+    ledgers.append(table(spark, d, "orders", ["o_orderkey", "o_custkey"]).toDF("k", "c"), path, ["k"], ["k", "c"], segment=500)
+    lines, heads, roots = (ledgers.read(spark, path, x) for x in ("lines", "heads", "roots"))
+    edited = lines.withColumn("c", F.when(F.col("k") % 1000 == 7, F.col("c") + 1).otherwise(F.col("c")))
+    out = None
+    for change, these in (("edited", edited), ("removed", lines.filter("k % 1300 <> 11"))):
+        own = ledgers.faults(these, heads, roots, ["k", "c"]).select(F.lit(change).alias("change"), "fault", "segment", F.col("at").alias("place"))
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -301,10 +301,10 @@ def fuzzy_in_block(spark, d):
 
 @book.query("WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY 1) SELECT a.source AS short, b.source AS long, b.n FROM s a JOIN s b ON substr(a.source, 1, 4) = substr(b.source, 1, 4) AND starts_with(b.source, a.source) AND a.source <> b.source")
 def prefix_match(spark, d):
-    """Blocked on the first letters, then by prefix."""
-    s = table(spark, d, "documents", ["source"]).groupBy("source").agg(F.count("*").alias("n")).withColumn("k", F.substring("source", 1, 4))
-    j = s.alias("a").join(s.alias("b"), "k").filter(F.col("b.source").startswith(F.col("a.source")) & (F.col("a.source") != F.col("b.source")))
-    return j.select(F.col("a.source").alias("short"), F.col("b.source").alias("long"), F.col("b.n").alias("n"))
+    """Each name meets those that are a beginning of it."""
+    s = table(spark, d, "documents", ["source"]).groupBy(F.col("source").alias("long")).agg(F.count("*").alias("n"))
+    pairs = resolve.prefix_pairs(s.select(F.col("long").alias("short")), s, "short", "long", 4).filter("short <> long")
+    return pairs.join(s, "long").select("short", "long", "n")
 
 
 @book.query("""WITH a AS (SELECT 'GERMANY' AS alias, 7 AS k UNION ALL SELECT 'FRANCE', 6), x AS (SELECT c_custkey, CASE WHEN c_nationkey = 7 THEN 'GERMANY' WHEN c_nationkey = 6 THEN 'FRANCE' ELSE n_name END AS label FROM customer JOIN nation ON c_nationkey = n_nationkey)

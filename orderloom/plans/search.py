@@ -57,16 +57,9 @@ def exhaustive_sweep(spark, d):
 
 @book.query()
 def sparse_blend_search(spark, d):
-    """Q13: a seeded search over sparse weights on all cohorts but the last two; one job a round."""
+    """Q13: a Parzen-estimator search over weights on all cohorts but the last two; one job a round."""
     x = _sweep_table(spark, d).filter("cohort < 2000")
-
-    def fitness(drawn: list[dict[str, float]]) -> list[float]:
-        blends = {f"w{i}": "blend(" + ",".join(f"{c}:{v:.6f}" for c, v in w.items() if v > 0) + ")" for i, w in enumerate(drawn)}
-        got = rules.rhos(x, blends, "cohort", "value").groupBy("rule").agg(F.avg("rho").alias("m"), F.stddev_pop("rho").alias("s")).collect()
-        judged = {r["rule"]: r["m"] - 0.1 * r["s"] for r in got}
-        return [judged[f"w{i}"] for i in range(len(drawn))]
-
-    weights, value = specs.search_weights(fitness, list(CONFIGS), 80, seed=0)
+    weights, value = specs.parzen_weights(rules.blend_fitness(x, "cohort", "value"), list(CONFIGS), 80, seed=0)
     return rounded(spark.createDataFrame([(c, weights[c], value) for c in CONFIGS], "config string, weight double, fitness double"))
 
 

@@ -115,6 +115,51 @@ def test_exhaustive_sweep_by_plain_loops(spark):
     assert got[f"one {order[0]}"].robust
 
 
+def test_a_parzen_search_beats_a_random_one():
+    names, better = [f"c{i}" for i in range(6)], 0
+    for seed in range(8):
+        rng = random.Random(seed)
+        aim = [rng.random() ** 3 for _ in names]
+        aim = [a / sum(aim) for a in aim]
+        value = lambda w: -sum((w[n] - a) ** 2 for n, a in zip(names, aim, strict=True))  # noqa: E731, B023
+        asked = []
+        fitness = lambda some: [asked.append(len(some)) or value(w) for w in some]  # noqa: E731, B023
+        weights, got = specs.parzen_weights(fitness, names, 120, seed=seed)
+        assert sum(weights.values()) == pytest.approx(1, abs=1e-5) and got == value(weights)
+        assert len(asked) == 120 and set(asked) <= {16, 8}
+        plain = max(value({n: x / sum(r) for n, x in zip(names, r, strict=True)}) for r in ([rng.random() for _ in names] for _ in range(120)))
+        better += got > plain
+    assert better >= 7
+    assert specs.parzen_weights(fitness, names, 40, seed=3) == specs.parzen_weights(fitness, names, 40, seed=3)
+
+
+def test_parzen_densities_are_densities():
+    for points in ([], [0.5], [0.0, 1.0], [0.2, 0.21, 0.9]):
+        bumps = specs._parzen(points)
+        x = (np.arange(4000) + 0.5) / 4000
+        assert np.mean([np.exp(specs._density(bumps, v)) for v in x]) == pytest.approx(1, abs=1e-3)
+
+
+def test_a_tuned_blend_enters_the_sweep(spark):
+    rng = np.random.default_rng(5)
+    rows = [(year, i, float(y), float(y + 2 * rng.standard_normal()), float(y + 2 * rng.standard_normal()), float(rng.standard_normal())) for year in range(2010, 2015) for i in range(30) for y in [rng.standard_normal()]]
+    df = spark.createDataFrame(rows, "year long, i long, y double, a double, b double, c double")
+    got = {j.rule: j for j in rules.exhaustive(df, ["a", "b", "c"], "year", "y", trials=32)}
+    weights = {p.split(":")[0]: float(p.split(":")[1]) for p in got["tuned"].text[6:-1].split(",")}
+    assert weights.get("c", 0.0) < min(weights["a"], weights["b"]) and got["tuned"].mean_rho > max(got[f"one {x}"].mean_rho for x in "abc") - 0.02
+    assert rules.tuned_blend(df.filter("year < 2013"), ["a", "b"], "year", "y", 8) is None
+
+
+def test_prefixes_meet_only_where_they_match(spark):
+    rng = random.Random(8)
+    make = lambda n: [("".join(rng.choice("ab") for _ in range(rng.randint(0, 12))),) for _ in range(n)]
+    a, b = make(150) + [(None,)], make(150) + [(None,)]
+    l, r = spark.createDataFrame(a, "x string"), spark.createDataFrame(b, "y string")  # noqa: E741
+    want = {(x, y) for (x,) in a for (y,) in b if x is not None and y is not None and (len(y) >= 5 and x.startswith(y) or len(x) >= 5 and y.startswith(x) or len(x) >= 9 and len(y) >= 9 and x[:9] == y[:9])}
+    got = resolve.by_prefix(l, r, "x", "y").collect()
+    assert len(got) == len(want) > 50 and {tuple(p) for p in got} == want
+
+
 def test_rule_texts():
     assert rules.parse("tilt(blend(a:1,b:2),age,-0.1)").depth == 2 and rules.parse("a").depth == 0
     for bad in ("blend(a", "blend(a,)", "1", "a b", ""):
