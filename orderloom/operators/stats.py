@@ -217,6 +217,29 @@ def by_group(df: DataFrame, by: list[str], work, schema: str) -> DataFrame:
     return df.groupBy(*by).applyInArrow(work, schema)
 
 
+def by_group_in_parts(df: DataFrame, by: list[str], partial, state: str, final, schema: str, *, part_rows: int = 1 << 16) -> DataFrame:
+    """Any function of a group's rows that can be put together from parts, for groups of any size.
+
+    partial: Arrow table of some of a group's rows to an Arrow table of (by, state columns), small;
+    final: all of a group's states to its rows. A group of more than ``part_rows`` rows is dealt to
+    as many parts, each of which is a task's; what meets in one task are states. state and schema
+    name the columns that partial and final return.
+    """
+    ship(df.sparkSession)
+    n = df.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > part_rows)
+    large = n.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.ceil(F.col("_n") / part_rows).alias("_parts"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    dealt = df.join(large, same, "left").drop(*(f"_k{i}" for i in range(len(by))))
+    # by the row's content: a random number would be drawn anew if a task is lost (rows equal in every column stay together, so give an id along where there are many)
+    dealt = dealt.withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*df.columns), F.col("_parts")))).drop("_parts")
+    names = df.columns
+
+    def work(t: pa.Table) -> pa.Table:
+        return partial(t.select(names))
+
+    return dealt.groupBy(*by, "_part").applyInArrow(work, state).groupBy(*by).applyInArrow(final, schema)
+
+
 def transposed(df: DataFrame, key: str, columns: list[str], values: list) -> DataFrame:
     """(column, one column for each listed key): a report's rows and columns exchanged."""
     long = df.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))).alias("e")).select(key, "e.*")

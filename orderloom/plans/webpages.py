@@ -71,3 +71,23 @@ def hidden_rows(spark, d):
     named = cells.withColumn("stat", F.try_element_at("attributes", F.lit("data-stat")))
     wide = named.groupBy("page", "start").pivot("stat", ["key", "nation", "segment", "balance"]).agg(F.first("content"))
     return wide.select(F.col("key").cast("long").alias("c_custkey"), "nation", "segment", "balance")
+
+
+@book.query("""WITH s AS (SELECT s_suppkey, s_suppkey // 40 AS file, 'No. ' || s_suppkey || ' (' || s_name || ')' AS text FROM supplier), p AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY s_suppkey) - 1 AS i FROM s)
+SELECT file::BIGINT AS file, (i // 25 + 1)::BIGINT AS page, (i % 25 + 1)::BIGINT AS line, text FROM p""")
+def pdf_text_lines(spark, d):
+    """Reports of forty suppliers each as PDF files of pages of 25 lines, written and read back as text lines."""
+    from orderloom.operators.lineage import landing, ship
+    from orderloom.sources import pdf
+
+    ship(spark)
+    s = table(spark, d, "supplier", ["s_suppkey", "s_name"]).select(F.expr("s_suppkey div 40").alias("file"), "s_suppkey", F.format_string("No. %d (%s)", "s_suppkey", "s_name").alias("text"))
+    reports = s.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "text"))), lambda x: x["text"]).alias("lines"))
+
+    @F.pandas_udf("binary")
+    def typeset(lines):
+        return lines.map(lambda own: pdf.typeset([list(own[i : i + 25]) for i in range(0, len(own), 25)]))
+
+    path = landing(spark, "reports")
+    reports.select("file", typeset("lines").alias("content")).write.parquet(path)
+    return rounded(pdf.text_lines(spark.read.parquet(path), F.col("content"), "file"))

@@ -160,6 +160,18 @@ def test_prefixes_meet_only_where_they_match(spark):
     assert len(got) == len(want) > 50 and {tuple(p) for p in got} == want
 
 
+def test_groups_in_parts_whatever_the_size_of_a_part(spark):
+    import pyarrow as pa
+
+    df = hot(spark, 3000).withColumn("g", F.nullif("g", F.lit("c1"))).filter("v is not null")
+    sums = lambda t: pa.table({"g": t["g"].slice(0, 1), "n": pa.array([t.num_rows], pa.int64()), "s": [sum(t["v"].to_pylist())]})
+    merge = lambda t: pa.table({"g": t["g"].slice(0, 1), "n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "s": [sum(t["s"].to_pylist())], "parts": pa.array([t.num_rows], pa.int64())})
+    got = {m: {r["g"]: (r["n"], r["s"], r["parts"]) for r in stats.by_group_in_parts(df, ["g"], sums, "g string, n long, s double", merge, "g string, n long, s double, parts long", part_rows=m).collect()} for m in (100, 10**9)}
+    want = {r["g"]: (r["n"], r["s"]) for r in df.groupBy("g").agg(F.count("*").alias("n"), F.sum("v").alias("s")).collect()}
+    assert all({k: v[:2] for k, v in x.items()} == want for x in got.values())
+    assert got[100]["hot"][2] >= 15 and {v[2] for v in got[10**9].values()} == {1}
+
+
 def test_rule_texts():
     assert rules.parse("tilt(blend(a:1,b:2),age,-0.1)").depth == 2 and rules.parse("a").depth == 0
     for bad in ("blend(a", "blend(a,)", "1", "a b", ""):
