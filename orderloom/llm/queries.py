@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import bpe, language, layout, packing, periodic, secrets, simhash, substring, token_counts, toxicity, vectors, warc
+from orderloom.llm import bpe, forest, language, layout, packing, periodic, secrets, simhash, substring, token_counts, toxicity, vectors, warc
 
 
 def vocabulary_path() -> str:
@@ -55,7 +55,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.nearest(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+    return forest.nearest(_table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
