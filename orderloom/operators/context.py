@@ -51,14 +51,19 @@ def age_curves(df: DataFrame, year: str, age: str, stat: str, degree: int = 3) -
     """df with ``resid`` and ``z`` of a stat about a polynomial of age that was fitted on the years before each row's own.
 
     Moments are summed once a year; the driver adds years up and solves one small system for each.
-    Ages are held to the 0.5th to 99.5th percentile of what the fit saw.
+    Ages are held to the 0.5th to 99.5th percentile of what the fit saw, which one grouped selection
+    gives for all years; curves come to the rows as a table of one row a year.
     """
+    from orderloom.operators.selection import quantiles
+
     middle = 20.0
     x, y = F.col(age).cast("double") - middle, F.col(stat).cast("double")
     rows = df.filter(F.col(age).isNotNull() & F.col(stat).isNotNull())
     powers = [F.sum(F.pow(x, F.lit(i))).alias(f"x{i}") for i in range(2 * degree + 1)]
     cross = [F.sum(F.pow(x, F.lit(i)) * y).alias(f"y{i}") for i in range(degree + 1)]
     sums = sorted(rows.groupBy(year).agg(*powers, *cross, F.sum(y * y).alias("yy")).collect(), key=lambda r: r[year])
+    every = rows.select(F.col(age).alias("_age"), F.explode(F.filter(F.lit([r[year] for r in sums]), lambda t: t > F.col(year))).alias("_now")) if len(sums) > 1 else None
+    bounds = {r["_now"]: (r["q0"], r["q1"]) for r in quantiles(every, ["_now"], "_age", [0.005, 0.995]).collect()} if every is not None else {}
     models = []
     for now in (r[year] for r in sums):
         old = [r for r in sums if r[year] < now]
@@ -69,18 +74,12 @@ def age_curves(df: DataFrame, year: str, age: str, stat: str, degree: int = 3) -
         b = np.array([sum(r[f"y{i}"] for r in old) for i in range(degree + 1)])
         c = np.linalg.lstsq(a, b, rcond=None)[0]
         rest = max(0.0, sum(r["yy"] for r in old) - 2 * c @ b + c @ a @ c)
-        bounds = rows.filter(F.col(year) < now).agg(F.percentile(age, F.array(F.lit(0.005), F.lit(0.995))).alias("q")).first()["q"]
-        models.append((now, c.tolist(), float(np.sqrt(rest / (n - 1))), *map(float, bounds)))
-    curve, sd = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for now, c, s, low, high in models:
-        at = F.greatest(F.lit(low), F.least(F.lit(high), F.col(age).cast("double"))) - middle
-        value = F.lit(0.0)
-        for k in reversed(c):
-            value = value * at + k
-        here = F.col(year) == now
-        curve, sd = F.when(here, value).otherwise(curve), F.when(here, F.lit(s)).otherwise(sd)
-    out = df.withColumns({"_curve": curve, "_sd": sd}).withColumn("resid", F.col(stat) - F.col("_curve"))
-    return out.withColumn("z", sdiv("resid", "_sd")).drop("_curve", "_sd")
+        models.append((int(now), c.tolist()[::-1], float(np.sqrt(rest / (n - 1))), *map(float, bounds[now])))
+    known = df.sparkSession.createDataFrame(models, "_year long, _c array<double>, _sd double, _low double, _high double")
+    at = F.greatest("_low", F.least(F.col("_high"), F.col(age).cast("double"))) - middle
+    curve = F.aggregate("_c", F.lit(0.0), lambda total, k: total * at + k)
+    out = df.join(F.broadcast(known), F.col(year) == F.col("_year"), "left").withColumn("resid", F.when(F.col(age).isNotNull(), F.col(stat) - curve))
+    return out.withColumn("z", sdiv("resid", "_sd")).drop("_year", "_c", "_sd", "_low", "_high")
 
 
 def rarity(role: str, year: str) -> Column:

@@ -70,10 +70,14 @@ def captured_before(df: DataFrame, ts: str, cutoff) -> DataFrame:
 
 def collisions(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(column, overlap, rho, median_ratio, action) of same-named columns of two tables."""
+    from orderloom.operators.selection import quantiles
+    from orderloom.operators.windows import ranked
+
     ls = [F.struct(F.lit(c).alias("column"), F.col(f"a.{c}").cast("double").alias("x"), F.col(f"b.{c}").cast("double").alias("y")) for c in columns]
     long = a.alias("a").join(b.alias("b"), key).select(F.explode(F.array(*ls)).alias("e")).select("e.*").filter("x is not null and y is not null")
-    w = lambda c: F.rank().over(Window.partitionBy("column").orderBy(c)) + (F.count("*").over(Window.partitionBy("column", c)) - 1) / 2.0
-    agg = long.withColumns({"rx": w("x"), "ry": w("y")}).groupBy("column").agg(F.count("*").alias("overlap"), corr("rx", "ry").alias("rho"), F.median(F.try_divide("y", "x")).alias("median_ratio"))
+    agg = ranked(long, ["column"], {"rx": "x", "ry": "y"}).groupBy("column").agg(F.count("*").alias("overlap"), corr("rx", "ry").alias("rho"))
+    middle = quantiles(long, ["column"], F.try_divide("y", "x"), [0.5]).select(F.col("column").alias("_column"), F.col("q0").alias("median_ratio"))  # all rows stand under a few columns
+    agg = agg.join(middle, F.col("column") == F.col("_column"), "left").drop("_column")
     same = (F.col("rho") > 0.98) & F.col("median_ratio").between(0.95, 1.05)
     return agg.withColumn("action", F.when(same, "merge").when(F.col("rho") > 0.9, "rescale").otherwise("keep apart"))
 

@@ -73,11 +73,9 @@ def causal_scores(df: DataFrame, features: list[str], label: str, cohort: str, l
             b += np.array([r[f"b{i}"] or 0.0 for i in range(k + 1)])
         if old:
             models[now] = np.linalg.solve(a, b).tolist()
-    score = F.lit(None).cast("double")
-    for now, w in models.items():
-        dot = sum((w[i] * x[i] for i in range(k + 1)), F.lit(0.0))
-        score = F.when(F.col(cohort) == now, dot).otherwise(score)
-    return df.withColumn("score", score)
+    known = df.sparkSession.createDataFrame([(int(now), [float(v) for v in w]) for now, w in models.items()], "_cohort long, _w array<double>")  # a row for each cohort
+    dot = sum((F.get("_w", F.lit(i)) * x[i] for i in range(k + 1)), F.lit(0.0))
+    return df.join(F.broadcast(known), F.col(cohort) == F.col("_cohort"), "left").withColumn("score", dot).drop("_cohort", "_w")
 
 
 def knn(train: DataFrame, test: DataFrame, vector: str, label: str, key: str, k: int = 5, *, tile: int = TILE, block: int = BLOCK) -> DataFrame:
