@@ -44,17 +44,38 @@ def test_recall_and_what_is_met(spark, grouped, most, monkeypatch):
         hit += len({i for _, i, _ in got[q]} & set(brute(rows, q)))
     assert len(got) == 50 and hit >= 0.9 * 250
     unit = vectors._unit(x)
-    grown = forest.Forest(unit, 4, 24, 5)
+    grown = forest.Forest(unit, np.arange(len(unit)), 4, 24, 5)
     routed = grown.route(unit)
-    share = np.mean([np.isin(routed, grown.chosen(u, 5, 0.13)).any(axis=1).mean() for u in unit[:50]])
+    share = np.mean([np.isin(routed, grown.chosen(u, i, 5, 0.13)[0]).any(axis=1).mean() for i, u in enumerate(unit[:50])])
     assert share <= most
 
 
 def test_a_row_is_in_the_leaves_that_its_own_query_takes():
     unit = vectors._unit(np.random.default_rng(1).standard_normal((400, 8)))
-    grown = forest.Forest(unit[:300], 3, 16, 2)
+    grown = forest.Forest(unit[:300], np.arange(300), 3, 16, 2)
     for u, codes in zip(unit, grown.route(unit).tolist(), strict=True):
-        assert set(codes) <= set(grown.chosen(u, 5, 1e-9))
+        assert set(codes) <= set(grown.chosen(u, -1, 5, 1e-9)[0])
+
+
+def test_leaves_of_few_and_of_many_rows_say_the_same():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (700, 3)).astype(float)
+    x[(x == 0).all(axis=1)] = 1.0
+    ids, q = rng.integers(0, 400, 700), rng.integers(-2, 3, (40, 3)) + 0.5
+    lists = lambda v: pa.array(v.tolist(), pa.list_(pa.float64()))
+    left = pa.table({"rid": np.arange(700), "vec_id": ids, "embedding": lists(x)})
+    right = pa.table({"rid": np.arange(40), "vec_id": np.arange(40), "embedding": lists(q), "floor": np.where(np.arange(40) % 2, 0.9, -2.0)})
+    some = left.slice(0, 500)
+    few = forest._met(5)(some, right).to_pydict()
+    try:
+        forest.FEW, held = 0, forest.FEW
+        many = forest._met(5)(some, right).to_pydict()
+    finally:
+        forest.FEW = held
+    rows = lambda d: sorted(zip(*(np.round(d[c], 12).tolist() for c in ("qid", "query_id", "rid", "vec_id", "score")), strict=True))
+    assert rows(few) == rows(many) and len(few["qid"]) > 100 and min(s for s, i in zip(few["score"], few["qid"], strict=True) if i % 2) >= 0.9
 
 
 @pytest.mark.parametrize("part", [7, 1 << 13])
