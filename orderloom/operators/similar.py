@@ -10,19 +10,22 @@ texts. Let two texts of lengths a and b reach a ratio t, so that M >= t (a + b)
 - Where that is nothing (short texts, or t up to 2 / 3) they share M single characters.
 
 Texts that share c of their grams share one among the first n - c + 1 of each, in any common order;
-with the rarest first few texts meet. Rows join on (block, such a gram), pairs that the bounds leave
-are counted once more by all their grams, and only what remains goes to Python, in Arrow batches.
-The result holds every pair of a block that reaches the ratio.
+with the rarest first few texts meet. Rows join on (block, such a gram); pairs that the bounds leave
+go to Python in Arrow batches, where all their grams are counted before blocks are matched. The
+result holds every pair of a block that reaches the ratio.
 """
 
 from __future__ import annotations
 
+import difflib
 import math
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderloom.operators.resolve import sequence_ratio
+from orderloom.operators.lineage import ship
 
 _EPS = 1e-9
 
@@ -68,6 +71,32 @@ def _first(df: DataFrame, counts: DataFrame, least: float) -> DataFrame:
     return ranked.select("id", "block", "x", "n", "q", F.inline(head)).drop("count")
 
 
+def _ratio(least: float):
+    """The ratio of two texts, or NULL where the bags of their grams show that it stays below ``least``."""
+    pairs_from = short_sum(least)
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        bags: dict[str, tuple[Counter, Counter]] = {}
+
+        def bag(t: str) -> tuple[Counter, Counter]:
+            if t not in bags:
+                bags[t] = Counter(t), Counter(map("".join, zip(t, t[1:], strict=False)))
+            return bags[t]
+
+        def one(a: str, b: str) -> float | None:
+            n, (a1, a2), (b1, b2) = len(a) + len(b), bag(a), bag(b)
+            if 2 * sum((a1 & b1).values()) < least * n - _EPS:
+                return None
+            if n > pairs_from and sum((a2 & b2).values()) < n * (1.5 * least - 1) - 1 - _EPS:
+                return None
+            return difflib.SequenceMatcher(None, a, b).ratio()
+
+        return pd.Series([one(a, b) for a, b in zip(x, y, strict=True)], dtype="float64")
+
+    return ratio
+
+
 def similarity_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, block: tuple[Column, Column], name: tuple[Column, Column], least: float) -> DataFrame:
     """(left_id, right_id, score): pairs of a block whose names have a ratio of at least ``least`` (above 0).
 
@@ -86,12 +115,8 @@ def similarity_join(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     low, high = F.least("ln", "rn"), F.greatest("ln", "rn")
     short = F.col("ln") + F.col("rn") <= short_sum(least)
     met = l.join(r, ["block", "q", "gram", "k"]).filter((low >= high * (least / (2 - least)) - _EPS) & ((F.col("q") == 1) == short)).select("lid", "rid", "lx", "rx").distinct()
-    shared = lambda q: F.size(F.array_intersect(_grams(F.col("lx"), q), _grams(F.col("rx"), q)))
-    sizes = F.length("lx"), F.length("rx")
-    enough = shared(1) >= _needed(*sizes, 1, least)
-    if math.isfinite(short_sum(least)):
-        enough = enough & ((sizes[0] + sizes[1] <= short_sum(least)) | (shared(2) >= _needed(*sizes, 2, least)))
-    scored = met.filter(enough).withColumn("score", sequence_ratio(F.col("lx"), F.col("rx"))).filter(F.col("score") >= least - _EPS)
+    ship(left.sparkSession)
+    scored = met.withColumn("score", _ratio(least)(F.col("lx"), F.col("rx"))).filter(F.col("score") >= least - _EPS)
     empty = sides[0].filter("x = ''").select(F.col("id").alias("lid"), "block").join(sides[1].filter("x = ''").select(F.col("id").alias("rid"), "block"), "block").select("lid", "rid", F.lit(1.0).alias("score"))
     return scored.select("lid", "rid", "score").unionByName(empty).select(F.col("lid").alias(left_id), F.col("rid").alias(right_id), "score")
 

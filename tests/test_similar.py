@@ -29,7 +29,7 @@ def names(rnd, n, letters="abcde"):
     return out
 
 
-def sides(spark, seed, n=60):
+def sides(spark, seed, n=90):
     rnd = random.Random(seed)
     rows = [[(i, rnd.choice(["t", "t", "u", None]), None if rnd.random() < 0.03 else x) for i, x in enumerate(names(rnd, n))] for _ in range(2)]
     rows[1] += [(1000 + i, b, x) for i, b, x in rows[0] if i % 3 == 0]
