@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,11 @@ def running_totals(a: Column) -> Column:
 def ordered_distinct(a: Column) -> Column:
     """Distinct elements in the order in which they first stand."""
     return F.array_distinct(a)
+
+
+def grid(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Every combination of the columns' present values, for columns of few values (years, sources, settings)."""
+    out = df.agg(*(F.collect_set(c).alias(c) for c in columns))
+    for c in columns:
+        out = out.withColumn(c, F.explode(c))
+    return out

@@ -52,6 +52,15 @@ def signature(config: object) -> str:
     return hashlib.md5(json.dumps(plain, sort_keys=True, default=str).encode()).hexdigest()
 
 
+def signature_of(entries: dict[str, Column]) -> Column:
+    """The same for configurations held by rows: MD5 of their JSON with entries in the order of their names.
+
+    Missing values are entries of their own; names are told apart by letter case.
+    """
+    whole = F.struct(*(entries[n].alias(n) for n in sorted(entries)))
+    return F.md5(F.to_json(whole, {"ignoreNullFields": "false"}))
+
+
 @dataclass(frozen=True)
 class Config:
     """One run of a model family over cohorts, each cohort scored by what was known before it."""

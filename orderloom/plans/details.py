@@ -254,11 +254,13 @@ def chained_ledger(spark, d):
     return n(ledger).withColumnRenamed("n", "broken").join(ledger.agg(F.count("*").alias("lines")), F.lit(True)).join(edited, F.lit(True)).join(removed, F.lit(True))
 
 
-@book.query("SELECT 'a' AS name, md5('{\"features\": [\"x\", \"y\"], \"label\": \"rank\"}') AS key UNION ALL SELECT 'b', md5('{\"features\": [\"x\", \"y\"], \"label\": \"rank\"}') UNION ALL SELECT 'c', md5('{\"features\": [\"y\", \"x\"], \"label\": \"rank\"}')")
+@book.query("""WITH k AS (SELECT md5(to_json({brand: brand, dear: price > 100, kind: kind, steps: [size, 1]})) AS key, md5(to_json({brand: brand, dear: price > 100, kind: kind, steps: [1, size]})) AS other FROM items) SELECT key, count(*) AS n, true AS any_order, min(other) AS other FROM k GROUP BY 1""")
 def config_signatures(spark, d):
-    """Keys of configurations; the order of entries does not matter, that of a list does."""
-    made = {"a": {"label": "rank", "features": ["x", "y"]}, "b": {"features": ["x", "y"], "label": "rank"}, "c": {"features": ["y", "x"], "label": "rank"}}
-    return spark.createDataFrame([(n, specs.signature(c)) for n, c in made.items()], "name string, key string")
+    """Each item's make-up as a configuration with a key; the order of entries does not matter, that of a list does."""
+    i = table(spark, d, "items", ["item_id", "brand", "kind", "size", "price"])
+    one = {"kind": F.col("kind"), "brand": F.col("brand"), "steps": F.array("size", F.lit(1)), "dear": F.col("price") > 100}
+    keyed = i.select(specs.signature_of(one).alias("key"), specs.signature_of(dict(reversed(one.items()))).alias("same"), specs.signature_of(one | {"steps": F.array(F.lit(1), "size")}).alias("other"))
+    return keyed.groupBy("key").agg(F.count("*").alias("n"), F.bool_and(F.col("key") == F.col("same")).alias("any_order"), F.min("other").alias("other"))
 
 
 @book.query("SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_partkey % 6 = 1 THEN 99.5 ELSE p_retailprice END::DOUBLE AS price, CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_partkey % 6 = 1 THEN 99.5 / greatest(p_size, 1) ELSE p_retailprice / greatest(p_size, 1) END::DOUBLE AS per_size FROM part")

@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from orderloom.functions import nulls
+from orderloom.functions import lists, nulls
 from orderloom.operators import dedup, pit, resolve, stats, windows
 from orderloom.plans.base import MEMBERS, SUPPLIER_YEARS, Book, member_values, rounded, supplier_years
 from orderloom.sources import readers
@@ -191,12 +191,14 @@ def latest_within_n_years(spark, d):
     return rounded(pit.latest_within(supplier_years(spark, d), ["supp"], "year", F.lit(1998), 2, []).select("supp", "year", "qty"), 4)
 
 
-@book.query("SELECT h, s, h * 10 + s AS cell FROM (SELECT unnest(range(1, 6)) AS h), (SELECT unnest(range(1, 4)) AS s)")
+@book.query("""WITH o AS (SELECT year(o_orderdate)::BIGINT AS year, o_orderpriority AS source, o_totalprice FROM orders), g AS (SELECT year, source FROM (SELECT DISTINCT year FROM o WHERE year IS NOT NULL), (SELECT DISTINCT source FROM o WHERE source IS NOT NULL))
+SELECT year, source, count(o.o_totalprice) AS n, round(coalesce(sum(o.o_totalprice), 0), 2) AS total FROM g LEFT JOIN o USING (year, source) GROUP BY 1, 2""")
 def config_grid(spark, d):
-    """A product of two short lists of settings."""
-    g = spark.range(1).select(F.explode(F.expr("sequence(1L, 5L)")).alias("h"))
-    g = g.withColumn("s", F.explode(F.expr("sequence(1L, 3L)")))
-    return g.withColumn("cell", F.col("h") * 10 + F.col("s"))
+    """The grid of years and sources, empty cells included; both lists are short, and the grid grows with them alone."""
+    o = table(spark, d, "orders", ["o_orderdate", "o_orderpriority", "o_totalprice"]).select(F.year("o_orderdate").cast("long").alias("year"), F.col("o_orderpriority").alias("source"), "o_totalprice")
+    cells = o.groupBy("year", "source").agg(F.count("o_totalprice").alias("n"), F.sum("o_totalprice").alias("total"))
+    grid = lists.grid(cells, ["year", "source"]).join(cells, ["year", "source"], "left")
+    return grid.select("year", "source", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("total", F.lit(0.0)), 2).alias("total"))
 
 
 @book.query("(SELECT c_nationkey::BIGINT AS k, 'both' AS kind FROM customer INTERSECT SELECT s_nationkey::BIGINT, 'both' FROM supplier) UNION ALL (SELECT n_nationkey::BIGINT, 'no supplier' FROM nation EXCEPT SELECT s_nationkey::BIGINT, 'no supplier' FROM supplier)")

@@ -41,11 +41,10 @@ def csv_positional(spark, d):
 
 @book.query(CUSTOMERS)
 def csv_marked_and_indexed(spark, d):
-    """A byte order mark and a column of row numbers without a name."""
+    """Files that each begin with a byte order mark and hold a column of row numbers without a name."""
     path = landing(spark, "csv")
-    line = F.concat_ws(",", F.monotonically_increasing_id(), "c_custkey", "c_name", F.col("c_acctbal").cast("string"))
-    first = spark.range(1).select(F.lit("\ufeff,c_custkey,c_name,c_acctbal").alias("value"))
-    first.unionByName(_customers(spark, d).select(line.alias("value"))).repartition(1).sortWithinPartitions(~F.col("value").startswith("\ufeff")).write.text(path)  # one file has one mark
+    c = _customers(spark, d).select(F.monotonically_increasing_id().alias("\ufeff"), "c_custkey", "c_name", "c_acctbal")
+    c.write.option("header", True).csv(path)  # the mark is the nameless column's name, at the start of every file
     return readers.csv(spark, path, "c_custkey long, c_name string, c_acctbal double", index=True)
 
 
@@ -80,11 +79,11 @@ def decoded_bytes(spark, d):
 
 @book.query("SELECT count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM customer")
 def json_document(spark, d):
-    """A table as one JSON document, read back as one value."""
+    """A table as JSON documents of a thousand keys each, a line for a document, each read back as one value."""
     path = landing(spark, "document")
-    sinks.document(_customers(spark, d).select("c_custkey", "c_name"), path, most_rows=1_000_000)
+    sinks.documents(_customers(spark, d).select("c_custkey", "c_name"), path, F.floor(F.col("c_custkey") / 1000))
     rows = F.from_json("value", "array<struct<c_custkey:long,c_name:string>>")
-    return spark.read.text(path, wholetext=True).select(F.inline(rows)).agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"))
+    return spark.read.text(path).select(F.inline(rows)).agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"))
 
 
 # -- tables --------------------------------------------------------------------------------

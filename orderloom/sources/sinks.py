@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +55,15 @@ def document(df: DataFrame, path: str, most_rows: int = 10_000) -> None:
     df.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns)))).alias("value")).write.mode("overwrite").text(path)
 
 
+def documents(df: DataFrame, path: str, document: Column) -> None:
+    """A table as JSON documents, each an array of the rows of one value of ``document``, sorted; a line holds a document.
+
+    document is to bound a document's size, as a range of a unique key does; rows where it is NULL make one document.
+    """
+    made = df.groupBy(document.alias("_d")).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns)))).alias("value"))
+    made.select("value").write.mode("overwrite").text(path)
+
+
 # -- versions of a table -------------------------------------------------------------------
 
 
