@@ -124,8 +124,8 @@ def iterated_ratings(games: DataFrame, a: str, b: str, margin: str, rounds: int
 def wls_fit(df: DataFrame, by: list[str], y: str, xs: list[str], weight: str | None = None) -> DataFrame:
     """(by, n, coefficients, errors): weighted least squares of each group with an intercept, which comes first.
 
-    Groups are reduced to moments about their means by one aggregate; small systems are solved many
-    at a time in Arrow batches. NULL where a group has no more rows than coefficients, or columns
+    Groups are reduced to their means and then to moments about them by aggregates that combine
+    before a shuffle; small systems are solved many at a time in Arrow batches. NULL where a group has no more rows than coefficients, or columns
     that depend on one another.
     """
     ship(df.sparkSession)
@@ -133,10 +133,10 @@ def wls_fit(df: DataFrame, by: list[str], y: str, xs: list[str], weight: str | N
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.select(*by, w.alias("_w"), F.col(y).cast("double").alias("_y"), *(F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)))
     rows = rows.filter(" and ".join(f"{c} is not null" for c in ("_w", "_y", *(f"_x{i}" for i in range(p)))) + " and _w > 0")
-    own = Window.partitionBy(*by)
-    mean = lambda c: F.sum(F.col("_w") * F.col(c)).over(own) / F.sum("_w").over(own)
     values = [*(f"_x{i}" for i in range(p)), "_y"]
-    rows = rows.withColumns({f"_m{c}": mean(c) for c in values})
+    means = rows.groupBy(*(F.col(b).alias(f"_b{i}") for i, b in enumerate(by))).agg(*((F.sum(F.col("_w") * F.col(c)) / F.sum("_w")).alias(f"_m{c}") for c in values))
+    same = [F.col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(by)]
+    rows = rows.join(means, same or [F.lit(True)]).drop(*(f"_b{i}" for i in range(len(by))))  # a join splits a hot group
     centred = {c: F.col(c) - F.col(f"_m{c}") for c in values}
     cells = [F.sum(F.col("_w") * centred[a] * centred[b]) for i, a in enumerate(values) for b in values[i:]]
     sums = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("_w").alias("_sw"), F.array(*(F.first(f"_m{c}") for c in values)).alias("_mean"), F.array(*cells).alias("_cell"))

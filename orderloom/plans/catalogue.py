@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("cohorts", "relational", "aggregates", "features", "dataflows", "naming", "facts", "storage", "search", "details", "boosts", "webpages", "flows")
+MODULES = ("cohorts", "relational", "aggregates", "features", "dataflows", "naming", "facts", "storage", "search", "details", "boosts", "webpages", "flows", "careers")
 
 
 def _modules():
