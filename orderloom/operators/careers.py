@@ -168,3 +168,46 @@ def compared_values(texts: DataFrame, names: DataFrame, values: DataFrame, text_
     mean = asked.join(yearly, "compared").filter(F.col("_year") < F.col("_now")).groupBy("compared", "_now").agg(F.avg("_v").alias("compared_value"))
     j = named.join(mean.withColumnRenamed("compared", "_who"), (F.col("compared") == F.col("_who")) & (F.col(cutoff) == F.col("_now")), "left")
     return j.drop("_who", "_now")
+
+
+def identities(persons: DataFrame, records: DataFrame, who: str, cutoff: str, record: str, first: str, *, days: int = 366, years: int = 8) -> DataFrame:
+    """(who, record): records of a person by name, told apart by birth date.
+
+    persons: who, cutoff, ``name``, ``last``, ``birth``; records: record, ``name``, ``reversed`` (last
+    name first), ``last``, ``birth`` and the first year. A name holds in either order. With a birth date
+    known on both sides they are to be within ``days``; a person without one takes records whose
+    first year is 0 to ``years`` before the cutoff. A person of known birth whom that leaves
+    without a record takes those of the same last name and birth date. Missing names match nothing.
+    """
+    p = persons.select(who, cutoff, F.col("name").alias("_name"), F.col("last").alias("_plast"), F.col("birth").alias("_pbirth"))
+    forms = records.select(record, first, "birth", "last", F.explode(F.array_distinct(F.array("name", "reversed"))).alias("_name")).filter("_name is not null")
+    near = F.when(F.col("_pbirth").isNull(), F.col(cutoff) - F.col(first)).otherwise(F.abs(F.date_diff("_pbirth", "birth")))
+    fits = F.when(F.col("_pbirth").isNull(), (near >= 0) & (near <= years)).otherwise(F.col("birth").isNull() | (near <= days))
+    by_name = p.join(forms, "_name").filter(fits).select(who, record).distinct()
+    alone = p.filter(F.col("_pbirth").isNotNull()).join(by_name.select(who).distinct(), who, "left_anti")
+    same = records.select(record, F.col("last").alias("_plast"), F.col("birth").alias("_pbirth"))
+    return by_name.unionByName(alone.join(same, ["_plast", "_pbirth"]).select(who, record).distinct())
+
+
+def youth_events(links: DataFrame, persons: DataFrame, events: DataFrame, who: str, cutoff: str, record: str, totals: list[str], ages: dict[str, tuple[list[int], bool | None]], games: str = "g", minutes: str = "mp", world: int = 4) -> DataFrame:
+    """(who, ids, events, max_level, first_year, last_year, flags of ages, best_rank, totals, best of a game, the last event's line).
+
+    events: one row of a record and competition: record, ``competition``, ``year``, ``level``, ``age``,
+    ``rank``, ``listed``, games, minutes and totals (pts among them). Rosters hold people who did not
+    take part: someone did with a game played, or, in a competition where nobody has one, if listed.
+    Only years before the cutoff count. ages: name of a flag to the ages it stands for and whether the
+    level is the world's, below it or either (None). The last event is that of the last year, then the
+    highest level, then the later competition. Persons who took part in nothing are absent.
+    """
+    played = F.coalesce(F.col(games), F.lit(0)) > 0
+    counted = events.groupBy("competition").agg(F.bool_or(played).alias("_counted"))
+    part = events.join(counted, events["competition"].eqNullSafe(counted["competition"])).drop(counted["competition"]).filter(played | (~F.col("_counted") & F.coalesce("listed", F.lit(False))))
+    rows = links.select(who, record).join(part, record).join(persons.select(who, cutoff), who).filter(F.col("year") < F.col(cutoff))
+    flag = {n: F.col("age").isin(a) & (F.lit(True) if top is None else (F.col("level") == world) if top else (F.col("level") < world)) for n, (a, top) in ages.items()}
+    own = F.when(played, F.struct(F.col("level").alias("last_level"), F.col("age").alias("last_age"), F.col(games).alias("last_gp"), sdiv(minutes, games).alias("last_mpg"), sdiv("pts", games).alias("last_ppg"), (36 * sdiv("pts", minutes)).alias("last_pts_36")))
+    out = rows.groupBy(who).agg(
+        F.count_distinct(record).alias("ids"), F.count_distinct("competition").alias("events"), F.max("level").alias("max_level"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.min("rank").alias("best_rank"),
+        *(F.max(F.coalesce(c, F.lit(False)).cast("int")).alias(n) for n, c in flag.items()), *(F.sum(F.when(played, F.col(c))).alias(c) for c in [games, minutes, *totals]),
+        F.max(F.when(played, sdiv("pts", games))).alias("best_ppg"), F.max_by(own, F.when(played, F.struct("year", "level", "competition", record))).alias("_own"),
+    )
+    return out.select(*(c for c in out.columns if c != "_own"), "_own.*")

@@ -108,3 +108,27 @@ def talent(df: DataFrame, columns: list[str]) -> Column:
     """Mean of what is known of several levels, each in its deviations over all rows; statistics are one row, as literals."""
     got = df.agg(*(f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for f, n in ((F.avg, "m"), (F.stddev_samp, "s")))).first()
     return row_mean(*((F.col(c) - F.lit(got[f"m{i}"])) / F.lit(got[f"s{i}"] or None) for i, c in enumerate(columns)))
+
+
+def ratio_splits(games: DataFrame, season: str, by: list[str], opponent: str, top: str, bottom: str) -> DataFrame:
+    """(season, by, and of strong, weak and all but strong opponents: ratio of two sums, its error and games; first minus last with its error).
+
+    Strong are the upper quarter of a season's opponents' levels, weak the lower half; unknown levels
+    take no part. The error is the delta method's for two counts. Quantiles are exact and come from
+    sorted parts, so that a season of a third of all rows is many tasks.
+    """
+    from orderloom.operators.selection import quantiles
+
+    known = games.filter(F.col(opponent).isNotNull())
+    ends = quantiles(known, [season], opponent, [0.75, 0.5]).select(F.col(season).alias("_season"), "q0", "q1")
+    rows = known.join(ends, F.col(season).eqNullSafe(F.col("_season")))
+    level = F.col(opponent)
+    parts = {"top": level >= F.col("q0"), "bot": level < F.col("q1"), "rest": level < F.col("q0")}
+    sums = [f.alias(f"_{n}{k}") for n, here in parts.items() for k, f in (("a", F.sum(F.when(here, F.col(top)))), ("b", F.sum(F.when(here, F.col(bottom)))), ("n", F.count_if(here)))]
+    out = rows.groupBy(season, *by).agg(*sums)
+    made: dict[str, Column] = {}
+    for n in parts:
+        a, b = F.coalesce(F.col(f"_{n}a").cast("double"), F.lit(0.0)), F.coalesce(F.col(f"_{n}b").cast("double"), F.lit(0.0))
+        made |= {f"{n}_ratio": F.when(b > 0, a / b), f"{n}_se": F.when(b > 0, F.abs(a / b) * F.sqrt(1 / F.greatest(a, F.lit(1.0)) + 1 / b)), f"{n}_n": F.col(f"_{n}n")}
+    out = out.withColumns(made)
+    return out.select(season, *by, *made, (F.col("top_ratio") - F.col("rest_ratio")).alias("top_minus_rest"), F.sqrt(F.col("top_se") * F.col("top_se") + F.col("rest_se") * F.col("rest_se")).alias("top_minus_rest_se"))

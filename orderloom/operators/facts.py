@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderloom.functions.keys import made_attempted
 from orderloom.functions.nulls import col, row_count, row_mean, sdiv
 from orderloom.operators.stats import wmean
 
@@ -134,3 +135,45 @@ def joined_text(columns: list[str], least: int = 40, between: str = " ") -> Colu
 def shrunk_share(made: Column | str, tried: Column | str, level: float, worth: float) -> Column:
     """A share pulled to a level that is worth some tries."""
     return sdiv(col(made) + level * worth, col(tried) + worth)
+
+
+def combine(df: DataFrame, measures: dict[str, str], shots: list[str]) -> DataFrame:
+    """df with all columns of a day of measuring: ratios to height, masses, jumps, counts and the pooled share of shooting drills.
+
+    measures: columns of height, wing, reach, weight, fat, hand_length, hand_width, standing, running,
+    lane, shuttle, sprint and bench. shots: cells as ``12-25``; cells of another form count as none
+    taken, and without a try the share is NULL. A height of 0 is none.
+    """
+    m = {k: F.col(c).cast("double") for k, c in measures.items()}
+    out = physique(df, *(measures[k] for k in ("height", "wing", "reach", "weight", "fat", "standing", "running")))
+    h = F.nullif(m["height"], F.lit(0.0))
+    cells = [made_attempted(c) for c in shots]
+    made, tried = (sum((F.coalesce(c[i], F.lit(0.0)) for c in cells), F.lit(0.0)) for i in (0, 1))
+    body, drills = ("height", "wing", "reach", "weight", "fat", "hand_length", "hand_width"), ("standing", "running", "lane", "shuttle", "sprint", "bench")
+    return out.withColumns({
+        "hand_length_ratio": m["hand_length"] / h, "hand_width_ratio": m["hand_width"] / h, "shoot_pct": sdiv(made, tried),
+        "measures": row_count(*(measures[k] for k in body)), "drills": row_count(*(measures[k] for k in drills)),
+    })
+
+
+def box_rates(columns: list[str], prefix: str, games: str = "g", minutes: str = "mp") -> dict[str, Column]:
+    """Columns of what totals give by game, by 36 minutes and by try; a total that is not among ``columns`` has no rate.
+
+    Totals: pts, trb, orb, ast, stl, blk, tov, pir, fg, fga, fg3, fg3a, ft, fta.
+    """
+    x = lambda n: F.col(n).cast("double")
+    g, per36 = x(games), lambda v: 36 * sdiv(v, x(minutes))
+    out = {"gp": g, "mpg": sdiv(x(minutes), g)}
+    for n in ("pts", "trb", "ast", "stl", "blk", "tov", "pir"):
+        out |= {f"{n}_pg": sdiv(x(n), g), f"{n}_36": per36(x(n))} if n in columns else {}
+    out |= {f"{n}_36": per36(x(n)) for n in ("orb", "fga", "fg3a", "fta") if n in columns}
+    shares = {"fg_pct": ("fg", "fga"), "fg3_pct": ("fg3", "fg3a"), "ft_pct": ("ft", "fta"), "fg3a_rate": ("fg3a", "fga"), "fta_rate": ("fta", "fga"), "ast_tov": ("ast", "tov")}
+    out |= {n: sdiv(x(a), x(b)) for n, (a, b) in shares.items() if a in columns and b in columns}
+    if {"pts", "fga", "fta"} <= set(columns):
+        out["ts"] = true_shooting(x("pts"), x("fga"), x("fta"))
+    if {"fg", "fg3", "fga"} <= set(columns):
+        out["efg"] = sdiv(x("fg") + 0.5 * x("fg3"), x("fga"))
+    if {"pts", "trb", "ast", "stl", "blk", "tov", "fg", "fga", "ft", "fta"} <= set(columns):
+        eff = sum((x(n) for n in ("pts", "trb", "ast", "stl", "blk", "fg", "ft")), F.lit(0.0)) - x("fga") - x("fta") - x("tov")
+        out |= {"eff_pg": sdiv(eff, g), "eff_36": per36(eff)}
+    return {f"{prefix}{n}": c for n, c in out.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orderloom.functions import keys
-from orderloom.operators import careers
+from orderloom.operators import careers, context, facts, pit
 from orderloom.plans.base import Book, rounded
 from orderloom.sources.readers import table
 
@@ -113,3 +113,96 @@ def compared_values(spark, d):
     s = table(spark, d, "sales", ["client_id", "sold_at", "total"]).filter("sold_at is not null").withColumn("month", F.month("sold_at").cast("long"))
     x = careers.compared_values(t, c.withColumn("name", F.lower("name")), s, "key", "name", "client_id", "month", "total", "cutoff")
     return rounded(x.select("client_id", "cutoff", "compared", "compared_value"), 4)
+
+
+# -- persons of other lists and their events -----------------------------------------------
+
+_PERSONS = """c AS (SELECT client_id, min(name) AS full_name, min(master_id) AS m FROM clients WHERE client_id IS NOT NULL GROUP BY 1), v AS (SELECT client_id, 3 + client_id % 3 AS cutoff, lower(split_part(full_name, ' ', 1)) AS a, lower(split_part(full_name, ' ', -1)) AS z, DATE '1999-01-01' + (m * 53 % 2000)::INT AS born FROM c),
+p AS (SELECT client_id AS who, cutoff, a || ' ' || z AS name, z AS last, CASE WHEN client_id % 4 <> 0 THEN born END AS birth FROM v), f AS (SELECT client_id, min(month(sold_at))::BIGINT AS first FROM sales GROUP BY 1),
+r AS (SELECT client_id AS record, CASE WHEN client_id % 5 = 0 THEN z || ' ' || a ELSE a || ' ' || z END AS name, CASE WHEN client_id % 5 = 0 THEN a || ' ' || z ELSE z || ' ' || a END AS reversed, CASE WHEN client_id % 7 <> 0 THEN z END AS last, CASE WHEN client_id % 6 <> 0 THEN born END AS birth, first FROM v JOIN f USING (client_id)),
+n AS (SELECT DISTINCT who, record FROM p JOIN r ON p.name = r.name OR p.name = r.reversed WHERE CASE WHEN p.birth IS NULL THEN cutoff - first BETWEEN 0 AND 1 ELSE r.birth IS NULL OR abs(p.birth - r.birth) <= 366 END),
+k AS (SELECT who, record FROM n UNION ALL SELECT who, record FROM p JOIN r ON r.last = p.last AND r.birth = p.birth WHERE who NOT IN (SELECT who FROM n))"""
+
+
+def _listed(spark, d):
+    """Persons, and records of another list in which every fifth name stands last name first."""
+    c = table(spark, d, "clients", ["client_id", "name", "master_id"]).filter("client_id is not null").groupBy("client_id").agg(F.min("name").alias("full_name"), F.min("master_id").alias("m"))
+    k, words = F.col("client_id"), F.split("full_name", " ")
+    a, z = F.lower(F.get(words, F.lit(0))), F.lower(F.element_at(words, -1))
+    straight, turned = F.concat(a, F.lit(" "), z), F.concat(z, F.lit(" "), a)
+    born = F.date_add(F.lit("1999-01-01").cast("date"), (F.col("m") * 53 % 2000).cast("int"))
+    p = c.select(k.alias("who"), (k % 3 + 3).alias("cutoff"), straight.alias("name"), z.alias("last"), F.when(k % 4 != 0, born).alias("birth"))
+    first = table(spark, d, "sales", ["client_id", "sold_at"]).groupBy("client_id").agg(F.min(F.month("sold_at")).alias("first"))
+    r = c.join(first, "client_id").select(k.alias("record"), F.when(k % 5 == 0, turned).otherwise(straight).alias("name"), F.when(k % 5 == 0, straight).otherwise(turned).alias("reversed"), F.when(k % 7 != 0, z).alias("last"), F.when(k % 6 != 0, born).alias("birth"), "first")
+    return p, r
+
+
+@book.query(f"WITH {_PERSONS} SELECT who, record FROM k")
+def person_identities(spark, d):
+    """A person's records by name in either order and by birth date, by last name and date where no name fits."""
+    p, r = _listed(spark, d)
+    return careers.identities(p, r, "who", "cutoff", "record", "first", years=1)
+
+
+_AGES = {"u16": ([15, 16], None), "u17_world": ([17], True), "u17_below": ([17], False), "u18": ([18], None)}
+
+
+@book.query(f"""WITH {_PERSONS}, e AS (SELECT client_id AS record, year, year * 10 + priority AS competition, max(priority) % 4 + 1 AS level, max(priority) + 14 AS age, (client_id + year) % 9 + 1 AS rank, client_id % 2 = 0 AS listed, CASE WHEN max(priority) <> 4 THEN count(*) FILTER (status = 'done') END AS g, sqrt(abs(coalesce(sum(total), 0))) AS mp, count(*) AS pts, count(*) FILTER (status = 'open') AS trb, count(*) FILTER (status = 'done') AS fg, count(*) FILTER (status IS NOT NULL) AS fga FROM (SELECT *, month(sold_at)::BIGINT AS year FROM sales) WHERE sold_at IS NOT NULL AND priority IS NOT NULL GROUP BY 1, 2, 3),
+b AS (SELECT competition, bool_or(coalesce(g, 0) > 0) AS counted FROM e GROUP BY 1), t AS (SELECT k.who, e.*, coalesce(g, 0) > 0 AS played, row_number() OVER (PARTITION BY k.who, coalesce(g, 0) > 0 ORDER BY year DESC, level DESC, competition DESC, record DESC) AS o FROM k JOIN e USING (record) JOIN b USING (competition) JOIN p USING (who) WHERE year < cutoff AND (coalesce(g, 0) > 0 OR (NOT counted AND listed)))
+SELECT who, count(DISTINCT record) AS ids, count(DISTINCT competition) AS events, max(level)::BIGINT AS max_level, min(year) AS first_year, max(year) AS last_year, min(rank) AS best_rank, max((age IN (15, 16))::INT)::BIGINT AS u16, max((age = 17 AND level = 4)::INT)::BIGINT AS u17_world, max((age = 17 AND level < 4)::INT)::BIGINT AS u17_below, max((age = 18)::INT)::BIGINT AS u18,
+round(max(pts / g) FILTER (played), 5) AS best_ppg, (max(level) FILTER (played AND o = 1))::BIGINT AS last_level, (max(age) FILTER (played AND o = 1))::BIGINT AS last_age, max(g) FILTER (played AND o = 1) AS last_gp, round(max(mp / g) FILTER (played AND o = 1), 3) AS last_mpg, round(max(pts / g) FILTER (played AND o = 1), 5) AS last_ppg, round(max(36 * pts / nullif(mp, 0)) FILTER (played AND o = 1), 5) AS last_pts_36,
+sum(g) FILTER (played)::DOUBLE AS i_gp, round(sum(mp) FILTER (played) / sum(g) FILTER (played), 3) AS i_mpg, round(sum(pts) FILTER (played) / sum(g) FILTER (played), 5) AS i_pts_pg, round(36 * sum(pts) FILTER (played) / nullif(sum(mp) FILTER (played), 0), 5) AS i_pts_36, round(sum(trb) FILTER (played) / sum(g) FILTER (played), 5) AS i_trb_pg, round(36 * sum(trb) FILTER (played) / nullif(sum(mp) FILTER (played), 0), 5) AS i_trb_36, round(36 * sum(fga) FILTER (played) / nullif(sum(mp) FILTER (played), 0), 5) AS i_fga_36, round(sum(fg) FILTER (played) / nullif(sum(fga) FILTER (played), 0), 5) AS i_fg_pct FROM t GROUP BY 1""")
+def international_events(spark, d):
+    """Youth events of a person's records before the cutoff: who took part, flags of ages, rates, the best and the last event."""
+    p, r = _listed(spark, d)
+    s = table(spark, d, "sales", ["client_id", "sold_at", "priority", "status", "total"]).filter("sold_at is not null and priority is not null").withColumn("year", F.month("sold_at").cast("long"))
+    done, q = F.col("status") == "done", F.max("priority")
+    e = s.groupBy(F.col("client_id").alias("record"), "year", (F.col("year") * 10 + F.col("priority")).alias("competition")).agg(
+        (q % 4 + 1).alias("level"), (q + 14).alias("age"), F.when(q != 4, F.count_if(done)).alias("g"), F.sqrt(F.abs(F.coalesce(F.sum("total"), F.lit(0.0)))).alias("mp"), F.count("*").alias("pts"), F.count_if(F.col("status") == "open").alias("trb"), F.count_if(done).alias("fg"), F.count("status").alias("fga"),
+    ).withColumns({"rank": (F.col("record") + F.col("year")) % 9 + 1, "listed": F.col("record") % 2 == 0})
+    totals = ["pts", "trb", "fg", "fga"]
+    links = careers.identities(p, r, "who", "cutoff", "record", "first", years=1)
+    x = careers.youth_events(links, p, e, "who", "cutoff", "record", totals, _AGES)
+    rates = facts.box_rates(totals, "i_")
+    fixed = ["who", "ids", "events", "max_level", "first_year", "last_year", "best_rank", *_AGES, "best_ppg", "last_level", "last_age", "last_gp", F.round("last_mpg", 3).alias("last_mpg"), "last_ppg", "last_pts_36"]
+    return rounded(x.select(*fixed, *(F.round(c, 3).alias(n) if n == "i_mpg" else c.alias(n) for n, c in rates.items())), 5)
+
+
+@book.query("""WITH m AS (SELECT change_id, client_id, 2 + client_id % 4 AS cutoff, month(valid_at)::BIGINT AS month, seq, balance FROM client_changes WHERE client_id IS NOT NULL), l AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY month DESC, seq DESC NULLS LAST, change_id DESC) AS k FROM m WHERE month BETWEEN cutoff - 2 AND cutoff),
+x AS (SELECT client_id, month, CASE WHEN change_id % 50 <> 0 THEN 60 + change_id % 20 ELSE 0 END::DOUBLE AS h, (64 + change_id % 23)::DOUBLE AS w, (96 + change_id % 17)::DOUBLE AS r, 180 + sqrt(abs(balance)) AS g, CASE WHEN change_id % 3 <> 0 THEN 4.0 + change_id % 9 END AS f, 8.25 + change_id % 3 AS hl, 9.5 + change_id % 2 AS hw, (25 + change_id % 11)::DOUBLE AS s, CASE WHEN change_id % 4 <> 0 THEN 30 + change_id % 13 END::DOUBLE AS v, (change_id % 8)::DOUBLE AS a1, CASE WHEN change_id % 5 <> 0 THEN change_id % 8 ELSE 0 END AS a2, CASE WHEN change_id % 5 <> 0 THEN 15 ELSE 0 END AS t2 FROM l WHERE k = 1)
+SELECT client_id, month, round(w / nullif(h, 0), 6) AS wing_ratio, round(r / nullif(h, 0), 6) AS reach_ratio, round(hl / nullif(h, 0), 6) AS hand_length_ratio, round(hw / nullif(h, 0), 6) AS hand_width_ratio, round(g / nullif(h, 0), 4) AS weight_per_inch, round(703 * g / nullif(h * h, 0), 4) AS bmi_like, round(g * (1 - f / 100) / nullif(h, 0), 4) AS lean_ratio, v - s AS run_up_gain, r + v AS max_touch, r + s AS standing_touch, w - h AS wing_minus_height, r - h AS reach_minus_height,
+(5 + (g IS NOT NULL)::INT + (f IS NOT NULL)::INT)::BIGINT AS measures, (1 + (v IS NOT NULL)::INT)::BIGINT AS drills, round((a1 + a2) / (10 + t2), 6) AS shoot_pct FROM x""")
+def combine_measures(spark, d):
+    """The last day of measuring within two months before a cutoff, with all that follows from its measures."""
+    k = F.col("change_id")
+    c = table(spark, d, "client_changes", ["change_id", "client_id", "valid_at", "seq", "balance"]).filter("client_id is not null").withColumns({"month": F.month("valid_at"), "cutoff": F.col("client_id") % 4 + 2})
+    l = pit.latest_within(c, ["client_id"], "month", F.col("cutoff"), 2, [F.desc_nulls_last("seq"), F.desc("change_id")])  # noqa: E741
+    none = F.lit(None).cast("double")
+    x = l.withColumns({
+        "h": F.when(k % 50 != 0, 60 + k % 20).otherwise(0), "w": 64 + k % 23, "r": 96 + k % 17, "g": 180 + F.sqrt(F.abs("balance")), "f": F.when(k % 3 != 0, 4 + k % 9), "hl": 8.25 + k % 3, "hw": 9.5 + k % 2, "s": 25 + k % 11, "v": F.when(k % 4 != 0, 30 + k % 13),
+        "lane": none, "shuttle": none, "sprint": none, "bench": none, "spot": F.concat((k % 8).cast("string"), F.lit("-10")), "off": F.when(k % 5 != 0, F.concat((k % 8).cast("string"), F.lit("-15"))).otherwise("did not shoot"),
+    })
+    names = dict(zip(("height", "wing", "reach", "weight", "fat", "hand_length", "hand_width", "standing", "running"), ("h", "w", "r", "g", "f", "hl", "hw", "s", "v"), strict=True)) | {n: n for n in ("lane", "shuttle", "sprint", "bench")}
+    x = facts.combine(x, names, ["spot", "off"])
+    four = ("weight_per_inch", "bmi_like", "lean_ratio")
+    whole = [F.col(n).cast("double").alias(n) for n in ("run_up_gain", "max_touch", "standing_touch", "wing_minus_height", "reach_minus_height")]
+    return rounded(x.select("client_id", "month", "wing_ratio", "reach_ratio", "hand_length_ratio", "hand_width_ratio", *(F.round(n, 4).alias(n) for n in four), *whole, "measures", "drills", "shoot_pct"))
+
+
+def _ratio_sql() -> str:
+    parts = {"top": "price >= hi", "bot": "price < mid", "rest": "price < hi"}
+    sums = ", ".join(f"coalesce(sum(quantity) FILTER ({c} AND flag = 'kept'), 0)::DOUBLE AS {n}a, coalesce(sum(quantity) FILTER ({c} AND flag <> 'kept'), 0)::DOUBLE AS {n}b, count(*) FILTER ({c}) AS {n}_n" for n, c in parts.items())
+    made = ", ".join(f"CASE WHEN {n}b > 0 THEN {n}a / {n}b END AS {n}_ratio, CASE WHEN {n}b > 0 THEN {n}a / {n}b * sqrt(1 / greatest({n}a, 1) + 1 / {n}b) END AS {n}_se" for n in parts)
+    out = ", ".join(f"round({n}_ratio, 5) AS {n}_ratio, round({n}_se, 5) AS {n}_se, {n}_n" for n in parts)
+    return f"""WITH g AS (SELECT month(shipped_at)::BIGINT AS month, vendor_id, quantity, flag, price FROM sale_lines JOIN items USING (item_id) WHERE shipped_at IS NOT NULL AND price IS NOT NULL), q AS (SELECT month, quantile_cont(price, 0.75) AS hi, quantile_cont(price, 0.5) AS mid FROM g GROUP BY 1),
+s AS (SELECT month, vendor_id, {sums} FROM g JOIN q USING (month) GROUP BY 1, 2), m AS (SELECT *, {made} FROM s) SELECT month, vendor_id, {out}, round(top_ratio - rest_ratio, 5) AS top_minus_rest, round(sqrt(top_se * top_se + rest_se * rest_se), 5) AS top_minus_rest_se FROM m"""
+
+
+@book.query(_ratio_sql())
+def ratio_opponent_splits(spark, d):
+    """A ratio of two counts with its error against strong, weak and other opponents of a season."""
+    i = table(spark, d, "items", ["item_id", "price"])
+    l = table(spark, d, "sale_lines", ["item_id", "vendor_id", "quantity", "flag", "shipped_at"]).filter("shipped_at is not null").join(i, "item_id")  # noqa: E741
+    kept = F.col("flag") == "kept"
+    g = l.select(F.month("shipped_at").cast("long").alias("month"), "vendor_id", "price", F.when(kept, F.col("quantity")).alias("a"), F.when(~kept, F.col("quantity")).alias("b"))
+    return rounded(context.ratio_splits(g, "month", ["vendor_id"], "price", "a", "b"), 5)

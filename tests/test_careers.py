@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderloom.functions import lists
-from orderloom.operators import careers, specs, stats
+from orderloom.operators import careers, context, facts, specs, stats
 from orderloom.sources import sinks
 
 
@@ -189,3 +189,53 @@ def test_plans_hold_no_window_over_rows_of_a_person(spark, sf_dir, name):
     assert "CartesianProduct" not in physical and "BroadcastNestedLoopJoin" not in physical
     if name in ("last_lines_abroad", "mates_over_games", "compared_values"):  # use_elasticity: the selection of percentiles has one over a bracket
         assert "Window [" not in physical
+
+
+def test_identities_by_name_birth_and_last_resort(spark):
+    p = spark.createDataFrame([(1, 10, "ann bo", "bo", "2000-01-01"), (2, 10, "cy do", "do", None), (3, 10, "el fo", "fo", "2000-05-05"), (4, 10, None, None, None), (5, 10, "gi ho", "ho", "2001-01-01")], "who int, cutoff int, name string, last string, birth string").withColumn("birth", F.col("birth").cast("date"))
+    rows = [
+        (101, "ann bo", "bo ann", "bo", "2000-12-31", 5), (102, "bo ann", "ann bo", "bo", None, 1), (103, "ann bo", "bo ann", "bo", "2002-01-01", 5),
+        (201, "cy do", "do cy", "do", "1990-01-01", 10), (202, "cy do", "do cy", "do", None, 1), (203, "cy do", "do cy", "do", None, 11),
+        (301, "nick fo", "fo nick", "fo", "2000-05-05", 3), (302, "nick fo", "fo nick", "fo", "2000-05-06", 3), (401, None, None, None, None, 3), (501, "gi ho", "ho gi", "ho", "2005-01-01", 3), (501, "gi ho", "ho gi", "ho", "2005-01-01", 3),
+    ]
+    r = spark.createDataFrame(rows, "record int, name string, reversed string, last string, birth string, first int").withColumn("birth", F.col("birth").cast("date"))
+    got = sorted(map(tuple, careers.identities(p, r, "who", "cutoff", "record", "first").collect()))
+    assert got == [(1, 101), (1, 102), (2, 201), (3, 301)]  # 202 is nine years back, 203 lies ahead
+
+
+def test_youth_events_know_who_took_part(spark):
+    e = spark.createDataFrame(
+        [(7, "a", 1, 4, 17, 3, False, 2, 40.0, 30), (7, "b", 2, 2, 17, 1, False, None, None, None), (7, "c", 2, 1, 18, 9, True, None, None, None), (8, "c", 2, 1, 18, 2, None, 0, 0.0, 0), (8, "a", 1, 4, 17, 3, True, None, None, None), (7, "d", 5, 4, 20, 1, True, 9, 9.0, 9), (8, "e", 2, 3, None, None, None, 1, 0.0, 4), (9, None, 1, 1, 15, 1, True, None, None, None)],
+        "record int, competition string, year int, level int, age int, rank int, listed boolean, g int, mp double, pts int",
+    )
+    links, p = spark.createDataFrame([(1, 7), (1, 8), (2, 9), (3, 8)], "who int, record int"), spark.createDataFrame([(1, 5), (2, 5), (3, 1)], "who int, cutoff int")
+    got = {x["who"]: x.asDict() for x in careers.youth_events(links, p, e, "who", "cutoff", "record", ["pts"], {"world17": ([17], True), "low18": ([18], False), "any20": ([20], None)}).collect()}
+    assert set(got) == {1, 2}
+    a = got[1]  # a of 7; c of 7 (listed where nobody has a game); e of 8; not a of 8, which has no game where others have
+    assert (a["ids"], a["events"], a["max_level"], a["first_year"], a["last_year"], a["best_rank"]) == (2, 3, 4, 1, 2, 3)
+    assert (a["world17"], a["low18"], a["any20"], a["g"], a["pts"], a["best_ppg"]) == (1, 1, 0, 3, 34, 15.0)
+    assert (a["last_level"], a["last_age"], a["last_gp"], a["last_ppg"], a["last_pts_36"]) == (3, None, 1, 4.0, None)
+    assert (got[2]["events"], got[2]["g"], got[2]["last_level"]) == (0, None, None)  # a competition without a name is not counted
+
+
+def test_ratio_splits_of_each_season(spark):
+    r = random.Random(1)
+    rows = [(r.choice([1, 2, None]), r.randrange(3), r.choice([None, *map(float, range(12))]), r.choice([None, 0, 1, 2]), r.choice([None, 0, 3])) for _ in range(300)]
+    got = {(x["s"], x["w"]): x for x in context.ratio_splits(spark.createDataFrame(rows, "s int, w int, o double, a int, b int"), "s", ["w"], "o", "a", "b").collect()}
+    for s in (1, 2, None):
+        known = [x for x in rows if x[0] == s and x[2] is not None]
+        hi, mid = np.percentile([x[2] for x in known], [75, 50])
+        for w in range(3):
+            for n, here in (("top", lambda o: o >= hi), ("bot", lambda o: o < mid), ("rest", lambda o: o < hi)):
+                own = [x for x in known if x[1] == w and here(x[2])]
+                a, b = (sum(x[i] or 0 for x in own) for i in (3, 4))
+                assert got[s, w][f"{n}_n"] == len(own) and _near(got[s, w][f"{n}_ratio"], a / b if b else None) and _near(got[s, w][f"{n}_se"], a / b * math.sqrt(1 / max(a, 1) + 1 / b) if b else None)
+
+
+def test_rates_of_totals_that_are_there(spark):
+    assert set(facts.box_rates(["pts"], "x_")) == {"x_gp", "x_mpg", "x_pts_pg", "x_pts_36"}
+    every = ["pts", "trb", "orb", "ast", "stl", "blk", "tov", "pir", "fg", "fga", "fg3", "fg3a", "ft", "fta"]
+    x = spark.createDataFrame([(2, 60.0, 40, 10, 3, 6, 2, 1, 4, 30, 15, 30, 4, 10, 6, 8), (0, 0.0, *[0] * 14)], f"g int, mp double, {', '.join(f'{c} int' for c in every)}")
+    one, none = x.select(*(c.alias(n) for n, c in facts.box_rates(every, "").items())).collect()
+    assert _near(one["eff_pg"], (40 + 10 + 6 + 2 + 1 - 15 - 2 - 4) / 2) and _near(one["ts"], 40 / (2 * (30 + 0.44 * 8))) and _near(one["efg"], 17 / 30) and _near(one["orb_36"], 1.8) and _near(one["fta_rate"], 8 / 30)
+    assert all(v is None for n, v in none.asDict().items() if n != "gp")
