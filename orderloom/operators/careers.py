@@ -137,17 +137,17 @@ def elasticity(games: DataFrame, by: list[str], who: str, rate: str, use: str, c
 def mates_over_games(box: DataFrame, game: list[str], who: str, minutes: str, rating: str, parts: list[str]) -> DataFrame:
     """(who, games, minutes, mates_rating, mates_known, and a share of each part): the others over the games that a person played.
 
-    box: lines of a person in a side's game; several lines count as one. Each game's sums less the
-    own ones are added over the person's games, so no pairs of persons are made. mates_rating: the
+    box: lines of a person in a side's game; several lines count as one, with the highest rating, so a
+    game that holds a third of all lines is as many rows as persons once they have combined. Each
+    game's sums less the own ones are added over the person's games: no pairs of persons are made. mates_rating: the
     mean rating of the others by minutes; mates_known: the part of their minutes with a rating; the
     shares are the person's part of the side's. Lines without minutes do not count as played.
     """
     m = F.col(minutes).cast("double")
-    rows = box.filter(m > 0).groupBy(*game, who).agg(F.sum(m).alias("_m"), F.sum(F.when(F.col(rating).isNotNull(), m)).alias("_k"), F.sum(m * F.col(rating)).alias("_r"), *(F.sum(p).alias(p) for p in parts))
-    rows = rows.fillna(0.0, ["_k", "_r", *parts])
-    names = ["_m", "_k", "_r", *parts]
-    sides = rows.groupBy(*game).agg(*(F.sum(c).alias(f"_t{c}") for c in names))
-    j = rows.join(sides, game)
+    rows = box.filter(m > 0).groupBy(*game, who).agg(F.sum(m).alias("_m"), F.max(rating).alias("_rating"), *(F.coalesce(F.sum(p), F.lit(0.0)).alias(p) for p in parts)).filter(" and ".join(f"`{g}` is not null" for g in game))
+    rows = rows.withColumns({"_k": F.when(F.col("_rating").isNotNull(), F.col("_m")).otherwise(0.0), "_r": F.coalesce(F.col("_m") * F.col("_rating"), F.lit(0.0))})
+    side = Window.partitionBy(*game)
+    j = rows.withColumns({f"_t{c}": F.sum(c).over(side) for c in ("_m", "_k", "_r", *parts)})
     others = lambda c: F.sum(F.col(f"_t{c}") - F.col(c))
     return j.groupBy(who).agg(
         F.count("*").alias("games"), F.sum("_m").alias("minutes"), F.when(others("_k") > 0, sdiv(others("_r"), others("_k"))).alias("mates_rating"), F.when(others("_m") > 0, sdiv(others("_k"), others("_m"))).alias("mates_known"),

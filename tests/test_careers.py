@@ -181,13 +181,13 @@ def test_grids_keys_and_documents(spark, tmp_path):
 
 @pytest.mark.parametrize("name", ["career_development", "latent_shares", "last_lines_abroad", "use_elasticity", "mates_over_games", "compared_values"])
 def test_plans_hold_no_window_over_rows_of_a_person(spark, sf_dir, name):
-    """Rows combine by aggregates; what windows see has one row a person and season, or a year and role."""
+    """Rows combine by aggregates; what windows see has one row a person and season, a person and game, or a year and role."""
     from orderloom.plans import careers as plans
 
     plan = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan ==") :]
     assert "CartesianProduct" not in physical and "BroadcastNestedLoopJoin" not in physical
-    if name in ("last_lines_abroad", "mates_over_games", "compared_values"):  # use_elasticity: the selection of percentiles has one over a bracket
+    if name in ("last_lines_abroad", "compared_values"):  # use_elasticity: the selection of percentiles has one over a bracket
         assert "Window [" not in physical
 
 
