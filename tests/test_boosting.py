@@ -160,3 +160,10 @@ def test_odd_training_tables(spark):
     assert same.trees == [] and same.base == 3.0
     with pytest.raises(ValueError, match="objective"):
         boosting.fit(empty, NAMES, "y", objective="other")
+
+
+def test_quantiles_of_large_leaves_are_exact(spark):
+    """Beyond 10,000 rows, where an approximate percentile of that accuracy is off."""
+    df = spark.range(60_000, numPartitions=8).select((F.hash("id") % 1_000_003).cast("double").alias("y"), F.lit(1.0).alias("x"))
+    fit = boosting.fit(df, ["x"], "y", objective="quantile", alpha=0.8, edges=[[]], rounds=1, depth=1)
+    assert fit.base == sorted(r["y"] for r in df.collect())[48_000 - 1]

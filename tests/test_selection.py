@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -47,3 +48,13 @@ def test_a_hot_group_is_many_tasks(spark):
 
 def test_no_rows(spark):
     assert selection.quantiles(spark.createDataFrame([], "g string, x double"), ["g"], "x", [0.5]).count() == 0
+
+
+@pytest.mark.parametrize("accuracy", [20_000, 50])
+def test_discrete_quantiles_are_values(spark, accuracy):
+    rows = rows_of()
+    got = {r["g"]: r for r in selection.quantiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", SHARES, accuracy=accuracy, discrete=True).collect()}
+    for g, r in got.items():
+        own = sorted(x for k, x in rows if k == g and x is not None)
+        for k, p in enumerate(SHARES):
+            assert r[f"q{k}"] == (own[max(len(own) - math.floor(len(own) - len(own) * p) - 1, 0)] if own else None)
