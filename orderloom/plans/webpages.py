@@ -64,7 +64,8 @@ def hidden_rows(spark, d):
     c = table(spark, d, "customer", ["c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"]).filter("c_acctbal is not null")
     cell = lambda name, x: F.concat(F.lit(f'<td data-stat="{name}">'), x, F.lit("</td>"))
     row = F.concat(F.lit('<tr class="full_table">'), cell("key", F.col("c_custkey")), cell("nation", F.col("c_nationkey")), cell("segment", F.col("c_mktsegment")), cell("balance", F.round("c_acctbal", 2).cast("string")))
-    made = c.select((F.col("c_custkey") % 1000).alias("page"), row.alias("r")).groupBy("page").agg(F.array_join(F.collect_list("r"), "").alias("rows"))
+    # in a fixed order: the nodes' numbers rest on it, and the pages are made once for each use of the nodes
+    made = c.select((F.col("c_custkey") % 1000).alias("page"), F.struct("c_custkey", row.alias("r")).alias("r")).groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["r"]), "").alias("rows"))
     n = pages.nodes(made, F.concat(F.lit("<html><body><div id=x><!-- <table>"), "rows", F.lit("</table> --></div></body></html>")), "page", opened=True)
     rows = pages.select(n, '//div[@id="x"]//tr[contains(@class,"full")]', "page")
     cells = pages.content(n, pages.select(n, "/td[@data-stat]", "page", under=rows), "page")

@@ -116,3 +116,22 @@ def test_starts_are_kept_and_bad_paths_raise(spark):
     for bad in ("li", "//li[last()]", "//li/", "//li[@"):
         with pytest.raises(ValueError, match="not understood"):
             pages.select(table, bad, "k")
+
+
+def test_a_named_entity_without_its_semicolon_is_text():
+    got = list(pages.parse('<p title="a&amp b&amp;c">x&amp;&amp</p><script>a&b</script><!--c&d--><p>&lt;&#65;&copy 1</p>'))
+    assert [(r[4], r[7].get("title"), r[8]) for r in got] == [("p", "a&amp b&c", "x&&amp"), ("script", None, "a&b"), ("comment()", None, "c&d"), ("p", None, "<A&copy 1")]
+
+
+def test_hidden_pages_are_the_same_each_time(spark, tmp_path, monkeypatch):
+    """The pages are made once for each use of their nodes, so rows must not come in an order of chance."""
+    from orderloom.plans import webpages
+
+    made = []
+    monkeypatch.setattr(webpages.pages, "nodes", lambda df, *a, **k: made.append(df) or (_ for _ in ()).throw(StopIteration))
+    for order in ("c_custkey", "-c_custkey"):
+        spark.range(400).selectExpr("id * 1000 AS c_custkey", "1 AS c_nationkey", "'s' AS c_mktsegment", "1.5D AS c_acctbal").orderBy(F.expr(order)).coalesce(1).write.parquet(f"{tmp_path}/{order}/customer.parquet")
+        with pytest.raises(StopIteration):
+            webpages.hidden_rows(spark, f"{tmp_path}/{order}")
+    a, b = (df.filter("page = 0").first()["rows"] for df in made)
+    assert a == b
