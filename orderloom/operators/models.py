@@ -11,8 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderloom.functions.nulls import row_mean
 from orderloom.operators.guards import ban_columns
-from orderloom.operators.lineage import ship
+from orderloom.operators.lineage import kept, ship
 
 #: Training vectors of a tile, and test vectors of a block: what a task and a broadcast hold at once.
 TILE = 1 << 12
@@ -242,6 +243,7 @@ def residual(train: DataFrame, test: DataFrame, features: list[str], label: str,
         own = FAMILIES[first](rows.filter(F.col("_fold") != i), rows.filter(F.col("_fold") == i), features, label)
         parts = own if parts is None else parts.unionByName(own)
     missed = with_pct_ranks(parts.withColumn("_all", F.lit(1)), ["_all"], {"_y": label, "_s": "score"}).withColumn("_miss", F.col("_y") - F.col("_s"))
+    missed = kept(missed.select(*features, "_miss"))  # a fit reads it twice
     base = with_pct_ranks(FAMILIES[first](train, test, features, label), by, {"_base": "score"}).drop("score")
     return FAMILIES[second](missed, base, features, "_miss").withColumn("score", F.col("_base") + F.col("score")).drop("_base")
 
@@ -250,11 +252,13 @@ def period_sum(train: DataFrame, test: DataFrame, features: list[str], periods:
     """test with ``score``: weighted percentile ranks of a model for each period's label."""
     from orderloom.operators.windows import with_pct_ranks
 
-    out = test.withColumn("score", F.lit(0.0))
-    for label, weight in periods:
-        own = with_pct_ranks(FAMILIES[of](train, test, features, label), by, {"_pct": "score"}).select(*key, (weight * F.col("_pct")).alias("_part"))
-        out = out.join(own, key).withColumn("score", F.col("score") + F.col("_part")).drop("_part")
-    return out
+    out = test.drop("score")
+    for i, (label, _) in enumerate(periods):
+        out = FAMILIES[of](train, out, features, label).withColumnRenamed("score", f"_s{i}")
+    each = range(len(periods))
+    out = with_pct_ranks(out, by, {f"_p{i}": f"_s{i}" for i in each})
+    score = sum((weight * F.col(f"_p{i}") for i, (_, weight) in enumerate(periods)), F.lit(0.0))
+    return out.withColumn("score", score).drop(*(f"_{c}{i}" for i in each for c in "sp"))
 
 
 def bagged(train: DataFrame, test: DataFrame, features: list[str], label: str, key: str, by: list[str], members: list[str], bags: int = 3, share: float = 0.8, seed: int = 0) -> DataFrame:
@@ -262,12 +266,9 @@ def bagged(train: DataFrame, test: DataFrame, features: list[str], label: str, k
     from orderloom.operators import sampling
     from orderloom.operators.windows import with_pct_ranks
 
-    parts = None
-    for i in range(bags):
-        some = train.filter(sampling.draw(key, seed=seed + i) < share)
-        own = with_pct_ranks(FAMILIES["ridge"](some, test, features, label), by, {"_pct": "score"}).select(*members, "_pct")
-        parts = own if parts is None else parts.unionByName(own)
-    return test.join(parts.groupBy(*members).agg(F.avg("_pct").alias("score")), members)
+    fits = {f"_s{i}": fit_ridge(train.filter(sampling.draw(key, seed=seed + i) < share), features, label).column() for i in range(bags)}
+    own = with_pct_ranks(test.withColumns(fits), by, {f"_p{i}": f"_s{i}" for i in range(bags)})
+    return own.withColumn("score", row_mean(*(f"_p{i}" for i in range(bags)))).drop(*(f"_{c}{i}" for i in range(bags) for c in "sp"))
 
 
 def pairwise(train: DataFrame, test: DataFrame, features: list[str], label: str, by: str, key: str, near: int = 5, penalty: float = 1.0, seed: int = 0) -> DataFrame:

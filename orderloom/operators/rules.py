@@ -230,10 +230,10 @@ def wide(predictions: DataFrame, by: str, key: str, configs: list[str], bins: in
     out = []
     for c in configs:
         own = F.col("config") == c
-        first = F.min(F.when(own & some, F.struct("member", top.alias("t"), low.alias("l"), expected.alias("e"))))
-        out += [F.max(F.when(own & (F.col("member") == -1), F.col("score"))).alias(c), first.alias(f"_{c}")]
+        at = F.when(own & some, F.col("member"))  # numbers alone: a minimum of structs would be sorted for
+        out += [F.max(F.when(own & (F.col("member") == -1), F.col("score"))).alias(c), *(F.min_by(x, at).alias(f"{c}_{n}") for n, x in (("top", top), ("low", low), ("bin", expected)))]
     rows = predictions.groupBy(by, key).agg(*out)
-    return rows.select(by, key, *configs, *(x for c in configs for x in (F.col(f"_{c}.t").alias(f"{c}_top"), F.col(f"_{c}.l").alias(f"{c}_low"), F.col(f"_{c}.e").alias(f"{c}_bin"))))
+    return rows.select(by, key, *configs, *(f"{c}_{n}" for c in configs for n in ("top", "low", "bin")))
 
 
 def weight_grid(df: DataFrame, a: str, b: str, by: str, value: str, steps: int = 10, **how) -> DataFrame:
