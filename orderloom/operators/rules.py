@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.nulls import corr, row_median
+from orderloom.operators.lineage import kept
+from orderloom.operators.ranks import rank_correlations
 from orderloom.operators.windows import pct_rank, ranked, with_pct_ranks
 
 TOKEN = re.compile(r"\s*([A-Za-z_]\w*|[-+]?\d+(?:\.\d+)?|[(),:])")
@@ -136,6 +138,13 @@ def _combine(name: str, first: list, second: list, pct: Callable[..., Column], p
 
 def apply(df: DataFrame, rules: dict[str, str], by: list[str], **how) -> DataFrame:
     """df with one column for each named rule. how: see ``windows.ranked``."""
+    columns = list(df.columns)
+    df, scores = _compiled(df, rules, by, {}, how)
+    return df.select(*columns, *(x.alias(name) for name, x in scores.items()))
+
+
+def _compiled(df: DataFrame, rules: dict[str, str], by: list[str], known: dict[tuple[str, str], str], how: dict) -> tuple[DataFrame, dict[str, Column]]:
+    """df with all ranks that rules need and with rules that others rest on; and every rule as an expression over it. known: names of ranks that df has."""
     trees = {name: parse(text) for name, text in rules.items()}
     inner: dict[Node, str] = {}
 
@@ -150,8 +159,9 @@ def apply(df: DataFrame, rules: dict[str, str], by: list[str], **how) -> DataFra
     for tree in trees.values():
         gather(tree)
     given = lambda x: x if not isinstance(x, Node) else inner.get(x, x.name)
-    held: dict[tuple[str, str], str] = {}
-    columns = list(df.columns)
+    held = dict(known)
+    inside = {x for node in inner for pair in node.args for x in pair if isinstance(x, Node)}
+    last: dict[str, Column] = {}
     for depth in range(1, max((n.depth for n in inner), default=0) + 1):
         need: dict[tuple[str, str], str] = {}
 
@@ -175,8 +185,10 @@ def apply(df: DataFrame, rules: dict[str, str], by: list[str], **how) -> DataFra
                 made[name] = _combine(node.name, first, second, pct, place)
         df = _with_ranks(df, need, by, how)
         held |= need
-        df = df.withColumns(made)
-    return df.select(*columns, *(F.col(given(tree)).alias(name) for name, tree in trees.items()))
+        below = {inner[n] for n in inside if n in inner}
+        df = df.withColumns({c: x for c, x in made.items() if c in below})
+        last |= {c: x for c, x in made.items() if c not in below}  # nothing is ranked by these, so they need not travel
+    return df, {name: last.get(given(tree), F.col(given(tree))) for name, tree in trees.items()}
 
 
 def _with_ranks(df: DataFrame, need: dict[tuple[str, str], str], by: list[str], how: dict) -> DataFrame:
@@ -196,16 +208,28 @@ def _with_ranks(df: DataFrame, need: dict[tuple[str, str], str], by: list[str],
     return ranked(df.withColumns(filled), by, {n: f"_of{n}" for n in need.values()}, counts=True, **how).drop(*filled)
 
 
-def rhos(df: DataFrame, rules: dict[str, str], by: str, value: str, **how) -> DataFrame:
-    """(rule, by, rho): every rule's rank correlation with a value in every cohort.
+def prepared(df: DataFrame, columns: list[str], by: str, value: str, **how) -> tuple[DataFrame, dict[tuple[str, str], str]]:
+    """(df with ranks of columns and of a value, kept; their names): what the rounds of a search have in common."""
+    known = {(c, "plain"): f"_known{i}" for i, c in enumerate(columns)}
+    return kept(ranked(_with_ranks(df, known, [by], how), [by], {"_v": value}, **how)), known
+
+
+def rhos(df: DataFrame, rules: dict[str, str], by: str, value: str, known: dict[tuple[str, str], str] | None = None, **how) -> DataFrame:
+    """(rule, by, rho): every rule's rank correlation with a value in every cohort. known: with a table of ``prepared``.
 
-    Scores are laid out one row for each rule, so that a cohort's many ranks run as many tasks.
+    Scores never become rows: tasks sort each rule's and send them on packed, with the value's rank
+    beside, and a cohort's rule, or a range of its scores, is ranked in one place.
     """
-    scored = ranked(apply(df, rules, [by], **how), [by], {"_v": value}, **how)
-    scores = F.array(*(F.round(F.col(r).cast("double"), DIGITS) for r in rules))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a few cohorts are a few tasks, and rows are about to multiply
-    long = scored.select(by, "_v", scores.alias("_scores")).repartition(parts).select(by, "_v", F.posexplode("_scores").alias("_rule", "score"))
-    told = ranked(long, [by, "_rule"], {"_s": "score"}, **how).groupBy("_rule", by).agg(corr("_s", "_v").alias("rho"))
+    made, scores = _compiled(df, rules, [by], known or {}, how)
+    if known is None:
+        made = kept(ranked(made, [by], {"_v": value}, **how))
+    elif made is not df:
+        made = kept(made)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if made._jdf.queryExecution().toRdd().getNumPartitions() < parts:
+        made = made.repartition(parts)  # few bytes are few tasks, and each row has many scores
+    scored = made.select(by, "_v", F.array(*(x.cast("double") for x in scores.values())).alias("_scores"))
+    told = rank_correlations(scored, by, "_v", "_scores", len(rules), digits=DIGITS)
     return told.select(F.element_at(F.array(*map(F.lit, rules)), F.col("_rule") + 1).alias("rule"), by, "rho")
 
 
@@ -246,13 +270,15 @@ def weight_grid(df: DataFrame, a: str, b: str, by: str, value: str, steps: int =
     return both.groupBy(by, "weight").agg(corr("_s", "_v").alias("rho")).groupBy("weight").agg(F.avg("rho").alias("mean_rho"))
 
 
-def greedy(df: DataFrame, candidates: list[str], by: str, value: str, rounds: int = 12, least_gain: float = 1e-6) -> list[str]:
+def greedy(df: DataFrame, candidates: list[str], by: str, value: str, rounds: int = 12, least_gain: float = 1e-6, known: dict[tuple[str, str], str] | None = None) -> list[str]:
     """Forward selection with repetition: each round adds the column that helps the blend most, until none does. One job a round."""
+    if known is None:
+        df, known = prepared(df, candidates, by, value)
     chosen: list[str] = []
     last: float | None = None
     for _ in range(rounds):
         rules = {c: "blend(" + ",".join(f"{x}:{[*chosen, c].count(x)}" for x in dict.fromkeys([*chosen, c])) + ")" for c in candidates}
-        got = sweep(df, {f"try_{c}": r for c, r in rules.items()}, by, value).withColumn("mean_rho", F.round("mean_rho", 12)).orderBy(F.desc("mean_rho"), "rule").first()
+        got = sweep(df, {f"try_{c}": r for c, r in rules.items()}, by, value, known=known).withColumn("mean_rho", F.round("mean_rho", 12)).orderBy(F.desc("mean_rho"), "rule").first()
         if last is not None and got["mean_rho"] <= last + least_gain:
             break
         chosen.append(got["rule"].removeprefix("try_"))
@@ -260,12 +286,12 @@ def greedy(df: DataFrame, candidates: list[str], by: str, value: str, rounds: in
     return chosen
 
 
-def blend_fitness(df: DataFrame, by: str, value: str, spread: float = 0.1, **how) -> Callable[[list[dict[str, float]]], list[float]]:
+def blend_fitness(df: DataFrame, by: str, value: str, spread: float = 0.1, known: dict[tuple[str, str], str] | None = None, **how) -> Callable[[list[dict[str, float]]], list[float]]:
     """A function of some sets of weights: the mean correlation of each blend over cohorts less a share of its deviation, all from one job."""
 
     def fitness(drawn: list[dict[str, float]]) -> list[float]:
         blends = {f"w{i}": "blend(" + ",".join(f"{c}:{v:.6f}" for c, v in w.items() if v > 0) + ")" for i, w in enumerate(drawn)}
-        got = rhos(df, blends, by, value, **how).groupBy("rule").agg(F.avg("rho").alias("m"), F.stddev_pop("rho").alias("s")).collect()
+        got = rhos(df, blends, by, value, known, **how).groupBy("rule").agg(F.avg("rho").alias("m"), F.stddev_pop("rho").alias("s")).collect()
         judged = {r["rule"]: r["m"] - spread * r["s"] for r in got if r["m"] is not None}
         return [judged.get(f"w{i}", float("-inf")) for i in range(len(drawn))]
 
@@ -279,7 +305,8 @@ def tuned_blend(df: DataFrame, configs: list[str], by: str, value: str, trials:
     cohorts = sorted(r[by] for r in df.select(by).distinct().collect())
     if len(configs) < 2 or len(cohorts) < 4:
         return None
-    weights, _ = parzen_weights(blend_fitness(df.filter(F.col(by) < cohorts[-2]), by, value, **how), configs, trials, seed)
+    rows, known = prepared(df.filter(F.col(by) < cohorts[-2]), configs, by, value, **how)
+    weights, _ = parzen_weights(blend_fitness(rows, by, value, known=known, **how), configs, trials, seed)
     return "blend(" + ",".join(f"{c}:{w:.6f}" for c, w in weights.items() if w > 0) + ")"
 
 
@@ -347,10 +374,14 @@ def exhaustive(df: DataFrame, configs: list[str], by: str, value: str, covers: C
     """
     rules: dict[str, str] = {}
     found: dict[str, dict] = {}
+    given = df
+    df, known = prepared(df, configs, by, value, **how)
 
     def judge(more: dict[str, str]) -> None:
+        if not more:
+            return
         names = {f"r{len(rules) + i}": n for i, n in enumerate(more)}
-        for r in rhos(df, {k: more[n] for k, n in names.items()}, by, value, **how).collect():
+        for r in rhos(df, {k: more[n] for k, n in names.items()}, by, value, known, **how).collect():
             if r["rho"] is not None:
                 found.setdefault(names[r["rule"]], {})[r[by]] = r["rho"]
         rules.update(more)
@@ -361,9 +392,9 @@ def exhaustive(df: DataFrame, configs: list[str], by: str, value: str, covers: C
     order = [n.removeprefix("one ") for n in best([f"one {c}" for c in configs])]
     pure = pure_rules(configs, order, covers)
     if len(configs) > 1:
-        chosen = greedy(df, configs, by, value)
+        chosen = greedy(df, configs, by, value, known=known)
         pure["greedy"] = "blend(" + ",".join(f"{c}:{chosen.count(c)}" for c in dict.fromkeys(chosen)) + ")"
-    if trials and (tuned := tuned_blend(df, configs, by, value, trials, **how)):
+    if trials and (tuned := tuned_blend(given, configs, by, value, trials, **how)):
         pure["tuned"] = tuned
     judge({n: r for n, r in pure.items() if n not in rules})
     judge({k: v for n in best(list(rules))[:3] for k, v in overlays(n, rules[n], covers).items()} | ({"board alone": f"consensus({configs[0]},{covers.board},1.0)"} if covers.board else {}))

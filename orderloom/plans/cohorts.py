@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orderloom.functions.nulls import corr, row_median
 from orderloom.functions.numbers import shrink
 from orderloom.operators import labels, metrics, rules, sampling, stats, windows
+from orderloom.operators.lineage import kept
 from orderloom.operators.pit import best_periods, first_periods
 from orderloom.plans.base import MEMBERS, Book, member_values, pct_sql, rank_sql, rounded
 from orderloom.sources.readers import table
@@ -272,7 +273,7 @@ def rule_sweep(spark, d):
     """Q15: some 150 rules, their ranks by range or window, in one job."""
     made = _sweep_rules()
     names = {f"r{i}": n for i, n in enumerate(made)}
-    got = rules.sweep(_sweep_table(spark, d), {k: made[n] for k, n in names.items()}, "cohort", "value")
+    got = rules.sweep(kept(_sweep_table(spark, d)), {k: made[n] for k, n in names.items()}, "cohort", "value")
     return rounded(got.replace(names, subset=["rule"]))
 
 

@@ -29,3 +29,27 @@ def test_ranges_compute_a_table_once(spark):
     out = windows.ranked(df, ["g"], {"a": "v", "b": -F.col("v")}, counts=True, most_bytes=0, parts=16).collect()
     assert seen.value == 1000
     assert all(r["a"] + r["b"] == r["a_n"] + 1 for r in out)
+
+
+def test_packed_rank_correlations_by_windows(spark):
+    from orderloom.functions.nulls import corr
+    from orderloom.operators.ranks import rank_correlations
+
+    h = lambda i: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(97)).cast("double")
+    df = spark.range(0, 3000, 1, 5).select(F.when(F.col("id") % 10 < 7, 1).when(F.col("id") % 10 == 7, 2).alias("g"), "id", F.when(h(0) > 5, h(0) / 7).alias("v"), F.array(h(1), F.when(h(2) > 20, -h(2) + h(0) / 3), F.lit(None).cast("double"), F.lit(4.0), -h(0)).alias("s"))
+    df = windows.ranked(df, ["g"], {"_v": "v"})
+    long = windows.ranked(df.select("g", "_v", F.posexplode("s").alias("_rule", "x")), ["g", "_rule"], {"_s": "x"})
+    want = {(r["g"], r["_rule"]): r["rho"] for r in long.groupBy("g", "_rule").agg(corr("_s", "_v").alias("rho")).collect()}
+    for rows in (1 << 20, 100):
+        got = {(r["g"], r["_rule"]): r["rho"] for r in rank_correlations(df, "g", "_v", "s", 5, part_rows=rows).collect()}
+        assert got.keys() == want.keys() and len(want) == 15
+        assert all(got[c] == want[c] or abs(got[c] - want[c]) < 1e-9 for c in want)
+
+
+def test_a_sweep_makes_no_row_of_a_score(spark):
+    from orderloom.operators import rules
+
+    df = spark.range(200).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("a"), (-F.col("id")).cast("double").alias("b"), (F.col("id") * 7 % 11).alias("v"))
+    out = rules.sweep(df, {"x": "rank(a)", "y": "median(a,b)", "z": "blend(rank(a),b)"}, "g", "v")
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert out.count() == 3
