@@ -53,3 +53,7 @@ def test_a_sweep_makes_no_row_of_a_score(spark):
     out = rules.sweep(df, {"x": "rank(a)", "y": "median(a,b)", "z": "blend(rank(a),b)"}, "g", "v")
     assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
     assert out.count() == 3
+
+
+def test_audited_sources_are_not_sent_whole(spark, sf_dir):
+    assert "BroadcastHashJoin [p_partkey" not in QUERIES["collision_audit"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
