@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.nulls import corr, col, sdiv
-from orderloom.operators.lineage import cut, ship
+from orderloom.operators.lineage import cut, cut_by, kept, ship
 from orderloom.operators.windows import ranked
 
 
@@ -101,22 +103,71 @@ def global_rank(df: DataFrame, x: str, parts: int = 64) -> DataFrame:
     return counts.join(F.broadcast(below), "_r").select(x, (F.col("_o") + own - (F.col("_n") - 1) / 2.0).alias("rank"))
 
 
+#: Pairs of sides that a block of ``_blocks`` should hold.
+BLOCK_PAIRS = 250_000
+
+
+def _blocks(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """(j, ua, ub, ia, ib, n) and the number of dealings: the matrix of (a, b, n), a row for each ordered pair, in packed blocks.
+
+    Sides are dealt by a hash, so a block holds the pairs of a deal of a and the deal ``j`` of b: its
+    sides and, as bytes, their places and counts. Blocks stay in parts by ``j``, so that a round
+    sends a number for each side to them and pairs are never sent again.
+    """
+    ship(pairs.sparkSession)
+    k = max(1, math.ceil(math.sqrt(pairs.count() / BLOCK_PAIRS)))
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def pack(t: pa.Table) -> pa.Table:
+        out = {"j": t["j"][:1]}
+        for c in "ab":
+            known, at = np.unique(t[c].to_numpy(), return_inverse=True)
+            out |= {f"u{c}": pa.array([known.tolist()], pa.list_(t[c].type)), f"i{c}": pa.array([at.astype(np.int32).tobytes()], pa.binary())}
+        return pa.table(out | {"n": pa.array([t["n"].to_numpy().astype(np.float64).tobytes()], pa.binary())}).select(["j", "ua", "ub", "ia", "ib", "n"])
+
+    dealt = pairs.select(_deal("a", k).alias("i"), _deal("b", k).alias("j"), "a", "b", "n")
+    packed = dealt.groupBy("i", "j").applyInArrow(pack, f"j int, ua array<{kind}>, ub array<{kind}>, ia binary, ib binary, n binary")
+    return cut_by(packed, "j", k), k
+
+
+def _deal(c: str, k: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+
+
+def _of_opponents(blocks: tuple[DataFrame, int], x: DataFrame) -> DataFrame:
+    """(a, _np): the sum of the numbers (a, p) of a side's opponents, each as often as they met."""
+    rows, k = blocks
+    kind = x.schema["a"].dataType.simpleString()
+    sent = x.groupBy(_deal("a", k).alias("j")).agg(F.array_sort(F.collect_list(F.struct("a", "p"))).alias("s")).select("j", F.col("s.a").alias("sa"), F.col("s.p").alias("sp"))
+
+    def multiply(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ua, ub, sa, sp = (batch.column(c)[r].values for c in ("ua", "ub", "sa", "sp"))
+                ia, ib, n = (np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in (("ia", np.int32), ("ib", np.int32), ("n", np.float64)))
+                known, own = sa.to_numpy(zero_copy_only=False), ub.to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                p = np.where(known[at] == own, sp.to_numpy(zero_copy_only=False)[at], 0.0)
+                yield pa.RecordBatch.from_arrays([ua, pa.array(np.bincount(ia, n * p[ib], len(ua)))], ["a", "_np"])
+
+    return rows.join(sent, "j").select("ua", "ub", "ia", "ib", "n", "sa", "sp").mapInArrow(multiply, f"a {kind}, _np double").groupBy("a").agg(F.sum("_np").alias("_np"))
+
+
 def iterated_ratings(games: DataFrame, a: str, b: str, margin: str, rounds: int = 50, every: int = 10) -> DataFrame:
     """(a, r): a side's mean margin plus its opponents' ratings, over rounds; the mean is zero after each.
 
-    Pairs are counted once, so a round is one join of ratings and one aggregate; the lineage is cut
-    every few rounds.
+    Games with a side missing do not count. Pairs are counted once and held in packed blocks, see
+    ``_blocks``.
     """
-    mine = games.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(margin).alias("m"))
-    both = mine.unionByName(mine.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("m")).alias("m")))
-    pairs = cut(both.groupBy("a", "b").agg(F.sum("m").alias("m"), F.count("*").alias("n")))
-    r = pairs.select("a").distinct().withColumn("r", F.lit(0.0))
+    g = games.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(margin).alias("m")).filter("a is not null and b is not null")
+    pairs = kept(g.groupBy("a", "b").agg(F.sum("m").alias("m"), F.count("*").alias("n")))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("m")).alias("m"), "n"))
+    blocks, sides = _blocks(both), cut(both.groupBy("a").agg(F.sum("m").alias("m"), F.sum("n").alias("n")))
+    r = sides.select("a", F.lit(0.0).alias("r"))
     for i in range(1, rounds + 1):
-        opponent = r.select(F.col("a").alias("b"), "r")
-        r = pairs.join(opponent, "b").groupBy("a").agg((F.sum(F.col("m") + F.col("n") * F.col("r")) / F.sum("n")).alias("r"))
+        r = cut(sides.join(_of_opponents(blocks, r.select("a", F.col("r").alias("p"))), "a").select("a", ((F.col("m") + F.col("_np")) / F.col("n")).alias("r")))
         if i % every == 0 or i == rounds:
-            # every side has a game, so taking a constant off all ratings takes the same off the next round's: the mean may go when the lineage is cut
-            r = cut(r)
+            # every side has a game, so taking a constant off all ratings takes the same off the next round's: the mean may go every few rounds
             r = r.withColumn("r", F.col("r") - F.lit(r.agg(F.avg("r")).first()[0]))
     return r
 
@@ -174,27 +225,27 @@ def wls_fit(df: DataFrame, by: list[str], y: str, xs: list[str], weight: str | N
 def ridge_ratings(games: DataFrame, home: str, away: str, margin: str, neutral: str, ridge: float = 1.0, least_games: int = 10, rounds: int = 200, tolerance: float = 1e-10) -> DataFrame:
     """(team, r, games): ratings of margin = r_home - r_away + advantage by ridge least squares, with mean 0.
 
-    The normal equations are solved by conjugate gradients: a step multiplies by counts of pairs, a
-    join and an aggregate, whatever the number of teams; the home advantage is one number beside.
+    The normal equations are solved by conjugate gradients: a step multiplies by counts of pairs,
+    which are held in packed blocks (see ``_blocks``), whatever the number of teams; the home
+    advantage is one number beside. Games with a side missing do not count.
     Teams with fewer games than ``least_games`` are left out at the end.
     """
-    g = games.filter(F.col(margin).isNotNull()).select(F.col(home).alias("a"), F.col(away).alias("b"), F.col(margin).cast("double").alias("m"), F.when(F.coalesce(F.col(neutral), F.lit(False)), 0.0).otherwise(1.0).alias("h"))
-    both = g.select("a", "b", "m", "h").unionByName(g.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("m")).alias("m"), (-F.col("h")).alias("h")))
-    pairs = cut(both.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("m").alias("m"), F.sum("h").alias("h")))
-    team = cut(pairs.groupBy("a").agg(F.sum("n").alias("games"), F.sum("m").alias("s"), F.sum("h").alias("h")))
-    advantage = g.agg(F.sum(F.col("h") * F.col("m")).alias("s"), F.sum("h").alias("n")).first()
+    g = games.filter(F.col(margin).isNotNull()).select(F.col(home).alias("a"), F.col(away).alias("b"), F.col(margin).cast("double").alias("m"), F.when(F.coalesce(F.col(neutral), F.lit(False)), 0.0).otherwise(1.0).alias("h")).filter("a is not null and b is not null")
+    pairs = kept(g.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("m").alias("m"), F.sum("h").alias("h"), F.sum(F.col("h") * F.col("m")).alias("hm")))
+    advantage = pairs.agg(F.sum("hm").alias("s"), F.sum("h").alias("n")).first()
+    both = pairs.select("a", "b", "n", "m", "h").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n", (-F.col("m")).alias("m"), (-F.col("h")).alias("h")))
+    blocks, team = _blocks(both), cut(both.groupBy("a").agg(F.sum("n").alias("games"), F.sum("m").alias("s"), F.sum("h").alias("h")))
     # unknowns: a rating for each team (columns r, g, p) and the advantage (numbers); A is symmetric and positive
     state = team.select("a", "games", "h", F.lit(0.0).alias("r"), F.col("s").alias("g"), F.col("s").alias("p"))
     r0, g0 = 0.0, advantage["s"] or 0.0
     p0, weight0 = g0, (advantage["n"] or 0.0) + ridge
     size = (state.agg(F.sum(F.col("g") * F.col("g"))).first()[0] or 0.0) + g0 * g0
     start = size
-    for i in range(rounds):
+    for _ in range(rounds):
         if size <= tolerance * tolerance * max(start, 1e-300):
             break
-        near = pairs.join(state.select(F.col("a").alias("b"), F.col("p").alias("_p")), "b").groupBy("a").agg(F.sum(F.col("n") * F.col("_p")).alias("_np"))
-        state = state.join(near, "a").withColumn("q", (F.col("games") + ridge) * F.col("p") - F.col("_np") + F.col("h") * p0).drop("_np")
-        state = cut(state) if i % 4 == 3 else state
+        # a round is computed once: the sums after it read what was kept
+        state = cut(state.join(_of_opponents(blocks, state.select("a", "p")), "a").withColumn("q", (F.col("games") + ridge) * F.col("p") - F.col("_np") + F.col("h") * p0).drop("_np"))
         got = state.agg(F.sum(F.col("p") * F.col("q")).alias("pq"), F.sum(F.col("h") * F.col("p")).alias("hp")).first()
         q0 = got["hp"] + weight0 * p0
         step = size / (got["pq"] + p0 * q0)
@@ -203,9 +254,9 @@ def ridge_ratings(games: DataFrame, home: str, away: str, margin: str, neutral:
         then = state.agg(F.sum(F.col("g") * F.col("g"))).first()[0] + g0 * g0
         state = state.withColumn("p", F.col("g") + (then / size) * F.col("p"))
         p0, size = g0 + then / size * p0, then
-    kept = state.filter(F.col("games") >= least_games)
-    middle = kept.agg(F.avg("r")).first()[0] or 0.0
-    return kept.select(F.col("a").alias("team"), (F.col("r") - middle).alias("r"), "games")
+    last = state.filter(F.col("games") >= least_games)
+    middle = last.agg(F.avg("r")).first()[0] or 0.0
+    return last.select(F.col("a").alias("team"), (F.col("r") - middle).alias("r"), "games")
 
 
 def by_group(df: DataFrame, by: list[str], work, schema: str) -> DataFrame:

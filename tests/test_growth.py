@@ -57,3 +57,34 @@ def test_a_sweep_makes_no_row_of_a_score(spark):
 
 def test_audited_sources_are_not_sent_whole(spark, sf_dir):
     assert "BroadcastHashJoin [p_partkey" not in QUERIES["collision_audit"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def _ring(spark):
+    return spark.range(400).select((F.col("id") % 40).alias("a"), ((F.col("id") * 7 + F.col("id") % 3 + 1) % 40).alias("b"), (F.col("id") % 13 - 6.0).alias("m"), (F.col("id") % 4 == 0).alias("n")).filter("a <> b")
+
+
+@pytest.mark.parametrize("name", ["ridge_ratings", "iterated_ratings"])
+def test_ratings_send_no_pairs_in_a_round(spark, monkeypatch, name):
+    """Pairs are packed once, in several blocks; what a round joins to them leaves them where they lie."""
+    from orderloom.operators import stats
+
+    plans, many = [], stats._of_opponents
+
+    def watched(blocks, x):
+        out = many(blocks, x)
+        plans.append((blocks[1], out._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    args = ("a", "b", "m", "n") if name == "ridge_ratings" else ("a", "b", "m", 5)
+    want = {r[0]: r["r"] for r in getattr(stats, name)(_ring(spark), *args).collect()}
+    monkeypatch.setattr(stats, "BLOCK_PAIRS", 50)
+    monkeypatch.setattr(stats, "_of_opponents", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r[0]: r["r"] for r in getattr(stats, name)(_ring(spark), *args).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-8 for t in want)
+    lines = [(k, p.splitlines()) for k, p in plans]
+    at = [(k, p, i) for k, p in lines for i, x in enumerate(p) if "Scan ExistingRDD[j#" in x]
+    assert len(at) == len(plans) > 0 and all(k > 1 and not any("Exchange" in x for x in p[i - 3 : i]) for k, p, i in at)
