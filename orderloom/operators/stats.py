@@ -127,7 +127,8 @@ def _blocks(pairs: DataFrame) -> tuple[DataFrame, int]:
 
     dealt = pairs.select(_deal("a", k).alias("i"), _deal("b", k).alias("j"), "a", "b", "n")
     packed = dealt.groupBy("i", "j").applyInArrow(pack, f"j int, ua array<{kind}>, ub array<{kind}>, ia binary, ib binary, n binary")
-    return cut_by(packed, "j", k), k
+    # no fewer parts than a shuffle has, or a join would send the blocks to the other side's parts
+    return cut_by(packed, "j", max(k, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))), k
 
 
 def _deal(c: str, k: int) -> Column:
