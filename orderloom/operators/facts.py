@@ -53,20 +53,23 @@ def player_game(box: DataFrame, team_box: DataFrame, schedule: DataFrame) -> Dat
     """One row per player and game with rates, possessions, side and the margin.
 
     box: season, game_id, athlete_id, team_id, opp_team_id, side ("home" or other), dnp, minutes,
-    team_score, opp_score and COUNTS. team_box: game_id, team_id, fga, oreb, tov, fta. schedule:
-    game_id, neutral. Rows that repeat a player in a game must not be there.
+    team_score, opp_score and COUNTS. team_box: game_id, team_id, fga, oreb, tov, fta, a row for each
+    team of a game. schedule: game_id, neutral. Rows that repeat a player in a game must not be there.
     """
     n = {c: F.col(c).cast("double") for c in COUNTS}
     played = ~F.coalesce("dnp", F.lit(False)) & F.coalesce(F.col("minutes") > 0, F.lit(False))
     team = Window.partitionBy("game_id", "team_id")
-    rows = box.withColumns({**n, "played": played})
+    rows = box.withColumns({**n, "played": played}).withColumn("gs", game_score({k: F.col(k) for k in COUNTS}))
+    rows = rows.withColumn("gs36", F.when(F.col("played"), F.col("gs") / F.col("minutes") * 36))
+    level = rows.filter("played and minutes >= 1").groupBy("season").agg(wmean("gs36", "minutes").alias("_level"))  # one row a season, from the box alone
     sums = {f"tm_{c}": F.sum(F.when(F.col("played"), F.col(c))).over(team) for c in TEAM_SUMS}
     rows = rows.withColumns(sums)
     low, high = PLAUSIBLE_MINUTES
     rows = rows.withColumn("tm_min", F.when(F.col("tm_minutes").between(low, high), F.col("tm_minutes")).otherwise(GAME_MINUTES))
     poss = team_box.select("game_id", "team_id", possessions(F.col("fga"), F.col("oreb"), F.col("tov"), F.col("fta")).alias("poss"))
-    rows = rows.join(poss.withColumnRenamed("poss", "_own"), ["game_id", "team_id"], "left")
-    rows = rows.join(poss.select("game_id", F.col("team_id").alias("opp_team_id"), F.col("poss").alias("_opp")), ["game_id", "opp_team_id"], "left")
+    # both sides come by one join on the game, so that wide rows are sent once and not by each key in turn
+    sides = poss.filter("team_id is not null").groupBy("game_id").agg(F.map_from_entries(F.collect_list(F.struct("team_id", "poss"))).alias("_sides"))
+    rows = rows.join(sides, "game_id", "left").withColumns({"_own": F.try_element_at("_sides", "team_id"), "_opp": F.try_element_at("_sides", "opp_team_id")}).drop("_sides")
     rows = rows.join(schedule.select("game_id", "neutral"), "game_id", "left")
     c = {k: F.col(k) for k in COUNTS}
     load = c["fga"] + 0.44 * c["fta"] + c["tov"]
@@ -77,11 +80,9 @@ def player_game(box: DataFrame, team_box: DataFrame, schedule: DataFrame) -> Dat
         "home": F.when(F.coalesce("neutral", F.lit(False)), 0).when(F.col("side") == "home", 1).otherwise(-1),
         "ts": true_shooting(c["pts"], c["fga"], c["fta"]), "efg": effective_goals(c["fgm"], c["tpm"], c["fga"]), "poss_share": F.when(team_load > 0, load / team_load),
         "usg": usage(load, team_load, minutes, F.col("tm_min")), "ast_pct": assist_share(c["ast"], c["fgm"], F.col("tm_fgm"), minutes, F.col("tm_min")),
-        "tov_pct": F.when(load > 0, 100 * c["tov"] / load), "gs": game_score(c), "margin": (F.col("team_score") - F.col("opp_score")).cast("double"),
+        "tov_pct": F.when(load > 0, 100 * c["tov"] / load), "margin": (F.col("team_score") - F.col("opp_score")).cast("double"),
     })
-    rows = rows.withColumn("gs36", F.when(F.col("played"), F.col("gs") / F.col("minutes") * 36))
-    level = rows.filter("played and minutes >= 1").groupBy("season").agg(wmean("gs36", "minutes").alias("_level"))  # one row a season
-    rows = rows.join(level, "season", "left").withColumn("gbpm", F.col("gs36") - F.col("_level"))
+    rows = rows.join(F.broadcast(level), "season", "left").withColumn("gbpm", F.col("gs36") - F.col("_level"))
     return rows.drop("_own", "_opp", "_level", "neutral")
 
 

@@ -75,16 +75,27 @@ def test_ratings_send_no_pairs_in_a_round(spark, monkeypatch, name):
         plans.append((blocks[1], out._jdf.queryExecution().executedPlan().toString()))
         return out
 
-    args = ("a", "b", "m", "n") if name == "ridge_ratings" else ("a", "b", "m", 5)
-    want = {r[0]: r["r"] for r in getattr(stats, name)(_ring(spark), *args).collect()}
+    args = ("a", "b", "m", "n") if name == "ridge_ratings" else ("a", "b", "m")
+    want = {r[0]: r["r"] for r in getattr(stats, name)(_ring(spark), *args, rounds=3).collect()}
     monkeypatch.setattr(stats, "BLOCK_PAIRS", 50)
     monkeypatch.setattr(stats, "_of_opponents", watched)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        got = {r[0]: r["r"] for r in getattr(stats, name)(_ring(spark), *args).collect()}
+        got = {r[0]: r["r"] for r in getattr(stats, name)(_ring(spark), *args, rounds=3).collect()}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-8 for t in want)
     lines = [(k, p.splitlines()) for k, p in plans]
     at = [(k, p, i) for k, p in lines for i, x in enumerate(p) if "Scan ExistingRDD[j#" in x]
     assert len(at) == len(plans) > 0 and all(k > 1 and not any("Exchange" in x for x in p[i - 3 : i]) for k, p, i in at)
+
+
+def test_games_are_sent_once(spark, sf_dir):
+    """Box lines of a game meet by the game alone: lines are sent for the rows and (the same way) for the seasons' levels, teams and sides beside."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["player_game"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "opp_team_id" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+    assert "team_id" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
