@@ -17,6 +17,7 @@ again (a read is idempotent), and nothing is given out twice: Spark commits an o
 
 from __future__ import annotations
 
+import bisect
 import json
 import sys
 import time
@@ -35,40 +36,50 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers that plan
 TRIES = 5
 
 
+#: Pages of a file, and tasks of a read above which a task takes more pages.
+FILE_PAGES = 16
+MOST_TASKS = 64
+
+
 class FolderStore:
-    """Pages that ``publish`` wrote: ``page=N`` folders of JSON lines, the last one may be short."""
+    """Pages that ``publish`` wrote: ``pages=N`` folders of JSON lines with FILE_PAGES pages each; the last one may be short, and have files of several writes."""
 
     def __init__(self, url: str, page: int):
         from pyarrow import fs
 
-        self.page = page
+        self.page, self.size = page, page * FILE_PAGES
         self.fs, self.path = fs.FileSystem.from_uri(url) if urlparse(url).scheme else (fs.LocalFileSystem(), url)
+        self.held: tuple[int, list[dict]] = (-1, [])
 
-    def _pages(self) -> list[int]:
+    def _folders(self) -> list[int]:
         from pyarrow import fs
 
         found = self.fs.get_file_info(fs.FileSelector(self.path, allow_not_found=True))
-        return sorted(int(f.base_name.removeprefix("page=")) for f in found if f.base_name.startswith("page="))
+        return sorted(int(f.base_name.removeprefix("pages=")) for f in found if f.base_name.startswith("pages="))
 
     def _read(self, number: int) -> list[dict]:
         from pyarrow import fs
 
         out: list[dict] = []
-        for f in sorted(self.fs.get_file_info(fs.FileSelector(f"{self.path}/page={number}")), key=lambda f: f.path):
+        for f in self.fs.get_file_info(fs.FileSelector(f"{self.path}/pages={number}")):
             if not f.base_name.startswith(("_", ".")):
                 with self.fs.open_input_file(f.path) as x:
-                    out += [json.loads(line) for line in x.read().decode().splitlines() if line]
+                    out += [json.loads(line) for line in x.read().decode().split("\n") if line]
         return sorted(out, key=lambda r: r["_at"])
 
     def count(self) -> int:
-        pages = self._pages()
-        whole = next((i for i, n in enumerate(pages) if i != n), len(pages))  # pages behind a gap have not landed yet
-        return 0 if not whole else (whole - 1) * self.page + len(self._read(whole - 1))
+        folders = self._folders()
+        whole = next((i for i, n in enumerate(folders) if i != n), len(folders))  # folders behind a gap have not landed yet
+        return 0 if not whole else (whole - 1) * self.size + len(self._read(whole - 1))
 
     def rows(self, start: int, stop: int) -> list[dict]:
         out: list[dict] = []
-        for n in range(start // self.page, -(-stop // self.page)):
-            out += [r for r in self._read(n) if start <= r["_at"] < stop]
+        for n in range(start // self.size, -(-stop // self.size)):
+            if self.held[0] != n:
+                self.held = (n, self._read(n))  # a task asks for its pages in order, so a file is read once
+            have = self.held[1]
+            low, high = (bisect.bisect_left(have, at, key=lambda r: r["_at"]) for at in (start, stop))
+            out += have[low:high]
         return out
 
 
@@ -113,8 +124,10 @@ class _Reading:
         self.page, self.each = int(options.get("page", 1000)), int(options.get("pages", 16))
 
     def spans(self, start: int, stop: int) -> list[Span]:
-        """Ranges of whole pages (but for the ends), so many pages to a task."""
-        size, out = self.page * self.each, []
+        """Ranges of whole pages (but for the ends), so many pages to a task, or more of them where there would be over MOST_TASKS tasks."""
+        more = -(-(stop - start) // (self.page * self.each * MOST_TASKS))
+        pages = self.each if more <= 1 else -(-self.each * more // FILE_PAGES) * FILE_PAGES  # whole files, so that each is read by one task
+        size, out = self.page * pages, []
         while start < stop:
             end = min(stop, (start // size + 1) * size)
             out.append(Span(start, end))
@@ -154,7 +167,7 @@ class PagedStreamReader(_Reading, DataSourceStreamReader):
 
 
 class Paged(DataSource):
-    """Options: url, order (HTTP), page (rows of a page), pages (of a task)."""
+    """Options: url, order (HTTP), page (rows of a page), pages (of a task, at least)."""
 
     @classmethod
     def name(cls) -> str:
@@ -191,5 +204,5 @@ def publish(df: DataFrame, folder: str, order: list[str], *, page: int = 1000, f
     if first % page:
         raise ValueError("the rows before must fill their pages")
     rows = placed(df, order, first).withColumnRenamed("at", "_at")
-    text = rows.select(F.expr(f"_at div {page}").alias("page"), F.to_json(F.struct(*rows.columns)).alias("value"))
-    text.repartition("page").write.mode("append").partitionBy("page").text(folder)
+    text = rows.select(F.expr(f"_at div {page * FILE_PAGES}").alias("pages"), F.to_json(F.struct(*rows.columns)).alias("value"))
+    text.repartition("pages").write.mode("append").partitionBy("pages").text(folder)

@@ -124,3 +124,17 @@ def test_streamed_histories_are_those_of_windows(spark):
     want = histories.batch(e, last=3).filter(F.col("ts") <= F.lit(passed) - F.expr("interval 6 hours"))
     told = lambda d: sorted(tuple((x is not None, round(x, 9) if isinstance(x, float) else x) for x in r) for r in d.select(*histories.COLUMNS).collect())
     assert told(got) == told(want) and got.count() > 150
+
+
+def test_files_and_tasks_do_not_grow_with_pages(spark, monkeypatch):
+    folder = landing(spark, "pages")
+    df = spark.range(1000).select(F.col("id").alias("k"), F.concat(F.lit("n "), "id").alias("name"), (F.col("id") / 4).alias("x"))
+    paged.publish(df.filter("k < 700"), folder, ["k"], page=5)
+    paged.publish(df.filter("k >= 700"), folder, ["k"], page=5, first=700)
+    store = paged.FolderStore(folder, 5)
+    assert store.count() == 1000 and len(store._folders()) == 13  # of 200 pages
+    reading = paged.PagedReader(df.schema, {"url": folder, "page": "5", "pages": "2"})
+    monkeypatch.setattr(paged, "MOST_TASKS", 7)
+    spans = reading.partitions()
+    assert len(spans) <= 7 and [p.start for p in spans[1:]] == [p.stop for p in spans[:-1]] and all(p.start % 5 == 0 for p in spans)
+    assert [r for p in spans for r in reading.read(p)] == [(i, f"n {i}", i / 4) for i in range(1000)]
