@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orderloom.functions.nulls import corr, col, sdiv
 from orderloom.operators.lineage import cut, cut_by, kept, ship
-from orderloom.operators.windows import ranked
+from orderloom.operators.windows import cuts_of, looked_up, ranked, with_below
 
 
 def wmean(x: Column | str, w: Column | str) -> Column:
@@ -80,11 +80,37 @@ def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(rows.alias("r")).select("r.*")
 
 
+#: Ranges that a column's values are dealt to in ``screen``.
+SCREEN_RANGES = 64
+
+
 def screen(df: DataFrame, columns: list[str], target: str, by: str) -> DataFrame:
-    """(column, n, rho): rank correlations with a target within cohorts, weighted by their sizes."""
-    long = df.select(by, target, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))).alias("e")).select(by, target, "e.column", "e.v")
-    each = spearman(long, "v", target, ["column", by]).filter(F.col("rho").isNotNull())
-    return each.groupBy("column").agg(F.sum("n").alias("n"), sdiv(F.sum(F.col("n") * F.col("rho")), F.sum("n")).alias("rho"))
+    """(column, n, rho): rank correlations with a target (a number) within cohorts, weighted by their sizes.
+
+    Each column counts the rows where it and the target are present. Values are counted before they
+    are sent, and ranks belong to distinct values: those of the columns are looked up by the rows, which
+    then are added up for each value of the target, so no task holds a cohort or all rows of a value.
+    df is read five times.
+    """
+    each = range(len(columns))
+    rows = df.select(F.col(by).alias("g"), F.col(target).alias("t"), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns))).filter("t is not null")
+    # ranks less their mean, which are multiples of a half
+    rank = lambda n: F.col(f"{n}_below") + (F.col(n) - F.col(f"{n}_all")) / 2.0
+    long = rows.select("g", F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("x")) for i in each)))).filter("x is not null")
+    counts = kept(long.groupBy("g", "i", "x").agg(F.count("*").alias("n")))
+    ranks = kept(with_below(counts, ["g", "i"], "x", ["n"], cuts_of(counts, "x", SCREEN_RANGES)).select("g", "i", "x", rank("n").alias("r"), "n"))
+    spreads = cut(ranks.groupBy("g", "i").agg(F.sum(F.col("n") * F.col("r") * F.col("r")).alias("xx")))
+    met = rows
+    for i in each:
+        met = looked_up(met, ranks.filter(F.col("i") == i).select("g", F.col("x").alias(f"c{i}"), F.col("r").alias(f"r{i}")), ["g", f"c{i}"])
+    told = met.groupBy("g", "t").agg(*(v for i in each for v in (F.count(f"r{i}").alias(f"n{i}"), F.coalesce(F.sum(f"r{i}"), F.lit(0.0)).alias(f"x{i}"))))
+    sizes = rows.select("g", "t", *(F.col(f"c{i}").isNotNull().cast("long").alias(f"n{i}") for i in each))
+    placed = with_below(told, ["g"], "t", [f"n{i}" for i in each], cuts_of(rows.select("t"), "t", SCREEN_RANGES), sizes)
+    sums = placed.groupBy("g").agg(*(F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), F.sum(f"n{i}").alias("n"), F.sum(F.col(f"x{i}") * rank(f"n{i}")).alias("xy"), F.sum(F.col(f"n{i}") * rank(f"n{i}") * rank(f"n{i}")).alias("yy")).alias(f"s{i}") for i, c in enumerate(columns)))
+    both = looked_up(sums.select("g", F.inline(F.array(*(f"s{i}" for i in each)))), spreads, ["g", "i"])
+    rho = F.try_divide(F.col("xy"), F.nullif(F.sqrt("xx") * F.sqrt("yy"), F.lit(0.0)))
+    known = both.withColumn("rho", rho).filter("rho is not null")
+    return known.groupBy("column").agg(F.sum("n").alias("n"), sdiv(F.sum(F.col("n") * F.col("rho")), F.sum("n")).alias("rho"))
 
 
 def global_rank(df: DataFrame, x: str, parts: int = 64) -> DataFrame:

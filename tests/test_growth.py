@@ -99,3 +99,36 @@ def test_games_are_sent_once(spark, sf_dir):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "opp_team_id" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
     assert "team_id" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+
+
+def test_a_screen_splits_cohorts_and_values(spark, monkeypatch):
+    """Ranks of a screen are those of windows, and no window runs over a cohort or over all rows of a value."""
+    from orderloom.functions.nulls import corr
+    from orderloom.operators import stats
+
+    h = lambda i, m: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(m)).cast("double")
+    df = spark.range(0, 1500, 1, 2).select(
+        F.when(F.col("id") % 10 < 6, "a").when(F.col("id") % 10 < 9, "b").when(F.col("id") % 50 == 9, "c").alias("g"), F.when(h(0, 9) > 0, h(1, 700)).alias("t"), F.when(h(2, 3) > 0, h(3, 5)).alias("u"), (h(1, 700) + h(4, 900)).alias("v"), F.lit(1.0).alias("w")
+    )
+    want = {}
+    for c in "uvw":
+        rows = windows.ranked(df.filter(F.col(c).isNotNull() & F.col("t").isNotNull()), ["g"], {"x": c, "y": "t"}).groupBy("g").agg(F.count("*").alias("n"), corr("x", "y").alias("rho")).filter("rho is not null")
+        n, s = rows.agg(F.sum("n"), F.sum(F.col("n") * F.col("rho"))).first()
+        if n:
+            want[c] = (n, s / n)
+    seen, dealt = [], windows.with_below
+
+    def watched(counts, *args):
+        out = dealt(counts, *args)
+        at = out._jdf.queryExecution().optimizedPlan().toString()
+        seen.append([x for x in at.splitlines() if "Window [" in x and "__p" not in x])
+        return out
+
+    for most in (windows.MOST_SENT, 0):
+        monkeypatch.setattr(windows, "MOST_SENT", most)
+        monkeypatch.setattr(stats, "with_below", watched)
+        monkeypatch.setattr(stats, "SCREEN_RANGES", 7)
+        got = {r["column"]: (r["n"], r["rho"]) for r in stats.screen(df, ["u", "v", "w"], "t", "g").collect()}
+        assert got.keys() == want.keys() == {"u", "v"}
+        assert all(got[c][0] == want[c][0] and abs(got[c][1] - want[c][1]) < 1e-9 for c in want)
+    assert len(seen) == 4 and not any(seen)
