@@ -25,14 +25,14 @@ def stream_histories(spark, d):
     """R-5, R-6: the ten before, means so far and rematches of each event, kept as state over two landings and a restart."""
     histories.keeps_state(spark)
     e = table(spark, d, "events", ["event_id", "user_id", "event_type", "ts", "value"]).select(F.col("event_id").alias("id"), F.col("user_id").alias("entity"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    low, high = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    low, high, n = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts")), F.count("*")).first()
     hours = (F.pmod(F.xxhash64("id"), F.lit(12)) * 3_600_000_000).cast("long")  # up to half a day out of order
     part = F.least(F.floor((F.unix_micros("ts") + hours - low) * 2 / max(1, high - low)), F.lit(1))
     path, out, mark = landing(spark, "events"), landing(spark, "out"), landing(spark, "mark")
     for k in range(2):
         e.filter(part == k).write.mode("append").parquet(path)
         s = spark.readStream.schema(_EVENTS).parquet(path)
-        made = streams.drain(histories.with_history(s, late="1 day", last=10), out, mark)
+        made = streams.drain(histories.with_history(s, late="1 day", last=10, shards=max(128, n // 20_000)), out, mark)
     return rounded(made.withColumn("sum_before", F.coalesce(F.col("mean_before") * F.col("n_before"), F.lit(0.0))).drop("ts", "value", "mean_before"), 2)
 
 

@@ -138,3 +138,75 @@ def test_files_and_tasks_do_not_grow_with_pages(spark, monkeypatch):
     spans = reading.partitions()
     assert len(spans) <= 7 and [p.start for p in spans[1:]] == [p.stop for p in spans[:-1]] and all(p.start % 5 == 0 for p in spans)
     assert [r for p in spans for r in reading.read(p)] == [(i, f"n {i}", i / 4) for i in range(1000)]
+
+
+class _Store:
+    """State of one key in memory, which counts its calls."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = 0, {}, []
+
+    def getListState(self, name, schema):
+        return _Named(self, name)
+
+    getValueState = getListState
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+
+class _Named:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def _at(self):
+        self.store.calls += 1
+        return self.store.held
+
+    def appendList(self, rows):
+        self._at().setdefault(self.name, []).extend(rows)
+
+    def put(self, rows):
+        self._at()[self.name] = list(rows)
+
+    update = put
+
+    def get(self):
+        return self._at().get(self.name, [])
+
+    def exists(self):
+        return self.name in self._at()
+
+    def clear(self):
+        self._at().pop(self.name, None)
+
+
+def test_a_shard_of_many_entities_makes_few_calls(spark):
+    """Calls to the state depend on batches alone, and rows are those of windows: kinds and values may be missing, an entity may be hot."""
+    us = lambda i: 86_400_000_000 + (i * 7919 % 4000) * 1_000_000
+    rows = [(i, 0 if i % 3 == 0 else i % 401, None if i % 5 == 0 else f"k{i % 4}", us(i), float(i % 13) / 7 if i % 6 else None) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "id long, entity long, kind string, us long, value double").toPandas()
+    store = _Store()
+    h = histories.History(4)
+    h.init(store)
+    got = []
+    for low, high, mark in ((0, 1000, 900), (1000, 4000, 4000)):
+        new, store.mark = frame[(frame.us >= us(0) + low * 1_000_000) & (frame.us < us(0) + high * 1_000_000)], (us(0) + mark * 1_000_000) // 1000
+        list(h.handleInputRows((0,), iter([new[:100], new[100:]]), store))
+        store.timers.clear()
+        for made in h.handleExpiredTimer((0,), store, None):
+            got += made.astype(object).where(made.notna(), None)[histories.COLUMNS].values.tolist()
+    assert store.calls < 30
+    want = histories.batch(spark.createDataFrame(rows, "id long, entity long, kind string, us long, value double").withColumn("ts", F.timestamp_micros("us")), last=4)
+    told = lambda d: sorted(tuple((x is not None, round(x, 9) if isinstance(x, float) else str(x)) for x in r) for r in d)
+    assert told(got) == told([tuple(r) for r in want.select(*histories.COLUMNS).collect()]) and len(got) == 3000
