@@ -132,3 +132,32 @@ def test_a_screen_splits_cohorts_and_values(spark, monkeypatch):
         assert got.keys() == want.keys() == {"u", "v"}
         assert all(got[c][0] == want[c][0] and abs(got[c][1] - want[c][1]) < 1e-9 for c in want)
     assert len(seen) == 4 and not any(seen)
+
+
+def test_next_rows_of_a_random_order_by_ranges(spark):
+    """Next rows are those of a window over the cohort, whether ranges hold many rows, few or none, and no window runs over a cohort's rows."""
+    from pyspark.sql import Window
+
+    from orderloom.operators import sampling
+
+    df = spark.range(0, 700, 1, 3).select(F.when(F.col("id") % 10 < 8, "a").when(F.col("id") % 100 == 9, "b").when(F.col("id") == 19, "c").alias("g"), "id", (F.col("id") * 37 % 101).cast("double").alias("x"))
+    row, order = F.struct("id", "x"), Window.partitionBy("g").orderBy(sampling.draw("id", seed=3), "id")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    for many in (1, 8):
+        want = {r["id"]: r["n"] for r in df.select("id", F.collect_list(row).over(order.rowsBetween(1, many)).alias("n")).collect()}
+        for p in ("3", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", p)
+            try:
+                out = sampling.with_next(df, ["g"], "id", row, many, 3)
+                assert {r["id"]: r["_next"] for r in out.collect()} == want
+                plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+                assert len([x for x in plan if "Window [lead(" in x and "_p#" not in x]) == 0 < len([x for x in plan if "Window [lead(" in x])
+            finally:
+                spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+@pytest.mark.parametrize("name", ["smote_rows", "mixup_rows"])
+def test_synthetic_rows_hold_no_cohort(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    windows_ = [x for x in plan.splitlines() if "Window [" in x and "lag(" not in x]  # the other one sees a range's first rows
+    assert windows_ and all("_p#" in x for x in windows_)
