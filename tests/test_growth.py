@@ -124,8 +124,9 @@ def test_a_screen_splits_cohorts_and_values(spark, monkeypatch):
         seen.append([x for x in at.splitlines() if "Window [" in x and "__p" not in x])
         return out
 
-    for most in (windows.MOST_SENT, 0):
+    for most, each in ((windows.MOST_SENT, windows.RANGE_ROWS), (0, 100)):
         monkeypatch.setattr(windows, "MOST_SENT", most)
+        monkeypatch.setattr(windows, "RANGE_ROWS", each)
         monkeypatch.setattr(stats, "with_below", watched)
         monkeypatch.setattr(stats, "SCREEN_RANGES", 7)
         got = {r["column"]: (r["n"], r["rho"]) for r in stats.screen(df, ["u", "v", "w"], "t", "g").collect()}
