@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orderloom.operators.lineage import kept
 from orderloom.plans.base import Book, rounded
 from orderloom.sources import pages
 from orderloom.sources.readers import table
@@ -66,7 +67,7 @@ def hidden_rows(spark, d):
     row = F.concat(F.lit('<tr class="full_table">'), cell("key", F.col("c_custkey")), cell("nation", F.col("c_nationkey")), cell("segment", F.col("c_mktsegment")), cell("balance", F.round("c_acctbal", 2).cast("string")))
     # in a fixed order: the nodes' numbers rest on it, and the pages are made once for each use of the nodes
     made = c.select((F.col("c_custkey") % 1000).alias("page"), F.struct("c_custkey", row.alias("r")).alias("r")).groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["r"]), "").alias("rows"))
-    n = pages.nodes(made, F.concat(F.lit("<html><body><div id=x><!-- <table>"), "rows", F.lit("</table> --></div></body></html>")), "page", opened=True)
+    n = kept(pages.nodes(made, F.concat(F.lit("<html><body><div id=x><!-- <table>"), "rows", F.lit("</table> --></div></body></html>")), "page", opened=True))  # read five times
     rows = pages.select(n, '//div[@id="x"]//tr[contains(@class,"full")]', "page")
     cells = pages.content(n, pages.select(n, "/td[@data-stat]", "page", under=rows), "page")
     named = cells.withColumn("stat", F.try_element_at("attributes", F.lit("data-stat")))

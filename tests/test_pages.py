@@ -135,3 +135,13 @@ def test_hidden_pages_are_the_same_each_time(spark, tmp_path, monkeypatch):
             webpages.hidden_rows(spark, f"{tmp_path}/{order}")
     a, b = (df.filter("page = 0").first()["rows"] for df in made)
     assert a == b
+
+
+def test_paths_and_contents_pass_no_driver(spark):
+    """Cells under rows: joins are merges, so neither side passes through the driver."""
+    df = spark.createDataFrame([(k, "<table>" + "".join(f"<tr><td a>{k}<b>{i}</b>-<td>no" for i in range(400)) + "</table>") for k in (1, 2)], "k long, html string")
+    table = pages.nodes(df, F.col("html"), "k")
+    cells = pages.content(table, pages.select(table, "/td[@a]", "k", under=pages.select(table, "//tr", "k")), "k")
+    assert sorted((r["k"], r["node"], r["content"]) for r in cells.collect()) == [(k, 2 + 4 * i, f"{k}{i}-") for k in (1, 2) for i in range(400)]
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "NestedLoop" not in plan
