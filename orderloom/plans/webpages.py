@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orderloom.functions import keys
 from orderloom.operators.lineage import kept
 from orderloom.plans.base import Book, rounded
 from orderloom.sources import pages
@@ -59,12 +60,21 @@ def page_heads(spark, d):
     return out
 
 
+def _cents(c: str):
+    """A double to two digits as text: halves of the product with 100 go up, all digits before the point, and what rounds to zero keeps its sign."""
+    sign = F.when(F.col(c).cast("string").startswith("-"), "-").otherwise("")
+    x = F.floor(F.abs(c) * 100 + 0.5).cast("decimal(20,2)") / 100
+    plain = F.regexp_replace(x.cast("decimal(20,2)").cast("string"), "0$", "")
+    return F.when(F.abs(c) < 1e13, F.concat(sign, plain)).otherwise(F.round(c, 2).cast("string"))  # cents beyond that are no whole longs
+
+
 @book.query("SELECT c_custkey, c_nationkey::VARCHAR AS nation, c_mktsegment AS segment, round(c_acctbal, 2)::VARCHAR AS balance FROM customer WHERE c_acctbal IS NOT NULL")
 def hidden_rows(spark, d):
     """Tables inside comments, opened, row by row and cell by cell; one page holds the customers of a nation."""
     c = table(spark, d, "customer", ["c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"]).filter("c_acctbal is not null")
-    cell = lambda name, x: F.concat(F.lit(f'<td data-stat="{name}">'), x, F.lit("</td>"))
-    row = F.concat(F.lit('<tr class="full_table">'), cell("key", F.col("c_custkey")), cell("nation", F.col("c_nationkey")), cell("segment", F.col("c_mktsegment")), cell("balance", F.round("c_acctbal", 2).cast("string")))
+    # a missing value has no cell; a text that holds markup is escaped
+    cell = lambda name, x: F.coalesce(F.concat(F.lit(f'<td data-stat="{name}">'), keys.escape_html(x.cast("string")), F.lit("</td>")), F.lit(""))
+    row = F.concat(F.lit('<tr class="full_table">'), cell("key", F.col("c_custkey")), cell("nation", F.col("c_nationkey")), cell("segment", F.col("c_mktsegment")), cell("balance", _cents("c_acctbal")))
     # in a fixed order: the nodes' numbers rest on it, and the pages are made once for each use of the nodes
     made = c.select((F.col("c_custkey") % 1000).alias("page"), F.struct("c_custkey", row.alias("r")).alias("r")).groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["r"]), "").alias("rows"))
     n = kept(pages.nodes(made, F.concat(F.lit("<html><body><div id=x><!-- <table>"), "rows", F.lit("</table> --></div></body></html>")), "page", opened=True))  # read five times

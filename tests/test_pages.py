@@ -145,3 +145,16 @@ def test_paths_and_contents_pass_no_driver(spark):
     assert sorted((r["k"], r["node"], r["content"]) for r in cells.collect()) == [(k, 2 + 4 * i, f"{k}{i}-") for k in (1, 2) for i in range(400)]
     plan = cells._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "NestedLoop" not in plan
+
+
+def test_hidden_rows_of_odd_customers_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from orderloom.plans import webpages
+
+    balances = [0.0, -0.0, -0.004, 0.004, -0.01, 5.5, 5.05, 10.0, 1.005, 2.675, -2.675, 1e7, 12345678.9, 1.5e10, None, 7.25]
+    odd = [(i, None if i == 3 else i, None if i == 4 else ["A & B", "a <b>c</b>", "&amp;", "--> x", "", "plain"][i % 6], b) for i, b in enumerate(balances)]
+    spark.createDataFrame(odd, "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    got = webpages.hidden_rows(spark, str(tmp_path)).select("c_custkey", "nation", "segment", "balance").collect()
+    want = duckdb.connect().execute(webpages.ORACLE["hidden_rows"].replace("FROM customer", f"FROM '{tmp_path}/customer.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
