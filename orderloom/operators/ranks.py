@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,12 @@ from orderloom.operators.lineage import ship
 SLICE = 1 << 15
 
 
+#: Whole numbers up to which doubles tell all apart.
+EXACT = 1 << 53
+
+
 def _planes(a: np.ndarray) -> bytes:
-    """Bytes of sorted numbers, those of one place together, so that what a shuffle compresses is alike."""
+    """Bytes of sorted numbers, those of one place together, so that what is compressed is alike."""
     return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
 
 
@@ -24,6 +29,20 @@ def _numbers(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def _sent(s: np.ndarray, v: np.ndarray, digits: int | None) -> bytes:
+    """Sorted scores and their places, compressed; scores of so many digits as the whole numbers between one and the next."""
+    steps = digits is not None and len(s) > 0 and max(abs(s[0]), abs(s[-1])) * 10.0**digits < EXACT
+    told = np.diff(np.rint(s * 10.0**digits).astype(np.int64), prepend=np.int64(0)) if steps else s
+    return struct.pack("<?I", steps, len(s)) + pa.Codec("zstd", compression_level=1).compress(_planes(told) + _planes(v), asbytes=True)
+
+
+def _received(b: bytes, digits: int | None) -> tuple[np.ndarray, np.ndarray]:
+    steps, n = struct.unpack_from("<?I", b)
+    told = pa.Codec("zstd").decompress(b[5:], decompressed_size=n * 12, asbytes=True)
+    s = np.cumsum(_numbers(told[: n * 8], np.int64)) / 10.0**digits if steps else _numbers(told[: n * 8], np.float64)
+    return s, _numbers(told[n * 8 :], np.uint32)
+
+
 def rank_correlations(df: DataFrame, by: str, place: str, scores: str, k: int, *, digits: int | None = None, part_rows: int = 1 << 20) -> DataFrame:
     """(by, _rule, rho): the correlation of average ranks of each of an array's k scores with a value's average ranks.
 
@@ -78,13 +97,12 @@ def rank_correlations(df: DataFrame, by: str, place: str, scores: str, k: int, *
                     if hi > lo or p == 0:
                         rule.append(j)
                         part.append(p)
-                        blobs.append(_planes(s[lo:hi]) + _planes(w[lo:hi]))
+                        blobs.append(_sent(s[lo:hi], w[lo:hi], digits))
             yield pa.RecordBatch.from_arrays([pa.repeat(names[c], len(rule)), pa.array(rule, pa.int32()), pa.array(part, pa.int32()), pa.array(blobs, pa.binary())], [by, "_rule", "_part", "_blob"])
 
     def placed(t: pa.Table) -> pa.Table:
-        blobs = [b.as_py() for b in t.column("_blob")]
-        s = np.concatenate([_numbers(b[: len(b) // 12 * 8], np.float64) for b in blobs])
-        v = np.concatenate([_numbers(b[len(b) // 12 * 8 :], np.uint32) for b in blobs])
+        told = [_received(b.as_py(), digits) for b in t.column("_blob")]
+        s, v = np.concatenate([x for x, _ in told]), np.concatenate([x for _, x in told])
         order = np.argsort(s)
         s, v = s[order], v[order] / 2.0
         new = np.flatnonzero(np.concatenate([np.ones(min(1, len(s)), bool), s[1:] != s[:-1]]))

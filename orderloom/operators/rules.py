@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.nulls import corr, row_median
-from orderloom.operators.lineage import kept
+from orderloom.operators.lineage import cut, kept
 from orderloom.operators.ranks import rank_correlations
-from orderloom.operators.windows import pct_rank, ranked, with_pct_ranks
+from orderloom.operators.windows import looked_up, pct_rank, ranked, with_pct_ranks
 
 TOKEN = re.compile(r"\s*([A-Za-z_]\w*|[-+]?\d+(?:\.\d+)?|[(),:])")
 UNLISTED = 61.0  # the place behind a board's end
@@ -143,9 +143,9 @@ def apply(df: DataFrame, rules: dict[str, str], by: list[str], **how) -> DataFra
     return df.select(*columns, *(x.alias(name) for name, x in scores.items()))
 
 
-def _compiled(df: DataFrame, rules: dict[str, str], by: list[str], known: dict[tuple[str, str], str], how: dict) -> tuple[DataFrame, dict[str, Column]]:
-    """df with all ranks that rules need and with rules that others rest on; and every rule as an expression over it. known: names of ranks that df has."""
-    trees = {name: parse(text) for name, text in rules.items()}
+def _compiled(df: DataFrame, rules: dict[str, str], by: list[str], known: dict[tuple[str, str], str], how: dict, start: DataFrame | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """df with all ranks that rules need and with rules that others rest on; and every rule as an expression over it. known: names of ranks that df has. start: df as it was read, if it has gained ranks since."""
+    trees, base = {name: parse(text) for name, text in rules.items()}, df if start is None else start
     inner: dict[Node, str] = {}
 
     def gather(node: Node) -> None:
@@ -183,7 +183,7 @@ def _compiled(df: DataFrame, rules: dict[str, str], by: list[str], known: dict[t
             if node.depth == depth:
                 first, second = ([given(pair[i]) for pair in node.args] for i in (0, 1))
                 made[name] = _combine(node.name, first, second, pct, place)
-        df = _with_ranks(df, need, by, how)
+        df = _with_ranks(df, need, by, how, base)
         held |= need
         below = {inner[n] for n in inside if n in inner}
         df = df.withColumns({c: x for c, x in made.items() if c in below})
@@ -191,21 +191,25 @@ def _compiled(df: DataFrame, rules: dict[str, str], by: list[str], known: dict[t
     return df, {name: last.get(given(tree), F.col(given(tree))) for name, tree in trees.items()}
 
 
-def _with_ranks(df: DataFrame, need: dict[tuple[str, str], str], by: list[str], how: dict) -> DataFrame:
-    """df with the ranks that a level asks for and the numbers of ranked values, named as asked."""
+def _with_ranks(df: DataFrame, need: dict[tuple[str, str], str], by: list[str], how: dict, start: DataFrame | None = None) -> DataFrame:
+    """df with the ranks that a level asks for and the numbers of ranked values, named as asked. start: the same rows before the levels below, for medians of its columns."""
     filled = {}
+    source = lambda *names: start if start is not None and set(names) <= set(start.columns) else df
+    if middle := [c for c, kind in need if kind == "median"]:
+        # one row a cohort, so rows stay where they are
+        df = looked_up(df, cut(source(*by, *middle).groupBy(*by).agg(*(F.median(c).alias(f"_median{i}") for i, c in enumerate(middle)))), by)
     for (column, kind), name in need.items():
         c = F.col(column).cast("double")
         if kind == "median":
-            c = F.coalesce(c, F.median(column).over(Window.partitionBy(*by)))
+            c = F.coalesce(c, F.col(f"_median{middle.index(column)}"))
         elif kind == "young":
-            c = -F.coalesce(c, F.lit(df.agg(F.median(column)).first()[0]))
+            c = -F.coalesce(c, F.lit(source(column).agg(F.median(column)).first()[0]))
         elif kind == "board":
             c = -F.coalesce(c, F.lit(UNLISTED))
         filled[f"_of{name}"] = F.round(c, DIGITS)
     if not need:
         return df
-    return ranked(df.withColumns(filled), by, {n: f"_of{n}" for n in need.values()}, counts=True, **how).drop(*filled)
+    return ranked(df.withColumns(filled), by, {n: f"_of{n}" for n in need.values()}, counts=True, **how).drop(*filled, *(f"_median{i}" for i in range(len(middle))))
 
 
 def prepared(df: DataFrame, columns: list[str], by: str, value: str, **how) -> tuple[DataFrame, dict[tuple[str, str], str]]:
@@ -220,10 +224,9 @@ def rhos(df: DataFrame, rules: dict[str, str], by: str, value: str, known: dict[
     Scores never become rows: tasks sort each rule's and send them on packed, with the value's rank
     beside, and a cohort's rule, or a range of its scores, is ranked in one place.
     """
-    made, scores = _compiled(df, rules, [by], known or {}, how)
-    if known is None:
-        made = kept(ranked(made, [by], {"_v": value}, **how))
-    elif made is not df:
+    placed = df if known is not None else ranked(df, [by], {"_v": value}, **how)  # while rows are narrow
+    made, scores = _compiled(placed, rules, [by], known or {}, how, df)
+    if made is not df:
         made = kept(made)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if made._jdf.queryExecution().toRdd().getNumPartitions() < parts:

@@ -162,3 +162,35 @@ def test_synthetic_rows_hold_no_cohort(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     windows_ = [x for x in plan.splitlines() if "Window [" in x and "lag(" not in x]  # the other one sees a range's first rows
     assert windows_ and all("_p#" in x for x in windows_)
+
+
+def test_ranges_of_several_columns_send_whole_rows_once(spark):
+    df = spark.range(0, 2000, 1, 4).select((F.col("id") % 3).alias("g"), *(F.when(F.col("id") % 7 != i, F.col("id") * (3 + i) % 101).alias(f"v{i}") for i in range(4)), F.repeat(F.lit("x"), 50).alias("burden"))
+    columns = {f"r{i}": f"v{i}" for i in range(4)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ranges = windows.ranked(df, ["g"], columns, counts=True, most_bytes=0, parts=16)
+        plan = ranges._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum("Exchange hashpartitioning" in a and "burden" in b for a, b in zip(plan, plan[1:])) <= 1
+    whole = windows.ranked(df, ["g"], columns, counts=True, most_bytes=1 << 62)
+    assert sorted(ranges.columns) == sorted(whole.columns)
+    told = lambda d: sorted(map(str, d.select(*sorted(d.columns)).collect()))
+    assert told(ranges) == told(whole)
+
+
+@pytest.mark.parametrize(("scores", "digits", "most"), [("shares", 9, 6.5), ("places", 9, 7.5), ("shares", None, 13), ("huge", 9, 13), ("none", 9, 100)])
+def test_packed_scores_come_back(scores, digits, most):
+    import numpy as np
+
+    from orderloom.operators import ranks
+
+    rng = np.random.default_rng(3)
+    s = {"shares": rng.random(5000), "places": -rng.integers(1, 10**6, 5000) / 2.0, "huge": rng.normal(size=5000) * 1e30, "none": np.empty(0)}[scores]
+    s = np.sort(s if digits is None else np.copysign(np.floor(np.abs(s) * 10.0**digits + 0.5) / 10.0**digits, s))
+    places = rng.integers(0, 1 << 23, len(s)).astype(np.uint32)
+    sent = ranks._sent(s, places, digits)
+    back = ranks._received(sent, digits)
+    assert (back[0] == s).all() and (back[1] == places).all()
+    assert len(sent) < most * max(1, len(s))
